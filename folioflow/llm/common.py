@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioflow.llm.words import mix
+
 #: What counts as a word everywhere in this subpackage.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -61,3 +65,86 @@ def positions(
     if amount:
         out = out.withColumn("before", F.col("before") + F.col("_amount_start"))
     return out.drop("_part", *[f"{k}_start" for k in sums])
+
+
+#: Bits of an id filter: 4 MB, whatever the input. Beyond some ten million ids it passes ever more rows, and the exact
+#: join behind it has more to do; no result depends on it.
+FILTER_BITS = 1 << 25
+
+
+def _filter_bits(ids: np.ndarray) -> np.ndarray:
+    h = mix(ids.astype(np.uint64), 7)
+    return np.stack([(h >> np.uint64(s)) % np.uint64(FILTER_BITS) for s in (0, 13, 31)])
+
+
+def _ids(batch: pa.RecordBatch, col: str) -> np.ndarray:
+    return batch.column(col).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def id_filter(ids: DataFrame, col: str) -> np.ndarray:
+    """A Bloom filter of fixed size over a column of long ids, built by the tasks and merged with bit_or."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.unique(_filter_bits(_ids(batch, col)))
+            word, at = np.unique(bits >> np.uint64(6), return_index=True)
+            mask = np.bitwise_or.reduceat(np.uint64(1) << (bits & np.uint64(63)), at) if len(bits) else bits
+            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(mask.view(np.int64))], ["w", "m"])
+
+    merged = ids.select(col).mapInArrow(words, "w long, m long").groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+    table = np.zeros(FILTER_BITS // 64, np.int64)  # at most this many rows come back
+    table[merged["w"].to_numpy()] = merged["m"].to_numpy()
+    return table.view(np.uint64)
+
+
+def within(batches: Iterator[pa.RecordBatch], col: str, table: np.ndarray, inside: bool) -> Iterator[pa.RecordBatch]:
+    """The rows whose id may be in the filter (`inside`), or the rows whose id surely isn't."""
+    for batch in batches:
+        hit = np.ones(batch.num_rows, bool)
+        for bits in _filter_bits(_ids(batch, col)):
+            hit &= (table[bits >> np.uint64(6)] >> (bits & np.uint64(63))) & np.uint64(1) == 1
+        yield batch.filter(pa.array(hit == inside))
+
+
+def kept_ids(docs: DataFrame, ids: DataFrame, col: str) -> DataFrame:
+    """Rows of `docs` whose id is in `ids` (unique), with the columns of `ids`; only likely rows are shuffled."""
+    table = docs.sparkSession.sparkContext.broadcast(id_filter(ids, col))
+    likely = docs.mapInArrow(lambda it: within(it, col, table.value, True), docs.schema)
+    return likely.join(ids, col)
+
+
+def map_without_ids(
+    docs: DataFrame, ids: DataFrame, col: str, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
+) -> DataFrame:
+    """mapInArrow over the rows of `docs` whose id isn't in `ids`; only the rows that may be in it are shuffled."""
+    table = docs.sparkSession.sparkContext.broadcast(id_filter(ids, col))
+    certain = docs.mapInArrow(lambda it: f(within(it, col, table.value, False)), schema)
+    doubtful = docs.mapInArrow(lambda it: within(it, col, table.value, True), docs.schema)
+    return certain.unionByName(doubtful.join(ids.select(col), col, "left_anti").mapInArrow(f, schema))
+
+
+def components(links: DataFrame, label: str = "components") -> DataFrame:
+    """(node, component) for every node of an undirected edge list (a, b): the smallest node it can reach.
+
+    Alternating large-star and small-star steps, each two aggregations and a join over edges; a hub's edges are spread
+    by the partial aggregation and by skew joins. The number of rounds follows the logarithm of the longest path.
+    """
+    edges = saved(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), label)
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = saved(large, label)
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = (
+            large.join(low, "u")
+            .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+            .select("e.*").where("u != v").distinct()
+        )
+        small = saved(small, label)
+        changed = small.join(edges, ["u", "v"], "left_anti").limit(1).count() + edges.join(small, ["u", "v"], "left_anti").limit(1).count()
+        edges = small
+        if not changed:
+            break
+    members = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return members.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
