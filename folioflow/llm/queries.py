@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import mixing, packing, sharding, substrings
+from folioflow.llm import mixing, ngram_join, packing, sharding, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (mixing.op1_source_mix, substrings.op5_repeated_windows, packing.op8_length_buckets, sharding.op9_byte_shards)
+    found = (mixing.op1_source_mix, substrings.op5_repeated_windows, ngram_join.op6_shingle_join, packing.op8_length_buckets, sharding.op9_byte_shards)
     return {f.__name__: f for f in found}
 
 
