@@ -31,6 +31,12 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches follow bytes, so that long texts don't fill the memory of Python workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write a table in the shared folder and read it back, so a lost executor costs one stage."""
     spark = df.sparkSession

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import components, kept_ids, map_without_ids, saved, table
+from folioflow.llm.common import components, kept_ids, map_without_ids, saved, small_batches, table
 from folioflow.llm.words import Words, blocks, mix
 
 NO_ID = (1 << 63) - 1
@@ -263,6 +263,7 @@ def similar_groups(
     """
     if size < 1 or not 0 < percent <= 100:
         raise ValueError("size must be positive, percent in 1..100")
+    small_batches(docs.sparkSession)
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     profile = saved(
         source.mapInArrow(lambda it: _profile(it, size), "kind int, id long, n long, f1 long, f2 long, vec binary"), "profiles"

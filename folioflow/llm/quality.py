@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import saved, table
+from folioflow.llm.common import saved, small_batches, table
 from folioflow.llm.words import Words, blocks, mix
 
 #: Labelled rows on which the model is fitted, chosen by a hash of the id.
@@ -229,6 +229,7 @@ def score_quality(
     Null and empty texts get the score of their (zero) features; null ids are never held out and have no label;
     repeated rows are rows like others; an empty table gives no rows. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.coalesce(text_col, F.lit("")).alias("text"))
     measured = saved(rows.mapInArrow(_measured, "doc_id long, held_out boolean, x array<double>"), "features")
     known = (

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import kept_ids, map_without_ids, saved, table
+from folioflow.llm.common import kept_ids, map_without_ids, saved, small_batches, table
 from folioflow.llm.words import Words, blocks, mix
 
 #: A difference cover: for any i and j some d below PERIOD puts both i + d and j + d in COVER modulo PERIOD.
@@ -18,7 +18,7 @@ PERIOD, COVER = 7, (1, 2, 4)
 #: Stands for a null id: larger than any other.
 NO_ID = (1 << 63) - 1
 #: Anchors or windows in one bucket of the exchange, on average.
-BUCKET = 1 << 20
+BUCKET = 1 << 19
 
 
 def _table(**columns: np.ndarray | pa.Array) -> pa.RecordBatch:
@@ -188,6 +188,7 @@ def drop_repeated_windows(
     """
     if size < PERIOD + 1:
         raise ValueError(f"windows need at least {PERIOD + 1} words")
+    small_batches(docs.sparkSession)
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     profile = saved(source.mapInArrow(_profile, "id long, n_words long, t1 long, t2 long, sha string"), "profiles")
     classes = profile.where(F.col("n_words") >= size).groupBy("t1", "t2", "n_words").agg(F.min("id").alias("low"))

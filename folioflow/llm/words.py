@@ -15,7 +15,7 @@ SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 SLICE_BYTES = 1 << 19
 
 
