@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import embedding_dedup, licenses, mixing, ngram_join, packing, quality, sharding, substrings, topk
+from folioflow.llm import embedding_dedup, licenses, mixing, ngram_join, packing, pii, quality, sharding, substrings, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (mixing.op1_source_mix, licenses.op2_license_scan, quality.op3_quality_scores, substrings.op5_repeated_windows, ngram_join.op6_shingle_join, topk.op7_inner_products, packing.op8_length_buckets, sharding.op9_byte_shards, embedding_dedup.op10_near_vectors)
+    found = (mixing.op1_source_mix, licenses.op2_license_scan, quality.op3_quality_scores, pii.op4_surrogates, substrings.op5_repeated_windows, ngram_join.op6_shingle_join, topk.op7_inner_products, packing.op8_length_buckets, sharding.op9_byte_shards, embedding_dedup.op10_near_vectors)
     return {f.__name__: f for f in found}
 
 
