@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import saved, table
+from folioflow.llm.common import saved, table, without_ids
 from folioflow.llm.mixing import mix_sources
 from folioflow.llm.ngram_join import similar_groups
 from folioflow.llm.packing import pack, word_count
@@ -18,14 +18,14 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
     verdicts = score_quality(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select("doc_id").distinct()
-    return docs.join(verdicts, "doc_id", "left_anti").select(*COLUMNS)
+    return without_ids(docs.select(*COLUMNS), verdicts, "doc_id")
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies (five words, similarity 0.8) the document with the smallest id."""
     groups = similar_groups(docs, size=5, percent=80)
     others = groups.where("component_id != doc_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
+    return without_ids(docs.select(*COLUMNS), others, "doc_id")
 
 
 def surrogates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

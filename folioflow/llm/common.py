@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioflow.llm.words import mix
 
@@ -119,8 +120,17 @@ def kept_ids(docs: DataFrame, ids: DataFrame, col: str) -> DataFrame:
     return likely.join(ids, col)
 
 
+def without_ids(docs: DataFrame, ids: DataFrame, col: str) -> DataFrame:
+    """Rows of `docs` whose id isn't in `ids`; only the rows that may be in it are shuffled."""
+    return map_without_ids(docs, ids, col, lambda it: it, docs.schema)
+
+
 def map_without_ids(
-    docs: DataFrame, ids: DataFrame, col: str, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
+    docs: DataFrame,
+    ids: DataFrame,
+    col: str,
+    f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+    schema: str | T.StructType,
 ) -> DataFrame:
     """mapInArrow over the rows of `docs` whose id isn't in `ids`; only the rows that may be in it are shuffled."""
     table = docs.sparkSession.sparkContext.broadcast(id_filter(ids, col))
