@@ -282,7 +282,7 @@ def similar_groups(
     ends = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last")
     members = saved(keys.join(ends, "key").select("hub", "node").distinct(), "members")
     known = marked.where("id = low").select(F.col("id").alias("node"), "n", "vec").dropDuplicates(["node"])
-    units = _deal(members.join(known, "node").withColumn("one", F.lit(1)), "one", UNIT_ROWS)
+    units = _deal(members.withColumn("one", F.lit(1)), "one", UNIT_ROWS).join(known, "node")
     columns = ["unit", "hub", "x", "y", "mine", "node", "n"]
     left = units.select(*columns, "vec").groupBy("unit").applyInArrow(lambda t: _promising(t, percent), "hub long, node long")
     left = saved(left.distinct(), "promising")
@@ -291,7 +291,7 @@ def similar_groups(
         kept_ids(source, wanted, "id").dropDuplicates(["id"]).mapInArrow(lambda it: _sets(it, size), "node long, set binary"), "sets"
     )
     weighed = left.join(sets.select("node", (F.octet_length("set") / 8).alias("n")), "node")
-    verify = _deal(weighed, "n", UNIT_SHINGLES).join(sets, "node")
+    verify = _deal(weighed, "n", UNIT_SHINGLES).join(sets, "node")  # whole sets move only here
     links = verify.select(*columns, "set").groupBy("unit").applyInArrow(lambda t: _linked(t, percent), "a long, b long")
     joined = components(saved(links.distinct(), "links"))
     out = marked.join(joined.withColumnRenamed("node", "low"), "low", "left")
