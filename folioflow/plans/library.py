@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.plans import ingest
+from folioflow.plans import analysis, ingest
 
-MODULES = (ingest,)
+MODULES = (ingest, analysis)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
