@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.plans import analysis, ingest
+from folioflow.plans import analysis, ingest, search, tables
 
-MODULES = (ingest, analysis)
+MODULES = (ingest, analysis, search, tables)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
