@@ -64,8 +64,8 @@ def detect_sections(df: DataFrame, text_col: str = "cleaned_text", out_col: str
     df = df.withColumn("_types", F.transform("_lines", lambda l: classify_heading(T.strip(l))))
     n, lines, types = F.size("_lines"), F.col("_lines"), F.col("_types")
     numbers = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    df = df.withColumn("_heads", F.filter(numbers, lambda i: types[i].isNotNull()))
-    df = df.withColumn("_first", F.get(F.filter(numbers, lambda i: T.strip(lines[i]) != ""), F.lit(0)))
+    df = df.withColumn("_heads", F.filter(numbers, lambda i: F.get(types, i).isNotNull()))
+    df = df.withColumn("_first", F.get(F.filter(numbers, lambda i: T.strip(F.get(lines, i)) != ""), F.lit(0)))
     # character offsets of all lines from one running sum, and trimmed headings, each made once
     df = df.withColumn("_at", F.aggregate(
         F.transform("_lines", lambda l: F.length(l)), F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x + 1)
@@ -82,14 +82,14 @@ def detect_sections(df: DataFrame, text_col: str = "cleaned_text", out_col: str
     def under(s: Column) -> Column:
         h, last = s["h"], s["last"]
         body = T.strip(F.array_join(F.transform(F.slice(lines, h + 2, last - h), lambda l: F.regexp_replace(l, rf"{T.SPACE}+\z", "")), "\n"))
-        return section(s["type"], s["heading"], body, h, last, at[h], at[last + 1] - 1, 0.95)
+        return section(s["type"], s["heading"], body, h, last, F.get(at, h), F.get(at, last + 1) - 1, 0.95)
 
     spans = F.transform(heads, lambda h, k: F.struct(
-        h.alias("h"), (F.coalesce(F.get(heads, k + 1), n) - 1).alias("last"), types[h].alias("type"), T.strip(lines[h]).alias("heading")
+        h.alias("h"), (F.coalesce(F.get(heads, k + 1), n) - 1).alias("last"), F.get(types, h).alias("type"), T.strip(F.get(lines, h)).alias("heading")
     ))
-    df = df.withColumn("_spans", spans).withColumn("_title", T.strip(lines[first]))
+    df = df.withColumn("_spans", spans).withColumn("_title", T.strip(F.get(lines, first)))
     df = df.withColumn("_titled", F.coalesce(is_probable_title(F.col("_title")), F.lit(False)))
-    title = section(F.lit("title"), F.lit("Title"), F.col("_title"), first, first, at[first], at[first + 1] - 1, 0.75)
+    title = section(F.lit("title"), F.lit("Title"), F.col("_title"), first, first, F.get(at, first), F.get(at, first + 1) - 1, 0.75)
     unknown = section(
         F.lit("unknown"), F.lit("Unknown"), T.strip(F.col("_text")), F.lit(0), F.greatest(n - 1, F.lit(0)),
         F.lit(0), F.length("_text"), 0.0,
