@@ -41,7 +41,7 @@ _NAME = r"\p{Lu}[\p{Ll}\p{Lu}'’-]*+"
 #: Types and patterns, in the order in which they are tried at a place. Words are taken possessively, so that no text
 #: makes the matcher go back; look-behinds have a bounded length.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*+\.)++[A-Za-z]{2,24}+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,24}",
     "secret": r"(?<=(?i:token|password|passwd|secret|api_key|apikey|access_key)[ ]{0,2}[=:][ ]{0,2}[\"']?)[A-Za-z0-9_+/.-]{6,}+"
     r"|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{15,17}+|gh[pousr]_[A-Za-z0-9]{30,}+|sk-[A-Za-z0-9_-]{20,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)",
     "ip": rf"(?<![0-9A-Za-z.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9A-Za-z]|\.[0-9])",
