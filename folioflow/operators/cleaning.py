@@ -75,15 +75,21 @@ def is_heading_line(line: Column) -> Column:
     return T.squeeze(F.regexp_replace(unnumbered, "[^a-z0-9 &/-]+", "")).isin(*HEADINGS)
 
 
-def _joins(current: Column, line: Column, heading: Column, item: Column, upper: Column) -> Column:
-    """Whether a line continues the current one; the last three say what kind of line it is."""
+#: No heading has more letters.
+HEADING_LETTERS = max(sum(c.isalpha() for c in h) for h in HEADINGS)
+
+
+def _joins(current: Column, x: Column) -> Column:
+    """Whether line x continues the current one. Letters and words of the current line are counted along, so that a
+    line which has grown long isn't read again."""
+    now = current["now"]
     return ~(
-        heading
-        | item
-        | current.rlike(r"[.!?:;]\z")
-        | is_heading_line(current)
-        | current.rlike(LIST_ITEM)
-        | (upper & (F.size(T.space_words(current)) <= 6))
+        x["h"]
+        | x["i"]
+        | F.right(now, F.lit(1)).isin(".", "!", "?", ":", ";")
+        | (x["u"] & (current["words"] <= 6))
+        | ((current["letters"] <= HEADING_LETTERS) & is_heading_line(now))
+        | now.rlike(LIST_ITEM)
     )
 
 
@@ -95,17 +101,22 @@ def fix_broken_lines(df: DataFrame, col: str) -> DataFrame:
     )
     df = df.withColumn("_own", F.filter(own, lambda p: F.size(p) > 0))
     flags = lambda l: F.struct(
-        l.alias("l"), is_heading_line(l).alias("h"), l.rlike(LIST_ITEM).alias("i"), l.rlike(r"^\p{Lu}").alias("u")
-    )
+        l.alias("l"), is_heading_line(l).alias("h"), l.rlike(LIST_ITEM).alias("i"), l.rlike(r"^\p{Lu}").alias("u"),
+        F.length(F.regexp_replace(F.lower(l), "[^a-z]+", "")).alias("letters"), F.size(T.space_words(l)).alias("words"),
+    )
     df = df.withColumn("_known", F.transform("_own", lambda p: F.transform(p, flags)))
 
+    def line(done: Column, now: Column, letters: Column, words: Column) -> Column:
+        return F.struct(done.alias("done"), now.alias("now"), letters.alias("letters"), words.alias("words"))
+
     def step(acc: Column, x: Column) -> Column:
-        joined = F.struct(acc["done"].alias("done"), F.concat_ws(" ", acc["now"], x["l"]).alias("now"))
-        apart = F.struct(F.array_append(acc["done"], acc["now"]).alias("done"), x["l"].alias("now"))
-        return F.when(_joins(acc["now"], x["l"], x["h"], x["i"], x["u"]), joined).otherwise(apart)
+        joined = line(acc["done"], F.concat_ws(" ", acc["now"], x["l"]), acc["letters"] + x["letters"], acc["words"] + x["words"])
+        apart = line(F.array_append(acc["done"], acc["now"]), x["l"], x["letters"], x["words"])
+        return F.when(_joins(acc, x), joined).otherwise(apart)
 
     def fold(p: Column) -> Column:
-        start = F.struct(F.array().cast("array<string>").alias("done"), F.element_at(p, 1)["l"].alias("now"))
+        first = F.element_at(p, 1)
+        start = line(F.array().cast("array<string>"), first["l"], first["letters"], first["words"])
         rest = F.slice(p, 2, F.greatest(F.size(p), F.lit(1)))
         return F.aggregate(rest, start, step, lambda a: F.array_join(F.array_append(a["done"], a["now"]), "\n"))
 

@@ -65,23 +65,31 @@ def summarize_sections(
 
     A sentence scores the mean frequency of its keywords in the section, and a bonus for being early. In order of
     score, sentences are taken while they fit in `max_words`; of those the first `max_sentences` stay, in text order.
-    `keys` with section_pos identify a section. Frequencies and sentence tokens meet in a join by key and token.
+    `keys` with section_pos identify a section. Tokens are dealt out once, by section and token; scores come back to
+    the section's row, where the choice is made.
     """
     if max_sentences < 1 or max_words < 1:
         raise ValueError("summary limits must be positive")
     own = [*keys, "section_pos"]
-    rows = sections.where(F.col("section_type").isin(*SECTION_TYPES))
-    texts = rows.select(*own, F.col(text_col).alias("_text"))
-    sentences = T.exploded(texts, split_sentences(F.col("_text")), "index", "sentence", *own)
-    freq = T.exploded(texts, keyword_tokens(F.col("_text")), "_k", "token", *own).groupBy(*own, "token").agg(F.count(F.lit(1)).alias("f"))
-    tokens = T.exploded(sentences, keyword_tokens(F.col("sentence")), "_k", "token", *own, "index")
-    scores = tokens.join(freq, [*own, "token"], "left").groupBy(*own, "index").agg(
-        F.round(F.coalesce(F.sum("f"), F.lit(0)) / F.count(F.lit(1)) + 0.1 / (F.col("index") + 1), 6).alias("score")
+    rows = sections.where(F.col("section_type").isin(*SECTION_TYPES)).withColumn("_sentences", split_sentences(F.col(text_col)))
+    # tokens of the section have index -1 and give the frequencies that the sentences' tokens are scored with
+    token = lambda i, ts: F.transform(ts, lambda t: F.struct(i.cast("int").alias("index"), t.alias("token")))
+    whole = token(F.lit(-1), keyword_tokens(F.col(text_col)))
+    parts = F.flatten(F.transform("_sentences", lambda s, i: token(i, keyword_tokens(s))))
+    tokens = T.exploded(rows, F.concat(whole, parts), "_k", "_t", *own).select(*own, "_t.*")
+    frequency = F.count(F.when(F.col("index") < 0, 1)).over(Window.partitionBy(*own, "token"))
+    scores = (
+        tokens.withColumn("f", frequency).where("index >= 0").groupBy(*own, "index")
+        .agg(F.round(F.sum("f") / F.count(F.lit(1)) + 0.1 / (F.col("index") + 1), 6).alias("score"))
+        .groupBy(*own).agg(F.map_from_entries(F.collect_list(F.struct("index", "score"))).alias("_scores"))
+    )
+    rows = rows.join(scores, own, "left")
+    each = F.transform("_sentences", lambda s, i: F.struct(s.alias("sentence"), i.cast("int").alias("index"), is_candidate(s).alias("ok")))
+    known = F.coalesce("_scores", F.create_map().cast("map<int,double>"))
+    ranked = F.transform(
+        F.filter(each, lambda x: x["ok"]),
+        lambda x: F.struct((-F.coalesce(F.try_element_at(known, x["index"]), F.lit(0.0))).alias("low"), x["index"].alias("index"), T.analysis_word_count(x["sentence"]).alias("words"), x["sentence"].alias("sentence")),
     )
-    usable = sentences.where(is_candidate(F.col("sentence"))).join(scores, [*own, "index"], "left").select(
-        *own, "index", "sentence", F.coalesce("score", F.lit(0.0)).alias("score"), T.analysis_word_count(F.col("sentence")).alias("words")
-    )
-    ranked = usable.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("low"), "index", "words", "sentence"))).alias("_ranked"))
     start = F.struct(F.lit(0).alias("used"), F.array().cast("array<struct<index:int,sentence:string>>").alias("picks"))
 
     def take(acc: Column, x: Column) -> Column:
@@ -89,10 +97,8 @@ def summarize_sections(
         pick = F.struct(x["index"].alias("index"), x["sentence"].alias("sentence"))
         return F.when(fits, F.struct((acc["used"] + x["words"]).alias("used"), F.array_append(acc["picks"], pick).alias("picks"))).otherwise(acc)
 
-    picks = F.aggregate("_ranked", start, take, lambda a: F.array_sort(F.slice(a["picks"], 1, max_sentences)))
-    none = F.array().cast("array<struct<index:int,sentence:string>>")
-    picked = ranked.select(*own, picks.alias("_picks"))
-    out = rows.drop(text_col).join(picked, own, "left").withColumn("_picks", F.coalesce("_picks", none))
+    picks = F.aggregate(F.array_sort(ranked), start, take, lambda a: F.array_sort(F.slice(a["picks"], 1, max_sentences)))
+    out = rows.withColumn("_picks", picks).drop(text_col, "_sentences", "_scores")
     return (
         out.withColumn("summary", T.strip(F.array_join(F.transform("_picks", lambda p: p["sentence"]), " ")))
         .withColumn("selected_sentence_count", F.size("_picks"))
