@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.functions import text_expr as T
 from folioflow.operators import keywords, research, sections, statistics, summaries
-from folioflow.plans.ingest import SPACE, chunks_sql, line_list_sql, paper_chunks, sectioned_papers, sections_sql, strip_sql, words_sql
+from folioflow.plans.ingest import SPACE, chunks_sql, line_list_sql, paper_chunks, sectioned_papers, sections_sql, strip_sql
 
 
 def keywords_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
