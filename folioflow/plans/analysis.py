@@ -164,6 +164,10 @@ items AS (SELECT document_id, field, CAST(row_number() OVER (PARTITION BY docume
     section_name AS source_section, confidence, array_to_string(hits, ',') AS matched_keywords FROM accepted QUALIFY rank <= 3)"""
 
 
+REFERENCES = rf"""refs AS (SELECT c.document_id, coalesce(nullif(string_agg(s.text, chr(10) ORDER BY s.section_pos), ''), any_value(c.cleaned_text)) AS t
+  FROM cleaned c LEFT JOIN sections s ON s.document_id = c.document_id AND (section_type = 'references' OR lower(section_name) IN ('references', 'bibliography')) GROUP BY c.document_id),
+reference_counts AS (SELECT document_id, CAST(coalesce(nullif(len(list_filter({line_list_sql("t")}, lambda l: regexp_matches({strip_sql("l")}, '{_ENTRY}'))), 0),
+  len(regexp_extract_all(t, '\([A-Z][A-Za-z''-]+,\s*(?:19|20)\p{{Nd}}{{2}}\)'))) AS INTEGER) AS reference_count FROM refs)"""
 _FIELDS = ", ".join(f"('{f}')" for f in research.RULES)
 SQL: dict[str, str] = {
     "keywords_per_document": f"""WITH tokens AS (SELECT doc_id AS document_id, unnest({keyword_tokens_sql("text")}) AS keyword FROM documents),
@@ -172,10 +176,16 @@ scored AS (SELECT *, round(frequency / (sum(frequency) OVER (PARTITION BY docume
 SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY score DESC, frequency DESC, keyword) AS INTEGER) AS rank, keyword, score, frequency FROM scored QUALIFY rank <= 10""",
     "words_by_section": f"WITH {sections_sql()} SELECT document_id, {_name_sql()}, CAST(sum(len({analysis_words_sql('text')})) AS BIGINT) AS word_count FROM sections GROUP BY ALL",
     "chunks_by_section": f"WITH {sections_sql(40)}, {chunks_sql('sections')} SELECT document_id, section_name, count(*) AS chunk_count FROM chunks GROUP BY ALL",
-    "reference_counts": rf"""WITH {sections_sql()}, refs AS (SELECT c.document_id, coalesce(nullif(string_agg(s.text, chr(10) ORDER BY s.section_pos), ''), any_value(c.cleaned_text)) AS t
-  FROM cleaned c LEFT JOIN sections s ON s.document_id = c.document_id AND (section_type = 'references' OR lower(section_name) IN ('references', 'bibliography')) GROUP BY c.document_id)
-SELECT document_id, CAST(coalesce(nullif(len(list_filter({line_list_sql("t")}, lambda l: regexp_matches({strip_sql("l")}, '{_ENTRY}'))), 0),
-  len(regexp_extract_all(t, '\([A-Z][A-Za-z''-]+,\s*(?:19|20)\p{{Nd}}{{2}}\)'))) AS INTEGER) AS reference_count FROM refs""",
+    "reference_counts": f"WITH {sections_sql()}, {REFERENCES} SELECT * FROM reference_counts",
+    "document_statistics": f"""WITH {sections_sql(40)}, {chunks_sql("sections")}, {REFERENCES},
+own AS (SELECT document_id, section_name, sum(len({analysis_words_sql("text")})) AS n FROM (SELECT document_id, text, {_name_sql()} FROM sections) GROUP BY ALL),
+wm AS (SELECT document_id, string_agg(section_name || '=' || n, ',' ORDER BY section_name) AS word_count_by_section FROM own GROUP BY 1),
+held AS (SELECT document_id, section_name, count(*) AS n FROM chunks GROUP BY ALL),
+cm AS (SELECT document_id, string_agg(section_name || '=' || n, ',' ORDER BY section_name) AS chunk_count_by_section FROM held GROUP BY 1),
+rd AS ({readability_sql("cleaned", "cleaned_text")})
+SELECT c.document_id, CAST(len({analysis_words_sql("cleaned_text")}) AS INTEGER) AS total_word_count, word_count_by_section, coalesce(chunk_count_by_section, '') AS chunk_count_by_section,
+  reference_count AS reference_count_estimate, sentence_count, average_words_per_sentence, average_syllables_per_word, flesch_reading_ease
+FROM cleaned c JOIN wm USING (document_id) LEFT JOIN cm USING (document_id) JOIN reference_counts USING (document_id) JOIN rd USING (document_id)""",
     "readability": readability_sql("(SELECT doc_id AS document_id, coalesce(text, '') AS text FROM documents)", "text"),
     "research_items": f"WITH {research_sql()} SELECT * FROM items",
     "research_primary": f"""WITH {research_sql()} SELECT d.document_id, f.field, extracted_text, source_section, coalesce(confidence, 0.0::DOUBLE) AS confidence
