@@ -13,8 +13,8 @@ from folioflow.llm.common import components, kept_ids, map_without_ids, saved, s
 from folioflow.llm.words import Words, blocks, mix
 
 NO_ID = (1 << 63) - 1
-#: Rows of a unit of work in the first join (count vectors) and shingles of one in the second join (whole sets).
-UNIT_ROWS, UNIT_SHINGLES = 512, 1 << 17
+#: Rows of one block of a hub's group, and its shingles where whole sets are sent.
+UNIT_ROWS, UNIT_SHINGLES = 1024, 1 << 19
 #: A shingle counts as common from this share of all documents; at most mean set size / share of them exist.
 COMMON = 0.002
 FANOUT = 16
@@ -229,10 +229,10 @@ def _linked(rows: pa.Table, percent: int) -> pa.Table:
 
 
 def _deal(members: DataFrame, weight: str, most: int) -> DataFrame:
-    """Cut the members of a hub into blocks of about `most` weight; each two blocks are a unit, as is each block.
+    """Cut the members of a hub into blocks of about UNIT_ROWS rows and `most` weight; each two blocks are a unit, as is each block.
     Small units share tasks; a unit is at most twice a block, whatever the size of a hub's group."""
     whole = members.groupBy("hub").agg(F.sum(weight).alias("_whole"), F.count(F.lit(1)).alias("_count")).where("_count > 1")
-    cuts = F.ceil(F.col("_whole") / most).cast("int")
+    cuts = F.ceil(F.greatest(F.col("_whole") / most, F.col("_count") / UNIT_ROWS)).cast("int")
     mine = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
     dealt = (
         members.join(whole.select("hub", cuts.alias("cuts")), "hub")
