@@ -146,6 +146,13 @@ def test_bounds_are_optimal():
         assert cost(packing.bucket_bounds(lengths, counts, 3)) == best
 
 
+def test_a_very_long_row_leaves_the_bounds_exact(spark):
+    lengths = [*range(1, 40), 10_000_000]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n long"), "n", buckets=3).collect()
+    best = min(sum(next(b for b in (c, 39) if b >= n) - n for n in range(1, 40)) for c in range(1, 39))
+    assert sum(r.padding for r in rows) == best and {r.bucket_length for r in rows} <= set(lengths)
+
+
 def test_mixing(docs, corpus, no_docs):
     rows = mixing.mix_sources(docs.drop("size").withColumn("size", packing.word_count())).collect()
     assert len(rows) == len(corpus) + 1 and all(0 <= r.copies <= 2 for r in rows)
