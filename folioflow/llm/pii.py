@@ -9,6 +9,8 @@ from folioflow.llm.common import saved, table
 
 #: Rounds of collision checks after which remaining collisions are an error.
 ROUNDS = 40
+#: From this attempt on mail addresses and secrets grow by a character per attempt, and 192.168 addresses move to 10.
+GROWS = 4
 DIGITS_OF_HEX = "0123456789345678"
 
 # Honorifics by the gender that they show.
@@ -148,16 +150,18 @@ def _canonical(kind: Column, found: Column) -> Column:
 
 
 def _candidate(kind: Column, value: Column, key: str, attempt: Column) -> Column:
-    """A keyed surrogate in canonical form."""
+    """A keyed surrogate in canonical form. Names, mail addresses and secrets grow with the attempt, so that later
+    attempts draw from ever larger spaces; the other types are as long as their format."""
     seed = F.concat_ws("|", F.lit(key), kind, value, attempt.cast("string"))
-    s = _stream(seed, F.length(value))
+    s = _stream(seed, F.length(value) + attempt + 6)
+    more = F.when(attempt >= GROWS, F.substr(F.sha2(F.concat(seed, F.lit("|more")), 256), F.lit(1), attempt - GROWS + 1)).otherwise("")
     digits = F.translate(s, "0123456789abcdef", DIGITS_OF_HEX)
     n = F.length(value)
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
-    email = F.concat(_same_shape(local, s), F.lit("@"), _same_shape(F.substring_index(domain, ".", 1), F.sha2(F.concat(F.lit(key), domain), 512)), F.lit(".example."), F.substring_index(domain, ".", -1))
+    email = F.concat(_same_shape(local, s), more, F.lit("@"), _same_shape(F.substring_index(domain, ".", 1), F.sha2(F.concat(F.lit(key), domain), 512)), F.lit(".example."), F.substring_index(domain, ".", -1))
     octet = lambda k: (_byte(s, F.lit(k)) % 254 + 1).cast("string")
     first, second = F.substring_index(value, ".", 1), F.element_at(F.split(value, "[.]"), 2)
-    private = F.when(first == "10", "10").when((first == "192") & (second == "168"), "192.168").otherwise(F.concat_ws(".", (_byte(s, F.lit(9)) % 111 + 11).cast("string"), octet(1)))
+    private = F.when(first == "10", "10").when((first == "192") & (second == "168"), F.when(attempt < GROWS, "192.168").otherwise(F.concat_ws(".", F.lit("10"), octet(1)))).otherwise(F.concat_ws(".", (_byte(s, F.lit(9)) % 111 + 11).cast("string"), octet(1)))
     ip = F.concat_ws(".", private, *[octet(k) for k in (2, 3)])
     ip = F.when(first == "10", F.concat_ws(".", F.lit("10"), octet(1), octet(2), octet(3))).otherwise(ip)
     country, rest = F.substring_index(value, "/", 1), F.substring_index(value, "/", -1)
@@ -170,22 +174,23 @@ def _candidate(kind: Column, value: Column, key: str, attempt: Column) -> Column
     iban = F.concat(F.substring(value, 1, 2), check, account)
     hexed = F.array_join(F.transform(F.split(value, ""), lambda c, k: F.when(c.isin(":", "-", ""), c).otherwise(F.substr(s, k + 1, F.lit(1)))), "")
     prefix = F.regexp_extract(value, r"\A(AKIA|gh[pousr]_|sk-|eyJ)", 1)
-    secret = F.concat(prefix, _same_shape(F.substr(value, F.length(prefix) + 1), s))
+    secret = F.concat(prefix, _same_shape(F.substr(value, F.length(prefix) + 1), s), more)
     return (
         F.when(kind == "email", email).when(kind == "ip", ip).when(kind.isin("mac", "ipv6"), hexed).when(kind == "phone", phone)
         .when(kind == "card", card).when(kind == "ssn", ssn).when(kind == "iban", iban).when(kind == "secret", secret)
-        .otherwise(_name(kind, value, s))
+        .otherwise(_name(kind, value, s, attempt))
     )
 
 
-def _name(kind: Column, value: Column, s: Column) -> Column:
+def _name(kind: Column, value: Column, s: Column, attempt: Column) -> Column:
     """Names are put together from parts of the same script, with an end that fits the gender (name_m, name_f) or, for
-    family names (name_s), a family name's end."""
+    family names (name_s), a family name's end. Each attempt has one more inner part than the one before."""
     cyrillic = value.rlike(r"\p{IsCyrillic}")
 
     def made(parts, inner, ends) -> Column:
         end = F.when(kind == "name_m", _one_of(ends["m"], _byte(s, F.lit(5)))).when(kind == "name_f", _one_of(ends["f"], _byte(s, F.lit(5)))).otherwise(_one_of(ends["s"], _byte(s, F.lit(5))))
-        return F.concat(*[_one_of(p, _byte(s, F.lit(k))) for k, p in enumerate((parts, inner, inner))], end)
+        further = F.array_join(F.transform(F.sequence(F.lit(1), attempt), lambda k: _one_of(inner, _byte(s, k + 5))), "")
+        return F.concat(*[_one_of(p, _byte(s, F.lit(k))) for k, p in enumerate((parts, inner, inner))], F.when(attempt > 0, further).otherwise(""), end)
 
     return F.when(cyrillic, made(CYRILLIC_PARTS, CYRILLIC_INNER, CYRILLIC_ENDS)).otherwise(made(LATIN_PARTS, LATIN_INNER, LATIN_ENDS))
 

@@ -73,6 +73,16 @@ def test_collisions_are_resolved(spark, monkeypatch):
     assert len(rows) == 300 and len(set(surrogates)) == 300 and not values & set(surrogates)
 
 
+def test_more_names_and_private_addresses_than_the_first_space_holds(spark):
+    names = spark.range(17_000).select(F.lit("name_s").alias("kind"), F.concat(F.lit("Name"), F.col("id").cast("string")).alias("value"))
+    ips = spark.range(40_000).select(F.lit("ip"), F.concat_ws(".", F.lit("192.168"), F.expr("string(1 + id div 254)"), F.expr("string(1 + id % 254)")))
+    rows = pii.dictionary(names.union(ips), "k").collect()
+    for kind, n in (("name_s", 17_000), ("ip", 40_000)):
+        own = [r for r in rows if r.kind == kind]
+        assert len(own) == len({r.surrogate for r in own}) == n and not {r.value for r in own} & {r.surrogate for r in own}
+    assert all(r.surrogate.startswith(("192.168.", "10.")) for r in rows if r.kind == "ip")
+
+
 def test_key_and_empty(spark, no_docs):
     df = spark.createDataFrame(ROWS[:1], "doc_id long, text string")
     one, other = (pii.replace_entities(df, key=k).first().text for k in ("a", "b"))
