@@ -191,6 +191,59 @@ def test_licenses(spark, no_docs):
     assert licenses.scan_licenses(no_docs).count() == 0
 
 
+NOTICES = {
+    "GPL-3.0-or-later": """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.""",
+    "GPL-2.0-or-later": """ * This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation; either version 2 of the License, or
+ * (at your option) any later version.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this file, ...""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+(3) Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.""",
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.""",
+    "Apache-2.0": """// Licensed under the Apache License, Version 2.0 (the "License");
+// you may not use this file except in compliance with the License.
+// You may obtain a copy of the License at
+//
+//     http://www.apache.org/licenses/LICENSE-2.0
+//
+// Unless required by applicable law or agreed to in writing, software
+// distributed under the License is distributed on an "AS IS" BASIS,
+// WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
+    "Unlicense": "This is free and unencumbered software released into the public\ndomain.",
+}
+
+
+def test_standard_notices_as_they_are_wrapped(spark):
+    rows = [*NOTICES.items(), ("none", "All rights\nreserved."), ("blank", "MIT\n\nLicense.")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r.doc_id: (r.licenses, r.n_matches, r.n_fragments) for r in licenses.scan_licenses(df).collect()}
+    assert got == {k: (k, 1, 0) for k in NOTICES} | {"none": (None, 0, 1), "blank": (None, 0, 0)}
+
+
 def test_quality_learns_without_held_out_labels(spark, no_docs):
     good = [(i, "The small town has a quiet market near the old river bank.") for i in range(0, 400, 2)]
     bad = [(i, "BUY!! NOW!! $$$ ### " * 5) for i in range(1, 400, 2)]
