@@ -39,23 +39,27 @@ CYRILLIC_INNER = ("ба", "ве", "го", "ди", "ли", "ма", "не", "ро"
 CYRILLIC_ENDS = {"m": ("слав", "мир", "дан", "тин"), "f": ("слава", "мира", "дана", "тина"), "s": ("енко", "ских", "чук", "овых")}
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_NAME = r"\p{Lu}[\p{Ll}\p{Lu}'’-]*+"
+_NAME = r"(?:\p{Lu}\.[ ]){0,3}\p{Lu}[\p{Ll}\p{Lu}'’-]*+"
+_HEX = r"[0-9A-Fa-f]{1,4}"
+#: What stands before a secret, and the secret itself.
+KEY = r"(?i:token|password|passwd|secret|api_key|apikey|access_key)(?:\\?[\"'])?[ ]{0,2}[=:][ ]{0,2}(?:\\?[\"'])?"
+BEHIND_KEY = r"[A-Za-z0-9_+/.-]{6,}+"
 #: Types and patterns, in the order in which they are tried at a place. Words are taken possessively, so that no text
 #: makes the matcher go back; look-behinds have a bounded length.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,24}",
-    "secret": r"(?<=(?i:token|password|passwd|secret|api_key|apikey|access_key)[ ]{0,2}[=:][ ]{0,2}[\"']?)[A-Za-z0-9_+/.-]{6,}+"
+    "secret": rf"(?<=[=: \"'])(?=[A-Za-z0-9_+/.-]{{6}})(?<={KEY}){BEHIND_KEY}"
     r"|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{15,17}+|gh[pousr]_[A-Za-z0-9]{30,}+|sk-[A-Za-z0-9_-]{20,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)",
     "ip": rf"(?<![0-9A-Za-z.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9A-Za-z]|\.[0-9])",
     "mac": r"(?<![0-9A-Za-z:-])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![0-9A-Za-z])",
-    "ipv6": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
+    "ipv6": rf"(?<![0-9A-Za-z:])(?:(?:{_HEX}:){{7}}{_HEX}|(?=[A-Fa-f:]*+[0-9])[0-9A-Fa-f]{{4}}(?::{_HEX}){{0,6}}::(?:{_HEX}(?::{_HEX}){{0,5}})?)(?![0-9A-Za-z]|:[0-9A-Za-z:])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z])"
     r"|(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9A-Za-z])"
     r"|(?<![0-9A-Za-z+.-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])",
-    "card": r"(?<![0-9A-Za-z])(?:[0-9]{4}[ -]){3}[0-9]{1,7}(?![0-9A-Za-z])|(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.?[ ]{_NAME}(?:[ ]{_NAME})?|(?:{'|'.join(MALE_NAMES + FEMALE_NAMES)})[ ]{_NAME})(?![\p{{L}}\p{{N}}])",
+    "card": r"(?<![0-9A-Za-z])(?:[0-9]{4}[ -]){3}[0-9]{1,7}(?![0-9A-Za-z])|(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])|(?<![0-9A-Za-z])[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}(?![0-9A-Za-z])",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?:(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.?[ ]{_NAME}(?:[ ]{_NAME}){{0,3}}|(?:{'|'.join(MALE_NAMES + FEMALE_NAMES)})(?:[ ]{_NAME}){{1,3}})(?![\p{{L}}\p{{N}}])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these holds nothing that a pattern finds.
@@ -124,24 +128,33 @@ def _same_shape(value: Column, stream: Column) -> Column:
     return F.array_join(F.transform(F.split(value, ""), char), "")
 
 
-def kind_of(found: Column) -> Column:
-    """The type whose pattern the found text has as a whole; secrets behind a key have no other."""
+def kind_of(found: Column, keyed: Column) -> Column:
+    """The type whose pattern found the text: behind a key (`keyed`) whatever a secret may be, else the first that the
+    text has as a whole."""
     kind = F.lit("secret")
     for name in reversed([n for n in PATTERNS if n != "secret"]):
         kind = F.when(_only(found, PATTERNS[name]), name).otherwise(kind)
-    return kind
+    return F.when(keyed & _only(found, BEHIND_KEY), "secret").otherwise(kind)
+
+
+def _groups(address: Column) -> Column:
+    """The eight groups of an IPv6 address, with four digits each; more than eight if it is none."""
+    left, right = (F.filter(F.split(x, ":"), lambda g: g != "") for x in (F.substring_index(address, "::", 1), F.when(address.contains("::"), F.substring_index(address, "::", -1)).otherwise("")))
+    zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(left) - F.size(right)))
+    return F.transform(F.concat(left, zeros, right), lambda g: F.lpad(F.lower(g), 4, "0"))
 
 
 def _holds(kind: Column, found: Column) -> Column:
-    """Check digits: cards by Luhn's sum, IBANs modulo 97."""
+    """Check digits: cards by Luhn's sum, IBANs modulo 97; and IPv6 addresses have eight groups."""
     iban = F.regexp_replace(found, " ", "")
-    return F.when(kind == "card", F.length(_digits(found)).between(13, 19) & (_luhn(_digits(found)) == 0)).when(kind == "iban", _mod97(iban) == 1).otherwise(True)
+    return F.when(kind == "card", F.length(_digits(found)).between(13, 19) & (_luhn(_digits(found)) == 0)).when(kind == "iban", _mod97(iban) == 1).when(kind == "ipv6", F.size(_groups(found)) == 8).otherwise(True)
 
 
 def _canonical(kind: Column, found: Column) -> Column:
     """What all spellings of one entity share."""
     return (
-        F.when(kind.isin("email", "mac", "ipv6"), F.lower(found))
+        F.when(kind.isin("email", "mac"), F.lower(found))
+        .when(kind == "ipv6", F.array_join(_groups(found), ":"))
         .when(kind.isin("card", "ssn"), _digits(found))
         .when(kind == "phone", F.concat(F.regexp_extract(found, r"\A(\+[0-9]{1,3})(?![0-9])", 1), F.lit("/"), _digits(F.regexp_replace(found, r"\A\+[0-9]{1,3}(?![0-9])", ""))))
         .when(kind == "iban", F.regexp_replace(found, " ", ""))
@@ -229,9 +242,10 @@ def dictionary(entities: DataFrame, key: str) -> DataFrame:
     raise ValueError(f"surrogates still collide after {ROUNDS} rounds; the space of a type is too small")
 
 
-def _tokens(kind: Column, found: Column) -> Column:
-    """An occurrence as parts (kind, value, text): a name's honorific stays, its given name has a gender, its last
-    word is the family name; all else is one part. Parts without a kind stay."""
+def _tokens(kind: Column, found: Column, key: str) -> Column:
+    """An occurrence as parts (kind, value, text): a name's honorific stays, its given names have a gender, its last
+    word is the family name; all else is one part. Parts without a kind stay as `text` says: initials, which are too
+    few to be distinct, become a letter that the key and the family name decide."""
     words = F.split(found, " ")
     title = F.regexp_replace(words[0], "[.]", "")
     honour = title.isin(*MALE, *FEMALE, *NEUTRAL)
@@ -242,8 +256,11 @@ def _tokens(kind: Column, found: Column) -> Column:
 
     def part(w: Column, k: Column) -> Column:
         last = k == F.size(words) - 1
-        role = F.when(honour & (k == 0), None).when(last, "name_s").otherwise(gender)
-        return F.struct(role.alias("kind"), F.initcap(F.lower(w)).alias("value"), w.alias("text"))
+        initial = w.rlike(r"\A\p{Lu}\.\z")
+        role = F.when((honour & (k == 0)) | initial, None).when(last, "name_s").otherwise(gender)
+        letter = F.pmod(F.xxhash64(F.lit(key), w, F.lower(F.element_at(words, -1))), F.lit(26)).cast("int")
+        other = F.concat(F.when(w.rlike(r"\p{IsCyrillic}"), F.substr(F.lit("АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"), letter + 1, F.lit(1))).otherwise(F.char(65 + letter)), F.lit("."))
+        return F.struct(role.alias("kind"), F.initcap(F.lower(w)).alias("value"), F.when(initial, other).otherwise(w).alias("text"))
 
     whole = F.array(F.struct(kind.alias("kind"), _canonical(kind, found).alias("value"), found.alias("text")))
     return F.when(kind == "name", F.transform(words, part)).otherwise(whole)
@@ -268,12 +285,19 @@ def replace_entities(
     text = F.col(text_col)
     plain = docs.where(~F.coalesce(text.rlike(CUE), F.lit(False))).select(*columns, F.lit(0).alias("n_entities"))
     marked = docs.where(text.rlike(CUE)).select(*columns, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias("_found"))
+    marked = marked.withColumn("_gap", F.when(F.size("_found") > 0, F.split(text, ANY, -1)))
     marked = saved(marked.withColumn("_row", F.monotonically_increasing_id()), "marked")
     plain = plain.unionByName(marked.where(F.size("_found") == 0).select(*columns, F.lit(0).alias("n_entities")))
     marked = marked.where(F.size("_found") > 0)
-    each = marked.select("_row", F.posexplode("_found").alias("pos", "found")).withColumn("kind", kind_of(F.col("found")))
+
+    def behind(f: Column, k: Column) -> Column:
+        before = F.concat(F.coalesce(F.get(F.col("_found"), k - 1), F.lit("")), F.get(F.col("_gap"), k))
+        return F.struct(f.alias("found"), F.substring(before, -32, 32).alias("before"))
+
+    each = marked.select("_row", F.posexplode(F.transform("_found", behind)).alias("pos", "e")).select("_row", "pos", "e.*")
+    each = each.select("_row", "pos", "found", kind_of(F.col("found"), F.col("before").rlike(rf"{KEY}\z")).alias("kind"))
     each = each.where(_holds(F.col("kind"), F.col("found")))
-    parts = each.select("_row", "pos", F.posexplode(_tokens(F.col("kind"), F.col("found"))).alias("k", "part")).select("_row", "pos", "k", "part.*")
+    parts = each.select("_row", "pos", F.posexplode(_tokens(F.col("kind"), F.col("found"), key)).alias("k", "part")).select("_row", "pos", "k", "part.*")
     parts = saved(parts, "parts")
     known = dictionary(parts.where("kind is not null"), key)
     new = parts.join(known, ["kind", "value"], "left").select(
@@ -283,7 +307,7 @@ def replace_entities(
     words = F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"])
     whole = new.groupBy("_row", "pos").agg(F.array_join(words, " ").alias("text"))
     by_row = whole.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("pos", "text"))).alias("_new"))
-    joined = marked.join(by_row, "_row", "left").withColumn("_gap", F.split(text, ANY, -1))
+    joined = marked.join(by_row, "_row", "left")
     changed = F.transform(F.col("_found"), lambda f, k: F.coalesce(F.col("_new")[k], f))
     rebuilt = F.concat(
         F.element_at("_gap", 1),

@@ -64,6 +64,26 @@ def test_clean_texts_stay(got):
     assert got[7].text == ROWS[6][1] and got[7].n_entities == 0
 
 
+MORE = [
+    (1, 'token = "AB12CDEF34567890"', r'token = "[A-Z]{2}\d\d[A-Z]{4}\d{8}"'), (2, "password=1234567890123456", r"password=\d{16}"),
+    (3, "from 2001:db8::1 to fe80::1, 2001:0DB8:0:0:0:0:0:1.", r"from ([0-9a-f:]{39}) to [0-9a-f:]{39}, ((?i:\1))\."),
+    (4, '{"password": "hunter22x", \'api_key\' : \'k9k9k9k9\'}', r'\{"password": "[a-z]{6}\d\d[a-z]", \'api_key\' : \'(?:[a-z]\d){4}\'\}'),
+    (5, "Mr. John A. Smith; Dr. Martin Luther King; John Q. Smith.", r"Mr\. (\w+) [A-Z]\. (\w+); Dr\. \w+ \w+ \w+; \1 [A-Z]\. \2\."),
+    (6, "card 3782 822463 10005, 378282246310005", r"card 3\d{3} \d{6} \d{5}, 3\d{14}"),
+]
+
+
+def test_entities_that_look_like_others_or_have_other_forms(spark):
+    rows = {r.doc_id: r for r in pii.replace_entities(spark.createDataFrame([m[:2] for m in MORE], "doc_id long, text string")).collect()}
+    for i, old, want in MORE:
+        assert re.fullmatch(want, rows[i].text), (old, rows[i].text)
+        assert not set(re.findall(r"[A-Za-z0-9:]{5,}", old)) & set(re.findall(r"[A-Za-z0-9:]{5,}", rows[i].text)) - {"token", "password", "password:", "api_key"}
+    assert [rows[i].n_entities for i in range(1, 7)] == [1, 1, 3, 2, 3, 2]
+    code = "Use std::move, dead::beef, a[1::2] and 12:30::"
+    same = pii.replace_entities(spark.createDataFrame([(1, code)], "doc_id long, text string")).first()
+    assert same.text == code and same.n_entities == 0
+
+
 def test_collisions_are_resolved(spark, monkeypatch):
     names = spark.range(300).select(F.lit("name_s").alias("kind"), F.concat(F.lit("Name"), F.col("id").cast("string")).alias("value"))
     small = lambda kind, value, key, attempt: F.concat(F.lit("Name"), F.pmod(F.xxhash64(value, attempt), F.lit(2000)).cast("string"))
