@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import saved, table, without_ids
+from folioflow.llm.common import distinct_ids, saved, table, without_ids
 from folioflow.llm.mixing import mix_sources
 from folioflow.llm.ngram_join import similar_groups
 from folioflow.llm.packing import pack, word_count
@@ -17,15 +17,17 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
+    docs, given_id = distinct_ids(docs.select(*COLUMNS), "doc_id", "text")
     verdicts = score_quality(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select("doc_id").distinct()
-    return without_ids(docs.select(*COLUMNS), verdicts, "doc_id")
+    return without_ids(docs, verdicts, "doc_id").withColumn("doc_id", given_id("doc_id"))
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies (five words, similarity 0.8) the document with the smallest id."""
+    docs, given_id = distinct_ids(docs.select(*COLUMNS), "doc_id", "text")
     groups = similar_groups(docs, size=5, percent=80)
     others = groups.where("component_id != doc_id").select("doc_id").distinct()
-    return without_ids(docs.select(*COLUMNS), others, "doc_id")
+    return without_ids(docs, others, "doc_id").withColumn("doc_id", given_id("doc_id"))
 
 
 def surrogates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +37,11 @@ def surrogates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture of sources takes it."""
+    docs, given_id = distinct_ids(docs.select(*COLUMNS), "doc_id", "text")
     sizes = docs.select("doc_id", "source", word_count().alias("size"))
     copies = mix_sources(sizes).groupBy("doc_id").agg(F.max("copies").alias("copies"))
     taken = docs.join(copies.where("copies > 0"), "doc_id")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS).withColumn("doc_id", given_id("doc_id"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

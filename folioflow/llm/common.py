@@ -74,6 +74,31 @@ def positions(
     return out.drop("_part", *[f"{k}_start" for k in sums])
 
 
+#: The largest id; rows without an id count down from it.
+NO_ID = (1 << 63) - 1
+
+
+def distinct_ids(docs: DataFrame, col: str, text_col: str) -> tuple[DataFrame, Callable[[Column | str], Column]]:
+    """The rows with ids of their own, larger than all others, in place of null ids, and what makes these null again.
+
+    Only the rows without an id are written, so that later reads agree; the order of their texts numbers them. Given
+    ids must lie below 2**63 - 1 by more than the number of these rows.
+    """
+    has = docs.withColumn(col, F.col(col).cast("long"))
+    none = saved(has.where(F.col(col).isNull()).withColumn("_mark", F.monotonically_increasing_id()), "no-ids")
+    n = none.count()
+    given = has.where(F.col(col).isNotNull())
+    if n:
+        placed = positions(none.withColumn("_order", F.md5(text_col)), ["_order", "_mark"])
+        given = given.unionByName(saved(placed.withColumn(col, F.lit(NO_ID) - F.col("pos")).select(*docs.columns), "no-ids"))
+
+    def back(c: Column | str) -> Column:
+        c = F.col(c) if isinstance(c, str) else c
+        return F.when(c <= NO_ID - n, c)
+
+    return given, back
+
+
 #: Bits of an id filter: 4 MB, whatever the input. Beyond some ten million ids it passes ever more rows, and the exact
 #: join behind it has more to do; no result depends on it.
 FILTER_BITS = 1 << 25

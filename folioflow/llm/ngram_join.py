@@ -9,10 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import components, kept_ids, map_without_ids, saved, small_batches, table
+from folioflow.llm.common import components, distinct_ids, kept_ids, map_without_ids, saved, small_batches, table
 from folioflow.llm.words import Words, blocks, mix
 
-NO_ID = (1 << 63) - 1
 #: Rows of one block of a hub's group, and its shingles where whole sets are sent.
 UNIT_ROWS, UNIT_SHINGLES = 1024, 1 << 19
 #: A shingle counts as common from this share of all documents; at most mean set size / share of them exist.
@@ -257,14 +256,14 @@ def similar_groups(
     bound are verified, but for pairs that verified links of the same unit already connect. No pair is dropped.
 
     Returns id, n_shingles, component_id (the smallest id reachable, itself included). A text without words or null
-    has no shingles and no links; shorter texts than `size` words are one shingle. Null ids count as one id larger
-    than all others, and come back as null; rows that repeat an id must repeat its text. An empty table gives no rows; other columns are
+    has no shingles and no links; shorter texts than `size` words are one shingle. Each row with a null id
+    is a document of its own, with an id larger than all others that comes back as null; rows that repeat an id must repeat its text. An empty table gives no rows; other columns are
     not read.
     """
     if size < 1 or not 0 < percent <= 100:
         raise ValueError("size must be positive, percent in 1..100")
     small_batches(docs.sparkSession)
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    source, given_id = distinct_ids(docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")), "id", "text")
     profile = saved(
         source.mapInArrow(lambda it: _profile(it, size), "kind int, id long, n long, f1 long, f2 long, vec binary"), "profiles"
     )
@@ -297,9 +296,9 @@ def similar_groups(
     out = marked.join(joined.withColumnRenamed("node", "low"), "low", "left")
     reach = F.coalesce("component", "low", "id")
     return out.select(
-        F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col),
+        given_id("id").alias(id_col),
         F.col("n").alias("n_shingles"),
-        F.when(reach != NO_ID, reach).alias("component_id"),
+        given_id(reach).alias("component_id"),
     )
 
 

@@ -10,13 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import kept_ids, map_without_ids, saved, small_batches, table
+from folioflow.llm.common import distinct_ids, kept_ids, map_without_ids, saved, small_batches, table
 from folioflow.llm.words import Words, blocks, mix
 
 #: A difference cover: for any i and j some d below PERIOD puts both i + d and j + d in COVER modulo PERIOD.
 PERIOD, COVER = 7, (1, 2, 4)
-#: Stands for a null id: larger than any other.
-NO_ID = (1 << 63) - 1
 #: Anchors or windows in one bucket of the exchange, on average.
 BUCKET = 1 << 19
 
@@ -182,14 +180,15 @@ def drop_repeated_windows(
     documents hold sends a row per block.
 
     Returns id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) and with `with_text` also
-    kept_text, null where nothing is removed. Null texts have no words. A null id counts as larger than all others.
+    kept_text, null where nothing is removed. Null texts have no words. A null id counts as larger than all others,
+    and each row with one as a document of its own.
     Rows that repeat an id must repeat its text; each gets its row, and they don't remove each other's words. An empty
     table gives no rows; other columns are not read.
     """
     if size < PERIOD + 1:
         raise ValueError(f"windows need at least {PERIOD + 1} words")
     small_batches(docs.sparkSession)
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    source, given_id = distinct_ids(docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")), "id", "text")
     profile = saved(source.mapInArrow(_profile, "id long, n_words long, t1 long, t2 long, sha string"), "profiles")
     classes = profile.where(F.col("n_words") >= size).groupBy("t1", "t2", "n_words").agg(F.min("id").alias("low"))
     copies = saved(
@@ -216,7 +215,7 @@ def drop_repeated_windows(
     copied = F.col("copy").isNotNull()
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     out = profile.join(copies.withColumn("copy", F.lit(True)), "id", "left").join(cut, "id", "left").select(
-        F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col),
+        given_id("id").alias(id_col),
         "n_words",
         F.when(copied, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copied, nothing).otherwise(F.coalesce("new_sha", "sha")).alias("kept_sha256"),

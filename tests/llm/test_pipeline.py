@@ -36,3 +36,13 @@ def test_stages(spark, tmp_path):
     times = Counter(mixed.doc_id)
     assert set(times) <= set(private.doc_id) and max(times.values()) <= 2
     assert Counter(packed.doc_id) == times and (packed.n_tokens <= packed.bucket_length).all()
+
+
+def test_rows_without_an_id_stay_in_the_mixture(spark):
+    rows = [(None, f"text number {k} of some words", "en", "s0", 30) for k in range(6)] + [(1, "one text more", "en", "s0", 13)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = cp.mixing_stage(spark, docs, SF).collect()
+    assert {r.text for r in mixed if r.doc_id is None} and sum(r.doc_id is None for r in mixed) >= 6
+    again = docs.unionByName(docs.limit(1))
+    single = cp.near_copies_stage(spark, again, SF).collect()
+    assert sorted(r.text for r in single) == sorted(r[1] for r in rows)

@@ -60,6 +60,22 @@ def test_repeated_windows(docs, corpus, no_docs, size):
             substrings.drop_repeated_windows(docs, 7)
 
 
+def test_rows_without_an_id_are_documents_of_their_own(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    texts = [(1, a), (None, a), (None, b), (None, b + " end"), (None, c), (None, ""), (None, "short " + d[:70]), (2, d + " tail")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = sorted((r.n_words, r.n_removed) for r in substrings.drop_repeated_windows(df).collect() if r.doc_id is None)
+    want = removed([(1, a), (2, d + " tail"), *[(10 + k, t) for k, (i, t) in enumerate(texts) if i is None]], 13)
+    first, second = sorted([b, b + " end"], key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    kept_last = {len(second.split()): (len(second.split()), 0), len(first.split()): (len(first.split()), 40)}
+    others = [v[:2] for k, v in want.items() if k >= 10 and texts[k - 10][1] not in (b, b + " end")]
+    assert got == sorted([*others, *kept_last.values()])
+    joined = [r for r in ngram_join.similar_groups(df).collect() if r.doc_id is None]
+    assert len(joined) == 6 and [r.component_id for r in joined if r.component_id is not None] == [1]
+    near = ngram_join.similar_groups(spark.createDataFrame([(None, a), (None, ""), (None, b), (5, a + " end")], "doc_id long, text string")).collect()
+    assert sorted(str(r.component_id) for r in near) == ["5", "5", "None", "None"]
+
+
 def groups(rows, size, percent):
     sets = {}
     for i, t in rows:
