@@ -104,20 +104,21 @@ def tree_join(va: np.ndarray, na: np.ndarray, vb: np.ndarray, nb: np.ndarray, pe
 def bounded_pairs(vectors: list[np.ndarray], sizes: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs that the bound leaves: between side 0 and side 1, or where all are on one side, among them."""
     width = np.array([len(v) for v in vectors])
+    wider = 1 << max(1, int(np.ceil(np.log2(100 / percent))))  # sizes differ by at most 100 / percent
     cross, out_a, out_b = side.any() and not side.all(), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for g in np.unique(width):
-        at_g, at_2g = np.flatnonzero(width == g), np.flatnonzero(width == 2 * g)
-        fold = {k: vectors[k] for k in at_g} | {k: vectors[k].reshape(2, g).sum(0) for k in at_2g}
-        near = np.r_[at_g, at_2g]
+        at_g, above = np.flatnonzero(width == g), np.flatnonzero((width > g) & (width <= wider * g))
+        fold = {k: vectors[k] for k in at_g} | {k: vectors[k].reshape(-1, g).sum(0) for k in above}
+        near = np.r_[at_g, above]
         if cross:
-            jobs = [(at_g[side[at_g] == 0], near[side[near] == 1]), (at_g[side[at_g] == 1], at_2g[side[at_2g] == 0])]
+            jobs = [(at_g[side[at_g] == 0], near[side[near] == 1]), (at_g[side[at_g] == 1], above[side[above] == 0])]
         else:
             jobs = [(at_g, near)]
         for left, right in jobs:
             if len(left) and len(right):
                 i, j = tree_join(np.stack([fold[k] for k in left]), sizes[left], np.stack([fold[k] for k in right]), sizes[right], percent)
                 a, b = left[i], right[j]
-                on = a != b if cross else (a < b) | (width[b] == 2 * g)
+                on = a != b if cross else (a < b) | (width[b] > g)
                 out_a.append(a[on])
                 out_b.append(b[on])
     return np.concatenate(out_a), np.concatenate(out_b)

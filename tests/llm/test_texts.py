@@ -120,6 +120,20 @@ def test_tree_join_finds_what_the_bound_leaves():
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(want)), strict=True))
 
 
+def test_bounds_of_sets_that_differ_much_in_size():
+    rng = np.random.default_rng(5)
+    every = rng.integers(0, 1 << 63, 4000).astype(np.uint64)
+    sets = [np.sort(every[:n]) for n in (127, 257, 129, 500, 1300, 4000)]
+    sizes = np.array([len(s) for s in sets])
+    vectors = [ngram_join.count_vector(s, ngram_join.groups_of(len(s))).astype(np.int32) for s in sets]
+    for percent in (49, 20, 3):
+        want = {(a, b) for a in range(6) for b in range(a + 1, 6) if 100 * min(sizes[a], sizes[b]) >= percent * max(sizes[a], sizes[b])}
+        for side in (np.zeros(6, np.int64), np.arange(6) % 2):
+            i, j = ngram_join.bounded_pairs(vectors, sizes, side, percent)
+            got = [tuple(sorted(p)) for p in zip(i.tolist(), j.tolist(), strict=True)]
+            assert len(got) == len(set(got)) and set(got) >= {(a, b) for a, b in want if not side.any() or side[a] != side[b]}
+
+
 def test_shards(docs, corpus, no_docs):
     rows = sharding.shard_by_bytes(docs, 4).collect()
     assert len(rows) == len(corpus) + 1
