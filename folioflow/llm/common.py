@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -24,26 +25,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is named (tests, a single machine), a new temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared folder; on a single machine that names none (tests), a new temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='folioflow-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Let Arrow batches follow bytes, so that long texts don't fill the memory of Python workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+#: Arrow batches follow bytes while tables are written, so that long texts don't fill the memory of Python workers.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """BATCHES hold inside; afterwards the session has its own settings again."""
+    before = {k: spark.conf.get(k) for k in BATCHES}
+    for k, v in BATCHES.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write a table in the shared folder and read it back, so a lost executor costs one stage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of `saved` that nothing will read again: what was made from them is written itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._saved_at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def positions(
@@ -74,29 +99,37 @@ def positions(
     return out.drop("_part", *[f"{k}_start" for k in sums])
 
 
-#: The largest id; rows without an id count down from it.
-NO_ID = (1 << 63) - 1
-
+def numbered(
+    docs: DataFrame, id_col: str, text_col: str, keep: Sequence[str] = ()
+) -> tuple[DataFrame, int, Callable[..., DataFrame]]:
+    """(id, text, columns to keep) of all rows with an id for each row, bits of it that tell rows of one given id
+    apart, and what puts the given ids back into columns.
 
-def distinct_ids(docs: DataFrame, col: str, text_col: str) -> tuple[DataFrame, Callable[[Column | str], Column]]:
-    """The rows with ids of their own, larger than all others, in place of null ids, and what makes these null again.
-
-    Only the rows without an id are written, so that later reads agree; the order of their texts numbers them. Given
-    ids must lie below 2**63 - 1 by more than the number of these rows.
+    Where each row has an id of its own, that id stays and the bits are 0. Else rows are numbered: a row's id is the
+    place of its given id among all rows, nulls last and each for itself, and in the low bits its place among the rows
+    of that id, by text. So ids without the low bits are in the order of the given ones.
     """
-    has = docs.withColumn(col, F.col(col).cast("long"))
-    none = saved(has.where(F.col(col).isNull()).withColumn("_mark", F.monotonically_increasing_id()), "no-ids")
-    n = none.count()
-    given = has.where(F.col(col).isNotNull())
-    if n:
-        placed = positions(none.withColumn("_order", F.md5(text_col)), ["_order", "_mark"])
-        given = given.unionByName(saved(placed.withColumn(col, F.lit(NO_ID) - F.col("pos")).select(*docs.columns), "no-ids"))
-
-    def back(c: Column | str) -> Column:
-        c = F.col(c) if isinstance(c, str) else c
-        return F.when(c <= NO_ID - n, c)
-
-    return given, back
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), *keep)
+    times = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or id is null").agg(F.max("n")).first()[0]
+    if times is None:
+        return rows, 0, lambda df, **names: df.withColumnsRenamed(names)
+    base = saved(rows.withColumn("_mark", F.monotonically_increasing_id()), "rows")
+    light = base.select("id", "_mark", F.col("id").isNull().alias("_none"), F.md5("text").alias("_digest"))
+    placed = saved(positions(light.withColumn("_key", F.coalesce("id", F.lit(0))), ["_none", "_key", F.desc("_digest"), "_mark"]), "places")
+    first = placed.where("id is not null").groupBy("id").agg(F.min("pos").alias("_first"))
+    bits = int(times - 1).bit_length()
+    own = F.coalesce("_first", "pos")
+    names = saved(placed.join(first, "id", "left").select("_mark", F.col("id").alias("given"), (F.shiftleft(own, bits) + F.col("pos") - own).alias("id")), "names")
+    source = saved(base.drop("id").join(names.select("_mark", "id"), "_mark").select("id", "text", *keep), "rows")
+    discard(base, placed)
+
+    def back(df: DataFrame, **renamed: str) -> DataFrame:
+        for now, name in renamed.items():
+            known = names.select(F.col("id").alias("_id"), F.col("given").alias("_given"))
+            df = df.join(known, F.col(now) == F.col("_id"), "left").withColumn(now, F.col("_given")).drop("_id", "_given").withColumnRenamed(now, name)
+        return df
+
+    return source, bits, back
 
 
 #: Bits of an id filter: 4 MB, whatever the input. Beyond some ten million ids it passes ever more rows, and the exact
@@ -168,10 +201,16 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
     """(node, component) for every node of an undirected edge list (a, b): the smallest node it can reach.
 
     Alternating large-star and small-star steps, each two aggregations and a join over edges; a hub's edges are spread
-    by the partial aggregation and by skew joins. The number of rounds follows the logarithm of the longest path.
+    by the partial aggregation and by skew joins. The number of rounds follows the logarithm of the longest path. Edges
+    of earlier rounds are deleted.
     """
+    def state(e: DataFrame) -> tuple:
+        """Equal for equal sets of edges; for others with a chance of 2**-128."""
+        return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+
     edges = saved(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), label)
-    while True:
+    known = state(edges)
+    while known[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
@@ -183,9 +222,9 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
             .select("e.*").where("u != v").distinct()
         )
         small = saved(small, label)
-        changed = small.join(edges, ["u", "v"], "left_anti").limit(1).count() + edges.join(small, ["u", "v"], "left_anti").limit(1).count()
-        edges = small
-        if not changed:
+        discard(edges, large)
+        edges, before, known = small, known, state(small)
+        if known == before:
             break
     members = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return members.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

@@ -1,4 +1,4 @@
-"""Similarity join of word-shingle sets: prefix keys deal out the work, count-vector R-trees join it, sets verify it."""
+"""Similarity join of word-shingle sets: a packed R-tree over vectors of shingle counts, and sets that verify."""
 
 from __future__ import annotations
 
@@ -9,14 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import components, distinct_ids, kept_ids, map_without_ids, saved, small_batches, table
+from folioflow.llm.common import components, discard, kept_ids, map_without_ids, numbered, positions, saved, table
 from folioflow.llm.words import Words, blocks, mix
 
-#: Rows of one block of a hub's group, and its shingles where whole sets are sent.
+#: Documents and shingles of one page of the tree, which a task holds with one other page.
 UNIT_ROWS, UNIT_SHINGLES = 1024, 1 << 19
-#: A shingle counts as common from this share of all documents; at most mean set size / share of them exist.
-COMMON = 0.002
+#: Signatures in one bucket of the exchange, on average.
+BUCKET = 1 << 19
+#: Groups of the vectors from which the corners of pages are made.
+CORNERS = 16
 FANOUT = 16
+#: Groupings that are tried one after the other for sets that leave too many groups empty.
+GROUPINGS = 8
 
 
 # Sets and vectors of one block of texts
@@ -48,6 +52,16 @@ def count_vector(hashes: np.ndarray, groups: int) -> np.ndarray:
     return np.bincount((hashes & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.uint16)
 
 
+def packed_vector(hashes: np.ndarray) -> bytes:
+    """Counts in about n / 2 groups, in a byte each where all fit."""
+    v = count_vector(hashes, 4 * groups_of(len(hashes)))
+    return (v.astype(np.uint8) if v.max() < 256 else v).tobytes()
+
+
+def unpacked_vector(packed: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(packed, np.uint8 if len(packed) == 4 * groups_of(n) else np.uint16).astype(np.int32)
+
+
 def _need(a, b, percent: int):
     """The least intersection of sets of sizes a and b whose Jaccard similarity is percent / 100 or more."""
     return -((-percent * (a + b)) // (100 + percent))
@@ -124,53 +138,144 @@ def bounded_pairs(vectors: list[np.ndarray], sizes: np.ndarray, side: np.ndarray
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
+# Signatures of groups: which sets can be similar at all
+
+#: Size classes, each half as wide again as the one before.
+STARTS = [1]
+while STARTS[-1] < 1 << 40:
+    STARTS.append(max(STARTS[-1] + 1, -(-STARTS[-1] * 3 // 2)))
+STARTS = np.array(STARTS, np.int64)
+
+
+def class_groups(kind: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of size classes: the most elements in which two similar sets differ, the larger of the class; the groups that
+    shingles are dealt into; and how many of them may be empty."""
+    differ = 2 * (STARTS[kind + 1] - 1) * (100 - percent) // (100 + percent)
+    spare = 1 + differ // 8
+    return differ, differ + 1 + spare, spare
+
+
+def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, signature): two different sets whose similarity is percent / 100 or more share a signature.
+
+    The larger set's size class says into how many groups the shingles of both are dealt. The sets differ in so few
+    elements that more groups agree than may be empty, so they agree in a group that holds something, and the
+    signature of a group is a hash of what it holds. A set that leaves more groups empty is dealt anew by another
+    grouping too, as then both of such a pair are; after the last grouping empty groups have signatures as well.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
+    low = np.searchsorted(STARTS, np.maximum(sizes, 1), "right") - 1
+    high = np.searchsorted(STARTS, np.maximum(sizes * 100 // percent, 1), "right") - 1
+    owners, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    mixed = mix(flat, 30)
+    for up in range(int((high - low).max(initial=0)) + 1):
+        kind = low + up
+        differ, groups, spare = class_groups(kind, percent)
+        rows = np.flatnonzero((sizes > 0) & (kind <= high) & (differ > 0))
+        for grouping in range(GROUPINGS):
+            if not len(rows):
+                break
+            chosen = np.zeros(len(sets), bool)
+            chosen[rows] = True
+            at = np.repeat(chosen, sizes)
+            h, e = flat[at], mixed[at]
+            start = np.r_[0, np.cumsum(groups[rows])]
+            owner = np.repeat(np.arange(len(rows)), sizes[rows])
+            cell = start[owner] + (mix(h, 40 + grouping) % groups[rows][owner].astype(np.uint64)).astype(np.int64)
+            total = int(start[-1])
+            n = np.bincount(cell, minlength=total)
+            # sums modulo 2**64 in two exact halves
+            parts = [np.bincount(cell, weights=(e >> np.uint64(s)) & np.uint64(0xFFFFFFFF), minlength=total).astype(np.uint64) for s in (0, 32)]
+            cell_row = np.repeat(np.arange(len(rows)), groups[rows])
+            place = (np.arange(total) - start[cell_row]).astype(np.uint64)
+            named = mix(place + (kind[rows][cell_row].astype(np.uint64) << np.uint64(44)), 50 + grouping)
+            value = mix(parts[0] + mix(parts[1] + named, 51), 52)
+            empty = np.bincount(cell_row[n == 0], minlength=len(rows))
+            bad = empty > spare[rows]
+            last = grouping == GROUPINGS - 1
+            on = (n > 0) | (bad[cell_row] if last else False)
+            owners.append(rows[cell_row[on]])
+            found.append(value[on])
+            rows = rows[bad]
+    return np.concatenate(owners), np.concatenate(found)
+
+
 # Tasks
 
 
 def _profile(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """A row per text (kind 0): set size, fingerprint, count vector; a row per frequent shingle of a block (kind 1)."""
+    """Of each text: set size and fingerprint."""
     for batch in blocks(batches):
         sets = shingle_sets(batch.column("text"), size)
-        rows = len(sets)
         n = np.array([len(s) for s in sets], np.int64)
         f1 = np.array([mix(s, 11).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
         f2 = np.array([np.bitwise_xor.reduce(mix(s, 12)) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-        vec = [count_vector(s, groups_of(len(s))).tobytes() for s in sets]
-        every = np.sort(np.concatenate(sets)) if rows else np.zeros(0, np.uint64)
-        at = np.r_[0, np.flatnonzero(np.diff(every)) + 1] if len(every) else np.zeros(0, np.int64)
-        times = np.diff(np.r_[at, len(every)])
-        often = times >= 3
-        keys, times = every[at[often]].view(np.int64), times[often]
-        more = len(keys)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.repeat([0, 1], [rows, more]).astype(np.int32)),
-                pa.array(np.r_[batch.column("id").to_numpy(), keys]),
-                pa.array(np.r_[n, times]),
-                pa.array(np.r_[f1, np.zeros(more, np.int64)]),
-                pa.array(np.r_[f2, np.zeros(more, np.int64)]),
-                pa.array(vec + [None] * more, pa.binary()),
-            ],
-            ["kind", "id", "n", "f1", "f2", "vec"],
-        )
-
-
-def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int, common: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The first n - ceil(percent n / 100) + 1 shingles of each set, common ones last: similar sets share one."""
-    for batch in blocks(batches):
-        keys, ids = [], []
-        for i, s in zip(batch.column("id").to_pylist(), shingle_sets(batch.column("text"), size), strict=True):
-            if len(s):
-                often = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s if len(common) else np.zeros(len(s), bool)
-                first = np.r_[s[~often], s[often]][: len(s) + _need0(len(s), percent)]
-                keys.append(first)
-                ids.append(np.full(len(first), i, np.int64))
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], ["key", "node"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), pa.array(f1), pa.array(f2)], ["id", "n", "f1", "f2"])
+
+
+SIGNED = "bucket int, keys binary, ids binary, many binary, key long, node long, n long, vec binary, corner array<int>"
+
+
+def _signed(batches: Iterator[pa.RecordBatch], size: int, percent: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """Three kinds of rows: signatures packed by bucket; signatures that documents of a block share (key, node), as of
+    those only the smallest id goes to the bucket, so that no bucket gets more than a row per block and signature; and
+    the documents' vectors (node, n, vec, corner)."""
+    types = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32())]
+    names = [x.split()[0] for x in SIGNED.split(", ")]
 
+    def rows(**columns: pa.Array) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, t) for c, t in zip(names, types, strict=True)], names)
 
-def _need0(n: int, percent: int) -> int:
-    return 1 - -(-percent * n // 100)
+    for batch in blocks(batches):
+        sets = shingle_sets(batch.column("text"), size)
+        ids = batch.column("id").to_numpy()
+        some = [i for i, s in enumerate(sets) if len(s)]
+        if not some:
+            continue
+        corner = np.concatenate([count_vector(sets[i], CORNERS) for i in some]).astype(np.int32)
+        corner = pa.ListArray.from_arrays(np.arange(0, len(corner) + 1, CORNERS, dtype=np.int32), pa.array(corner))
+        vec = pa.array([packed_vector(sets[i]) for i in some], pa.binary())
+        yield rows(node=pa.array(ids[some]), n=pa.array([len(sets[i]) for i in some]), vec=vec, corner=corner)
+        owner, value = signatures(sets, percent)
+        if not len(value):
+            continue
+        ids = ids[owner]
+        order = np.lexsort((ids, value))
+        ids, value = ids[order], value[order]
+        first = np.ones(len(value), bool)
+        first[1:] = value[1:] != value[:-1]
+        many = np.r_[~first[1:], False]
+        key = (value >> np.uint64(32 - bits)).view(np.int64)  # the bucket, then 32 bits
+        asks = (key[first] >> 32).astype(np.int32)
+        at = np.r_[0, np.flatnonzero(np.diff(asks)) + 1]
+        keys, nodes, more = ([x.tobytes() for x in np.split(v[first], at[1:])] for v in (key.astype(np.uint32), ids, many.astype(np.uint8)))
+        yield rows(bucket=pa.array(asks[at]), keys=pa.array(keys, pa.binary()), ids=pa.array(nodes, pa.binary()), many=pa.array(more, pa.binary()))
+        yield rows(key=pa.array(key[~first]), node=pa.array(ids[~first]))
+
+
+def _hubs(rows: pa.Table) -> pa.Table:
+    """Of one bucket: (hub, node) for ids that share a signature with a smaller one, the smallest of which is the hub;
+    and (key, hub) for signatures that blocks have more ids of."""
+    k, ids, many = (np.frombuffer(b"".join(x.as_buffer() for x in rows[c]), t) for c, t in (("keys", np.uint32), ("ids", np.int64), ("many", np.uint8)))
+    order = np.lexsort((ids, k))
+    k, ids, many = k[order], ids[order], many[order]
+    at = np.r_[0, np.flatnonzero(np.diff(k)) + 1]
+    hub = np.repeat(ids[at], np.diff(np.r_[at, len(k)]))
+    some = np.flatnonzero(np.maximum.reduceat(many, at))
+    keys = (np.int64(rows["bucket"][0].as_py()) << 32) | k[at[some]].astype(np.int64)
+    on = ids != hub
+    pairs, times = np.unique(np.stack([hub[on], ids[on]]), axis=1, return_counts=True)
+    a, b = len(keys), len(times)
+    return pa.table(
+        {
+            "key": pa.concat_arrays([pa.array(keys), pa.nulls(b, pa.int64())]),
+            "hub": pa.array(np.r_[ids[at[some]], pairs[0]]),
+            "node": pa.concat_arrays([pa.nulls(a, pa.int64()), pa.array(pairs[1])]),
+            "shared": pa.array(np.r_[np.zeros(a, np.int64), times]),
+        }
+    )
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -179,36 +284,69 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["node", "set"])
 
 
-def _units(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The rows of each unit of work, and on which side each row stands."""
-    hub, x, y, mine = (rows[c].to_numpy() for c in ("hub", "x", "y", "mine"))
-    order = np.lexsort((rows["node"].to_numpy(), y, x, hub))
+def _parts(rows: pa.Table, *keys: str) -> Iterator[np.ndarray]:
+    """The rows of each unit of work that shares this task."""
+    by = [rows[c].to_numpy() for c in keys]
+    order = np.lexsort((rows["node"].to_numpy(), *by[::-1]))
     change = np.zeros(len(order), bool)
-    change[1:] = np.any([c[order][1:] != c[order][:-1] for c in (hub, x, y)], axis=0)
-    for part in np.split(order, np.flatnonzero(change)):
-        if len(part) > 1:
-            yield part, (mine[part] != x[part]).astype(np.int64)
+    change[1:] = np.any([c[order][1:] != c[order][:-1] for c in by], axis=0)
+    yield from np.split(order, np.flatnonzero(change))
+
+
+def _near_hub(rows: pa.Table, percent: int) -> pa.Table:
+    """Members of each hub that the bound leaves."""
+    nodes, hubs, n, vec, out = rows["node"].to_numpy(), rows["hub"].to_numpy(), rows["n"].to_numpy(), rows["vec"].to_pylist(), []
+    for part in _parts(rows, "hub", "cut"):
+        side = (nodes[part] != hubs[part]).astype(np.int64)
+        a, b = bounded_pairs([unpacked_vector(vec[k], n[k]) for k in part], n[part], side, percent)
+        out.append(part[np.unique(np.r_[a, b])])
+    at = np.concatenate(out) if out else np.zeros(0, np.int64)
+    at = at[nodes[at] != hubs[at]]
+    return pa.table({"hub": pa.array(hubs[at], pa.int64()), "node": pa.array(nodes[at], pa.int64())})
+
+
+def _starred(rows: pa.Table, percent: int) -> pa.Table:
+    """Links between hubs and members, verified."""
+    nodes, hubs, packed, out = rows["node"].to_numpy(), rows["hub"].to_numpy(), rows["set"].to_pylist(), []
+    for part in _parts(rows, "hub", "cut"):
+        hub = int(hubs[part[0]])
+        own, others = part[nodes[part] == hub], part[nodes[part] != hub]
+        if len(own) and len(others):
+            h = np.frombuffer(packed[own[0]], np.uint64)
+            sizes = np.array([len(packed[k]) // 8 for k in others])
+            flat = np.frombuffer(b"".join([packed[k] for k in others]), np.uint64)
+            same = h[np.minimum(np.searchsorted(h, flat), len(h) - 1)] == flat
+            both = np.add.reduceat(same.astype(np.int64), np.r_[0, np.cumsum(sizes)[:-1]])
+            out.append(np.stack([np.full(len(others), hub), nodes[others]])[:, both >= _need(len(h), sizes, percent)])
+    a, b = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+PAIRED = "hub long, x int, y int, node long, component long, side boolean, n long"
 
 
 def _promising(rows: pa.Table, percent: int) -> pa.Table:
-    """The documents of each unit that the bound leaves at least one partner."""
-    nodes, hubs, n, vec = rows["node"].to_numpy(), rows["hub"].to_numpy(), rows["n"].to_numpy(), rows["vec"].to_pylist()
-    found = []
-    for part, side in _units(rows):
-        a, b = bounded_pairs([np.frombuffer(vec[k], np.uint16).astype(np.int32) for k in part], n[part], side, percent)
-        found.append(part[np.unique(np.r_[a, b])])
-    at = np.concatenate(found) if found else np.zeros(0, np.int64)
-    return pa.table({"hub": pa.array(hubs[at], pa.int64()), "node": pa.array(nodes[at], pa.int64())})
+    """The documents of each two pages that the bound leaves a partner in another component."""
+    n, vec, known, side = rows["n"].to_numpy(), rows["vec"].to_pylist(), rows["component"].to_numpy(), rows["side"].to_numpy()
+    found = [np.zeros(0, np.int64)]
+    for part in _parts(rows, "hub", "x", "y"):
+        a, b = bounded_pairs([unpacked_vector(vec[k], n[k]) for k in part], n[part], side[part].astype(np.int64), percent)
+        on = known[part[a]] != known[part[b]]
+        found.append(part[np.unique(np.r_[a[on], b[on]])])
+    return rows.select([x.split()[0] for x in PAIRED.split(", ")]).take(pa.array(np.concatenate(found)))
 
 
 def _linked(rows: pa.Table, percent: int) -> pa.Table:
-    """Verified links of each unit that join what the unit's earlier links leave apart."""
-    nodes, packed, links = rows["node"].to_numpy(), rows["set"].to_pylist(), []
-    for part, side in _units(rows):
+    """Verified links of each two pages between documents that nothing connects yet."""
+    nodes, packed, known, links = rows["node"].to_numpy(), rows["set"].to_pylist(), rows["component"].to_numpy(), []
+    side = rows["side"].to_numpy()
+    for part in _parts(rows, "hub", "x", "y"):
         sets = [np.frombuffer(packed[k], np.uint64) for k in part]
         sizes = np.array([len(s) for s in sets])
-        i, j = bounded_pairs([count_vector(s, 2 * groups_of(len(s))).astype(np.int32) for s in sets], sizes, side, percent)
-        up = list(range(len(part)))
+        vectors = [count_vector(s, 4 * groups_of(len(s))).astype(np.int32) for s in sets]
+        i, j = bounded_pairs(vectors, sizes, side[part].astype(np.int64), percent)
+        _, first, which = np.unique(known[part], return_index=True, return_inverse=True)
+        up = first[which].tolist()  # documents of one component start as one
 
         def top(k: int, up: list[int] = up) -> int:
             while up[k] != k:
@@ -228,20 +366,121 @@ def _linked(rows: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": a, "b": b})
 
 
-def _deal(members: DataFrame, weight: str, most: int) -> DataFrame:
-    """Cut the members of a hub into blocks of about UNIT_ROWS rows and `most` weight; each two blocks are a unit, as is each block.
-    Small units share tasks; a unit is at most twice a block, whatever the size of a hub's group."""
-    whole = members.groupBy("hub").agg(F.sum(weight).alias("_whole"), F.count(F.lit(1)).alias("_count")).where("_count > 1")
-    cuts = F.ceil(F.greatest(F.col("_whole") / most, F.col("_count") / UNIT_ROWS)).cast("int")
-    mine = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
-    dealt = (
-        members.join(whole.select("hub", cuts.alias("cuts")), "hub")
-        .withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-        .withColumns({"x": F.least("mine", "other"), "y": F.greatest("mine", "other")})
-    )
-    own = F.when(F.col("cuts") == 1, F.pmod(F.xxhash64("hub"), F.lit(4096))).otherwise(F.xxhash64("hub", "x", "y"))
-    return dealt.withColumn("unit", own).drop("cuts", "other")
+# The job
+
+
+def _slots(units: DataFrame, weight: str) -> int:
+    """Groups into which units of work are dealt, so that a group holds about UNIT_SHINGLES shingles, whatever the input."""
+    return max(32, int((units.agg(F.sum(weight)).first()[0] or 0) // UNIT_SHINGLES) + 1)
+
+
+def _star_units(pairs: DataFrame) -> DataFrame:
+    """(hub, node, n) in units of work (slot, hub, cut): a hub's members are cut into blocks by weight, and each gets
+    the hub itself as a row too."""
+    whole = pairs.groupBy("hub").agg(F.ceil(F.greatest(F.sum("n") / UNIT_SHINGLES, F.count(F.lit(1)) / UNIT_ROWS)).cast("int").alias("cuts"))
+    members = pairs.join(whole, "hub").select("hub", "node", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int").alias("cut"))
+    hubs = whole.select("hub", F.col("hub").alias("node"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"))
+    return members.unionByName(hubs).withColumn("slot", F.pmod(F.xxhash64("hub", "cut"), F.lit(_slots(pairs, "n"))))
+
+
+def _sets_of(source: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """The sets of the documents that `nodes` names."""
+    wanted = saved(nodes.select(F.col("node").alias("id")).distinct(), "wanted")
+    out = saved(kept_ids(source.select("id", "text"), wanted, "id").mapInArrow(lambda it: _sets(it, size), "node long, set binary"), "sets")
+    discard(wanted)
+    return out
+
+
+def _stars(members: DataFrame, vectors: DataFrame, source: DataFrame, size: int, percent: int) -> DataFrame:
+    """Verified links of documents with the hub of most of their signatures; the bound goes first."""
+    best = members.groupBy("node").agg(F.max_by("hub", F.struct("shared", -F.col("hub"))).alias("hub"))
+    best = saved(best.join(vectors.select("node", "n"), "node"), "best")
+    bounded = _star_units(best).join(vectors.select("node", "n", "vec"), "node").groupBy("slot").applyInArrow(lambda t: _near_hub(t, percent), "hub long, node long")
+    near = saved(bounded.join(vectors.select("node", "n"), "node"), "near")
+    sets = _sets_of(source, near.select(F.explode(F.array("hub", "node")).alias("node")), size)
+    units = _star_units(near).join(sets, "node").groupBy("slot")
+    out = saved(units.applyInArrow(lambda t: _starred(t, percent), "a long, b long"), "stars")
+    discard(best, near, sets)
+    return out
+
+
+def _pages(members: DataFrame, linked: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The hubs' groups that more than one component is left in, in pages of the tree: (hub, page, node, component),
+    and the corners of the pages.
+
+    Near sets have near sizes and the same large groups, so documents go by size band, largest groups and size.
+    """
+    every = members.select("hub", "node").unionByName(members.select("hub", F.col("hub").alias("node")).distinct())
+    every = every.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = every.groupBy("hub").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("hub")
+    left = every.join(mixed, "hub").join(vectors.select("node", "n", "corner"), "node")
+    tops = F.transform(F.slice(F.array_sort(F.transform("corner", lambda c, i: F.struct((-c).alias("c"), i.alias("i")))), 1, 2), lambda x: x["i"])
+    order = left.withColumns({"_band": F.floor(F.log("n") * 4), "_tops": F.array_join(tops.cast("array<string>"), ",")})
+    order = order.withColumn("w", F.greatest(F.col("n"), F.lit(UNIT_SHINGLES // UNIT_ROWS)).cast("long"))
+    placed = positions(order, ["hub", "_band", "_tops", "n", "node"], group=["hub"], amount="w")
+    paged = saved(placed.withColumn("page", F.expr(f"cast(before div {UNIT_SHINGLES} as int)")).select("hub", "page", "node", "component", "n", "w", "corner"), "paged")
+    corners = paged.groupBy("hub", "page").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.min("component").alias("a"), F.max("component").alias("b"), F.sum("w").alias("w"),
+        F.array(*[F.max(F.get("corner", F.lit(k))) for k in range(CORNERS)]).alias("upper"),
+    )
+    return paged, saved(corners, "corners")
+
+
+def _page_pairs(corners: DataFrame, percent: int) -> DataFrame:
+    """Pairs of pages of one hub whose sizes can agree and whose corners' summed minima leave room for the similarity."""
+    x, y = (corners.select("hub", *[F.col(c).alias(f"{c}_{s}") for c in ("page", "least", "most", "a", "b", "w", "upper")]) for s in "xy")
+    room = F.aggregate(F.zip_with("upper_x", "upper_y", lambda p, q: F.least(p, q)), F.lit(0).cast("int"), lambda t, v: t + v)
+    return x.join(y, "hub").where(
+        (F.col("page_x") <= F.col("page_y"))
+        & (F.col("least_x") * percent <= F.col("most_y") * 100) & (F.col("least_y") * percent <= F.col("most_x") * 100)
+        & (room * (100 + percent) >= (F.col("least_x") + F.col("least_y")) * percent)
+        & ~((F.col("a_x") == F.col("b_x")) & (F.col("a_y") == F.col("b_y")) & (F.col("a_x") == F.col("a_y")))
+    ).select("hub", F.col("page_x").alias("x"), F.col("page_y").alias("y"), (F.col("w_x") + F.col("w_y")).alias("w"))
+
+
+def _joined(members: DataFrame, linked: DataFrame, vectors: DataFrame, source: DataFrame, size: int, percent: int) -> DataFrame:
+    """Verified links inside hubs' groups between what `linked` leaves in different components."""
+    paged, corners = _pages(members, linked, vectors)
+    pairs = saved(_page_pairs(corners, percent), "page-pairs")
+    slot = F.pmod(F.xxhash64("hub", "x", "y"), F.lit(_slots(pairs, "w"))).alias("slot")
+    ends = pairs.select("hub", "x", "y", F.explode(F.when(F.col("x") == F.col("y"), F.array("x")).otherwise(F.array("x", "y"))).alias("page"))
+    units = ends.join(paged.select("hub", "page", "node", "component"), ["hub", "page"])
+    units = units.select("hub", "x", "y", "node", "component", (F.col("page") != F.col("x")).alias("side"))
+    bounded = units.join(vectors.select("node", "n", "vec"), "node").select("*", slot).groupBy("slot")
+    left = saved(bounded.applyInArrow(lambda t: _promising(t, percent), PAIRED), "promising")
+    sets = _sets_of(source, left, size)
+    slot = F.pmod(F.xxhash64("hub", "x", "y"), F.lit(_slots(left, "n"))).alias("slot")
+    links = left.drop("n").join(sets, "node").select("*", slot).groupBy("slot").applyInArrow(lambda t: _linked(t, percent), "a long, b long")
+    links = saved(links, "links")
+    discard(paged, corners, pairs, left, sets)
+    return links
+
+
+def shingle_components(source: DataFrame, size: int, percent: int) -> DataFrame:
+    """(id, n_shingles, component) of rows (id, text) whose ids differ; see `similar_groups`."""
+    source = source.select("id", "text")
+    profile = saved(source.mapInArrow(lambda it: _profile(it, size), "id long, n long, f1 long, f2 long"), "profiles")
+    classes = profile.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("low"))
+    marked = saved(profile.join(classes, ["n", "f1", "f2"], "left").select("id", "n", "low"), "classes")
+    discard(profile)
+    copies = marked.where("id != low or n = 0").select("id")
+    total = marked.where("id = low").agg(F.sum("n")).first()[0] or 0
+    bits = max(6, int(np.ceil(np.log2(max(1, total * 4 * (100 - percent) / (100 + percent) / BUCKET)))))
+    signed = saved(map_without_ids(source, copies, "id", lambda it: _signed(it, size, percent, bits), SIGNED), "signatures")
+    buckets = signed.where("bucket is not null").select("bucket", "keys", "ids", "many").groupBy("bucket")
+    hubs = saved(buckets.applyInArrow(_hubs, "key long, hub long, node long, shared long"), "hubs")
+    more = signed.where("key is not null").select("key", "node").join(hubs.where("node is null").select("key", "hub"), "key").where("node != hub")
+    pairs = hubs.where("node is not null").select("hub", "node", "shared").unionByName(more.select("hub", "node", F.lit(1).cast("long").alias("shared")))
+    members = saved(pairs.groupBy("hub", "node").agg(F.sum("shared").alias("shared")), "members")
+    named = members.select(F.explode(F.array("hub", "node")).alias("node")).distinct()
+    vectors = saved(signed.where("vec is not null").select("node", "n", "vec", "corner").join(named, "node"), "vectors")
+    discard(signed, hubs)
+    stars = _stars(members, vectors, source, size, percent)
+    links = _joined(members, components(stars), vectors, source, size, percent)
+    discard(members, vectors)
+    joined = components(stars.unionByName(links))
+    out = marked.join(joined.withColumnRenamed("node", "low"), "low", "left")
+    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "low", "id").alias("component"))
 
 
 def similar_groups(
@@ -249,58 +488,25 @@ def similar_groups(
 ) -> DataFrame:
     """Set sizes and connected components of the join of shingle sets with Jaccard similarity >= percent / 100.
 
-    Equal sets form classes by a 128-bit fingerprint; one document of each goes on. Two similar sets share a shingle
-    among the first n - ceil(t n) + 1 of either in a common order (common shingles last). The sets that share such a
-    key with the smallest id that has it are that hub's members. In each hub's group, cut into blocks, an R-tree over
-    vectors of shingle counts per hash group is joined with itself or with another block's; the minima of two vectors
-    bound the overlap. Documents with a partner left come again with their sets, and the pairs that pass the finer
-    bound are verified, but for pairs that verified links of the same unit already connect. No pair is dropped.
+    Equal sets form classes by a 128-bit fingerprint; one document of each goes on. Sets that differ in few elements
+    hold the same in some group of shingles, so signatures of groups say which documents can be similar: those that
+    share one with the smallest id that has it are that hub's members. Sets count as vectors of shingle counts per group
+    of hash values; the minima of two vectors, summed, bound the overlap. First each document meets the hub of most of
+    its signatures. What this leaves in more than one component of a hub's group is the R-tree's: in tree order the
+    group forms pages, the bound on the pages' upper corners decides which pages meet, and in a task the tree goes on
+    down to documents. Whole sets move only for documents that the bound leaves a partner, and verify it. Pairs inside
+    a component aren't verified; no component loses a member.
 
     Returns id, n_shingles, component_id (the smallest id reachable, itself included). A text without words or null
-    has no shingles and no links; shorter texts than `size` words are one shingle. Each row with a null id
-    is a document of its own, with an id larger than all others that comes back as null; rows that repeat an id must repeat its text. An empty table gives no rows; other columns are
-    not read.
+    has no shingles and no links; shorter texts than `size` words are one shingle. Ids are integers. Each row is a
+    document of its own: null ids count as larger than all others and come back as null, and rows that repeat an id
+    link like other rows. An empty table gives no rows; other columns are not read. Below 80 a set
+    has more signatures than shingles, so small percentages cost much.
     """
     if size < 1 or not 0 < percent <= 100:
         raise ValueError("size must be positive, percent in 1..100")
-    small_batches(docs.sparkSession)
-    source, given_id = distinct_ids(docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")), "id", "text")
-    profile = saved(
-        source.mapInArrow(lambda it: _profile(it, size), "kind int, id long, n long, f1 long, f2 long, vec binary"), "profiles"
-    )
-    texts = profile.where("kind = 0")
-    classes = texts.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("low"))
-    marked = saved(texts.join(classes, ["n", "f1", "f2"], "left").select("id", "n", "low", F.when(F.col("id") == F.col("low"), F.col("vec")).alias("vec")), "classes")
-    least = max(8, int(COMMON * marked.count()))
-    often = profile.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    common = np.sort(often.select("id").toArrow()["id"].to_numpy().astype(np.int64).view(np.uint64))
-    shared = docs.sparkSession.sparkContext.broadcast(common)
-    copies = marked.where("id != low or n = 0").select("id").distinct()
-    keys = saved(
-        map_without_ids(source, copies, "id", lambda it: _prefixes(it, size, percent, shared.value), "key long, node long"), "keys"
-    )
-    ends = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last")
-    members = saved(keys.join(ends, "key").select("hub", "node").distinct(), "members")
-    known = marked.where("id = low").select(F.col("id").alias("node"), "n", "vec").dropDuplicates(["node"])
-    units = _deal(members.withColumn("one", F.lit(1)), "one", UNIT_ROWS).join(known, "node")
-    columns = ["unit", "hub", "x", "y", "mine", "node", "n"]
-    left = units.select(*columns, "vec").groupBy("unit").applyInArrow(lambda t: _promising(t, percent), "hub long, node long")
-    left = saved(left.distinct(), "promising")
-    wanted = left.select(F.col("node").alias("id")).distinct()
-    sets = saved(
-        kept_ids(source, wanted, "id").dropDuplicates(["id"]).mapInArrow(lambda it: _sets(it, size), "node long, set binary"), "sets"
-    )
-    weighed = left.join(sets.select("node", (F.octet_length("set") / 8).alias("n")), "node")
-    verify = _deal(weighed, "n", UNIT_SHINGLES).join(sets, "node")  # whole sets move only here
-    links = verify.select(*columns, "set").groupBy("unit").applyInArrow(lambda t: _linked(t, percent), "a long, b long")
-    joined = components(saved(links.distinct(), "links"))
-    out = marked.join(joined.withColumnRenamed("node", "low"), "low", "left")
-    reach = F.coalesce("component", "low", "id")
-    return out.select(
-        given_id("id").alias(id_col),
-        F.col("n").alias("n_shingles"),
-        given_id(reach).alias("component_id"),
-    )
+    source, _, given = numbered(docs, id_col, text_col)
+    return given(shingle_components(source, size, percent), id=id_col, component="component_id")
 
 
 def op6_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:

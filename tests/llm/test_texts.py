@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -76,6 +77,16 @@ def test_rows_without_an_id_are_documents_of_their_own(spark):
     assert sorted(str(r.component_id) for r in near) == ["5", "5", "None", "None"]
 
 
+def test_rows_that_repeat_an_id_with_other_texts(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(3, a), (3, b), (3, b), (5, b + " end"), (1, "short"), (7, "x " + a), (2, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substrings.drop_repeated_windows(df).collect())
+    assert got == [(1, 1, 0), (2, 40, 0), (3, 40, 0), (3, 40, 0), (3, 40, 0), (5, 41, 40), (7, 41, 40)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_groups(df).collect())
+    assert got == [(1, 1, 1), (2, 37, 2), (3, 37, 3), (3, 37, 3), (3, 37, 3), (5, 38, 3), (7, 38, 3)]
+
+
 def groups(rows, size, percent):
     sets = {}
     for i, t in rows:
@@ -134,6 +145,37 @@ def test_bounds_of_sets_that_differ_much_in_size():
             assert len(got) == len(set(got)) and set(got) >= {(a, b) for a, b in want if not side.any() or side[a] != side[b]}
 
 
+@pytest.mark.parametrize("percent", [85, 80, 50])
+def test_similar_sets_share_a_signature(percent):
+    rng = np.random.default_rng(percent)
+    n_pairs = 0
+    for n in (7, 8, 10, 13, 20, 40, 100, 400, 3000):
+        for _ in range(20):
+            every = rng.integers(0, 1 << 62, 2 * n).astype(np.uint64)
+            drop, add = rng.integers(0, n // 4 + 2, 2)
+            if drop + add and 100 * (n - drop) >= percent * (n + add):
+                owner, value = ngram_join.signatures([np.sort(every[:n]), np.sort(every[drop : n + add])], percent)
+                assert set(value[owner == 0].tolist()) & set(value[owner == 1].tolist())
+                n_pairs += 1
+    assert n_pairs > 20
+
+
+def test_a_hub_with_many_members_is_joined_in_pages(spark, monkeypatch):
+    rng = random.Random(11)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(3)]
+    rows = []
+    for k in range(240):  # chains of changes, so that most documents aren't near the hub
+        w = list(base[k % 3])
+        for j in range(k // 30):
+            w[(7 * j) % 60] = f"c{j}"
+        w[rng.randrange(60)] = f"own{k}"
+        rows.append((k, " ".join(w)))
+    monkeypatch.setattr(ngram_join, "UNIT_ROWS", 16)
+    monkeypatch.setattr(ngram_join, "UNIT_SHINGLES", 900)
+    got = ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == groups(rows, 4, 85)
+
+
 def test_shards(docs, corpus, no_docs):
     rows = sharding.shard_by_bytes(docs, 4).collect()
     assert len(rows) == len(corpus) + 1
