@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import saved, small_batches, table
+from folioflow.llm.common import discard, saved, table
 from folioflow.llm.words import Words, blocks, mix
 
 #: Labelled rows on which the model is fitted, chosen by a hash of the id.
@@ -201,45 +201,58 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in blocks(batches):
         x = features(batch.column("text"))
         flat = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], flat], [*batch.schema.names[:-1], "x"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), flat], ["doc_id", "y", "x"])
 
 
-def _scored(batches: Iterator[pa.RecordBatch], model: AdditiveModel) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            x = batch.column("x").values.to_numpy()[batch.column("x").offset * len(FEATURES) :][: batch.num_rows * len(FEATURES)]
-            score = model.score(x.reshape(-1, len(FEATURES)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], [*batch.schema.names[:-1], "score"])
+def _scored(batches: Iterator[pa.RecordBatch], model: AdditiveModel, text_col: str, keep: list[str]) -> Iterator[pa.RecordBatch]:
+    for batch in blocks(batches, text_col):
+        score = model.score(features(batch.column(text_col)))
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(score)], [*keep, "score"])
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
+def fit_quality(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"
+) -> AdditiveModel:
+    """The model of the labelled texts that aren't held out: at most TRAINING_ROWS of them, the first by a hash of the
+    id. Labels other than 0 and 1 are left out, of contradicting ones the larger counts, of an id's texts the least."""
+    known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).alias("y"))
+    known = known.where(~held_out()).join(docs.select(F.col(id_col).alias("doc_id")), "doc_id", "left_semi")
+    sample = saved(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_ROWS), "sample")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    texts = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # at most TRAINING_ROWS
+    learned = saved(texts.mapInArrow(_measured, "doc_id long, y int, x array<double>"), "training")
+    rows = learned.orderBy(F.xxhash64("doc_id"), "doc_id").select("x", "y").toArrow()
+    discard(sample, learned)
+    return fit(np.array(rows["x"].to_pylist(), np.float64).reshape(-1, len(FEATURES)), rows["y"].to_numpy().astype(float))
+
+
+def with_score(docs: DataFrame, model: AdditiveModel, text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """The columns to keep of every row, and the score of its text: one narrow pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    keep = list(keep)
+    filled = docs.withColumn(text_col, F.coalesce(text_col, F.lit("")))
+    schema = filled.select(*keep).schema.add("score", "double")
+    return filled.select(*dict.fromkeys([*keep, text_col])).mapInArrow(lambda it: _scored(it, shared.value, text_col, keep), schema)
+
+
 def score_quality(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"
 ) -> DataFrame:
     """Score every text by a model that is fitted on the labelled ones that aren't held out.
 
     Features are counts and shares over the whole text (letters, marks, repeated words and lines, ...). Ids, labels,
-    languages and sources are no features. At most TRAINING_ROWS labelled rows, the first by a hash of the id, are
-    learned from; labels other than 0 and 1 are left out, of contradicting ones the larger counts.
+    languages and sources are no features.
 
     Returns id, held_out (crc32 of the id as text leaves 1 modulo 3), score, predicted, one row per row of `docs`.
     Null and empty texts get the score of their (zero) features; null ids are never held out and have no label;
     repeated rows are rows like others; an empty table gives no rows. Other columns are not read.
     """
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.coalesce(text_col, F.lit("")).alias("text"))
-    measured = saved(rows.mapInArrow(_measured, "doc_id long, held_out boolean, x array<double>"), "features")
-    known = (
-        labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).alias("y"))
-    )
-    learned = measured.where("not held_out").dropDuplicates(["doc_id"]).join(known, "doc_id")
-    sample = learned.orderBy(F.xxhash64("doc_id"), "doc_id").select("x", "y").limit(TRAINING_ROWS).toArrow()
-    x = np.array(sample["x"].to_pylist(), np.float64).reshape(-1, len(FEATURES))
-    model = docs.sparkSession.sparkContext.broadcast(fit(x, sample["y"].to_numpy().astype(float)))
-    scored = measured.mapInArrow(lambda it: _scored(it, model.value), "doc_id long, held_out boolean, score double")
+    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
+    scored = saved(with_score(rows, fit_quality(docs, labels, id_col, text_col, label_col), keep=["doc_id", "held_out"]), "scores")
     return scored.select(
         F.col("doc_id").alias(id_col), "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
     )
