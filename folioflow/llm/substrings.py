@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import distinct_ids, kept_ids, map_without_ids, saved, small_batches, table
+from folioflow.llm.common import discard, kept_ids, map_without_ids, numbered, saved, table
 from folioflow.llm.words import Words, blocks, mix
 
 #: A difference cover: for any i and j some d below PERIOD puts both i + d and j + d in COVER modulo PERIOD.
@@ -67,9 +67,15 @@ def _read(column: pa.ChunkedArray, dtype: type) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_buffer() for x in column if x.as_py() is not None), dtype)
 
 
-def _ask_anchors(batches: Iterator[pa.RecordBatch], size: int, bits: int) -> Iterator[pa.RecordBatch]:
+def _known(ids: np.ndarray, bits: int) -> np.ndarray:
+    """Buckets below 0 for answers that a block has already: dealt by document, so that none fills with a passage."""
+    return -1 - (mix(ids.astype(np.uint64), 9) % np.uint64(1 << bits)).astype(np.int64)
+
+
+def _ask_anchors(batches: Iterator[pa.RecordBatch], size: int, bits: int, ties: int) -> Iterator[pa.RecordBatch]:
     """Anchors at cover positions, packed by bucket. A block sends an anchor once, and twice (with the smallest and
-    the largest id) if several of its documents have it; those in between are sent as already repeated."""
+    the largest id) if several of its documents have it; for those in between the answer is known. Ids that agree but
+    for the last `ties` bits are rows of one given id."""
     length = size - PERIOD + 1
     for batch in blocks(batches):
         words = Words(batch.column("text"))
@@ -78,29 +84,35 @@ def _ask_anchors(batches: Iterator[pa.RecordBatch], size: int, bits: int) -> Ite
         ids, h = batch.column("id").to_numpy()[words.row[at[on]]], h[on]
         order = np.lexsort((ids, h))
         ids, h = ids[order], h[order]
-        first = np.ones(len(h), bool)
-        first[1:] = h[1:] != h[:-1]
-        last = np.r_[first[1:], True] if len(h) else first
-        shared = (first | last) if len(h) else first
-        low = ids[np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))] if len(h) else ids
-        known = ~shared & (ids != low)
-        ask = first | (last & (ids != low))
-        yield from _pack((h[ask] >> np.uint64(64 - bits)).astype(np.int64), h=h[ask], id=ids[ask], seen=np.zeros(ask.sum(), np.uint8))
-        yield from _pack((h[known] >> np.uint64(64 - bits)).astype(np.int64), h=h[known], id=ids[known], seen=np.ones(known.sum(), np.uint8))
-
-
-def _repeated_anchors(rows: pa.Table) -> pa.Table:
+        at = _runs(h)
+        end = np.r_[at[1:], len(h)].astype(np.int64)
+        n = np.diff(np.r_[at, len(h)])
+        low, high = np.repeat(ids[at], n), np.repeat(ids[end - 1], n)
+        edge = np.zeros(len(h), bool)
+        edge[at] = edge[end - 1] = True
+        inner = ~edge & (ids != low) & (low >> ties != high >> ties)
+        first = np.zeros(len(h), bool)
+        first[at] = True
+        ask = first | ((ids != low) & ~inner)
+        yield from _pack((h[ask] >> np.uint64(64 - bits)).astype(np.int64), h=h[ask], id=ids[ask])
+        yield from _pack(_known(ids[inner], bits), h=h[inner], id=ids[inner])
+
+
+def _repeated_anchors(rows: pa.Table, ties: int) -> pa.Table:
     """Of one bucket: the anchors that several documents have, by document."""
-    h, ids, seen = _read(rows["h"], np.uint64), _read(rows["id"], np.int64), _read(rows["seen"], np.uint8)
-    order = np.lexsort((ids, h))
-    h, ids, seen = h[order], ids[order], seen[order]
-    at = _runs(h)
-    several = np.repeat(np.minimum.reduceat(ids, at) != np.maximum.reduceat(ids, at), np.diff(np.r_[at, len(h)])) | (seen == 1) if len(h) else seen == 1
-    owner, packed = _by_id(ids[several], h[several])
+    h, ids = _read(rows["h"], np.uint64), _read(rows["id"], np.int64)
+    if rows["bucket"][0].as_py() >= 0:
+        order = np.lexsort((ids, h))
+        h, ids = h[order], ids[order]
+        at = _runs(h)
+        n = np.diff(np.r_[at, len(h)])
+        several = np.repeat(np.minimum.reduceat(ids, at) >> ties != np.maximum.reduceat(ids, at) >> ties, n)
+        h, ids = h[several], ids[several]
+    owner, packed = _by_id(ids, h)
     return pa.table({"id": pa.array(owner, pa.int64()), "anchors": pa.array(packed, pa.binary())})
 
 
-def _ask_windows(batches: Iterator[pa.RecordBatch], size: int, bits: int) -> Iterator[pa.RecordBatch]:
+def _ask_windows(batches: Iterator[pa.RecordBatch], size: int, bits: int, ties: int) -> Iterator[pa.RecordBatch]:
     """Windows that hold a repeated anchor, packed by bucket. Where documents of one block share a window, only the
     smallest id asks; for the others the answer is known."""
     length = size - PERIOD + 1
@@ -125,29 +137,33 @@ def _ask_windows(batches: Iterator[pa.RecordBatch], size: int, bits: int) -> Ite
         ids, pos = batch.column("id").to_numpy()[words.row[starts]], starts - words.first[words.row[starts]]
         order = np.lexsort((pos, ids, check, w))
         w, check, ids, pos = w[order], check[order], ids[order], pos[order]
-        first = np.ones(len(w), bool)
-        first[1:] = (w[1:] != w[:-1]) | (check[1:] != check[:-1])
-        low = ids[np.maximum.accumulate(np.where(first, np.arange(len(w)), 0))] if len(w) else ids
-        known = ids != low
-        bucket = (w >> np.uint64(64 - bits)).astype(np.int64)
+        known = _later(ids, (w, check), ties)
+        bucket = np.where(known, _known(ids, bits), (w >> np.uint64(64 - bits)).astype(np.int64))
         for which in (~known, known):
             yield from _pack(
                 bucket[which], h=w[which], check=(check[which] >> np.uint64(32)).astype(np.uint32), id=ids[which],
-                pos=pos[which].astype(np.uint32), seen=known[which].astype(np.uint8),
+                pos=pos[which].astype(np.uint32),
             )
 
 
-def _repeated_windows(rows: pa.Table) -> pa.Table:
+def _later(ids: np.ndarray, keys: tuple[np.ndarray, ...], ties: int) -> np.ndarray:
+    """Of rows sorted by keys and then ids: which have a larger given id than the first row of their keys."""
+    first = np.ones(len(ids), bool)
+    first[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    low = ids[np.maximum.accumulate(np.where(first, np.arange(len(ids)), 0))] if len(ids) else ids
+    return ids >> ties != low >> ties
+
+
+def _repeated_windows(rows: pa.Table, ties: int) -> pa.Table:
     """Of one bucket: where documents have windows that a document with a smaller id has too."""
-    h, check, ids = _read(rows["h"], np.uint64), _read(rows["check"], np.uint32), _read(rows["id"], np.int64)
-    pos, seen = _read(rows["pos"], np.uint32), _read(rows["seen"], np.uint8)
-    order = np.lexsort((ids, check, h))
-    h, check, ids, pos, seen = h[order], check[order], ids[order], pos[order], seen[order]
-    first = np.ones(len(h), bool)
-    first[1:] = (h[1:] != h[:-1]) | (check[1:] != check[:-1])
-    low = ids[np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))] if len(h) else ids
-    again = (ids != low) | (seen == 1)
-    owner, packed = _by_id(ids[again], pos[again])
+    ids, pos = _read(rows["id"], np.int64), _read(rows["pos"], np.uint32)
+    if rows["bucket"][0].as_py() >= 0:
+        h, check = _read(rows["h"], np.uint64), _read(rows["check"], np.uint32)
+        order = np.lexsort((ids, check, h))
+        ids, pos = ids[order], pos[order]
+        again = _later(ids, (h[order], check[order]), ties)
+        ids, pos = ids[again], pos[again]
+    owner, packed = _by_id(ids, pos)
     return pa.table({"id": pa.array(owner, pa.int64()), "windows": pa.array(packed, pa.binary())})
 
 
@@ -176,52 +192,50 @@ def drop_repeated_windows(
     words (if they have a window). Any two equal windows share an aligned anchor of `size` - 6 words at a cover
     position modulo 7. Anchors meet in buckets; the documents whose anchors repeat are read again, the matches are
     extended to all windows around repeated anchors, and these meet in buckets as 96-bit hashes with the smallest id
-    that has them. Blocks of documents settle what they share among themselves, so a passage that a third of all
-    documents hold sends a row per block.
+    that has them. Blocks of documents settle what they share among themselves: to the bucket of a passage that a third
+    of all documents hold a block sends one or two entries, and the answers it has go by document.
 
     Returns id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) and with `with_text` also
-    kept_text, null where nothing is removed. Null texts have no words. A null id counts as larger than all others,
-    and each row with one as a document of its own.
-    Rows that repeat an id must repeat its text; each gets its row, and they don't remove each other's words. An empty
-    table gives no rows; other columns are not read.
+    kept_text, null where nothing is removed. Null texts have no words. Ids are integers; a null id counts as larger
+    than all others, and each row with one as a document of its own. Rows that repeat an id are documents that don't
+    remove each other's words. An empty table gives no rows; other columns are not read.
     """
     if size < PERIOD + 1:
         raise ValueError(f"windows need at least {PERIOD + 1} words")
-    small_batches(docs.sparkSession)
-    source, given_id = distinct_ids(docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")), "id", "text")
+    source, ties, given = numbered(docs, id_col, text_col)
     profile = saved(source.mapInArrow(_profile, "id long, n_words long, t1 long, t2 long, sha string"), "profiles")
     classes = profile.where(F.col("n_words") >= size).groupBy("t1", "t2", "n_words").agg(F.min("id").alias("low"))
+    later = F.shiftright("id", ties) > F.shiftright("low", ties)
     copies = saved(
-        profile.where(F.col("n_words") >= size).join(classes, ["t1", "t2", "n_words"]).where("id > low").select("id").distinct(),
-        "copies",
+        profile.where(F.col("n_words") >= size).join(classes, ["t1", "t2", "n_words"]).where(later).select("id"), "copies"
     )
     total = profile.agg(F.sum("n_words")).first()[0] or 0
     bits = max(6, int(np.ceil(np.log2(max(1, total * len(COVER) / PERIOD / BUCKET)))))
-    asked = map_without_ids(
-        source, copies, "id", lambda it: _ask_anchors(it, size, bits), "bucket int, h binary, id binary, seen binary"
-    )
-    anchors = asked.groupBy("bucket").applyInArrow(_repeated_anchors, "id long, anchors binary")
+    asked = map_without_ids(source, copies, "id", lambda it: _ask_anchors(it, size, bits, ties), "bucket int, h binary, id binary")
+    anchors = asked.groupBy("bucket").applyInArrow(lambda t: _repeated_anchors(t, ties), "id long, anchors binary")
     anchors = anchors.groupBy("id").agg(F.collect_list("anchors").alias("anchors"))  # a document's own
     anchors = saved(anchors, "anchors")
     near = kept_ids(source, anchors, "id").mapInArrow(
-        lambda it: _ask_windows(it, size, bits), "bucket int, h binary, check binary, id binary, pos binary, seen binary"
+        lambda it: _ask_windows(it, size, bits, ties), "bucket int, h binary, check binary, id binary, pos binary"
     )
-    windows = near.groupBy("bucket").applyInArrow(_repeated_windows, "id long, windows binary")
+    windows = near.groupBy("bucket").applyInArrow(lambda t: _repeated_windows(t, ties), "id long, windows binary")
     windows = saved(windows.groupBy("id").agg(F.collect_list("windows").alias("windows")), "windows")
+    discard(anchors)
     cut = kept_ids(source, windows, "id").mapInArrow(
         lambda it: _remove(it, size), "id long, n_removed long, new_sha string, kept_text string"
     )
-    cut = saved(cut.dropDuplicates(["id"]) if with_text else cut.drop("kept_text").dropDuplicates(["id"]), "cut")
+    cut = saved(cut if with_text else cut.drop("kept_text"), "cut")
+    discard(windows)
     copied = F.col("copy").isNotNull()
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     out = profile.join(copies.withColumn("copy", F.lit(True)), "id", "left").join(cut, "id", "left").select(
-        given_id("id").alias(id_col),
+        "id",
         "n_words",
         F.when(copied, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copied, nothing).otherwise(F.coalesce("new_sha", "sha")).alias("kept_sha256"),
         *([F.when(copied, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text")] if with_text else []),
     )
-    return out
+    return given(out, id=id_col)
 
 
 def op5_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
