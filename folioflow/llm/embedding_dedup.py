@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import components, saved, table
+from folioflow.llm.common import components, discard, saved, table
 from folioflow.llm.topk import valid_vectors
 
-#: Vectors, chosen by a hash of the id, on which the quantisers are fitted; all vectors are indexed.
+#: Vectors, chosen by a hash of the id, on which the quantisers of a length are fitted; all vectors are indexed.
 SAMPLE = 16384
+#: Lengths of vectors that get fitted quantisers, the most frequent first; others make one list each, without codes.
+LENGTHS = 16
 #: Members of one inverted list (or of a part of a long one) in a unit of work.
 UNIT_ROWS = 1024
 
@@ -42,6 +44,11 @@ class Quantiser:
         self.cuts = np.array_split(np.arange(unit.shape[1]), min(subspaces, unit.shape[1]))
         self.books = [k_means(residual[:, c], min(codes, len(unit))) for c in self.cuts]
 
+    @classmethod
+    def plain(cls, width: int) -> Quantiser:
+        """One list, and codes that stand for nothing: all pairs of the list are compared."""
+        return cls(np.zeros((1, width)), lists=1, subspaces=1, codes=1)
+
     def encode(self, unit: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the residuals, and each vector's distance from what its codes stand for."""
         residual = unit - self.coarse[home]
@@ -69,76 +76,94 @@ class Quantiser:
 
 
 def _unit(packed: list[bytes]) -> np.ndarray:
+    """Rows of length 1; the largest component goes first, so that none over- or underflows."""
     rows = np.stack([np.frombuffer(x, np.float64) for x in packed])
+    rows = rows / np.abs(rows).max(axis=1)[:, None]
     return rows / np.sqrt((rows**2).sum(1))[:, None]
 
 
-def _listed(batches: Iterator[pa.RecordBatch], q: Quantiser, reach: float) -> Iterator[pa.RecordBatch]:
+def _of(quantisers: dict[int, Quantiser], width: int) -> Quantiser:
+    return quantisers.get(width) or quantisers.setdefault(width, Quantiser.plain(width))
+
+
+def _listed(batches: Iterator[pa.RecordBatch], quantisers: dict[int, Quantiser], reach: float) -> Iterator[pa.RecordBatch]:
     """A row per vector and list that it is in or probes."""
     for batch in batches:
-        if batch.num_rows:
-            lists = q.probes(_unit(batch.column("v").to_pylist()), reach)
-            at = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in lists]))
-            rows = batch.take(at)
+        widths = batch.column("width").to_numpy()
+        for width in np.unique(widths).tolist():
+            part = batch.take(pa.array(np.flatnonzero(widths == width)))
+            lists = _of(quantisers, width).probes(_unit(part.column("v").to_pylist()), reach)
+            at = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in lists]))
+            rows = part.take(at)
             probes = pa.array([x.tobytes() for x in lists], pa.binary()).take(at)
-            cell = pa.array(np.concatenate(lists))
-            yield pa.RecordBatch.from_arrays([*rows.columns, cell, probes], [*rows.schema.names, "cell", "probes"])
-
-
-def _compare(rows: pa.Table, q: Quantiser, least: float) -> pa.Table:
-    """Of one unit: per vector the weight of its links, and links that join what earlier ones leave apart."""
-    ids, copies, x, y, mine, cells, labels = (rows[c].to_numpy() for c in ("id", "copies", "x", "y", "mine", "cell", "label"))
-    unit = _unit(rows["v"].to_pylist())
+            home = pa.array(np.array([x[0] for x in lists], np.int32)).take(at)
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.concatenate(lists)), home, probes], [*rows.schema.names, "cell", "home", "probes"])
+
+
+def _united(top: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels after the links (a, b): each row has the least label that it can reach."""
+    while True:
+        new = top.copy()
+        np.minimum.at(new, a, top[b])
+        np.minimum.at(new, b, top[a])
+        np.minimum.at(new, top, new)  # what a member reaches, its label reaches
+        new = new[new]
+        if np.array_equal(new, top):
+            return top
+        top = new
+
+
+def _compare(rows: pa.Table, quantisers: dict[int, Quantiser], least: float) -> pa.Table:
+    """Of one unit: per vector the weight of its links, and links that join what is linked."""
+    ids, copies, home, mine = (rows[c].to_numpy() for c in ("id", "copies", "home", "mine"))
+    cell, x, y = (int(rows[c][0].as_py()) for c in ("cell", "x", "y"))
+    q = _of(quantisers, int(rows["width"][0].as_py()))
+    packed = rows["v"].to_pylist()
+    unit = _unit(packed)
     probes = [np.frombuffer(p, np.int32) for p in rows["probes"].to_pylist()]
-    home = np.array([p[0] for p in probes])
-    out_id, out_n, links = [], [], []
-    order = np.lexsort((ids, y, x, cells, labels))
-    change = np.zeros(len(order), bool)
-    change[1:] = np.any([c[order][1:] != c[order][:-1] for c in (labels, cells, x, y)], axis=0)
+    probed = np.sort(np.repeat(np.arange(len(ids)), [len(p) for p in probes]) * np.int64(len(q.coarse)) + np.concatenate(probes))
+    own = np.flatnonzero(home == cell)
+    count, top = np.zeros(len(ids), np.int64), np.arange(len(ids))
+    codes, off = q.encode(unit[own], np.full(len(own), cell)) if len(own) else (np.zeros((0, len(q.books)), np.uint8), np.zeros(0))
     reach = np.sqrt(2 - 2 * least)
-    for part in np.split(order, np.flatnonzero(change)):
-        cell = int(cells[part[0]])
-        both = x[part[0]] != y[part[0]]
-        own = part[home[part] == cell]
-        if not len(own):
-            continue
-        codes, off = q.encode(unit[own], np.full(len(own), cell))
-        count, top = np.zeros(len(part), np.int64), np.arange(len(part))
-        where = {k: n for n, k in enumerate(part.tolist())}
-        place = np.array([where[k] for k in own.tolist()])
-        for s in range(0, len(part), 256):
-            asks = part[s : s + 256]
-            tables = q.tables(unit[asks], cell)
-            d2 = sum(tables[:, k, :][:, codes[:, k]] for k in range(codes.shape[1]))
-            a, b = np.nonzero(d2 <= ((reach + off) ** 2)[None, :] + 1e-7)
-            g, h = asks[a], own[b]
-            on = (ids[g] != ids[h]) & ((mine[g] != mine[h]) if both else True)
-            on &= (home[g] != cell) | (ids[g] < ids[h])  # two members of the list meet twice
-            a, b, g, h = a[on], b[on], g[on], h[on]
-            on = np.einsum("ij,ij->i", unit[g], unit[h]) >= least
-            for i, k, n, m in zip(g[on].tolist(), h[on].tolist(), (a[on] + s).tolist(), place[b[on]].tolist(), strict=True):
-                if home[i] != cell and home[i] < cell and home[i] in probes[k]:
-                    continue  # the list of the smaller number has this pair
-                count[n] += copies[k]
-                count[m] += copies[i]
-                if top[n] != top[m]:
-                    top[top == top[m]] = top[n]
-                    links.append((ids[i], ids[k]))
-        some = np.flatnonzero(count)
-        out_id.append(ids[part[some]])
-        out_n.append(count[some])
-    total = sum(map(len, out_id))
-    a, b = (np.array([x[k] for x in links], np.int64) for k in (0, 1))
-    none = np.zeros(0, np.int64)
+    for s in range(0, len(ids) if len(own) else 0, 256):
+        asks = np.arange(s, min(s + 256, len(ids)))
+        tables = q.tables(unit[asks], cell)
+        d2 = sum(tables[:, k, :][:, codes[:, k]] for k in range(codes.shape[1]))
+        a, b = np.nonzero(d2 <= ((reach + off) ** 2)[None, :] + 1e-7)
+        g, h = asks[a], own[b]
+        on = (g != h) & ((mine[g] != mine[h]) if x != y else True)
+        on &= (home[g] != cell) | (ids[g] < ids[h])  # two members of the list meet twice
+        g, h = g[on], h[on]
+        on = np.einsum("ij,ij->i", unit[g], unit[h]) >= least
+        g, h = g[on], h[on]
+        # where each probes the other's list, the list of the smaller number has the pair
+        code = h * np.int64(len(q.coarse)) + home[g]
+        both = probed[np.minimum(np.searchsorted(probed, code), len(probed) - 1)] == code
+        on = ~((home[g] < cell) & both)
+        g, h = g[on], h[on]
+        np.add.at(count, g, copies[h])
+        np.add.at(count, h, copies[g])
+        top = _united(top, g, h)
+    some, joined = np.flatnonzero(count), np.flatnonzero(top != np.arange(len(ids)))
     return pa.table(
         {
-            "id": np.concatenate([none, *out_id, a]),
-            "n": np.concatenate([none, *out_n, np.zeros(len(a), np.int64)]),
-            "other": pa.array(np.r_[np.zeros(total, np.int64), b], mask=np.r_[np.ones(total, bool), np.zeros(len(b), bool)]),
+            "id": np.r_[ids[some], ids[joined]],
+            "n": np.r_[count[some], np.zeros(len(joined), np.int64)],
+            "other": pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(ids[top[joined]])]),
         }
     )
 
 
+def _fitted(classes: DataFrame) -> dict[int, Quantiser]:
+    """Quantisers by length of vector, of the LENGTHS most frequent ones; the lists follow the root of the vectors' number."""
+    out = {}
+    for width, n in classes.groupBy("width").count().orderBy(F.desc("count"), "width").limit(LENGTHS).collect():
+        sample = classes.where(F.col("width") == width).orderBy(F.xxhash64("low"), "low").select("v").limit(SAMPLE).toArrow()["v"].to_pylist()
+        out[width] = Quantiser(_unit(sample), lists=max(1, min(int(n**0.5), len(sample) // 64)))
+    return out
+
+
 def near_duplicate_vectors(
     vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label"
 ) -> DataFrame:
@@ -151,8 +176,9 @@ def near_duplicate_vectors(
     are cut into blocks, every two of which are a unit; links are counted in the unit, not sent.
 
     Returns id, n_links (other ids linked directly), component_id (smallest id reachable), kept. Rows whose label is
-    null or whose vector is null, zero or holds null or non-finite components link with nothing. Vectors of one label
-    must have one length. Null ids link with nothing; rows that repeat an id must repeat its vector and count once as
+    null or whose vector is null, zero or holds null or non-finite components link with nothing; nor do vectors of
+    different lengths. Cosines are those of vectors scaled by their largest component, so that finite ones neither
+    over- nor underflow. Null ids link with nothing; rows that repeat an id must repeat its vector and count once as
     a partner. An empty table gives no rows; other columns are not read.
     """
     if not 0 < least <= 1:
@@ -162,31 +188,28 @@ def near_duplicate_vectors(
     good = rows.mapInArrow(valid_vectors, "id long, v binary, norm double").where("norm > 0").drop("norm").dropDuplicates(["id"])
     good = saved(good.join(label_of, "id"), "vectors")
     classes = saved(
-        good.groupBy("label", "v").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies")), "vector-classes"
+        good.groupBy("label", "v").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"))
+        .withColumn("width", (F.octet_length("v") / 8).cast("int")), "vector-classes"
+    )
+    shared = vectors.sparkSession.sparkContext.broadcast(_fitted(classes))
+    reach = float(np.sqrt(2 - 2 * least))
+    listed = classes.select(F.col("low").alias("id"), "v", "label", "copies", "width").mapInArrow(
+        lambda it: _listed(it, shared.value, reach), "id long, v binary, label string, copies long, width int, cell int, home int, probes binary"
+    )
+    listed = saved(listed, "listed")
+    whole = listed.groupBy("label", "width", "cell").agg(F.ceil(F.count(F.lit(1)) / UNIT_ROWS).cast("int").alias("cuts"))
+    units = (
+        listed.join(whole, ["label", "width", "cell"])
+        .withColumn("mine", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+        .withColumns({"x": F.least("mine", "other"), "y": F.greatest("mine", "other")})
+        .drop("other", "cuts")
+    )
+    compared = units.groupBy("label", "width", "cell", "x", "y").applyInArrow(
+        lambda t: _compare(t, shared.value, least), "id long, n long, other long"
     )
-    sample = classes.orderBy(F.xxhash64("low"), "low").select("v").limit(SAMPLE).toArrow()["v"].to_pylist()
-    none = vectors.sparkSession.createDataFrame([], "id long, n long, other long")
-    if sample:
-        width = max(len(v) for v in sample)
-        q = Quantiser(_unit([v for v in sample if len(v) == width]), lists=max(1, min(1024, len(sample) // 128)))
-        shared = vectors.sparkSession.sparkContext.broadcast(q)
-        reach = float(np.sqrt(2 - 2 * least))
-        listed = classes.select(F.col("low").alias("id"), "v", "label", "copies").mapInArrow(
-            lambda it: _listed(it, shared.value, reach), "id long, v binary, label string, copies long, cell int, probes binary"
-        )
-        listed = saved(listed, "listed")
-        whole = listed.groupBy("label", "cell").agg(F.ceil(F.count(F.lit(1)) / UNIT_ROWS).cast("int").alias("cuts"))
-        units = (
-            listed.join(whole, ["label", "cell"])
-            .withColumn("mine", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-            .withColumns({"x": F.least("mine", "other"), "y": F.greatest("mine", "other")})
-            .drop("other", "cuts")
-        )
-        compared = units.groupBy("label", "cell", "x", "y").applyInArrow(
-            lambda t: _compare(t, shared.value, least), "id long, n long, other long"
-        )
-        none = saved(compared, "compared")
+    none = saved(compared, "compared")
+    discard(listed)
     counts = none.where("other is null").groupBy("id").agg(F.sum("n").alias("n"))
     joined = components(none.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
     reps = (

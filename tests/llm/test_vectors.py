@@ -41,6 +41,31 @@ def test_top_k_of_nothing(spark):
     assert topk.top_inner_products(spark.createDataFrame([], SCHEMA), "id % 20 = 0").count() == 0
 
 
+def test_top_k_of_huge_and_ragged_vectors(spark):
+    rows = [(1, [1.0, 2.0]), (20, [3.0, 1.0]), (3, [-1e308, 0.0]), (40, [1e300, 5.0]), (5, [1e7, 3.0, 2.0]), (60, [2.0**25, -7.25]), (7, []), (8, [0.0, 0.0]), (9, [2.0**24 + 1, 4.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_inner_products(df, "id % 20 = 0", k=4).collect()}
+    whole = {i: [topk.floor(topk.Fraction(x) * 64) for x in v] + [0] * (3 - len(v)) for i, v in rows}
+    want = set()
+    for q in (20, 40, 60):
+        every = [(max(-topk.MOST, min(topk.MOST, sum(a * b for a, b in zip(whole[q], v, strict=True)))), i) for i, v in whole.items() if i != q]
+        want |= {(q, n + 1, i, s) for n, (s, i) in enumerate(sorted(every, key=lambda x: (-x[0], x[1]))[:4])}
+    assert got == want
+
+
+def test_top_k_where_norms_prune(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(600, 8)) * np.geomspace(50, 0.05, 600)[:, None]
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {tuple(r) for r in topk.top_inner_products(df, "id % 20 = 0", k=5, bucket_rows=16, query_rows=4, buckets_together=2).collect()}
+    whole = np.floor(64 * v)
+    want = set()
+    for q in range(0, 600, 20):
+        best = sorted((-int(whole[i] @ whole[q]), i) for i in range(600) if i != q)[:5]
+        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
+    assert got == want
+
+
 def test_coordinate_bounds_lose_nothing():
     rng = np.random.default_rng(9)
     unit = rng.normal(size=(2000, 6))
@@ -78,6 +103,16 @@ def test_near_duplicates(spark, rows, monkeypatch, block):
         assert (r.n_links, r.component_id, r.kept) == (links[r.vec_id], top(r.vec_id), r.vec_id == top(r.vec_id) or r.vec_id is None)
 
 
+def test_near_duplicates_of_tiny_huge_and_ragged_vectors(spark):
+    rows = [
+        (1, [1e-200, 0.0], 1), (2, [2e-200, 0.0], 1), (3, [1e200, 1.0], 1), (4, [2e200, 1.0], 1), (5, [1.0, 0.0, 0.0], 1), (6, [5e-324, 0.0, 0.0], 1),
+        (7, [0.0, 0.0], 1), (8, [1.7e308, 1.7e308], 2), (9, [3.0, 3.0], 2), (10, [-3.0, -3.0], 2), (11, [], 2), (12, [-0.0, 1.0], 3), (13, [0.0, 1.0], 3),
+    ]
+    got = embedding_dedup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    links = {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (1, 5), 6: (1, 5), 8: (1, 8), 9: (1, 8), 12: (1, 12), 13: (1, 12)}
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: links.get(i, (0, i)) for i, *_ in rows}
+
+
 def test_near_duplicates_of_nothing(spark):
     assert embedding_dedup.near_duplicate_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
 
