@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import embedding_dedup, licenses, mixing, ngram_join, packing, pii, quality, sharding, substrings, topk
+from folioflow.llm import embedding_dedup, licenses, mixing, ngram_join, oracles, packing, pii, quality, sharding, substrings, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,4 +15,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licenses.license_sql()}
+    return oracles.oracle_sql()
