@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm.common import saved, table
 
 #: Rounds of collision checks after which remaining collisions are an error.
-ROUNDS = 40
-#: From this attempt on mail addresses and secrets grow by a character per attempt, and 192.168 addresses move to 10.
-GROWS = 4
+ROUNDS = 60
+#: From this attempt on mail addresses, secrets and phone numbers grow by a character per attempt, and 192.168 addresses
+#: move to 10; from the later one on all private addresses move to public ones.
+GROWS, LEAVES = 4, 12
 DIGITS_OF_HEX = "0123456789345678"
 
 # Honorifics by the gender that they show.
@@ -33,10 +36,16 @@ FEMALE_NAMES = (
 # Parts from which surrogate names are put together.
 LATIN_PARTS = ("Al", "Be", "Cor", "Da", "El", "Fen", "Gar", "Hol", "In", "Jor", "Kel", "Lan", "Mar", "Nor", "Or", "Per")
 LATIN_INNER = ("ba", "de", "fi", "go", "li", "ma", "ne", "ro", "sa", "ti", "vi", "wo", "ra", "le", "mi", "no")
-LATIN_ENDS = {"m": ("ron", "mund", "bert", "ric"), "f": ("lina", "rice", "dora", "bella"), "s": ("ford", "wick", "mann", "ez")}
+LATIN_ENDS = {
+    "m": ("ron", "mund", "bert", "ric"), "f": ("lina", "rice", "dora", "bella"), "n": ("len", "ry", "kim", "quin"),
+    "s": ("ford", "wick", "mann", "ez"),
+}
 CYRILLIC_PARTS = ("Ар", "Бо", "Вел", "Гор", "Да", "Ер", "Жан", "Зор", "Ин", "Ки", "Лад", "Мар", "Ни", "Ор", "Пре", "Рад")
 CYRILLIC_INNER = ("ба", "ве", "го", "ди", "ли", "ма", "не", "ро", "са", "ти", "ви", "ко", "ра", "ле", "ми", "но")
-CYRILLIC_ENDS = {"m": ("слав", "мир", "дан", "тин"), "f": ("слава", "мира", "дана", "тина"), "s": ("енко", "ских", "чук", "овых")}
+CYRILLIC_ENDS = {
+    "m": ("слав", "мир", "дан", "тин"), "f": ("слава", "мира", "дана", "тина"), "n": ("ша", "ля", "ся", "ня"),
+    "s": ("енко", "ских", "чук", "овых"),
+}
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _NAME = r"(?:\p{Lu}\.[ ]){0,3}\p{Lu}[\p{Ll}\p{Lu}'’-]*+"
@@ -47,7 +56,7 @@ BEHIND_KEY = r"[A-Za-z0-9_+/.-]{6,}+"
 #: Types and patterns, in the order in which they are tried at a place. Words are taken possessively, so that no text
 #: makes the matcher go back; look-behinds have a bounded length.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,24}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-][A-Za-z0-9.-]*(?<=[A-Za-z0-9-]\.[A-Za-z]{2,24})",
     "secret": rf"(?<=[=: \"'])(?=[A-Za-z0-9_+/.-]{{6}})(?<={KEY}){BEHIND_KEY}"
     r"|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{15,17}+|gh[pousr]_[A-Za-z0-9]{30,}+|sk-[A-Za-z0-9_-]{20,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)",
     "ip": rf"(?<![0-9A-Za-z.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9A-Za-z]|\.[0-9])",
@@ -62,8 +71,19 @@ PATTERNS = {
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.?[ ]{_NAME}(?:[ ]{_NAME}){{0,3}}|(?:{'|'.join(MALE_NAMES + FEMALE_NAMES)})(?:[ ]{_NAME}){{1,3}})(?![\p{{L}}\p{{N}}])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: A text without any of these holds nothing that a pattern finds.
-CUE = rf"[0-9@]|(?i:token|passw|secret|api_?key|access_key)|gh[pousr]_|sk-|(?:{'|'.join(MALE + FEMALE + NEUTRAL + MALE_NAMES + FEMALE_NAMES)})[. ]"
+WORDS_OF_NAMES = MALE + FEMALE + NEUTRAL + MALE_NAMES + FEMALE_NAMES
+#: Stands around what was found while a text is cut.
+MARK = "\x01\x02"
+
+
+def has_cue(text: Column) -> Column:
+    """A text without any of these holds nothing that a pattern finds. Plain searches go first; the pattern of names is
+    tried only where a letter stands that one begins with."""
+    keyed = (text.contains("=") | text.contains(":")) & text.rlike(r"(?i)token|passw|secret|api_?key|access_key")
+    known = text.contains("AKIA") | text.contains("sk-") | text.contains("eyJ") | (text.contains("gh") & text.rlike("gh[pousr]_"))
+    paired = (text.contains(":") & text.rlike("[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:")) | (text.contains("-") & text.rlike("[0-9A-Fa-f]{2}-[0-9A-Fa-f]{2}-[0-9A-Fa-f]{2}-"))
+    firsts = "".join(sorted({w[0] for w in WORDS_OF_NAMES}))
+    return text.rlike("[0-9@]") | known | keyed | paired | text.rlike(rf"[{firsts}](?<=(?<![\p{{L}}\p{{N}}]).)(?:{'|'.join(sorted({w[1:] for w in WORDS_OF_NAMES}))})[. ]")
 
 
 def _only(c: Column, pattern: str) -> Column:
@@ -96,10 +116,17 @@ def _mod97(iban: Column) -> Column:
     return F.aggregate(F.split(moved, ""), F.lit(0), add)
 
 
-def _stream(seed: Column, length: Column) -> Column:
-    """At least 2 * length hex digits that the seed decides."""
+def _keyed(key: str, text: Column) -> Column:
+    """HMAC-SHA256 of the text, as hex digits."""
+    block = key.encode() if len(key.encode()) <= 64 else hashlib.sha256(key.encode()).digest()
+    inner, outer = (F.lit(bytes(b ^ pad for b in block.ljust(64, b"\0"))) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(text, "UTF-8")), 256))), 256)
+
+
+def _stream(key: str, seed: Column, length: Column) -> Column:
+    """At least 2 * length hex digits that the key and the seed decide."""
     parts = F.sequence(F.lit(0), F.floor(length / 32).cast("int"))
-    return F.array_join(F.transform(parts, lambda k: F.sha2(F.concat_ws("|", seed, k.cast("string")), 256)), "")
+    return F.array_join(F.transform(parts, lambda k: _keyed(key, F.concat_ws("|", seed, k.cast("string")))), "")
 
 
 def _byte(stream: Column, k: Column) -> Column:
@@ -163,22 +190,24 @@ def _canonical(kind: Column, found: Column) -> Column:
 
 
 def _candidate(kind: Column, value: Column, key: str, attempt: Column) -> Column:
-    """A keyed surrogate in canonical form. Names, mail addresses and secrets grow with the attempt, so that later
-    attempts draw from ever larger spaces; the other types are as long as their format."""
-    seed = F.concat_ws("|", F.lit(key), kind, value, attempt.cast("string"))
-    s = _stream(seed, F.length(value) + attempt + 6)
-    more = F.when(attempt >= GROWS, F.substr(F.sha2(F.concat(seed, F.lit("|more")), 256), F.lit(1), attempt - GROWS + 1)).otherwise("")
+    """A keyed surrogate in canonical form. Names, mail addresses, secrets and phone numbers grow with the attempt, so
+    that later attempts draw from ever larger spaces; the other types are as long as their format."""
+    seed = F.concat_ws("|", kind, value, attempt.cast("string"))
+    s = _stream(key, seed, F.length(value) + attempt + 6)
+    more = F.when(attempt >= GROWS, F.substr(_keyed(key, F.concat(seed, F.lit("|more"))), F.lit(1), attempt - GROWS + 1)).otherwise("")
     digits = F.translate(s, "0123456789abcdef", DIGITS_OF_HEX)
     n = F.length(value)
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
-    email = F.concat(_same_shape(local, s), more, F.lit("@"), _same_shape(F.substring_index(domain, ".", 1), F.sha2(F.concat(F.lit(key), domain), 512)), F.lit(".example."), F.substring_index(domain, ".", -1))
+    email = F.concat(_same_shape(local, s), more, F.lit("@"), _same_shape(F.substring_index(domain, ".", 1), _stream(key, domain, F.length(domain))), F.lit(".example."), F.substring_index(domain, ".", -1))
     octet = lambda k: (_byte(s, F.lit(k)) % 254 + 1).cast("string")
     first, second = F.substring_index(value, ".", 1), F.element_at(F.split(value, "[.]"), 2)
     private = F.when(first == "10", "10").when((first == "192") & (second == "168"), F.when(attempt < GROWS, "192.168").otherwise(F.concat_ws(".", F.lit("10"), octet(1)))).otherwise(F.concat_ws(".", (_byte(s, F.lit(9)) % 111 + 11).cast("string"), octet(1)))
     ip = F.concat_ws(".", private, *[octet(k) for k in (2, 3)])
-    ip = F.when(first == "10", F.concat_ws(".", F.lit("10"), octet(1), octet(2), octet(3))).otherwise(ip)
+    ip = F.when(attempt >= LEAVES, F.concat_ws(".", (_byte(s, F.lit(9)) % 111 + 11).cast("string"), octet(1), octet(2), octet(3))).when(
+        first == "10", F.concat_ws(".", F.lit("10"), octet(1), octet(2), octet(3))
+    ).otherwise(ip)
     country, rest = F.substring_index(value, "/", 1), F.substring_index(value, "/", -1)
-    phone = F.concat(country, F.lit("/"), F.translate(F.substring(digits, 1, 1), "01", "78"), F.substr(digits, F.lit(2), F.length(rest) - 1))
+    phone = F.concat(country, F.lit("/"), F.translate(F.substring(digits, 1, 1), "01", "78"), F.substr(digits, F.lit(2), F.length(rest) - 1), F.translate(more, "0123456789abcdef", DIGITS_OF_HEX))
     body = F.concat(F.substring(value, 1, 1), F.substr(digits, F.lit(1), n - 2))
     card = F.concat(body, ((10 - _luhn(F.concat(body, F.lit("0")))) % 10).cast("string"))
     ssn = F.concat(F.translate(F.substring(digits, 1, 1), "069", "128"), F.translate(F.substring(digits, 2, 8), "0", "5"))
@@ -196,12 +225,12 @@ def _candidate(kind: Column, value: Column, key: str, attempt: Column) -> Column
 
 
 def _name(kind: Column, value: Column, s: Column, attempt: Column) -> Column:
-    """Names are put together from parts of the same script, with an end that fits the gender (name_m, name_f) or, for
-    family names (name_s), a family name's end. Each attempt has one more inner part than the one before."""
+    """Names are put together from parts of the same script, with an end that fits the gender (name_m, name_f, or
+    name_n where none shows) or, for family names (name_s), a family name's end. Each attempt has one more inner part than the one before."""
     cyrillic = value.rlike(r"\p{IsCyrillic}")
 
     def made(parts, inner, ends) -> Column:
-        end = F.when(kind == "name_m", _one_of(ends["m"], _byte(s, F.lit(5)))).when(kind == "name_f", _one_of(ends["f"], _byte(s, F.lit(5)))).otherwise(_one_of(ends["s"], _byte(s, F.lit(5))))
+        end = F.when(kind == "name_m", _one_of(ends["m"], _byte(s, F.lit(5)))).when(kind == "name_f", _one_of(ends["f"], _byte(s, F.lit(5)))).when(kind == "name_n", _one_of(ends["n"], _byte(s, F.lit(5)))).otherwise(_one_of(ends["s"], _byte(s, F.lit(5))))
         further = F.array_join(F.transform(F.sequence(F.lit(1), attempt), lambda k: _one_of(inner, _byte(s, k + 5))), "")
         return F.concat(*[_one_of(p, _byte(s, F.lit(k))) for k, p in enumerate((parts, inner, inner))], F.when(attempt > 0, further).otherwise(""), end)
 
@@ -219,6 +248,7 @@ def _spelled(kind: Column, found: Column, surrogate: Column) -> Column:
         return F.when(c.rlike(rf"{mark}|[A-Z]"), F.substr(rest, before, F.lit(1))).otherwise(c)
 
     laid = F.array_join(F.transform(F.split(found, ""), place), "")
+    laid = F.concat(laid, F.when(kind == "phone", F.substr(rest, F.length(_digits(found)) + 1, F.lit(ROUNDS))).otherwise(""))
     shout = kind.startswith("name") & (F.length(found) > 1) & (F.upper(found) == found)
     return F.when(marks, laid).when(shout | (kind.isin("mac", "ipv6") & (F.upper(found) == found)), F.upper(surrogate)).otherwise(surrogate)
 
@@ -251,14 +281,14 @@ def _tokens(kind: Column, found: Column, key: str) -> Column:
     honour = title.isin(*MALE, *FEMALE, *NEUTRAL)
     gender = (
         F.when(title.isin(*MALE, *MALE_NAMES), "name_m").when(title.isin(*FEMALE, *FEMALE_NAMES), "name_f")
-        .when(words[1].isin(*FEMALE_NAMES), "name_f").otherwise("name_m")
+        .when(words[1].isin(*FEMALE_NAMES), "name_f").when(words[1].isin(*MALE_NAMES), "name_m").otherwise("name_n")
     )
 
     def part(w: Column, k: Column) -> Column:
         last = k == F.size(words) - 1
         initial = w.rlike(r"\A\p{Lu}\.\z")
         role = F.when((honour & (k == 0)) | initial, None).when(last, "name_s").otherwise(gender)
-        letter = F.pmod(F.xxhash64(F.lit(key), w, F.lower(F.element_at(words, -1))), F.lit(26)).cast("int")
+        letter = (_byte(_keyed(key, F.concat_ws("|", w, F.lower(F.element_at(words, -1)))), F.lit(0)) % 26).cast("int")
         other = F.concat(F.when(w.rlike(r"\p{IsCyrillic}"), F.substr(F.lit("АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"), letter + 1, F.lit(1))).otherwise(F.char(65 + letter)), F.lit("."))
         return F.struct(role.alias("kind"), F.initcap(F.lower(w)).alias("value"), F.when(initial, other).otherwise(w).alias("text"))
 
@@ -266,63 +296,95 @@ def _tokens(kind: Column, found: Column, key: str) -> Column:
     return F.when(kind == "name", F.transform(words, part)).otherwise(whole)
 
 
+def _mentions(text: Column, known: Column) -> Column:
+    """The text with capitalised words of `known`, a map from parts of names to their surrogates, replaced, in their
+    case and also before 's. The text is cut into words and what stands between them."""
+    words = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]++(?:['’-][\p{L}\p{N}_]++)*+|[^\p{L}\p{N}_]++"), F.lit(0))
+
+    def new(word: Column) -> Column:
+        own = F.regexp_replace(word, "['’]s\\z", "")
+        found = F.try_element_at(known, F.initcap(F.lower(own)))
+        spelled = F.when((F.upper(own) == own) & (F.length(own) > 1), F.upper(found)).otherwise(found)
+        return F.when(word.rlike(r"\A\p{Lu}") & found.isNotNull(), F.concat(spelled, F.substr(word, F.length(own) + 1))).otherwise(word)
+
+    return F.array_join(F.transform(words, new), "")
+
+
+def _cut(text: Column) -> Column:
+    """A struct of what the patterns find (`found`) and of the pieces around it (`gap`, one more). The text is searched
+    once, and cut at marks around what was found; a text that holds such a mark itself is searched twice."""
+    pieces = F.split(F.regexp_replace(text, ANY, f"{MARK}$0{MARK}"), MARK, -1)
+    every = lambda first: F.filter(pieces, lambda _, k: k % 2 == first)
+    once = F.struct(every(1).alias("found"), every(0).alias("gap"))
+    twice = F.struct(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias("found"), F.split(text, ANY, -1).alias("gap"))
+    return F.when(text.contains(MARK), twice).otherwise(once)
+
+
 def replace_entities(
-    docs: DataFrame, key: str = "surrogates", id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_entities"
 ) -> DataFrame:
-    """Replace personal data and secrets in whole texts by surrogates; all columns of `docs` stay, `n_entities` comes.
+    """Replace personal data and secrets in whole texts by surrogates; all columns of `docs` stay, `count_col` comes.
 
     Types: email, secret, ip, mac, ipv6, iban, phone, ssn, card, name. Cards and IBANs count only with right check
     digits, and get them again. The same entity gets the same surrogate everywhere, however it is spelled; different
     ones of a type get different ones, none of which occurs in the corpus as an entity; honorifics and country codes
-    stay, names keep gender, script and case, numbers their punctuation. The key decides all surrogates.
+    stay, names keep gender, script and case, numbers their punctuation. Where a document has a name, single mentions
+    of its parts in that document are replaced too (they aren't counted). The key decides all surrogates, by HMAC.
 
     Texts that no cue marks pass through a narrow job. Of the others the pieces between entities stay with the row,
     the entities go to the dictionary by (kind, value) and come back by row. Null and empty texts stay as they are,
     with 0 entities; null ids and repeated rows are rows like others; an empty table gives no rows. Columns of `docs`
-    named `n_entities` or with a leading underscore are replaced or lost.
+    may have any names; if one is named like `count_col`, underscores are added to the new one.
     """
-    columns = [c for c in docs.columns if c != "n_entities" and not c.startswith("_")]
-    text = F.col(text_col)
-    plain = docs.where(~F.coalesce(text.rlike(CUE), F.lit(False))).select(*columns, F.lit(0).alias("n_entities"))
-    marked = docs.where(text.rlike(CUE)).select(*columns, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias("_found"))
-    marked = marked.withColumn("_gap", F.when(F.size("_found") > 0, F.split(text, ANY, -1)))
-    marked = saved(marked.withColumn("_row", F.monotonically_increasing_id()), "marked")
-    plain = plain.unionByName(marked.where(F.size("_found") == 0).select(*columns, F.lit(0).alias("n_entities")))
-    marked = marked.where(F.size("_found") > 0)
+    if not key:
+        raise ValueError("a key is needed")
+    while count_col in docs.columns:
+        count_col += "_"
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.lit(0).alias("folioflow_row"))
+    docs, names = docs.select(others.alias("doc"), F.col(f"`{text_col}`").alias("text")), docs.columns
+
+    def whole(df: DataFrame, text: Column, count: Column) -> DataFrame:
+        return df.select(*[(text if c == text_col else F.col("doc").getField(c)).alias(c) for c in names], count.cast("int").alias(count_col))
+
+    text = F.col("text")
+    plain = docs.where(~F.coalesce(has_cue(text), F.lit(False)))
+    marked = docs.where(has_cue(text)).select("doc", "text", _cut(text).alias("cut")).select("doc", F.when(F.size("cut.found") == 0, F.col("text")).alias("text"), "cut.found", "cut.gap")
+    marked = saved(marked.withColumn("row", F.monotonically_increasing_id()), "marked")
+    out = whole(plain, text, F.lit(0)).unionByName(whole(marked.where(F.size("found") == 0), text, F.lit(0)))
+    marked = marked.where(F.size("found") > 0)
 
     def behind(f: Column, k: Column) -> Column:
-        before = F.concat(F.coalesce(F.get(F.col("_found"), k - 1), F.lit("")), F.get(F.col("_gap"), k))
+        before = F.concat(F.coalesce(F.get(F.col("found"), k - 1), F.lit("")), F.get(F.col("gap"), k))
         return F.struct(f.alias("found"), F.substring(before, -32, 32).alias("before"))
 
-    each = marked.select("_row", F.posexplode(F.transform("_found", behind)).alias("pos", "e")).select("_row", "pos", "e.*")
-    each = each.select("_row", "pos", "found", kind_of(F.col("found"), F.col("before").rlike(rf"{KEY}\z")).alias("kind"))
-    each = each.where(_holds(F.col("kind"), F.col("found")))
-    parts = each.select("_row", "pos", F.posexplode(_tokens(F.col("kind"), F.col("found"), key)).alias("k", "part")).select("_row", "pos", "k", "part.*")
+    each = marked.select("row", F.posexplode(F.transform("found", behind)).alias("pos", "e")).select("row", "pos", "e.*")
+    each = each.select("row", "pos", "found", kind_of(F.col("found"), F.col("before").rlike(rf"{KEY}\z")).alias("kind"))
+    each = each.withColumn("kind", F.when(_holds(F.col("kind"), F.col("found")), F.col("kind")))  # others stay as they are
+    parts = each.select("row", "pos", F.posexplode(_tokens(F.col("kind"), F.col("found"), key)).alias("k", "part")).select("row", "pos", "k", "part.*")
     parts = saved(parts, "parts")
     known = dictionary(parts.where("kind is not null"), key)
-    new = parts.join(known, ["kind", "value"], "left").select(
-        "_row", "pos", "k",
-        F.when(F.col("surrogate").isNull(), F.col("text")).otherwise(_spelled(F.col("kind"), F.col("text"), F.col("surrogate"))).alias("text"),
-    )
-    words = F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"])
-    whole = new.groupBy("_row", "pos").agg(F.array_join(words, " ").alias("text"))
-    by_row = whole.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("pos", "text"))).alias("_new"))
-    joined = marked.join(by_row, "_row", "left")
-    changed = F.transform(F.col("_found"), lambda f, k: F.coalesce(F.col("_new")[k], f))
-    rebuilt = F.concat(
-        F.element_at("_gap", 1),
-        F.array_join(F.zip_with(F.col("_changed"), F.slice("_gap", 2, F.size("_found")), lambda x, y: F.concat(x, y)), ""),
-    )
-    done = (
-        joined.withColumn("_changed", changed)
-        .withColumn(text_col, rebuilt)
-        .withColumn("n_entities", F.coalesce(F.size("_new"), F.lit(0)))
-        .select(*columns, "n_entities")
-    )
-    return plain.unionByName(done)
+    spelled = F.when(F.col("surrogate").isNull(), F.col("text")).otherwise(_spelled(F.col("kind"), F.col("text"), F.col("surrogate")))
+    new = parts.join(known, ["kind", "value"], "left").select("row", "pos", "k", "kind", "value", "surrogate", spelled.alias("text"))
+    words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), " ")
+    called = F.collect_set(F.when(F.col("kind").startswith("name"), F.struct("value", "kind", "surrogate")))
+    by_pos = new.groupBy("row", "pos").agg(words.alias("text"), called.alias("called"), F.max(F.col("kind").isNotNull()).alias("held"))
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])
+    names_of = F.sort_array(F.array_distinct(F.flatten(F.collect_list("called"))))
+    by_row = by_pos.groupBy("row").agg(in_order.alias("new"), names_of.alias("called"), F.count_if("held").alias("n"))
+    first = F.filter("called", lambda c, k: (k == 0) | (c["value"] != F.get(F.col("called"), k - 1)["value"]))  # one surrogate per word
+    mentions = F.map_from_entries(F.transform(first, lambda c: F.struct(c["value"], c["surrogate"])))
+    joined = marked.join(by_row.select("row", "new", "n", mentions.alias("mentions")), "row")
+    gaps = F.when(F.size("mentions") > 0, F.transform("gap", lambda g: _mentions(g, F.col("mentions")))).otherwise(F.col("gap"))
+    joined = joined.withColumn("kept", gaps)
+    rebuilt = F.concat(F.element_at("kept", 1), F.array_join(F.zip_with("new", F.slice("kept", 2, F.size("new")), lambda x, y: F.concat(x, y)), ""))
+    return out.unionByName(whole(joined, rebuilt, F.col("n")))
+
+
+#: The key of the registered query and of the pipeline; who releases a corpus chooses a secret one.
+PUBLIC_KEY = "a public key for tests"
 
 
 def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with surrogates for personal data and secrets."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return replace_entities(docs)
+    return replace_entities(docs, PUBLIC_KEY)

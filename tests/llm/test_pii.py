@@ -25,7 +25,7 @@ def luhn(s):
 @pytest.fixture(scope="module")
 def got(spark):
     df = spark.createDataFrame(ROWS, "doc_id long, text string").withColumns({"kind": F.lit(1), "value": F.lit(2), "pos": F.lit(3)})
-    rows = pii.replace_entities(df).collect()
+    rows = pii.replace_entities(df, "k").collect()
     assert len(rows) == len(ROWS) and rows[0].kind == 1
     return {r.doc_id: r for r in rows}
 
@@ -74,13 +74,13 @@ MORE = [
 
 
 def test_entities_that_look_like_others_or_have_other_forms(spark):
-    rows = {r.doc_id: r for r in pii.replace_entities(spark.createDataFrame([m[:2] for m in MORE], "doc_id long, text string")).collect()}
+    rows = {r.doc_id: r for r in pii.replace_entities(spark.createDataFrame([m[:2] for m in MORE], "doc_id long, text string"), "k").collect()}
     for i, old, want in MORE:
         assert re.fullmatch(want, rows[i].text), (old, rows[i].text)
         assert not set(re.findall(r"[A-Za-z0-9:]{5,}", old)) & set(re.findall(r"[A-Za-z0-9:]{5,}", rows[i].text)) - {"token", "password", "password:", "api_key"}
     assert [rows[i].n_entities for i in range(1, 7)] == [1, 1, 3, 2, 3, 2]
     code = "Use std::move, dead::beef, a[1::2] and 12:30::"
-    same = pii.replace_entities(spark.createDataFrame([(1, code)], "doc_id long, text string")).first()
+    same = pii.replace_entities(spark.createDataFrame([(1, code)], "doc_id long, text string"), "k").first()
     assert same.text == code and same.n_entities == 0
 
 
@@ -107,4 +107,36 @@ def test_key_and_empty(spark, no_docs):
     df = spark.createDataFrame(ROWS[:1], "doc_id long, text string")
     one, other = (pii.replace_entities(df, key=k).first().text for k in ("a", "b"))
     assert one != other
-    assert pii.replace_entities(no_docs).count() == 0
+    assert pii.replace_entities(no_docs, "k").count() == 0
+    with pytest.raises(ValueError):
+        pii.replace_entities(df, "")
+
+
+HOSTILE = ["x@" + "a." * 20_000 + "1 end", "a@" * 200_000, "1." * 200_000, "AB12 " + "CD34 " * 100_000, "+1 " + "23 " * 200_000, "A. " * 200_000, "Mr. " + "Ab " * 200_000, "a:" * 200_000, "secret=" * 100_000, "eyJ" * 200_000, "x" * 1_000_000]
+
+
+def test_hostile_texts(spark):
+    rows = pii.replace_entities(spark.createDataFrame(list(enumerate(HOSTILE)), "doc_id long, text string").repartition(4), "k").collect()
+    assert len(rows) == len(HOSTILE)
+    assert {r.doc_id: r.text for r in rows}[10] == HOSTILE[10]
+
+
+def test_mentions_of_names_and_their_gender(spark):
+    rows = [
+        (1, "Mary Smith went home. Later Smith met Mary. SMITH's and Mary’s day, a blacksmith, Smithson, smith."),
+        (2, "Dr. Kim Lee spoke. Kim left."), (3, "Smith is no name here, \x01\x02 nor Mary"), (4, "Mr. John Smith \x01\x02 and John."),
+    ]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, _score int, n_entities int")
+    got = {r.doc_id: r for r in pii.replace_entities(df, "k").collect()}
+    m = re.fullmatch(r"(\w+) (\w+) went home\. Later \2 met \1\. ([A-Z]+)'s and \1’s day, a blacksmith, Smithson, smith\.", got[1].text)
+    assert m and m[3] == m[2].upper() and m[1].endswith(pii.LATIN_ENDS["f"]) and "Mary" not in got[1].text
+    m = re.fullmatch(r"Dr\. (\w+) (\w+) spoke\. \1 left\.", got[2].text)
+    assert m and m[1].endswith(pii.LATIN_ENDS["n"])
+    assert got[3].text == rows[2][1] and re.fullmatch("Mr\\. (\\w+) \\w+ \x01\x02 and \\1\\.", got[4].text)
+    assert all(r._score == 1 and r.n_entities == 2 for r in got.values()) and got[4].n_entities_ == 1
+
+
+def test_dense_private_addresses(spark):
+    ips = spark.range(64_516).select(F.lit("ip").alias("kind"), F.concat_ws(".", F.lit("192.168"), F.expr("string(1 + id div 254)"), F.expr("string(1 + id % 254)")).alias("value"))
+    rows = pii.dictionary(ips, "k").collect()
+    assert len({r.surrogate for r in rows}) == 64_516 and not {r.value for r in rows} & {r.surrogate for r in rows}
