@@ -5,43 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import distinct_ids, saved, table, without_ids
+from folioflow.llm.common import numbered, saved, table, without_ids
 from folioflow.llm.mixing import mix_sources
-from folioflow.llm.ngram_join import similar_groups
+from folioflow.llm.ngram_join import shingle_components
 from folioflow.llm.packing import pack, word_count
-from folioflow.llm.pii import replace_entities
-from folioflow.llm.quality import score_quality
+from folioflow.llm.pii import PUBLIC_KEY, replace_entities
+from folioflow.llm.quality import fit_quality, with_score
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+KEPT = ("lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
-    docs, given_id = distinct_ids(docs.select(*COLUMNS), "doc_id", "text")
-    verdicts = score_quality(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select("doc_id").distinct()
-    return without_ids(docs, verdicts, "doc_id").withColumn("doc_id", given_id("doc_id"))
+    model = fit_quality(docs, table(spark, sf_dir, "labels"))
+    return with_score(docs, model, keep=COLUMNS).where("score >= 0.5").select(*COLUMNS)
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies (five words, similarity 0.8) the document with the smallest id."""
-    docs, given_id = distinct_ids(docs.select(*COLUMNS), "doc_id", "text")
-    groups = similar_groups(docs, size=5, percent=80)
-    others = groups.where("component_id != doc_id").select("doc_id").distinct()
-    return without_ids(docs, others, "doc_id").withColumn("doc_id", given_id("doc_id"))
+    """Of each component of near copies (five words, similarity 0.8) the row with the smallest id."""
+    rows, _, given = numbered(docs, "doc_id", "text", KEPT)
+    groups = shingle_components(rows, size=5, percent=80)
+    others = groups.where("component != id").select("id")
+    return given(without_ids(rows, others, "id"), id="doc_id").select(*COLUMNS)
 
 
 def surrogates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents with surrogates for personal data and secrets."""
-    return replace_entities(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return replace_entities(docs.select(*COLUMNS), PUBLIC_KEY).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture of sources takes it."""
-    docs, given_id = distinct_ids(docs.select(*COLUMNS), "doc_id", "text")
-    sizes = docs.select("doc_id", "source", word_count().alias("size"))
-    copies = mix_sources(sizes).groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    taken = docs.join(copies.where("copies > 0"), "doc_id")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS).withColumn("doc_id", given_id("doc_id"))
+    rows, _, given = numbered(docs, "doc_id", "text", KEPT)
+    copies = mix_sources(rows.select("id", "source", word_count().alias("size")), id_col="id").where("copies > 0")
+    taken = rows.join(copies.select(F.col("doc_id").alias("id"), "copies"), "id")
+    return given(taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))), id="doc_id").select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
