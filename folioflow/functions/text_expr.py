@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 WORD_CHAR = r"[\p{L}\p{N}_]"
 SPACE = r"[\s\x{85}\p{Z}\x1c-\x1f]"
+#: The characters of SPACE, for functions that take a set.
+SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+OTHER_SPACE = r"[\t\n\x0b\f\r\x{85}\x1c-\x1f\p{Z}&&[^ ]]"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 STARTS = rf"(?<!{WORD_CHAR})"
 ENDS = rf"(?:(?<={WORD_CHAR})(?!{WORD_CHAR})|(?<!{WORD_CHAR})(?={WORD_CHAR}))"
@@ -32,12 +35,12 @@ def found(c: Column, pattern: str) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space at both ends, line breaks and Unicode spaces included."""
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def squeeze(c: Column) -> Column:
     """White-space runs as single spaces, none at the ends."""
-    return strip(F.regexp_replace(c, rf"{SPACE}+", " "))
+    return strip(F.regexp_replace(c, rf" *{OTHER_SPACE}{SPACE}*| {{2,}}", " "))  # a single space needs no change
 
 
 def word_count(c: Column) -> Column:
@@ -72,7 +75,7 @@ def question_terms(c: Column, stop_words: tuple[str, ...]) -> Column:
 
 def raw_sentences(c: Column) -> Column:
     """Runs up to a full stop, question or exclamation mark; a dot between two digits ends nothing."""
-    kept = F.regexp_replace(text_or_empty(c), r"(?<=\p{Nd})\.(?=\p{Nd})", DECIMAL_DOT)
+    kept = F.regexp_replace(text_or_empty(c), r"\.(?<=\p{Nd}\.)(?=\p{Nd})", DECIMAL_DOT)
     return F.transform(F.regexp_extract_all(kept, F.lit(SENTENCE), F.lit(0)), lambda s: F.replace(s, F.lit(DECIMAL_DOT), F.lit(".")))
 
 

@@ -79,48 +79,52 @@ def is_heading_line(line: Column) -> Column:
 HEADING_LETTERS = max(sum(c.isalpha() for c in h) for h in HEADINGS)
 
 
-def _joins(current: Column, x: Column) -> Column:
-    """Whether line x continues the current one. Letters and words of the current line are counted along, so that a
-    line which has grown long isn't read again."""
-    now = current["now"]
-    return ~(
-        x["h"]
-        | x["i"]
-        | F.right(now, F.lit(1)).isin(".", "!", "?", ":", ";")
-        | (x["u"] & (current["words"] <= 6))
-        | ((current["letters"] <= HEADING_LETTERS) & is_heading_line(now))
-        | now.rlike(LIST_ITEM)
-    )
-
-
 def fix_broken_lines(df: DataFrame, col: str) -> DataFrame:
-    """Join lines of a paragraph that belong together, from left to right; blank paragraphs go."""
+    """Join lines of a paragraph that belong together, from left to right; blank paragraphs go.
+
+    A line stands alone after a line with a final mark, and if it is a heading or a list item. Only what lies between
+    such breaks is folded: there the words and letters so far decide, and the joined line itself only while it is
+    short enough for a heading. The fold gathers where lines begin, so no text grows in it.
+    """
     own = F.transform(
         F.split(T.text_or_empty(F.col(col)), "\n\n"),
         lambda p: F.filter(F.transform(F.split(p, "\n"), lambda l: T.strip(l)), lambda l: l != ""),
     )
     df = df.withColumn("_own", F.filter(own, lambda p: F.size(p) > 0))
-    flags = lambda l: F.struct(
-        l.alias("l"), is_heading_line(l).alias("h"), l.rlike(LIST_ITEM).alias("i"), l.rlike(r"^\p{Lu}").alias("u"),
-        F.length(F.regexp_replace(F.lower(l), "[^a-z]+", "")).alias("letters"), F.size(T.space_words(l)).alias("words"),
+    counts = lambda l: F.struct(l.alias("l"), F.length(F.regexp_replace(F.lower(l), "[^a-z]+", "")).alias("letters"))
+    flags = lambda x: F.struct(
+        x["l"].alias("l"), ((x["letters"] <= HEADING_LETTERS) & is_heading_line(x["l"])).alias("h"), x["l"].rlike(LIST_ITEM).alias("i"),
+        x["l"].rlike(r"^\p{Lu}").alias("u"), F.right(x["l"], F.lit(1)).isin(".", "!", "?", ":", ";").alias("e"),
+        x["letters"].alias("letters"), F.size(F.split(x["l"], rf"{T.SPACE}+")).alias("words"),
     )
-    df = df.withColumn("_known", F.transform("_own", lambda p: F.transform(p, flags)))
+    df = df.withColumn("_known", F.transform("_own", lambda p: F.transform(F.transform(p, counts), flags)))
 
-    def line(done: Column, now: Column, letters: Column, words: Column) -> Column:
-        return F.struct(done.alias("done"), now.alias("now"), letters.alias("letters"), words.alias("words"))
+    def line(begins: Column, now: Column, item: Column, letters: Column, words: Column, k: Column) -> Column:
+        return F.struct(begins.alias("begins"), now.alias("now"), item.alias("item"), letters.alias("letters"), words.alias("words"), k.alias("k"))
 
     def step(acc: Column, x: Column) -> Column:
-        joined = line(acc["done"], F.concat_ws(" ", acc["now"], x["l"]), acc["letters"] + x["letters"], acc["words"] + x["words"])
-        apart = line(F.array_append(acc["done"], acc["now"]), x["l"], x["letters"], x["words"])
-        return F.when(_joins(acc, x), joined).otherwise(apart)
-
-    def fold(p: Column) -> Column:
-        first = F.element_at(p, 1)
-        start = line(F.array().cast("array<string>"), first["l"], first["letters"], first["words"])
-        rest = F.slice(p, 2, F.greatest(F.size(p), F.lit(1)))
-        return F.aggregate(rest, start, step, lambda a: F.array_join(F.array_append(a["done"], a["now"]), "\n"))
-
-    return df.withColumn(col, T.strip(F.array_join(F.transform("_known", fold), "\n\n"))).drop("_own", "_known")
+        k = acc["k"] + 1
+        alone = x["b"] | acc["item"] | (x["u"] & (acc["words"] <= 6)) | ((acc["letters"] <= HEADING_LETTERS) & is_heading_line(acc["now"]))
+        letters = acc["letters"] + x["letters"]
+        now = F.when(letters <= HEADING_LETTERS, F.concat_ws(" ", acc["now"], x["l"])).otherwise("")
+        joined = line(acc["begins"], now, acc["item"], letters, acc["words"] + x["words"], k)
+        return F.when(alone, line(F.array_append(acc["begins"], k), x["l"], x["i"], x["letters"], x["words"], k)).otherwise(joined)
+
+    def begins(p: Column) -> Column:
+        """Which lines of a paragraph begin a new one."""
+        breaks = F.transform(p, lambda x, i: F.struct(
+            x["l"].alias("l"), x["i"].alias("i"), x["u"].alias("u"), x["letters"].alias("letters"), x["words"].alias("words"),
+            (x["h"] | x["i"] | ((i > 0) & F.get(p, i - 1)["e"])).alias("b"),
+        ))
+        none = line(F.array().cast("array<int>"), F.lit(""), F.lit(True), F.lit(0), F.lit(0), F.lit(-1))
+        return F.aggregate(breaks, none, step, lambda a: a["begins"])
+
+    df = df.withColumn("_begins", F.transform("_known", begins))
+    cut = F.zip_with("_own", "_begins", lambda p, b: F.struct(p.alias("p"), b.alias("b")))
+    lines = F.transform(cut, lambda c: F.array_join(F.transform(
+        c["b"], lambda i, k: F.array_join(F.slice(c["p"], i + 1, F.coalesce(F.get(c["b"], k + 1), F.size(c["p"])) - i), " ")
+    ), "\n"))
+    return df.withColumn(col, T.strip(F.array_join(lines, "\n\n"))).drop("_own", "_known", "_begins")
 
 
 def clean_text(df: DataFrame, text_col: str = "text", out_col: str = "cleaned_text", min_repetitions: int = 3) -> DataFrame:

@@ -23,7 +23,12 @@ RULES = {
 # Warnings.
 NO_TEXT = "No text was available for research information extraction."
 NO_PATTERN = "No research information patterns were detected with local rules."
-ANY_KEYWORD = rf"(?<!{T.WORD_CHAR})(?:{'|'.join(sorted({k for _, ks in RULES.values() for k in ks}))})(?!{T.WORD_CHAR})"
+KEYWORDS = sorted({k for _, ks in RULES.values() for k in ks})
+#: Keywords as whole words at a place, seen from before it, so that they may overlap: none of one kind begins another of
+#: that kind, and a phrase may begin with a word.
+SINGLE, PHRASE = (
+    rf"(?<!{T.WORD_CHAR})(?=({'|'.join(k for k in KEYWORDS if (' ' in k) == phrase)})(?!{T.WORD_CHAR}))" for phrase in (False, True)
+)
 
 
 def clean_unit(c: Column) -> Column:
@@ -45,10 +50,14 @@ def candidate_units(c: Column) -> Column:
     return F.transform(F.filter(F.flatten(F.transform(parts, units)), lambda u: u.rlike(T.ANALYSIS_WORD)), clean_unit)
 
 
-def _matched(unit: Column, field: str) -> Column:
+def found_keywords(unit: Column) -> Column:
+    """All keywords of all fields in a unit: two searches, whatever the number of keywords."""
     low = F.lower(unit)
-    found = [F.when(low.rlike(rf"(?<!{T.WORD_CHAR}){k}(?!{T.WORD_CHAR})"), k) for k in RULES[field][1]]
-    matched = F.filter(F.array(*found), lambda k: k.isNotNull())
+    return F.concat(*[F.regexp_extract_all(low, F.lit(p), F.lit(1)) for p in (SINGLE, PHRASE)])
+
+
+def _matched(unit: Column, found: Column, field: str) -> Column:
+    matched = F.array_intersect(F.array(*map(F.lit, RULES[field][1])), found)
     if "question" in RULES[field][1]:
         matched = F.when(unit.contains("?") & ~F.array_contains(matched, "question"), F.array_append(matched, F.lit("question"))).otherwise(matched)
     return matched
@@ -65,9 +74,10 @@ def extract_research_information(sections: DataFrame, *keys: str, max_items_per_
     kind = F.coalesce(F.nullif(F.lower(T.strip(F.col("section_type"))), F.lit("")), F.lit("unknown"))
     name = F.coalesce(F.nullif(T.strip(F.col("section_name")), F.lit("")), F.lit("Unknown"))
     units = T.exploded(sections, candidate_units(F.col("text")), "unit_pos", "unit", *keys, "section_pos", kind.alias("kind"), name.alias("source_section"))
-    units = units.where(F.lower("unit").rlike(ANY_KEYWORD) | F.col("unit").contains("?") | F.col("kind").isin(*RULES["methodology"][0]))
+    units = units.withColumn("_found", found_keywords(F.col("unit")))
+    units = units.where((F.size("_found") > 0) | F.col("unit").contains("?") | F.col("kind").isin(*RULES["methodology"][0]))
     fields = F.array(*[
-        F.struct(F.lit(f).alias("field"), F.col("kind").isin(*RULES[f][0]).alias("preferred"), _matched(F.col("unit"), f).alias("matched_keywords")) for f in RULES
+        F.struct(F.lit(f).alias("field"), F.col("kind").isin(*RULES[f][0]).alias("preferred"), _matched(F.col("unit"), F.col("_found"), f).alias("matched_keywords")) for f in RULES
     ])
     rows = units.select("*", F.explode_outer(fields).alias("_f")).select(*keys, "section_pos", "unit_pos", "unit", "source_section", "_f.*")
     rows = rows.where((F.size("matched_keywords") > 0) | ((F.col("field") == "methodology") & F.col("preferred")))

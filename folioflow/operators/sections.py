@@ -20,25 +20,43 @@ ALIASES = {
 }
 # Chapter numbers of theses.
 CHAPTERS = {"4": "results", "5": "discussion", "6": "conclusion"}
+# What a heading line looks like, what opens the references and results, and the longest title.
 NUMBERED_HEADING = r"^\s*(?:\p{Nd}+(?:\.\p{Nd}+)*[.)]?\s+)?([A-Za-z][A-Za-z &/-]{2,80})\s*:?\s*$"
+REFERENCES = ("references", "bibliography", "works cited")
+RESULTS = "^(?:results of |findings from |findings of )"
 MAX_TITLE_LENGTH = 180
+#: The same openings in a lower-case line whose other characters aren't taken out yet.
+REFERENCES_RAW = "^(?:" + "|".join("[^a-z0-9 &/-]*".join(" +" if c == " " else c for c in r) for r in REFERENCES) + ")"
 
 
 def _plain(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(T.strip(c)), "[^a-z0-9 &/-]+", ""), r"\s+", " ")
 
 
+def heading_parts(line: Column) -> Column:
+    """Of a stripped line: itself, whether it opens the references, and its plain heading, null if it has none. The
+    heading is made here once, for lines of the right form only."""
+    opens = F.lower(line).rlike(rf"(?s)^[^a-z0-9 &/-]*+{REFERENCES_RAW[1:]}")
+    return F.struct(
+        line.alias("line"), opens.alias("opens"),
+        F.when(~opens & line.rlike(NUMBERED_HEADING), _plain(F.regexp_extract(line, NUMBERED_HEADING, 1))).alias("heading"),
+    )
+
+
+def kind_of(parts: Column) -> Column:
+    """The section type that a line with these parts opens, or null."""
+    aliases = F.create_map(*[F.lit(x) for kind, names in ALIASES.items() for name in names for x in (name, kind)])
+    other = F.when(parts["heading"].rlike(RESULTS), "results")
+    for number, name in CHAPTERS.items():
+        other = other.when(parts["line"].rlike(rf"^\s*{number}(?:\.\p{{Nd}}+)+"), name)
+    return F.when(parts["opens"], "references").when(
+        parts["heading"].isNotNull(), F.coalesce(F.try_element_at(aliases, parts["heading"]), other)
+    )
+
+
 def classify_heading(line: Column) -> Column:
     """The section type that a line opens, or null."""
-    heading = _plain(F.regexp_extract(line, NUMBERED_HEADING, 1))
-    kind = F.when(F.regexp_count(_plain(line), F.lit("^(?:references|bibliography|works cited)")) > 0, "references")
-    kind = kind.when(~line.rlike(NUMBERED_HEADING), F.lit(None))
-    for name, aliases in ALIASES.items():
-        kind = kind.when(heading.isin(*aliases), name)
-    kind = kind.when(heading.rlike("^(?:results of |findings from |findings of )"), "results")
-    for number, name in CHAPTERS.items():
-        kind = kind.when(line.rlike(rf"^\s*{number}(?:\.\p{{Nd}}+)+"), name)
-    return kind
+    return F.get(F.transform(F.transform(F.array(line), heading_parts), kind_of), F.lit(0))
 
 
 def is_probable_title(line: Column) -> Column:
@@ -61,15 +79,19 @@ def detect_sections(df: DataFrame, text_col: str = "cleaned_text", out_col: str
     """
     text = T.text_or_empty(F.col(text_col))
     df = df.withColumn("_text", text).withColumn("_lines", T.lines(F.col("_text")))
-    df = df.withColumn("_types", F.transform("_lines", lambda l: classify_heading(T.strip(l))))
+    parts = F.transform(F.transform("_lines", lambda l: T.strip(l)), heading_parts)
+    df = df.withColumn("_types", F.transform(parts, kind_of))
     n, lines, types = F.size("_lines"), F.col("_lines"), F.col("_types")
     numbers = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     df = df.withColumn("_heads", F.filter(numbers, lambda i: F.get(types, i).isNotNull()))
     df = df.withColumn("_first", F.get(F.filter(numbers, lambda i: T.strip(F.get(lines, i)) != ""), F.lit(0)))
-    # character offsets of all lines from one running sum, and trimmed headings, each made once
-    df = df.withColumn("_at", F.aggregate(
-        F.transform("_lines", lambda l: F.length(l)), F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x + 1)
-    ))
+    # character offsets: a running sum that is kept at headings only, and what blank lines take before the first line
+    sum_at = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("heads"))
+    marked = F.zip_with("_lines", "_types", lambda l, t: F.struct(F.length(l).alias("n"), t.isNotNull().alias("head")))
+    df = df.withColumn("_at", F.aggregate(marked, sum_at, lambda acc, x: F.struct(
+        (acc["at"] + x["n"] + 1).alias("at"), F.when(x["head"], F.array_append(acc["heads"], acc["at"])).otherwise(acc["heads"]).alias("heads")
+    )))
+    df = df.withColumn("_blank", F.aggregate(F.slice("_lines", 1, F.coalesce("_first", F.lit(0))), F.lit(0), lambda t, l: t + F.length(l) + 1))
     heads, at, first = F.col("_heads"), F.col("_at"), F.col("_first")
 
     def section(kind, heading, body, first, last, begin, end, sure) -> Column:
@@ -81,15 +103,16 @@ def detect_sections(df: DataFrame, text_col: str = "cleaned_text", out_col: str
 
     def under(s: Column) -> Column:
         h, last = s["h"], s["last"]
-        body = T.strip(F.array_join(F.transform(F.slice(lines, h + 2, last - h), lambda l: F.regexp_replace(l, rf"{T.SPACE}+\z", "")), "\n"))
-        return section(s["type"], s["heading"], body, h, last, F.get(at, h), F.get(at, last + 1) - 1, 0.95)
+        body = T.strip(F.array_join(F.transform(F.slice(lines, h + 2, last - h), lambda l: F.rtrim(l, F.lit(T.SPACES))), "\n"))
+        return section(s["type"], s["heading"], body, h, last, s["begin"], s["end"] - 1, 0.95)
 
     spans = F.transform(heads, lambda h, k: F.struct(
-        h.alias("h"), (F.coalesce(F.get(heads, k + 1), n) - 1).alias("last"), F.get(types, h).alias("type"), T.strip(F.get(lines, h)).alias("heading")
+        h.alias("h"), (F.coalesce(F.get(heads, k + 1), n) - 1).alias("last"), F.get(types, h).alias("type"), T.strip(F.get(lines, h)).alias("heading"),
+        F.get(at["heads"], k).alias("begin"), F.coalesce(F.get(at["heads"], k + 1), at["at"]).alias("end"),
     ))
     df = df.withColumn("_spans", spans).withColumn("_title", T.strip(F.get(lines, first)))
     df = df.withColumn("_titled", F.coalesce(is_probable_title(F.col("_title")), F.lit(False)))
-    title = section(F.lit("title"), F.lit("Title"), F.col("_title"), first, first, F.get(at, first), F.get(at, first + 1) - 1, 0.75)
+    title = section(F.lit("title"), F.lit("Title"), F.col("_title"), first, first, F.col("_blank"), F.col("_blank") + F.length(F.get(lines, first)), 0.75)
     unknown = section(
         F.lit("unknown"), F.lit("Unknown"), T.strip(F.col("_text")), F.lit(0), F.greatest(n - 1, F.lit(0)),
         F.lit(0), F.length("_text"), 0.0,
@@ -103,7 +126,7 @@ def detect_sections(df: DataFrame, text_col: str = "cleaned_text", out_col: str
         .otherwise(F.array(unknown))
     )
     return df.withColumn(out_col, sections).drop(
-        "_text", "_lines", "_types", "_heads", "_first", "_at", "_spans", "_title", "_titled", "_body"
+        "_text", "_lines", "_types", "_heads", "_first", "_at", "_blank", "_spans", "_title", "_titled", "_body"
     )
 
 

@@ -29,11 +29,13 @@ def heading_prefix(openers: tuple[str, ...]) -> str:
 def trim_heading(sentence: Column, openers: tuple[str, ...], enough) -> Column:
     """A sentence without the numbered heading before it, if what is left is long enough."""
     rest = T.strip(F.regexp_extract(sentence, heading_prefix(openers), 1))
-    return F.when((rest != "") & enough(rest), rest).otherwise(sentence)
+    numbered = sentence.rlike(r"^\s*\p{Nd}")  # few sentences are, and only those are searched further
+    return F.when(numbered & (rest != "") & enough(rest), rest).otherwise(sentence)
 
 
 def clean_sentence(sentence: Column) -> Column:
-    plain = T.squeeze(F.regexp_replace(sentence, r"https?://[^\s\x{85}\p{Z}\x1c-\x1f]+", ""))
+    bare = F.when(sentence.contains("http"), F.regexp_replace(sentence, r"https?://[^\s\x{85}\p{Z}\x1c-\x1f]+", "")).otherwise(sentence)
+    plain = T.squeeze(bare)
     return trim_heading(plain, OPENERS, lambda rest: T.analysis_word_count(rest) >= 6)
 
 
@@ -42,9 +44,9 @@ def split_sentences(c: Column) -> Column:
     return F.transform(F.filter(T.raw_sentences(c), lambda s: s.rlike(T.ANALYSIS_WORD)), clean_sentence)
 
 
-def is_candidate(sentence: Column) -> Column:
-    s = T.strip(sentence)
-    low = F.lower(s)
+def is_candidate(sentence: Column, words: Column) -> Column:
+    """Whether a cleaned sentence, which has no space at its ends, can stand in a summary."""
+    s, low = sentence, F.lower(sentence)
     bad = s.rlike(r"\A[,;:)\]]") | low.rlike(rf"{T.STARTS}figure\s+x(?!{T.WORD_CHAR})")
     for text in PLACEHOLDERS:
         bad = bad | low.contains(text)
@@ -55,7 +57,42 @@ def is_candidate(sentence: Column) -> Column:
     for mark in BULLETS:
         bad = bad | (F.length(s) - F.length(F.replace(s, F.lit(mark), F.lit(""))) >= 2)
     bad = bad | sentence.rlike(rf"^\s*{NUMBERED}\s+\S+(?:\s+\S+){{0,5}}\s*$")
-    return (T.analysis_word_count(sentence) >= 3) & ~bad
+    return (words >= 3) & ~bad
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with the value made once: a lambda's variable isn't evaluated again where it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _runs(rows: Column, field: str) -> Column:
+    """The slices of a sorted array of structs in which `field` is equal."""
+    starts = F.filter(
+        F.sequence(F.lit(0), F.greatest(F.size(rows) - 1, F.lit(0))),
+        lambda i: (i < F.size(rows)) & ((i == 0) | (F.get(rows, i)[field] != F.get(rows, i - 1)[field])),
+    )
+    return _let(starts, lambda at: F.transform(at, lambda i, k: F.slice(rows, i + 1, F.coalesce(F.get(at, k + 1), F.size(rows)) - i)))
+
+
+def _sentence_scores(sentences: Column, text: Column) -> Column:
+    """A score per sentence.
+
+    Tokens of the section, with index -1, and of the sentences are sorted together: in each run of one token those of
+    the section give the frequency of the others. A second sort brings these back to the sentences, each of which has
+    a row of its own without a frequency, so that sentences without a keyword score 0.
+    """
+    token = lambda i, ts: F.transform(ts, lambda t: F.struct(t.alias("token"), i.cast("int").alias("index")))
+    parts = F.flatten(F.transform(sentences, lambda s, i: token(i, keyword_tokens(s))))
+    tokens = F.sort_array(F.concat(token(F.lit(-1), keyword_tokens(text)), parts))
+    counted = F.transform(_let(tokens, lambda t: _runs(t, "token")), lambda r: F.struct(r.alias("r"), F.size(F.filter(r, lambda x: x["index"] < 0)).alias("f")))
+    found = F.flatten(F.transform(counted, lambda c: F.transform(F.filter(c["r"], lambda x: x["index"] >= 0), lambda x: F.struct(x["index"].alias("index"), c["f"].alias("f")))))
+    every = F.concat(found, F.transform(sentences, lambda _, i: F.struct(i.cast("int").alias("index"), F.lit(None).cast("int").alias("f"))))
+
+    def score(r: Column) -> Column:
+        total = F.aggregate(r, F.lit(0).cast("long"), lambda t, x: t + F.coalesce(x["f"], F.lit(0)))
+        return F.when(F.size(r) > 1, F.round(total / (F.size(r) - 1) + 0.1 / (F.get(r, F.lit(0))["index"] + 1), 6)).otherwise(0.0)
+
+    return F.transform(_let(F.sort_array(every), lambda e: _runs(e, "index")), score)
 
 
 def summarize_sections(
@@ -65,31 +102,15 @@ def summarize_sections(
 
     A sentence scores the mean frequency of its keywords in the section, and a bonus for being early. In order of
     score, sentences are taken while they fit in `max_words`; of those the first `max_sentences` stay, in text order.
-    `keys` with section_pos identify a section. Tokens are dealt out once, by section and token; scores come back to
-    the section's row, where the choice is made.
+    Everything happens within the section's row: nothing is shuffled.
     """
     if max_sentences < 1 or max_words < 1:
         raise ValueError("summary limits must be positive")
-    own = [*keys, "section_pos"]
     rows = sections.where(F.col("section_type").isin(*SECTION_TYPES)).withColumn("_sentences", split_sentences(F.col(text_col)))
-    # tokens of the section have index -1 and give the frequencies that the sentences' tokens are scored with
-    token = lambda i, ts: F.transform(ts, lambda t: F.struct(i.cast("int").alias("index"), t.alias("token")))
-    whole = token(F.lit(-1), keyword_tokens(F.col(text_col)))
-    parts = F.flatten(F.transform("_sentences", lambda s, i: token(i, keyword_tokens(s))))
-    tokens = T.exploded(rows, F.concat(whole, parts), "_k", "_t", *own).select(*own, "_t.*")
-    frequency = F.count(F.when(F.col("index") < 0, 1)).over(Window.partitionBy(*own, "token"))
-    scores = (
-        tokens.withColumn("f", frequency).where("index >= 0").groupBy(*own, "index")
-        .agg(F.round(F.sum("f") / F.count(F.lit(1)) + 0.1 / (F.col("index") + 1), 6).alias("score"))
-        .groupBy(*own).agg(F.map_from_entries(F.collect_list(F.struct("index", "score"))).alias("_scores"))
-    )
-    rows = rows.join(scores, own, "left")
-    each = F.transform("_sentences", lambda s, i: F.struct(s.alias("sentence"), i.cast("int").alias("index"), is_candidate(s).alias("ok")))
-    known = F.coalesce("_scores", F.create_map().cast("map<int,double>"))
-    ranked = F.transform(
-        F.filter(each, lambda x: x["ok"]),
-        lambda x: F.struct((-F.coalesce(F.try_element_at(known, x["index"]), F.lit(0.0))).alias("low"), x["index"].alias("index"), T.analysis_word_count(x["sentence"]).alias("words"), x["sentence"].alias("sentence")),
-    )
+    rows = rows.withColumn("_scores", _sentence_scores(F.col("_sentences"), F.col(text_col)))
+    scored = F.zip_with("_sentences", "_scores", lambda s, v: F.struct(s.alias("sentence"), v.alias("score")))
+    each = F.transform(scored, lambda x, i: F.struct((-x["score"]).alias("low"), i.cast("int").alias("index"), T.analysis_word_count(x["sentence"]).alias("words"), x["sentence"].alias("sentence")))
+    ranked = F.filter(each, lambda x: is_candidate(x["sentence"], x["words"]))
     start = F.struct(F.lit(0).alias("used"), F.array().cast("array<struct<index:int,sentence:string>>").alias("picks"))
 
     def take(acc: Column, x: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.operators import keywords, research, sections, statistics, summaries
-from folioflow.plans.ingest import SPACE, chunks_sql, line_list_sql, paper_chunks, sectioned_papers, sections_sql, strip_sql
+from folioflow.plans.ingest import SPACE, chunks_sql, line_list_sql, paper_chunks, sectioned_papers, sections_sql, strip_sql, words_sql
 
 
 def keywords_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,6 +164,39 @@ items AS (SELECT document_id, field, CAST(row_number() OVER (PARTITION BY docume
     section_name AS source_section, confidence, array_to_string(hits, ',') AS matched_keywords FROM accepted QUALIFY rank <= 3)"""
 
 
+def _candidate_sql(s: str) -> str:
+    """Whether sentence s can stand in a summary."""
+    low = f"lower({s})"
+    bad = [rf"regexp_matches({s}, '^[,;:)\]]')", rf"regexp_matches({ascii_sql(low)}, '\bfigure\s+x\b')"]
+    bad += [f"contains({low}, '{x}')" for x in summaries.PLACEHOLDERS] + [f"starts_with({low}, '{x}')" for x in summaries.CAPTIONS]
+    bad += [rf"regexp_matches({ascii_sql(s)}, '(?i)\b(?:doi\b|org\b|https?://\b|www\.\b)')"]
+    bad += [rf"len(regexp_extract_all({ascii_sql(s)}, '\b[0-9]+(?:\.[0-9]+)+\s+[A-Z]')) >= 2"]
+    bad += [f"length({s}) - length(replace({s}, '{mark}', '')) >= 2" for mark in summaries.BULLETS]
+    bad += [rf"regexp_matches({s}, '^\s*\p{{Nd}}+(?:\.\p{{Nd}}+)+\s+\S+(?:\s+\S+){{0,5}}\s*$')"]
+    return f"(len({analysis_words_sql(s)}) >= 3 AND NOT ({' OR '.join(bad)}))"
+
+
+def summaries_sql(source: str, max_words: int = 90, most: int = 2) -> str:
+    """Common table expressions up to `summed` from (document_id, section_pos, section_type, confidence, text) rows."""
+    cleaned = rf"list_transform(list_filter({sentences_sql('text')}, lambda s: len({analysis_words_sql('s')}) > 0), lambda s: {_clean_sentence_sql('s')})"
+    fits = f"acc.u + x.u <= {max_words}"
+    return rf"""wanted AS (SELECT document_id, section_pos, section_type, confidence, text FROM {source} WHERE section_type IN ({", ".join(map(repr, summaries.SECTION_TYPES))})),
+frequencies AS (SELECT document_id, section_pos, token, count(*) AS f FROM (SELECT document_id, section_pos, unnest({keyword_tokens_sql("text")}) AS token FROM wanted) GROUP BY ALL),
+said AS (SELECT document_id, section_pos, unnest(ss) AS s, unnest(range(len(ss))) AS i FROM (SELECT document_id, section_pos, {cleaned} AS ss FROM wanted)),
+said_tokens AS (SELECT document_id, section_pos, i, unnest({keyword_tokens_sql("s")}) AS token FROM said),
+said_scores AS (SELECT document_id, section_pos, i, round(sum(coalesce(f, 0)) / count(*)::DOUBLE + 0.1 / (i + 1), 6) AS score
+  FROM said_tokens LEFT JOIN frequencies USING (document_id, section_pos, token) GROUP BY document_id, section_pos, i),
+ranked AS (SELECT document_id, section_pos, list({{'u': len({analysis_words_sql("s")}), 'p': [i], 't': [s]}} ORDER BY coalesce(score, 0) DESC, i) AS c
+  FROM said LEFT JOIN said_scores USING (document_id, section_pos, i) WHERE {_candidate_sql("s")} GROUP BY document_id, section_pos),
+taken AS (SELECT document_id, section_pos, list_reduce(list_concat([{{'u': 0::BIGINT, 'p': []::BIGINT[], 't': []::VARCHAR[]}}], c),
+    lambda acc, x: CASE WHEN {fits} THEN {{'u': acc.u + x.u, 'p': list_concat(acc.p, x.p), 't': list_concat(acc.t, x.t)}} ELSE acc END) AS r FROM ranked),
+picked AS (SELECT document_id, section_pos, list_sort(list_zip(r.p[:{most}], r.t[:{most}])) AS z FROM taken),
+summed AS (SELECT *, CASE WHEN summary = '' THEN 0.0::DOUBLE ELSE round_even(round(sure * 75 + least(selected_sentence_count, 2) * 12.5, 6), 0) / 100.0::DOUBLE END AS confidence FROM (
+  SELECT document_id, section_pos, section_type, w.confidence AS sure, {strip_sql("coalesce(array_to_string(list_transform(z, lambda x: x[2]), ' '), '')")} AS summary,
+    CAST(coalesce(len(z), 0) AS INTEGER) AS selected_sentence_count, coalesce(array_to_string(list_transform(z, lambda x: CAST(x[1] AS VARCHAR)), ','), '') AS sentence_indexes
+  FROM wanted w LEFT JOIN picked USING (document_id, section_pos)))"""
+
+
 REFERENCES = rf"""refs AS (SELECT c.document_id, coalesce(nullif(string_agg(s.text, chr(10) ORDER BY s.section_pos), ''), any_value(c.cleaned_text)) AS t
   FROM cleaned c LEFT JOIN sections s ON s.document_id = c.document_id AND (section_type = 'references' OR lower(section_name) IN ('references', 'bibliography')) GROUP BY c.document_id),
 reference_counts AS (SELECT document_id, CAST(coalesce(nullif(len(list_filter({line_list_sql("t")}, lambda l: regexp_matches({strip_sql("l")}, '{_ENTRY}'))), 0),
@@ -193,4 +226,10 @@ FROM (SELECT doc_id AS document_id FROM documents) d CROSS JOIN (VALUES {_FIELDS
     "research_warnings": f"""WITH {research_sql()}, has_text AS (SELECT DISTINCT document_id FROM sections WHERE {strip_sql("text")} <> ''), hit AS (SELECT DISTINCT document_id FROM items)
 SELECT doc_id AS document_id, CASE WHEN s.document_id IS NULL THEN '{research.NO_TEXT}' WHEN h.document_id IS NULL THEN '{research.NO_PATTERN}' ELSE '' END AS warnings
 FROM documents d LEFT JOIN has_text s ON s.document_id = d.doc_id LEFT JOIN hit h ON h.document_id = d.doc_id""",
+    "section_summaries": f"""WITH {sections_sql()}, {summaries_sql("sections")} SELECT document_id, CAST(section_pos AS INTEGER) AS section_pos, section_type, summary, selected_sentence_count, sentence_indexes, confidence,
+  concat_ws('|', '{summaries.ALWAYS}', CASE WHEN sure < 0.8 THEN '{summaries.UNSURE}' END, CASE WHEN summary = '' THEN '{summaries.NOTHING}' WHEN selected_sentence_count < 2 THEN '{summaries.SHORT}' END) AS limitations FROM summed""",
+    "best_summaries": f"""WITH {sections_sql()}, {summaries_sql("sections")},
+best AS (SELECT *, min(section_pos) OVER (PARTITION BY document_id, section_type) AS first FROM summed WHERE summary <> ''
+  QUALIFY row_number() OVER (PARTITION BY document_id, section_type ORDER BY selected_sentence_count DESC, confidence DESC, {words_sql("summary")} DESC, section_pos) = 1)
+SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY first) AS INTEGER) AS position, section_type, CAST(section_pos AS INTEGER) AS section_pos, summary, selected_sentence_count, confidence FROM best""",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.operators import qa, retrieval
-from folioflow.plans.analysis import ascii_sql, sentences_sql
+from folioflow.plans.analysis import ascii_sql, sentences_sql, summaries_sql
 from folioflow.plans.ingest import WORD_CHAR, chunks_sql, document_chunks, squeeze_sql, strip_sql
 
 
@@ -157,4 +157,6 @@ FROM benchmark LEFT JOIN answers ON qid = item_id""",
     "provider_answer": f"""WITH firsts AS (SELECT conv_id AS qid, coalesce(arg_min(text, turn), '') AS query FROM conversations WHERE turn IS NOT NULL GROUP BY 1),
 retrieved AS (SELECT qid, turn AS rank, coalesce(text, '') AS text, query FROM conversations JOIN firsts ON qid = conv_id WHERE turn IS NOT NULL), {answers_sql(3)}
 SELECT f.qid AS question_id, coalesce(answer, '{_NONE}') AS answer, answer IS NOT NULL AS answer_found FROM firsts f LEFT JOIN answers USING (qid)""",
+    "provider_summary": f"""WITH texts AS (SELECT doc_id AS document_id, 0 AS section_pos, 'abstract' AS section_type, 1.0::DOUBLE AS confidence, {strip_sql("coalesce(text, '')")} AS text FROM documents), {summaries_sql("texts", 150)}
+SELECT document_id, summary, selected_sentence_count FROM summed""",
 }
