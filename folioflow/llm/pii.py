@@ -50,14 +50,14 @@ CYRILLIC_ENDS = {
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _NAME = r"(?:\p{Lu}\.[ ]){0,3}\p{Lu}[\p{Ll}\p{Lu}'’-]*+"
 _HEX = r"[0-9A-Fa-f]{1,4}"
-#: What stands before a secret, and the secret itself.
+#: What stands before a secret, and the secret itself. Both are found together, and the key goes to what stays.
 KEY = r"(?i:token|password|passwd|secret|api_key|apikey|access_key)(?:\\?[\"'])?[ ]{0,2}[=:][ ]{0,2}(?:\\?[\"'])?"
 BEHIND_KEY = r"[A-Za-z0-9_+/.-]{6,}+"
 #: Types and patterns, in the order in which they are tried at a place. Words are taken possessively, so that no text
 #: makes the matcher go back; look-behinds have a bounded length.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-][A-Za-z0-9.-]*(?<=[A-Za-z0-9-]\.[A-Za-z]{2,24})",
-    "secret": rf"(?<=[=: \"'])(?=[A-Za-z0-9_+/.-]{{6}})(?<={KEY}){BEHIND_KEY}"
+    "secret": rf"(?=[TtPpSsAa]){KEY}{BEHIND_KEY}(?!@)"
     r"|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{15,17}+|gh[pousr]_[A-Za-z0-9]{30,}+|sk-[A-Za-z0-9_-]{20,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)",
     "ip": rf"(?<![0-9A-Za-z.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9A-Za-z]|\.[0-9])",
     "mac": r"(?<![0-9A-Za-z:-])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![0-9A-Za-z])",
@@ -310,14 +310,26 @@ def _mentions(text: Column, known: Column) -> Column:
     return F.array_join(F.transform(words, new), "")
 
 
-def _cut(text: Column) -> Column:
-    """A struct of what the patterns find (`found`) and of the pieces around it (`gap`, one more). The text is searched
-    once, and cut at marks around what was found; a text that holds such a mark itself is searched twice."""
-    pieces = F.split(F.regexp_replace(text, ANY, f"{MARK}$0{MARK}"), MARK, -1)
+def _marked(text: Column) -> Column:
+    """The text with marks around what the patterns find; null for a text that holds such a mark itself."""
+    return F.when(~text.contains(MARK), F.regexp_replace(text, ANY, f"{MARK}$0{MARK}"))
+
+
+def _cut(text: Column, marked: Column) -> tuple[Column, Column]:
+    """What the patterns find, and the pieces around it (one more)."""
+    pieces = F.split(marked, MARK, -1)
     every = lambda first: F.filter(pieces, lambda _, k: k % 2 == first)
-    once = F.struct(every(1).alias("found"), every(0).alias("gap"))
-    twice = F.struct(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias("found"), F.split(text, ANY, -1).alias("gap"))
-    return F.when(text.contains(MARK), twice).otherwise(once)
+    return (
+        F.when(marked.isNotNull(), every(1)).otherwise(F.regexp_extract_all(text, F.lit(ANY), F.lit(0))),
+        F.when(marked.isNotNull(), every(0)).otherwise(F.split(text, ANY, -1)),
+    )
+
+
+def _without_keys(found: Column, gap: Column) -> tuple[Column, Column]:
+    """Keys before secrets moved from what was found to the pieces before."""
+    key = lambda f: F.regexp_extract(F.coalesce(f, F.lit("")), rf"\A{KEY}(?={BEHIND_KEY}\z)", 0)
+    short = F.transform(found, lambda f: F.substr(f, F.length(key(f)) + 1))
+    return short, F.zip_with(gap, F.transform(found, key), lambda g, k: F.concat(g, F.coalesce(k, F.lit(""))))
 
 
 def replace_entities(
@@ -348,10 +360,15 @@ def replace_entities(
 
     text = F.col("text")
     plain = docs.where(~F.coalesce(has_cue(text), F.lit(False)))
-    marked = docs.where(has_cue(text)).select("doc", "text", _cut(text).alias("cut")).select("doc", F.when(F.size("cut.found") == 0, F.col("text")).alias("text"), "cut.found", "cut.gap")
-    marked = saved(marked.withColumn("row", F.monotonically_increasing_id()), "marked")
-    out = whole(plain, text, F.lit(0)).unionByName(whole(marked.where(F.size("found") == 0), text, F.lit(0)))
-    marked = marked.where(F.size("found") > 0)
+    marked = saved(docs.where(has_cue(text)).select("doc", "text", _marked(text).alias("marked")), "marked")
+    same = marked.where("marked = text")
+    found, gap = _cut(text, F.col("marked"))
+    cut = marked.where("marked is null or marked != text").select("doc", found.alias("found"), gap.alias("gap"))
+    found, gap = _without_keys(F.col("found"), F.col("gap"))
+    cut = saved(cut.select("doc", found.alias("found"), gap.alias("gap"), F.monotonically_increasing_id().alias("row")), "cut")
+    out = whole(plain, text, F.lit(0)).unionByName(whole(same, text, F.lit(0)))
+    out = out.unionByName(whole(cut.where(F.size("found") == 0), F.element_at("gap", 1), F.lit(0)))
+    marked = cut.where(F.size("found") > 0)
 
     def behind(f: Column, k: Column) -> Column:
         before = F.concat(F.coalesce(F.get(F.col("found"), k - 1), F.lit("")), F.get(F.col("gap"), k))
