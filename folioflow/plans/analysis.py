@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.operators import keywords, research, sections, statistics, summaries
+from folioflow.operators import keywords, research, sections, statistics, stored, summaries
 from folioflow.plans.ingest import SPACE, chunks_sql, line_list_sql, paper_chunks, sectioned_papers, sections_sql, strip_sql, words_sql
+from folioflow.plans.papers import papers
 
 
 def keywords_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,8 +76,56 @@ def research_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return research.research_warnings(docs, found, items, "document_id").withColumn("warnings", F.array_join("warnings", "|"))
 
 
+def _log(rows: DataFrame) -> DataFrame:
+    """Rows as they come back from the log, with an older row of each document that doesn't count."""
+    id_ = F.col("document_id").cast("long")
+    new = rows.withColumns({"id": 2 * id_ + 1, "created_at": F.lit(1)})
+    return new.unionByName(new.withColumns({"id": 2 * id_, "content": F.lit("not json"), "created_at": F.lit(0)}))
+
+
+def stored_overviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overviews of papers, stored as JSON and read back strictly."""
+    rows = sectioned_papers(spark, sf_dir, 40)
+    words = keywords.extract_keywords(rows, "document_id", "cleaned_text")
+    numbers = statistics.document_statistics(rows, paper_chunks(spark, sf_dir))
+    named = rows.select("document_id", "project_id", F.concat(F.lit("paper "), F.col("document_id").cast("string")).alias("original_filename"))
+    log = _log(stored.overview_rows(named, words, numbers))
+    c = stored.read_latest(log, stored.OVERVIEW[0], stored.OVERVIEW_SCHEMA).select("title", "content.*").select("*", "statistics.*", "statistics.readability.*")
+    return c.select(
+        "document_id", "title", "filename", F.array_join(F.transform("keywords", lambda k: F.concat_ws("=", k["keyword"], k["frequency"].cast("string"))), ",").alias("keywords"),
+        "total_word_count", "reference_count_estimate", "sentence_count", "flesch_reading_ease",
+    )
+
+
+def stored_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Section summaries of papers, stored as JSON and read back strictly."""
+    docs = papers(spark, sf_dir).select("document_id", "project_id")
+    log = _log(stored.summary_rows(docs, paper_sections(spark, sf_dir)))
+    c = stored.read_latest(log, stored.SUMMARIES[0], stored.SUMMARIES_SCHEMA).select("content.*")
+    texts = F.array_join(F.transform("summaries", lambda s: F.concat_ws("=", s["section_type"], s["summary"])), "|")
+    return c.select("document_id", F.array_join("limitations", "|").alias("limitations"), F.array_join("source_section_names", "|").alias("names"), texts.alias("summaries"))
+
+
+def stored_research(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Research information of papers, stored as JSON and read back strictly."""
+    docs = papers(spark, sf_dir).select("document_id", "project_id", F.concat(F.lit("paper "), F.col("document_id").cast("string")).alias("original_filename"))
+    found = paper_sections(spark, sf_dir)
+    log = _log(stored.research_rows(docs, found, research.extract_research_information(found, "document_id")))
+    c = stored.read_latest(log, stored.RESEARCH[0], stored.RESEARCH_SCHEMA).select("content.*")
+    return c.select("document_id", "filename", F.array_join("warnings", "|").alias("warnings"), F.explode("fields").alias("field", "f")).select(
+        "document_id", "filename", "warnings", "field", "f.extracted_text", "f.source_section", "f.confidence"
+    )
+
+
+def research_free_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Research information of texts without sections."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("document_id"), "text")
+    out = research.extract_research_information(stored.whole_text_sections(docs, "document_id"), "document_id")
+    return out.withColumn("matched_keywords", F.array_join("matched_keywords", ","))
+
+
 QUERIES = (
-    keywords_per_document, words_by_section, chunks_by_section, reference_counts, readability, document_statistics,
+    stored_overviews, stored_summaries, stored_research, research_free_text, keywords_per_document, words_by_section, chunks_by_section, reference_counts, readability, document_statistics,
     section_summaries, best_summaries, research_items, research_primary, research_warnings,
 )
 
@@ -140,7 +189,8 @@ def _clean_sentence_sql(x: str) -> str:
     return f"CASE WHEN len({analysis_words_sql(rest)}) >= 6 THEN {strip_sql(rest)} ELSE {plain} END"
 
 
-def research_sql(period: int = 3) -> str:
+def research_sql(period: int = 3, given: str = "") -> str:
+    """Common table expressions up to `items`; `given` defines other `sections` than those of papers."""
     fields = []
     for field, (wanted, words) in research.RULES.items():
         found = ", ".join(rf"CASE WHEN regexp_matches(la, '\b{k}\b') THEN '{k}' END" for k in words)
@@ -149,7 +199,7 @@ def research_sql(period: int = 3) -> str:
             hits = f"CASE WHEN contains(unit, '?') AND NOT list_contains({hits}, 'question') THEN list_append({hits}, 'question') ELSE {hits} END"
         fields.append(f"SELECT *, '{field}' AS field, section_type IN ({', '.join(map(repr, wanted))}) AS preferred, {hits} AS hits FROM units")
     sentences = rf"list_transform(list_filter({sentences_sql('c')}, lambda s: len({analysis_words_sql('s')}) > 0), lambda s: {_clean_sentence_sql('s')})"
-    return rf"""{sections_sql(period)},
+    return rf"""{given or sections_sql(period)},
 unit_lines AS (SELECT document_id, section_pos, section_type, section_name, unnest(ls) AS l, generate_subscripts(ls, 1) AS li FROM (SELECT *, {line_list_sql("text")} AS ls FROM sections)),
 unit_clean AS (SELECT *, {_CLEAN_UNIT("l")} AS c FROM unit_lines),
 unit_sents AS (SELECT *, {sentences} AS ss FROM unit_clean WHERE len({analysis_words_sql("c")}) > 0),
@@ -201,6 +251,8 @@ REFERENCES = rf"""refs AS (SELECT c.document_id, coalesce(nullif(string_agg(s.te
   FROM cleaned c LEFT JOIN sections s ON s.document_id = c.document_id AND (section_type = 'references' OR lower(section_name) IN ('references', 'bibliography')) GROUP BY c.document_id),
 reference_counts AS (SELECT document_id, CAST(coalesce(nullif(len(list_filter({line_list_sql("t")}, lambda l: regexp_matches({strip_sql("l")}, '{_ENTRY}'))), 0),
   len(regexp_extract_all(t, '\([A-Z][A-Za-z''-]+,\s*(?:19|20)\p{{Nd}}{{2}}\)'))) AS INTEGER) AS reference_count FROM refs)"""
+_TEXTS = f"""sections AS (SELECT doc_id AS document_id, 0 AS section_pos, 'unknown' AS section_type, 'Full Document' AS section_name, text FROM documents
+  WHERE {strip_sql("coalesce(text, '')")} <> '')"""
 _FIELDS = ", ".join(f"('{f}')" for f in research.RULES)
 SQL: dict[str, str] = {
     "keywords_per_document": f"""WITH tokens AS (SELECT doc_id AS document_id, unnest({keyword_tokens_sql("text")}) AS keyword FROM documents),
@@ -232,4 +284,25 @@ FROM documents d LEFT JOIN has_text s ON s.document_id = d.doc_id LEFT JOIN hit
 best AS (SELECT *, min(section_pos) OVER (PARTITION BY document_id, section_type) AS first FROM summed WHERE summary <> ''
   QUALIFY row_number() OVER (PARTITION BY document_id, section_type ORDER BY selected_sentence_count DESC, confidence DESC, {words_sql("summary")} DESC, section_pos) = 1)
 SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY first) AS INTEGER) AS position, section_type, CAST(section_pos AS INTEGER) AS section_pos, summary, selected_sentence_count, confidence FROM best""",
+    "research_free_text": f"WITH {research_sql(given=_TEXTS)} SELECT * FROM items",
+    "stored_overviews": f"""WITH {sections_sql(40)}, {REFERENCES}, rd AS ({readability_sql("cleaned", "cleaned_text")}),
+kt AS (SELECT document_id, unnest({keyword_tokens_sql("cleaned_text")}) AS keyword FROM cleaned), kc AS (SELECT document_id, keyword, count(*) AS f FROM kt GROUP BY ALL),
+ks AS (SELECT *, round(f / (sum(f) OVER (PARTITION BY document_id))::DOUBLE * (1 + ln(f)), 6) AS score FROM kc),
+kr AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, f DESC, keyword) AS rank FROM ks QUALIFY rank <= 10),
+kl AS (SELECT document_id, string_agg(keyword || '=' || f, ',' ORDER BY rank) AS keywords FROM kr GROUP BY 1)
+SELECT c.document_id, '{stored.OVERVIEW[1]}' AS title, 'paper ' || c.document_id AS filename, coalesce(keywords, '') AS keywords, CAST(len({analysis_words_sql("cleaned_text")}) AS INTEGER) AS total_word_count,
+  reference_count AS reference_count_estimate, sentence_count, flesch_reading_ease
+FROM cleaned c JOIN reference_counts USING (document_id) JOIN rd USING (document_id) LEFT JOIN kl USING (document_id)""",
+    "stored_summaries": f"""WITH {sections_sql()}, {summaries_sql("sections")},
+best AS (SELECT s.*, min(s.section_pos) OVER (PARTITION BY s.document_id, s.section_type) AS first FROM summed s WHERE summary <> ''
+  QUALIFY row_number() OVER (PARTITION BY document_id, section_type ORDER BY selected_sentence_count DESC, confidence DESC, {words_sql("summary")} DESC, section_pos) = 1),
+joined AS (SELECT b.document_id, string_agg(section_name, '|' ORDER BY first) AS names, string_agg(b.section_type || '=' || summary, '|' ORDER BY first) AS summaries
+  FROM best b JOIN sections n ON n.document_id = b.document_id AND n.section_pos = b.section_pos GROUP BY b.document_id)
+SELECT p.document_id, CASE WHEN p.document_id NOT IN (SELECT document_id FROM sections) THEN '{stored.NO_SECTIONS}' WHEN summaries IS NULL THEN '{stored.EXTRACTIVE}|{stored.NO_SUMMARIES}' ELSE '{stored.EXTRACTIVE}' END AS limitations,
+  coalesce(names, '') AS names, coalesce(summaries, '') AS summaries FROM papers p LEFT JOIN joined USING (document_id)""",
+    "stored_research": f"""WITH {research_sql()}, has_text AS (SELECT DISTINCT document_id FROM sections WHERE {strip_sql("text")} <> ''), hit AS (SELECT DISTINCT document_id FROM items)
+SELECT d.document_id, 'paper ' || d.document_id AS filename, CASE WHEN s.document_id IS NULL THEN '{research.NO_TEXT}' WHEN h.document_id IS NULL THEN '{research.NO_PATTERN}' ELSE '' END AS warnings,
+  f.field, extracted_text, source_section, coalesce(confidence, 0.0::DOUBLE) AS confidence
+FROM papers d CROSS JOIN (VALUES {_FIELDS}) f(field) LEFT JOIN items i ON i.document_id = d.document_id AND i.field = f.field AND i.rank = 1
+LEFT JOIN has_text s ON s.document_id = d.document_id LEFT JOIN hit h ON h.document_id = d.document_id""",
 }
