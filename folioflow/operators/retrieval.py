@@ -86,6 +86,20 @@ def check_search(query: str | None, top_k: int, document_id: int | None = None)
     return query.strip()
 
 
+def search_problems(searches: DataFrame, documents: DataFrame) -> DataFrame:
+    """Add `problem` to a batch of (query, top_k, document_id): why a search is rejected, or null. A null document_id
+    asks the whole corpus."""
+    known = documents.select("document_id", F.lit(True).alias("_known")).distinct()
+    out = searches.join(known, "document_id", "left")
+    problem = (
+        F.when(T.strip(T.text_or_empty(F.col("query"))) == "", "search query must not be empty")
+        .when(~F.coalesce(F.col("top_k").between(1, MAX_TOP_K), F.lit(False)), f"top_k must be between 1 and {MAX_TOP_K}")
+        .when(F.col("document_id") <= 0, "document id must be positive")
+        .when(F.col("document_id").isNotNull() & F.col("_known").isNull(), "document does not exist")
+    )
+    return out.withColumn("problem", problem).drop("_known")
+
+
 def _check_top_k(top_k: int) -> None:
     if not 1 <= top_k <= MAX_TOP_K:
         raise ValueError(f"top_k must be between 1 and {MAX_TOP_K}")

@@ -81,8 +81,19 @@ def provider_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("question")
 
 
+def rejected_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch with a search per document, some of them blank, out of range or of unknown documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("document_id"), "source")
+    k = F.col("document_id") % 7
+    batch = docs.select(
+        F.col("document_id").alias("search_id"), F.when(k == 1, " ").otherwise(F.col("source")).alias("query"), (F.col("document_id") % 13).cast("int").alias("top_k"),
+        F.when(k == 2, -F.col("document_id")).when(k == 3, F.col("document_id") + 1_000_000_000).when(k != 4, F.col("document_id")).alias("document_id"),
+    )
+    return retrieval.search_problems(batch, docs).select("search_id", "problem")
+
+
 QUERIES = (
-    search_corpus, search_preview, search_document, qa_snippets, qa_answers, chat_log, provider_summary, provider_answer,
+    rejected_searches, search_corpus, search_preview, search_document, qa_snippets, qa_answers, chat_log, provider_summary, provider_answer,
 )
 
 
@@ -159,4 +170,8 @@ retrieved AS (SELECT qid, turn AS rank, coalesce(text, '') AS text, query FROM c
 SELECT f.qid AS question_id, coalesce(answer, '{_NONE}') AS answer, answer IS NOT NULL AS answer_found FROM firsts f LEFT JOIN answers USING (qid)""",
     "provider_summary": f"""WITH texts AS (SELECT doc_id AS document_id, 0 AS section_pos, 'abstract' AS section_type, 1.0::DOUBLE AS confidence, {strip_sql("coalesce(text, '')")} AS text FROM documents), {summaries_sql("texts", 150)}
 SELECT document_id, summary, selected_sentence_count FROM summed""",
+    "rejected_searches": """WITH batch AS (SELECT doc_id AS search_id, CASE WHEN doc_id % 7 = 1 THEN ' ' ELSE source END AS query, doc_id % 13 AS top_k,
+  CASE doc_id % 7 WHEN 2 THEN -doc_id WHEN 3 THEN doc_id + 1000000000 WHEN 4 THEN NULL ELSE doc_id END AS document_id FROM documents)
+SELECT search_id, CASE WHEN trim(coalesce(query, '')) = '' THEN 'search query must not be empty' WHEN top_k NOT BETWEEN 1 AND 10 THEN 'top_k must be between 1 and 10'
+  WHEN document_id <= 0 THEN 'document id must be positive' WHEN document_id NOT IN (SELECT doc_id FROM documents) THEN 'document does not exist' END AS problem FROM batch""",
 }

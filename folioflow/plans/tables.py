@@ -30,8 +30,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _projects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 15 sources as projects of two users."""
-    return _documents(spark, sf_dir).where("project_id < 15").groupBy(F.col("project_id").alias("id")).agg(
+    """All sources as projects of two users."""
+    return _documents(spark, sf_dir).groupBy(F.col("project_id").alias("id")).agg(
         F.max("uploaded_at").alias("created_at")).withColumn("user_id", F.col("id") % 2)
 
 
@@ -41,7 +41,9 @@ def assemble_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def manifest_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pages.validate_manifest(_documents(spark, sf_dir), _projects(spark, sf_dir))
+    """Every eleventh document names a project that there isn't."""
+    unknown = F.when(F.col("document_id") % 11 == 2, F.col("project_id") + 1000).otherwise(F.col("project_id"))
+    out = pages.validate_manifest(_documents(spark, sf_dir).withColumn("project_id", unknown), _projects(spark, sf_dir))
     return out.select("document_id", "project_id", "problem")
 
 
@@ -58,8 +60,9 @@ def stored_filenames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = papers(spark, sf_dir).withColumn("extraction_error", F.when(F.col("document_id") % 13 == 0, " broken file "))
-    short = F.when(F.col("document_id") % 10 == 3, F.substring("raw_text", 1, 20)).otherwise(F.col("raw_text"))
-    out = metadata.derive_status(rows.withColumn("raw_text", short))
+    # besides the papers, a document of few words per document: its language and source
+    few = spark.read.parquet(f"{sf_dir}/documents.parquet").select((-1 - F.col("doc_id")).alias("document_id"), F.concat_ws(" ", "lang", "source").alias("raw_text"))
+    out = metadata.derive_status(rows.unionByName(few, allowMissingColumns=True))
     return out.select("document_id", "status", F.coalesce("word_count", F.lit(-1)).alias("word_count"), "status_message")
 
 
@@ -128,6 +131,26 @@ def document_overviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def cleaned_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id") % 3
+    raw = F.create_map(F.lit("lang"), F.concat(F.lit(" "), "lang"), F.lit("note"), F.when(k == 0, " \t").when(k == 1, " kept "), F.lit("source"), F.concat("source", F.lit("\n")))
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("document_id"), pages.clean_metadata(raw).alias("m"))
+    flat = F.transform(F.array_sort(F.map_entries("m")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return rows.select("document_id", F.array_join(flat, ",").alias("metadata"))
+
+
+def project_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A project per document, with blank, long and good names."""
+    d = F.col("doc_id")
+    name = F.when(d % 5 == 0, "  ").when(d % 5 == 1, F.repeat("source", 40)).otherwise(F.concat(F.lit(" "), "source"))
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(d.alias("id"), name.alias("name"))
+    return pages.project_problems(rows).select("id", "name", F.array_join("problems", ",").alias("problems"))
+
+
+def chunk_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metadata.running_order(document_chunks(spark, sf_dir)).select("document_id", "chunk_index", "place")
+
+
 def replaced_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with an even id get their chunks anew, those divisible by 4 none."""
     old = document_chunks(spark, sf_dir).select("document_id", "chunk_index", "text")
@@ -139,6 +162,7 @@ def replaced_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (
     assemble_pages, manifest_validate, row_constraints, stored_filenames, document_status, extraction_updates, projects_listing,
     documents_listing, latest_analyses, chunk_counts, processing_summaries, analysis_json_roundtrip, document_overviews, replaced_chunks,
+    cleaned_metadata, project_constraints, chunk_order,
 )
 
 _STATUS = "[" + ", ".join(f"'{s}'" for s in STATUSES) + "]"
@@ -148,7 +172,7 @@ _DOCS = f"""docs AS (SELECT doc_id AS document_id, CAST(regexp_extract(source, '
   n_chars * CASE WHEN doc_id % 11 = 10 THEN 10000000 ELSE 3 END AS file_size_bytes, {_STATUS}[doc_id % {len(STATUSES)} + 1] AS status,
   CAST(greatest(1, ceil(n_chars / 3000.0)) AS INTEGER) AS page_count, CASE WHEN doc_id % 5 = 0 THEN ' first ' || chr(10) || chr(10) || 'second' END AS extraction_error,
   CASE WHEN doc_id % 4 = 0 THEN 'cleaning warning' END AS cleaning_warnings, doc_id - doc_id % 3 AS uploaded_at, text FROM documents),
-projects AS (SELECT project_id AS id, max(uploaded_at) AS created_at, project_id % 2 AS user_id FROM docs WHERE project_id < 15 GROUP BY project_id)"""
+projects AS (SELECT project_id AS id, max(uploaded_at) AS created_at, project_id % 2 AS user_id FROM docs GROUP BY project_id)"""
 _SUMMARY = " ".join(f"WHEN '{s}' THEN '{m}'" for s, (m, _) in metadata.SUMMARIES.items())
 _NEXT = " ".join(f"WHEN '{s}' THEN '{n}'" for s, (_, n) in metadata.SUMMARIES.items())
 
@@ -164,16 +188,17 @@ parsed AS (SELECT document_id, CAST(section_pos AS INTEGER) AS section_pos, sect
 SQL: dict[str, str] = {
     "assemble_pages": f"""SELECT conv_id, CAST(count(*) AS INTEGER) AS page_count, coalesce(string_agg(t, chr(10) || chr(10) ORDER BY turn) FILTER (t <> ''), '') AS full_text,
   coalesce(string_agg(t, '') FILTER (t <> ''), '') <> '' AS has_text FROM (SELECT *, {strip_sql("coalesce(text, '')")} AS t FROM conversations) GROUP BY conv_id""",
-    "manifest_validate": f"""WITH {_DOCS} SELECT document_id, project_id, CASE WHEN lower(original_filename) NOT LIKE '%.pdf' THEN 'not a PDF file name'
+    "manifest_validate": f"""WITH {_DOCS}, named AS (SELECT * REPLACE (CASE WHEN document_id % 11 = 2 THEN project_id + 1000 ELSE project_id END AS project_id) FROM docs)
+SELECT document_id, project_id, CASE WHEN lower(original_filename) NOT LIKE '%.pdf' THEN 'not a PDF file name'
   WHEN mime_type NOT IN ('application/pdf', 'application/x-pdf') THEN 'not a PDF content type' WHEN file_size_bytes > {pages.MAX_BYTES} THEN 'file is too large'
-  WHEN project_id NOT IN (SELECT id FROM projects) THEN 'project does not exist' END AS problem FROM docs""",
+  WHEN project_id NOT IN (SELECT id FROM projects) THEN 'project does not exist' END AS problem FROM named""",
     "row_constraints": f"""WITH {_DOCS} SELECT document_id, concat_ws(',', CASE WHEN document_id % 9 = 0 AND length(original_filename) * 20 > 255 THEN 'original_filename' END,
   CASE WHEN document_id % 6 = 0 THEN 'word_count' END) AS problems FROM docs""",
     "stored_filenames": f"""WITH {_DOCS} SELECT document_id, md5(CAST(document_id AS VARCHAR)) || '_' || regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(original_filename, '([^/\\\\]*)\\.[^.]*$', 1), '[^A-Za-z0-9._-]+', '_', 'g'),
   '^[._-]+', ''), '[._-]+$', ''), '_+', '_', 'g') || '.' || lower(regexp_extract(original_filename, '\\.([^.]*)$', 1)) AS stored_filename FROM docs""",
-    "document_status": f"""WITH {cleaning_sql()}, cut AS (SELECT document_id, CASE WHEN document_id % 10 = 3 THEN raw_text[:20] ELSE raw_text END AS t FROM papers), n AS (SELECT *, {words_sql("t")} AS w FROM cut)
-SELECT document_id, CASE WHEN document_id % 13 = 0 THEN 'extraction_failed' WHEN w < 10 THEN 'ocr_needed' ELSE 'processed' END AS status, CASE WHEN document_id % 13 <> 0 THEN CAST(w AS INTEGER) ELSE -1 END AS word_count,
-  CASE WHEN document_id % 13 = 0 THEN 'broken file' WHEN w < 10 THEN '{metadata.OCR_MESSAGE}' END AS status_message FROM n""",
+    "document_status": f"""WITH {cleaning_sql()}, every AS (SELECT document_id, raw_text AS t FROM papers UNION ALL SELECT -1 - doc_id, concat_ws(' ', lang, source) FROM documents), n AS (SELECT *, {words_sql("t")} AS w FROM every)
+SELECT document_id, CASE WHEN document_id >= 0 AND document_id % 13 = 0 THEN 'extraction_failed' WHEN w < 10 THEN 'ocr_needed' ELSE 'processed' END AS status, CASE WHEN document_id < 0 OR document_id % 13 <> 0 THEN CAST(w AS INTEGER) ELSE -1 END AS word_count,
+  CASE WHEN document_id >= 0 AND document_id % 13 = 0 THEN 'broken file' WHEN w < 10 THEN '{metadata.OCR_MESSAGE}' END AS status_message FROM n""",
     "extraction_updates": f"""WITH {_DOCS} SELECT document_id, CASE WHEN document_id % 2 = 0 THEN 'processed' ELSE status END AS status, CASE WHEN document_id % 2 = 0 THEN 7 ELSE page_count END AS page_count,
   CASE WHEN document_id % 2 = 0 THEN CAST(document_id % 100 AS INTEGER) ELSE -1 END AS word_count, CASE WHEN document_id % 4 = 0 THEN NULL WHEN document_id % 2 = 0 THEN 'slow' ELSE extraction_error END AS extraction_error,
   CASE WHEN document_id % 2 = 0 THEN 'a' || chr(10) || 'b' ELSE cleaning_warnings END AS cleaning_warnings FROM docs""",
@@ -190,4 +215,8 @@ SELECT document_id, original_filename AS filename, status, page_count, CAST(leng
   concat_ws('|', CASE WHEN document_id % 5 = 0 THEN 'first|second' END, cleaning_warnings) AS warnings, {_message("section_count", "chunk_count")} AS message, status = 'processed' AS is_complete FROM j""",
     "replaced_chunks": f"""WITH {_WHOLE}, {chunks_sql("whole")} SELECT document_id, chunk_index, md5(CASE WHEN document_id % 2 = 0 AND document_id > 0 THEN 'new ' || text ELSE text END) AS text_md5 FROM chunks
 WHERE document_id % 4 <> 0 OR document_id = 0""",
+    "cleaned_metadata": """SELECT doc_id AS document_id, concat_ws(',', 'lang=' || nullif(trim(lang), ''), CASE WHEN doc_id % 3 = 1 THEN 'note=kept' END, 'source=' || nullif(trim(source), '')) AS metadata FROM documents""",
+    "project_constraints": """SELECT id, n AS name, CASE WHEN length(n) BETWEEN 1 AND 200 THEN '' ELSE 'name' END AS problems FROM (
+  SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN coalesce(repeat(source, 40), '') ELSE coalesce(trim(source), '') END AS n FROM documents)""",
+    "chunk_order": f"WITH {_WHOLE}, {chunks_sql('whole')} SELECT document_id, chunk_index, CAST(row_number() OVER (PARTITION BY document_id ORDER BY chunk_index) - 1 AS INTEGER) AS place FROM chunks",
 }

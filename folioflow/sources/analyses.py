@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,33 +67,34 @@ def replace_chunks(old: DataFrame, new: DataFrame, touched: DataFrame) -> DataFr
     return old.join(ids, "document_id", "left_anti").unionByName(new.join(ids, "document_id", "left_semi"))
 
 
-BUCKETS = 64
+def _table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:  # before the first write there is none
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return None
 
 
 def overwrite_chunks(new: DataFrame, touched: DataFrame, path: str) -> None:
-    """The same on disk: only the buckets of touched documents are written again."""
+    """The same on disk, by appending: chunks with a version first, then the touched documents with that version, which
+    makes them count. Nothing that is stored is written again; a write that fails before its end changes nothing."""
     spark = new.sparkSession
-    bucket = F.pmod(F.xxhash64("document_id"), F.lit(BUCKETS)).cast("int")
+    before = _table_or_none(spark, f"{path}/touched")
+    last = (before.agg(F.max("version")).first()[0] or 0) if before is not None else 0
+    version = F.lit(max(time.time_ns(), last + 1))
     ids = touched.select("document_id").where("document_id > 0").distinct()
-    fresh = new.join(ids, "document_id", "left_semi").withColumn("bucket", bucket)
-    hit = ids.select(bucket.alias("bucket")).distinct()
-    try:
-        old = spark.read.parquet(path)
-    except Exception as error:  # the first write finds no table
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        fresh.write.partitionBy("bucket").parquet(path)
-        return
-    names = [r["bucket"] for r in hit.collect()]  # at most BUCKETS
-    rest = old.where(F.col("bucket").isin(names) & F.col("document_id").isNotNull()).join(ids, "document_id", "left_anti")
-    # a row without a document stands in each bucket, so that buckets which lose all chunks are written again too
-    rows = rest.select(*fresh.columns).unionByName(fresh).unionByName(hit, allowMissingColumns=True)
-    staged = f"{path.rstrip('/')}_staged"
-    rows.write.mode("overwrite").partitionBy("bucket").parquet(staged)
-    done = spark.read.schema(fresh.schema).parquet(staged)
-    done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    new.join(ids, "document_id", "left_semi").withColumn("version", version).write.mode("append").parquet(f"{path}/chunks")
+    ids.withColumn("version", version).write.mode("append").parquet(f"{path}/touched")
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """The chunks that `overwrite_chunks` keeps."""
-    return spark.read.parquet(path).where(F.col("document_id").isNotNull()).drop("bucket")
+    """The chunks that `overwrite_chunks` keeps: of each document those of its newest version."""
+    newest = spark.read.parquet(f"{path}/touched").groupBy("document_id").agg(F.max("version").alias("version"))
+    return spark.read.parquet(f"{path}/chunks").join(newest, ["document_id", "version"]).drop("version")
+
+
+def compact_chunks(spark: SparkSession, path: str, target: str) -> None:
+    """Write what counts to a new place, without the versions that don't."""
+    kept = read_chunks(spark, path)
+    overwrite_chunks(kept, kept, target)

@@ -7,7 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.operators import metadata
+from folioflow.operators import metadata, stored
 from folioflow.sources import analyses, pages
 from folioflow.streaming import ingest
 
@@ -72,6 +72,34 @@ def test_replace_chunks(spark, tmp_path):
     assert {tuple(r) for r in analyses.read_chunks(spark, path).collect()} == want
 
 
+    analyses.compact_chunks(spark, path, str(tmp_path / "compact"))
+    assert {tuple(r) for r in analyses.read_chunks(spark, str(tmp_path / "compact")).collect()} == want
+    assert spark.read.parquet(str(tmp_path / "compact" / "chunks")).count() == 2
+
+
+def test_sinks(spark, tmp_path):
+    texts = spark.createDataFrame([(1, 10, "raw", "clean", 5), (2, 11, None, "", 6)], "project_id long, document_id long, raw_text string, cleaned_text string, x int")
+    analyses.write_texts(texts, str(tmp_path / "texts"))
+    assert sorted(p.name for p in (tmp_path / "texts").iterdir() if p.is_dir()) == ["project_id=1", "project_id=2"]
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "texts")).select("project_id", "document_id", "raw_text", "cleaned_text").collect()} == {(1, 10, "raw", "clean"), (2, 11, None, "")}
+    rows = analyses.analysis_rows(texts, "section_detection", F.struct("document_id", "raw_text"), F.lit("Title"))
+    for _ in range(2):
+        analyses.append_analyses(rows, str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    assert log.count() == 4 and {(r.title, r.analysis_type, json.loads(r.content)["raw_text"]) for r in log.collect()} == {("Title", "section_detection", "raw"), ("Title", "section_detection", None)}
+    chat = spark.createDataFrame([(1, 10, "q", "a", "local", 7)], "project_id long, document_id long, question string, answer string, provider_mode string, question_id long")
+    analyses.append_chat(chat, str(tmp_path / "chat"))
+    assert [(r.question, r.answer, r.provider_mode) for r in spark.read.parquet(str(tmp_path / "chat")).collect()] == [("q", "a", "local")]
+
+
+def test_stored_content_is_read_strictly(spark):
+    rows = [(1, 5, "t", '{"a": 1}', 1), (2, 5, "t", '{"a": 2}', 2), (3, 6, "t", "not json", 1), (4, 6, "other", "[]", 2)]
+    log = spark.createDataFrame(rows, "id long, document_id long, analysis_type string, content string, created_at long")
+    assert [(r.document_id, r.content.a) for r in stored.read_latest(log.where("document_id = 5"), "t", "a int").collect()] == [(5, 2)]
+    with pytest.raises(Exception, match="MALFORMED|malformed|Malformed|FAILFAST"):
+        stored.read_latest(log, "t", "a int").collect()
+
+
 def test_stream_replaces_documents(spark, tmp_path):
     inbox, store = str(tmp_path / "inbox"), str(tmp_path / "chunks")
     row = lambda d, t, at: (d, t, 1, None, at)
