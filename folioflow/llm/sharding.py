@@ -32,17 +32,12 @@ def shard_by_bytes(
         F.md5(text).alias("_digest"),
     )
     placed = saved(positions(rows, ["_digest", "doc_id"], amount="size"), "sharded")
+    total = int(placed.agg(F.sum("size")).first()[0] or 0)
     groups = placed.groupBy("_digest").agg(F.min("before").alias("_from"), F.sum("size").alias("_bytes"))
-    total = placed.agg(F.sum("size").alias("_total"))
-    whole = F.col("_bytes") <= slack * F.col("_total") / shards
-    middle = F.when(whole, 2 * F.col("_from") + F.col("_bytes")).otherwise(2 * F.col("before") + F.col("size"))
-    shard = F.expr(f"cast(middle * {shards} div (2 * _total) as int)")
-    cut = (
-        placed.join(groups, "_digest")
-        .crossJoin(F.broadcast(total))  # one row
-        .withColumn("middle", middle)
-        .withColumn("shard", shard)
-    )
+    large = F.broadcast(groups.where(F.col("_bytes") > slack * total / shards).select("_digest"))  # at most shards / slack rows
+    single = placed.join(large, "_digest", "left_semi").withColumn("_middle", 2 * F.col("before") + F.col("size"))
+    whole = placed.join(large, "_digest", "left_anti").join(groups, "_digest").withColumn("_middle", 2 * F.col("_from") + F.col("_bytes"))
+    cut = single.unionByName(whole.drop("_from", "_bytes")).withColumn("shard", F.expr(f"cast(_middle * {shards} div {max(2 * total, 1)} as int)"))
     starts = cut.groupBy("shard").agg(F.min("pos").alias("_start"))
     return cut.join(F.broadcast(starts), "shard").select(  # at most `shards` rows
         "doc_id", "size", "text_crc32", "shard", (F.col("pos") - F.col("_start")).alias("slot")
