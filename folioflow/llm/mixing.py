@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,8 @@ from folioflow.llm.packing import word_count
 
 #: Stands for a null source inside a job; sorts after every other key because the keys of real sources begin with "0".
 NULL_KEY = "1"
-STEPS, TOLERANCE = 60, 1e-6
+#: Steps after which a source that is still off its target is an error; each step halves a bracket at least.
+STEPS, TOLERANCE = 200, 1e-6
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
@@ -68,9 +70,11 @@ def balanced_rates(hist: DataFrame, targets: DataFrame, base: float, most: int)
         tilt = F.greatest(F.lit(-700.0), F.least(F.lit(700.0), odds + F.col("theta") * F.col("size") / F.col("scale")))
         return most / (1 + F.exp(-tilt))
 
-    for _ in range(STEPS):
+    for step_number in itertools.count():
         if not state.where("not done").limit(1).count():
             break
+        if step_number == STEPS:
+            raise ValueError(f"a source is off its target after {STEPS} steps")
         at = hist.join(state.where("not done"), "key").withColumn("r", rate())
         x = F.col("size") / F.col("scale")
         sums = at.groupBy("key").agg(

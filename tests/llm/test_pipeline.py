@@ -46,3 +46,14 @@ def test_rows_without_an_id_stay_in_the_mixture(spark):
     again = docs.unionByName(docs.limit(1))
     single = cp.near_copies_stage(spark, again, SF).collect()
     assert sorted(r.text for r in single) == sorted(r[1] for r in rows)
+
+
+def test_stages_take_any_rows(spark, tmp_path):
+    odd = [(None, None, None, None, None), (5, "", "en", None, 0), (5, "x" * 50_000, None, "s0", None), (6, "word " * 20_000, "en", "s1", 100_000), (6, "word " * 20_000, "en", "s1", 100_000)]
+    docs = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long")
+    for rows in (docs, docs.limit(0)):
+        for k, (_, stage) in enumerate(cp.STAGES):
+            at = str(tmp_path / f"{rows is docs}-{k}")
+            stage(spark, rows, SF).write.parquet(at)
+            n = spark.read.parquet(at).count()
+            assert n == {0: n, 1: 4, 2: 5, 3: n, 4: 5}[k] if rows is docs else n == 0

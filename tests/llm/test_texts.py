@@ -251,6 +251,41 @@ def test_mixing(docs, corpus, no_docs):
     assert mixing.mix_sources(no_docs.withColumn("size", no_docs.pos)).count() == 0
 
 
+def test_rates_are_the_entropy_optimum(docs):
+    rows = mixing.mix_sources(docs.drop("size").withColumn("size", packing.word_count())).collect()
+    for key in {r.key for r in rows}:
+        own = [r for r in rows if r.key == key]
+        sizes, target = np.array([r.size for r in own], float), own[0].target
+        if not 0 < target < 2 * sizes.sum() * (1 - 1e-9):
+            assert all(r.rate == (2 if target else 0) for r in own)
+            continue
+        low, high = -50.0, 50.0  # the dual's gradient grows with theta, so that halving finds its root
+        for _ in range(200):
+            theta = (low + high) / 2
+            rates = 2 / (1 + np.exp(-(theta * sizes / max(sizes.mean(), 1))))
+            low, high = (theta, high) if (rates * sizes).sum() < target else (low, theta)
+        assert np.allclose([r.rate for r in own], rates, atol=1e-4)
+
+
+def test_batches_and_slots_by_hand(spark):
+    rng = random.Random(2)
+    lengths = [rng.choice([0, 3, 3, 7, 20, 21, 50]) for _ in range(300)]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n int"), "n", buckets=3, batch_tokens=100).collect()
+    from itertools import combinations
+
+    every = sorted({n for n in lengths if n})
+    cost = lambda bounds: sum(min(b for b in bounds if b >= n) - n for n in lengths if n)
+    assert sum(r.padding for r in rows) == min(cost([*rest, every[-1]]) for rest in combinations(every[:-1], 2))
+    bounds = sorted({r.bucket_length for r in rows if r.n_tokens})
+    want = {}
+    for b, bound in enumerate([0, *bounds]):
+        low = bounds[b - 2] if b > 1 else 0
+        own = sorted((n, i) for i, n in enumerate(lengths) if (n == 0 if b == 0 else low < n <= bound))
+        room = max(1, 100 // max(1, bound))
+        want |= {i: (b, k // room, k % room, bound - n) for k, (n, i) in enumerate(own)}
+    assert {r.doc_id: (r.bucket, r.batch, r.slot, r.padding) for r in rows} == want
+
+
 def test_licenses(spark, no_docs):
     mit = "MIT License. " + licenses.SENTENCES["I"].capitalize() + ". " + licenses.SENTENCES["J"].capitalize() + "."
     rows = [
