@@ -287,7 +287,7 @@ def test_batches_and_slots_by_hand(spark):
 
 
 def test_licenses(spark, no_docs):
-    mit = "MIT License. " + licenses.SENTENCES["I"].capitalize() + ". " + licenses.SENTENCES["J"].capitalize() + "."
+    mit = "MIT License. " + licenses.SENTENCES["mit grant"].capitalize() + ". " + licenses.SENTENCES["mit notice"].capitalize() + "."
     rows = [
         (1, "Text.\nReleased### under&&& the*** MIT%%% License.$$$\nmore"), (2, mit), (3, "Licensed under the Apache License, Version 2.0. Released under the MIT License."),
         (4, "All rights reserved."), (5, None), (6, ""), (7, "the license of the town"), (7, "the license of the town"),
@@ -344,6 +344,36 @@ copies or substantial portions of the Software.""",
 }
 
 
+WHOLE = {
+    "MIT": "MIT License\n\nCopyright (c) 2024 Some Person\n\n" + NOTICES["MIT"] + """
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""",
+    "Apache-2.0": "# " + NOTICES["Apache-2.0"].replace("//", "#")[2:],
+    "ISC": """Copyright 2020, A. Person
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "AGPL-3.0-or-later": NOTICES["GPL-3.0-or-later"].replace("GNU General", "GNU Affero General"),
+    "LGPL-2.1-only": "x = 1  \n# SPDX-License-Identifier: LGPL-2.1-only\n",
+    "Zlib": """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:""",
+}
+
+
+def test_whole_notices_count_once(spark):
+    df = spark.createDataFrame(list(WHOLE.items()), "doc_id string, text string")
+    got = {r.doc_id: (r.licenses, r.n_fragments) for r in licenses.scan_licenses(df).collect()}
+    assert got == {k: (k, 1 if k == "Zlib" else 0) for k in WHOLE}
+    assert all(r.n_matches == 1 for r in licenses.scan_licenses(df).collect())
+
+
 def test_standard_notices_as_they_are_wrapped(spark):
     rows = [*NOTICES.items(), ("none", "All rights\nreserved."), ("blank", "MIT\n\nLicense.")]
     df = spark.createDataFrame(rows, "doc_id string, text string")
