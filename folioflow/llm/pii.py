@@ -51,14 +51,13 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _NAME = r"(?:\p{Lu}\.[ ]){0,3}\p{Lu}[\p{Ll}\p{Lu}'’-]*+"
 _HEX = r"[0-9A-Fa-f]{1,4}"
 #: What stands before a secret, and the secret itself. Both are found together, and the key goes to what stays.
-KEY = r"(?i:token|password|passwd|secret|api_key|apikey|access_key)(?:\\?[\"'])?[ ]{0,2}[=:][ ]{0,2}(?:\\?[\"'])?"
+KEY = r"(?:[Tt](?i:oken)|[Pp](?i:assw(?:or)?d)|[Ss](?i:ecret)|[Aa](?i:pi_?key|ccess_key))(?:\\?[\"'])?[ ]{0,2}[=:][ ]{0,2}(?:\\?[\"'])?"
 BEHIND_KEY = r"[A-Za-z0-9_+/.-]{6,}+"
 #: Types and patterns, in the order in which they are tried at a place. Words are taken possessively, so that no text
 #: makes the matcher go back; look-behinds have a bounded length.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-][A-Za-z0-9.-]*(?<=[A-Za-z0-9-]\.[A-Za-z]{2,24})",
-    "secret": rf"(?=[TtPpSsAa]){KEY}{BEHIND_KEY}(?!@)"
-    r"|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{15,17}+|gh[pousr]_[A-Za-z0-9]{30,}+|sk-[A-Za-z0-9_-]{20,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)",
+    "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{15,17}+|gh[pousr]_[A-Za-z0-9]{30,}+|sk-[A-Za-z0-9_-]{20,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)",
     "ip": rf"(?<![0-9A-Za-z.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9A-Za-z]|\.[0-9])",
     "mac": r"(?<![0-9A-Za-z:-])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![0-9A-Za-z])",
     "ipv6": rf"(?<![0-9A-Za-z:])(?:(?:{_HEX}:){{7}}{_HEX}|(?=[A-Fa-f:]*+[0-9])[0-9A-Fa-f]{{4}}(?::{_HEX}){{0,6}}::(?:{_HEX}(?::{_HEX}){{0,5}})?)(?![0-9A-Za-z]|:[0-9A-Za-z:])",
@@ -70,7 +69,19 @@ PATTERNS = {
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{4}[ -]){3}[0-9]{1,7}(?![0-9A-Za-z])|(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])|(?<![0-9A-Za-z])[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}(?![0-9A-Za-z])",
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.?[ ]{_NAME}(?:[ ]{_NAME}){{0,3}}|(?:{'|'.join(MALE_NAMES + FEMALE_NAMES)})(?:[ ]{_NAME}){{1,3}})(?![\p{{L}}\p{{N}}])",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+KEYED = rf"(?=[TtPpSsAa]){KEY}{BEHIND_KEY}(?!@)"
+
+
+def _either(*names: str) -> str:
+    return "|".join(f"(?:{PATTERNS[n]})" for n in names)
+
+
+#: All of them, in the same order for each first character. Only keys may begin inside a word, so most places of a text
+#: fail at the first look; names begin with one of these letters.
+CAPITAL = "(?=[A-ZА-Яг])"
+_DIGIT_FIRST = f"(?=[0-9+(])(?:{_either('ip', 'mac', 'ipv6', 'phone', 'ssn', 'card')})"
+_LETTER_FIRST = rf"(?=\p{{L}})(?:{_either('secret', 'mac', 'ipv6')}|{CAPITAL}(?:{_either('iban', 'name')}))"
+ANY = f"(?<![A-Za-z0-9])(?:{_either('email')}|{_DIGIT_FIRST}|{_LETTER_FIRST})|{KEYED}"
 WORDS_OF_NAMES = MALE + FEMALE + NEUTRAL + MALE_NAMES + FEMALE_NAMES
 #: Stands around what was found while a text is cut.
 MARK = "\x01\x02"
@@ -82,8 +93,7 @@ def has_cue(text: Column) -> Column:
     keyed = (text.contains("=") | text.contains(":")) & text.rlike(r"(?i)token|passw|secret|api_?key|access_key")
     known = text.contains("AKIA") | text.contains("sk-") | text.contains("eyJ") | (text.contains("gh") & text.rlike("gh[pousr]_"))
     paired = (text.contains(":") & text.rlike("[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:")) | (text.contains("-") & text.rlike("[0-9A-Fa-f]{2}-[0-9A-Fa-f]{2}-[0-9A-Fa-f]{2}-"))
-    firsts = "".join(sorted({w[0] for w in WORDS_OF_NAMES}))
-    return text.rlike("[0-9@]") | known | keyed | paired | text.rlike(rf"[{firsts}](?<=(?<![\p{{L}}\p{{N}}]).)(?:{'|'.join(sorted({w[1:] for w in WORDS_OF_NAMES}))})[. ]")
+    return text.rlike("[0-9@]") | known | keyed | paired | text.rlike(rf"{CAPITAL}(?<![\p{{L}}\p{{N}}])(?:{'|'.join(WORDS_OF_NAMES)})[. ]")
 
 
 def _only(c: Column, pattern: str) -> Column:
