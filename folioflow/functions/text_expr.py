@@ -17,6 +17,7 @@ LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 STARTS = rf"(?<!{WORD_CHAR})"
 ENDS = rf"(?:(?<={WORD_CHAR})(?!{WORD_CHAR})|(?<!{WORD_CHAR})(?={WORD_CHAR}))"
 
+# What counts as a word, a keyword, a term of a question and a sentence.
 ANALYSIS_WORD = rf"{STARTS}[a-zA-Z][a-zA-Z'-]*{ENDS}"
 KEYWORD_TOKEN = rf"{STARTS}[a-zA-Z][a-zA-Z-]{{2,}}{ENDS}"
 QUESTION_TOKEN = rf"{STARTS}[a-zA-Z][a-zA-Z'-]{{2,}}{ENDS}"

@@ -51,8 +51,7 @@ def chunk_ranges(n: Column, size: int = 700, overlap: int = 125) -> Column:
     windows = F.greatest(F.lit(0), F.ceil((n - min(MAX_PAIR, MAX_SINGLE + step)) / step)).cast("int")
     rest = n - windows * step
     low = min(MAX_PAIR, MAX_SINGLE + step) - step  # `rest` is larger
-    packed = ",".join(str(a * 10000 + b) for a, b in final_pairs(size, overlap)[low:])
-    pair = F.element_at(F.expr(f"array({packed})"), rest - low + 1)
+    ends, begins = (F.element_at(F.expr(f"array({','.join(map(str, x))})"), rest - low + 1) for x in zip(*final_pairs(size, overlap)[low:], strict=True))
 
     def span(a: Column, b: Column) -> Column:
         return F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
@@ -63,7 +62,7 @@ def chunk_ranges(n: Column, size: int = 700, overlap: int = 125) -> Column:
     return (
         F.when(n <= 0, F.array().cast("array<struct<start:int,end:int>>"))
         .when(n <= MAX_SINGLE, F.array(span(F.lit(0), n)))
-        .otherwise(F.concat(plain, F.array(span(base, base + F.floor(pair / 10000)), span(base + pair % 10000, n))))
+        .otherwise(F.concat(plain, F.array(span(base, base + ends), span(base + begins, n))))
     )
 
 

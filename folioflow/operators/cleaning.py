@@ -19,6 +19,7 @@ EMPTY_INPUT = "Input text is empty."
 EMPTY_RESULT = "Cleaned text is empty after removing extraction noise."
 LARGE_REDUCTION = "Cleaning removed more than half of the original characters."
 
+# What page numbers and list items look like.
 PAGE_NUMBER = r"(?i)^(?:page\s*)?\p{Nd}+(?:\s*(?:of|/)\s*\p{Nd}+)?$"
 LIST_ITEM = r"^(\p{Nd}+[.)]|[A-Za-z][.)]|[-*\x{2022}])\s+"
 

@@ -31,9 +31,13 @@ SINGLE, PHRASE = (
 )
 
 
+# Fixed value: list marks and numbers before a unit.
+UNIT_MARK = r"\A\s*(?:[-*]|\p{Nd}+[.)]|[A-Z]{1,4}\p{Nd}*[:.)])\s*"
+
+
 def clean_unit(c: Column) -> Column:
     """Without list marks in front, with single spaces, without colons and dashes at the ends."""
-    bare = F.regexp_replace(c, r"\A\s*(?:[-*]|\p{Nd}+[.)]|[A-Z]{1,4}\p{Nd}*[:.)])\s*", "")
+    bare = F.regexp_replace(c, UNIT_MARK, "")
     return F.regexp_replace(F.regexp_replace(bare, rf"{T.SPACE}+", " "), r"\A[ :-]+|[ :-]+\z", "")
 
 

@@ -133,3 +133,11 @@ def preview(text: Column, limit: int = 300) -> Column:
     plain = T.squeeze(T.text_or_empty(text))
     cut = F.concat(F.regexp_replace(F.substring(plain, 1, max(limit - 3, 0)), rf"{T.SPACE}+\z", ""), F.lit("..."))
     return F.when(F.length(plain) > limit, cut).otherwise(plain)
+
+
+def shape_hits(hits: DataFrame, text_col: str = "text", limit: int = 300, full_text: bool = False) -> DataFrame:
+    """Hits with a preview of their text as `text_preview`, and with the whole as `full_text` only where it is asked for."""
+    out = hits.withColumn("text_preview", preview(F.col(text_col), limit))
+    if full_text:
+        out = out.withColumn("full_text", T.text_or_empty(F.col(text_col)))
+    return out.drop(text_col)

@@ -27,10 +27,15 @@ def _with_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_text(spark, sf_dir).select(
-        "query_id", "rank", "document_id", "chunk_index", "section_name", "page_start", "page_end", "score",
-        retrieval.preview(F.col("text")).alias("text_preview"),
-    )
+    return retrieval.shape_hits(_with_text(spark, sf_dir)).select(
+        "query_id", "rank", "document_id", "chunk_index", "section_name", "page_start", "page_end", "score", "text_preview"
+    )
+
+
+def search_full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with short previews and whole texts."""
+    out = retrieval.shape_hits(_with_text(spark, sf_dir), limit=40, full_text=True)
+    return out.select("query_id", "rank", "text_preview", F.md5("full_text").alias("text_md5"))
 
 
 def qa_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +98,7 @@ def rejected_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    rejected_searches, search_corpus, search_preview, search_document, qa_snippets, qa_answers, chat_log, provider_summary, provider_answer,
+    rejected_searches, search_full_text, search_corpus, search_preview, search_document, qa_snippets, qa_answers, chat_log, provider_summary, provider_answer,
 )
 
 
@@ -174,4 +179,6 @@ SELECT document_id, summary, selected_sentence_count FROM summed""",
   CASE doc_id % 7 WHEN 2 THEN -doc_id WHEN 3 THEN doc_id + 1000000000 WHEN 4 THEN NULL ELSE doc_id END AS document_id FROM documents)
 SELECT search_id, CASE WHEN trim(coalesce(query, '')) = '' THEN 'search query must not be empty' WHEN top_k NOT BETWEEN 1 AND 10 THEN 'top_k must be between 1 and 10'
   WHEN document_id <= 0 THEN 'document id must be positive' WHEN document_id NOT IN (SELECT doc_id FROM documents) THEN 'document does not exist' END AS problem FROM batch""",
+    "search_full_text": f"""{_CORPUS}, p AS (SELECT h.*, text, {squeeze_sql("text")} AS t FROM hits h JOIN chunks USING (document_id, chunk_index))
+SELECT qid AS query_id, rank, CASE WHEN length(t) > 40 THEN regexp_replace(t[:37], '\\s+$', '') || '...' ELSE t END AS text_preview, md5(text) AS text_md5 FROM p""",
 }
