@@ -77,6 +77,30 @@ SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id =
 FROM embeddings JOIN component ON node = vec_id LEFT JOIN counts ON counts.a = vec_id"""
 
 
+def runs_sql(exponent: int = 4, least: int = 6) -> str:
+    """op11: words q apart that are the same, joined to stretches; of equal stretches the smallest q."""
+    bit = "CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    return f"""WITH crcs AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: {bit}) AS c FROM range(256) r(i))),
+worded AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS s, {_WORDS.format("text")} AS ws FROM documents),
+hashed AS (SELECT doc_id, ws, len(ws) AS n, xor(list_reduce(list_concat([4294967295], list_transform(range(len(s)), lambda i: CAST(ascii(s[i + 1]) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM worded, crcs),
+placed AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a FROM hashed),
+planned AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM placed),
+planted AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN ws ELSE list_transform(range(n), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS ws FROM planned),
+flat AS (SELECT doc_id, n, unnest(ws) AS w, unnest(range(n)) AS i FROM planted),
+equal AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM flat x JOIN flat y ON x.doc_id = y.doc_id AND x.w = y.w AND y.i > x.i AND {exponent} * (y.i - x.i) <= x.n),
+stretches AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM equal)
+  GROUP BY doc_id, q, k HAVING count(*) + q >= greatest({least}, {exponent} * q)),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM stretches GROUP BY doc_id, start, length),
+covered AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT f.doc_id, string_agg(w, ' ' ORDER BY f.i) FILTER (c.i IS NULL) AS t FROM flat f LEFT JOIN covered c ON c.doc_id = f.doc_id AND c.i = f.i GROUP BY f.doc_id),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS t,
+  first({{'start': start, 'length': length, 'period': period}} ORDER BY length DESC, start, period) AS best FROM runs GROUP BY doc_id)
+SELECT p.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(best.start AS BIGINT) AS start, CAST(best.length AS BIGINT) AS length, CAST(best.period AS BIGINT) AS period,
+  CAST(1000 * best.length // best.period AS BIGINT) AS exponent_milli, sha256(coalesce(l.t, '')) AS runs_sha256, sha256(coalesce(k.t, '')) AS collapsed_sha256
+FROM planted p LEFT JOIN listed l USING (doc_id) LEFT JOIN kept k USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_license_scan": license_sql(),
@@ -85,4 +109,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_inner_products": products_sql(),
         "op9_byte_shards": shards_sql(),
         "op10_near_vectors": cosines_sql(),
+        "op11_periodic_runs": runs_sql(),
     }
