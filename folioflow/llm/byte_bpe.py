@@ -26,7 +26,7 @@ _CUT = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
 #: Characters of a text that are cut into pieces at once, and characters of pieces that the library encodes at once.
 SEGMENT, BATCH = 1 << 18, 1 << 16
 #: Strings of up to so many characters are remembered by a worker, so many of them in each of two generations.
-SHORT, REMEMBERED = 48, 1 << 19
+SHORT, REMEMBERED = 48, 3 << 17
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -218,12 +218,27 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") ->
     return tokens.withColumn("_ids", F.col(ids_col)).mapInArrow(lambda it: _decode(it, *parts.value), schema)
 
 
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", at_space: bool = True) -> DataFrame:
+    """`encode` and `decode` of its ids in one pass, so that no ids go back to Spark between them: the id column, ids,
+    decoded and decoded_text."""
+    shared = docs.sparkSession.sparkContext.broadcast((tokenizer_json(ranks, pattern), _tables(ranks)))
+    fields = {"ids": T.ArrayType(T.IntegerType()), "decoded": T.BinaryType(), "decoded_text": T.StringType()}
+    schema = T.StructType([docs.schema[id_col], *[T.StructField(n, t) for n, t in fields.items()]])
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        json, tables = shared.value
+        for batch in _encode(batches, json, False, at_space):
+            ids = pa.RecordBatch.from_arrays([*batch.columns, batch.column("ids")], [*batch.schema.names, "_ids"])
+            yield from _decode(iter([ids]), *tables)
+
+    return docs.select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(both, schema)
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token ids and back."""
     import public_tokenizers
 
     ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    coded = encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    back = decode(coded, ranks)
+    back = round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
