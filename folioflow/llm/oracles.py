@@ -101,6 +101,55 @@ SELECT p.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(best.start
 FROM planted p LEFT JOIN listed l USING (doc_id) LEFT JOIN kept k USING (doc_id)"""
 
 
+def repair_sql() -> str:
+    """op12: from the last row to the first, the least (cost, audit, text) of each state."""
+    bit = "CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    line = "chr(10)"
+
+    def then(letter: str, cost: str, rest: str, role: str | None = None, text: str = "''") -> str:
+        out = f"{rest}.o" if role is None else f"concat({role}, ':', {text}, CASE WHEN {rest}.e THEN '' ELSE {line} END, {rest}.o)"
+        return f"{{'c': {rest}.c + {cost}, 't': '{letter}' || {rest}.t, 'e': {f'{rest}.e' if role is None else 'false'}, 'o': {out}}}"
+
+    never = "{'c': 1000000000, 't': '', 'e': true, 'o': ''}"
+    end = "{'c': 0, 't': '', 'e': true, 'o': ''}"
+    maybe = lambda test, arc: f"CASE WHEN {test} THEN {arc} ELSE {never} END"
+    drop = {x: then("D", "3", x) for x in "nsua"}
+    reuser, reasst = (then("R", "2 + cut", x, f"'{r}'", "text") for x, r in (("u", "user"), ("a", "assistant")))
+    keep = {x: then("K", "cut", x, "role", "text") for x in "sua"}
+    to_user = f"{maybe('free AND i = $$u$$', keep['u'])}, {maybe('free', reuser)}"
+    states = {
+        "n": f"least({drop['n']}, {maybe('free AND i = $$s$$', keep['s'])}, {to_user})",
+        "s": f"least({drop['s']}, {to_user})",
+        "u": f"least({drop['u']}, {maybe('free AND i = $$a$$', keep['a'])}, {maybe('free', reasst)})",
+        "a": f"least({drop['a']}, {to_user})",
+    }
+    insert = {x: then("I", "2", y, f"'{r}'") for x, y, r in (("n", "u", "user"), ("s", "u", "user"), ("u", "a", "assistant"), ("a", "u", "user"))}
+
+    def closed(rows: str) -> str:
+        """Rows may be inserted: between u and a once, then before both."""
+        both = f"SELECT * REPLACE (least(u, {insert['u']}) AS u, least(a, {insert['a']}) AS a) FROM ({rows})"
+        return f"SELECT * REPLACE (least(n, {insert['n']}) AS n, least(s, {insert['s']}) AS s) FROM ({both})"
+
+    return f"""WITH RECURSIVE crcs AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: {bit}) AS c FROM range(256) r(i))),
+named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' ')) AS x FROM conversations),
+coded AS (SELECT named.*, xor(list_reduce(list_concat([4294967295], list_transform(range(len(x)), lambda i: CAST(ascii(x[i + 1]) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS code FROM named, crcs),
+damaged AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE WHEN code = 1 THEN '' WHEN code = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE WHEN code = 3 THEN 2 ELSE 1 END)) AS copy FROM coded WHERE code <> 0),
+placed AS (SELECT *, left(role, 1) AS i, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS ending, row_number() OVER w AS pos,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS again, lead(left(role, 1)) OVER w AS after
+  FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy)),
+judged AS (SELECT *, CASE WHEN ending = '' THEN 'blank' WHEN again > 1 THEN 'duplicate' WHEN ending NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM placed),
+costed AS (SELECT *, coalesce(fault, '') NOT IN ('blank', 'duplicate') AS free, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS cut FROM judged),
+best(conv_id, pos, n, s, u, a) AS (SELECT conv_id, pos, n, s, u, a FROM ({closed(f"SELECT conv_id, max(pos) + 1 AS pos, {end} AS n, {never} AS s, {never} AS u, {end} AS a FROM costed GROUP BY conv_id")})
+  UNION ALL SELECT conv_id, pos, n, s, u, a FROM ({closed(f"SELECT b.conv_id, r.pos, {states['n']} AS n, {states['s']} AS s, {states['u']} AS u, {states['a']} AS a FROM best b JOIN costed r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.pos = b.pos - 1")})),
+counted AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (after IS NOT NULL AND concat(i, after) NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id)
+SELECT d.conv_id, {", ".join(f"CAST(coalesce(c.{x}, 0) AS BIGINT) AS {x}" for x in ("gaps", "blank", "duplicate", "truncated", "illegal"))},
+  CAST(coalesce(b.n.c, 0) AS BIGINT) AS cost, coalesce(b.n.t, '') AS audit, sha256(coalesce(b.n.o, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM d.conv_id AND b.pos = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_license_scan": license_sql(),
@@ -110,4 +159,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_byte_shards": shards_sql(),
         "op10_near_vectors": cosines_sql(),
         "op11_periodic_runs": runs_sql(),
+        "op12_conversation_repair": repair_sql(),
     }

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import byte_bpe, embedding_dedup, licenses, mixing, ngram_join, oracles, packing, pii, quality, runs, sharding, substrings, topk
+from folioflow.llm import byte_bpe, conversations, embedding_dedup, licenses, mixing, ngram_join, oracles, packing, pii, quality, runs, sharding, substrings, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (mixing.op1_source_mix, licenses.op2_license_scan, quality.op3_quality_scores, pii.op4_surrogates, substrings.op5_repeated_windows, ngram_join.op6_shingle_join, topk.op7_inner_products, packing.op8_length_buckets, sharding.op9_byte_shards, embedding_dedup.op10_near_vectors, runs.op11_periodic_runs, byte_bpe.op13_byte_bpe)
+    found = (mixing.op1_source_mix, licenses.op2_license_scan, quality.op3_quality_scores, pii.op4_surrogates, substrings.op5_repeated_windows, ngram_join.op6_shingle_join, topk.op7_inner_products, packing.op8_length_buckets, sharding.op9_byte_shards, embedding_dedup.op10_near_vectors, runs.op11_periodic_runs, conversations.op12_conversation_repair, byte_bpe.op13_byte_bpe)
     return {f.__name__: f for f in found}
 
 
