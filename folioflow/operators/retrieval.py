@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text_expr as T
+from folioflow.sources.shared import scratch
 
 MAX_TOP_K = 10
 # English words that are no search terms.
@@ -34,53 +35,79 @@ STOP_WORDS = tuple(
 )
 
 
+def search_words(c: Column) -> Column:
+    """Words of two characters and more without stop words."""
+    return F.filter(T.found(F.lower(c), rf"{T.WORD_CHAR}{{2,}}"), lambda w: ~w.isin(*STOP_WORDS))
+
+
+def with_pairs(words: Column) -> Column:
+    """The words, then pairs of neighbours among them."""
+    size = F.size(words)
+    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(size, F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.concat(words, F.slice(pairs, 1, F.greatest(size - 1, F.lit(0))))
+
+
 def search_terms(c: Column) -> Column:
-    """Words of two characters and more without stop words, then pairs of neighbours among what is left."""
-    words = F.filter(T.found(F.lower(c), rf"{T.WORD_CHAR}{{2,}}"), lambda w: ~w.isin(*STOP_WORDS))
-    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat_ws(" ", a, F.coalesce(b, F.lit("\0"))))
-    return F.concat(words, F.filter(pairs, lambda p: ~p.endswith("\0")))
+    """The terms of a text."""
+    return with_pairs(search_words(c))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Work on texts costs far more than moving them: where the input's files give fewer tasks than there are cores, the
+    rows are dealt to all."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def counted_terms(rows: DataFrame, text_col: str, keep: Sequence[str]) -> DataFrame:
+    """(keep, terms, counts) of rows with text: the distinct terms, sorted, and how often each occurs. Narrow; in steps,
+    as an array that an expression names several times would be made as often inside it."""
+    rows = rows.where(T.strip(T.text_or_empty(F.col(text_col))) != "").select(*keep, search_words(F.col(text_col)).alias("_w"))
+    rows = rows.select(*keep, F.size("_w").alias("_n"), F.array_sort(with_pairs(F.col("_w"))).alias("_t"))
+    fresh = F.filter(F.transform("_t", lambda t, i: F.when((i == 0) | (t != F.get("_t", i - 1)), i)), lambda i: i.isNotNull())
+    rows = rows.select(*keep, "_n", "_t", fresh.alias("_at"))
+    ends = F.concat(F.slice("_at", 2, F.greatest(F.size("_at"), F.lit(1))), F.array(F.size("_t")))
+    counts = F.when(F.col("_n") > 0, F.zip_with("_at", ends, lambda a, b: b - a)).otherwise(F.array().cast("array<int>"))
+    return rows.select(*keep, F.transform("_at", lambda i: F.get("_t", i)).alias("terms"), counts.alias("counts"))
 
 
-def _counts(df: DataFrame, text: str, *keys: str) -> DataFrame:
-    """(keys, term, tf): counting stays a partial aggregation, as a text's terms are in one partition."""
-    terms = T.exploded(df, search_terms(F.col(text)), "_pos", "term", *keys)
-    return terms.groupBy(*keys, "term").agg((1 + F.log(F.count(F.lit(1)))).alias("tf"))
+def flat_terms(rows: DataFrame, *keep: str) -> DataFrame:
+    """(keep, term, tf) from counted terms, one row per term."""
+    one = T.exploded(rows, F.arrays_zip("terms", "counts"), "_pos", "_x", *keep)
+    return one.select(*keep, F.col("_x.terms").alias("term"), (1 + F.log(F.col("_x.counts"))).alias("tf"))
 
 
 @dataclass
 class SearchIndex:
-    """Postings (scope, keys, term, weight) with unit length per chunk, and idf (scope, term, idf)."""
+    """Chunks with counted terms, and idf (scope, term, idf)."""
 
-    postings: DataFrame
+    rows: DataFrame
     idf: DataFrame
     scope: tuple[str, ...]
     keys: tuple[str, ...]
 
 
 def fit_tfidf(chunks: DataFrame, keys: Sequence[str], scope: Sequence[str] = (), text_col: str = "text") -> SearchIndex:
-    """Weights of all terms of all chunks with text; idf and the number of chunks are those of the scope.
+    """Counted terms of all chunks with text; idf and the number of chunks are those of the scope.
 
-    Without scope columns the corpus is one scope; with them each value (a document, say) has an index of its own.
+    Without scope columns the corpus is one scope; with them each value (a document, say) has an index of its own. The
+    texts are cut into terms once: their counts are kept as a table in the shared folder.
     """
     scope, keys = tuple(scope), tuple(keys)
     own = tuple(dict.fromkeys((*scope, *keys)))
-    rows = chunks.where(T.strip(T.text_or_empty(F.col(text_col))) != "")
-    tf = _counts(rows, text_col, *own)
-    df = tf.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"))
+    rows = scratch(counted_terms(spread(chunks), text_col, own), "terms")
+    df = flat_terms(rows, *scope).groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"))
     n = rows.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"))
     sized = df.join(n, list(scope)) if scope else df.crossJoin(F.broadcast(n))  # one row
     idf = sized.select(*scope, "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighted = tf.join(idf, [*scope, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
-    length = weighted.groupBy(*own).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    postings = weighted.join(length, list(own)).select(*own, "term", (F.col("w") / F.col("length")).alias("weight"))
-    return SearchIndex(postings, idf, scope, keys)
+    return SearchIndex(rows, idf, scope, keys)
 
 
 def check_search(query: str | None, top_k: int, document_id: int | None = None) -> str:
     """The trimmed query of a single search, or an error."""
     if not (query or "").strip():
         raise ValueError("search query must not be empty")
-    _check_top_k(top_k)
+    check_top_k(top_k)
     if document_id is not None and document_id <= 0:
         raise ValueError("document id must be positive")
     return query.strip()
@@ -100,7 +127,7 @@ def search_problems(searches: DataFrame, documents: DataFrame) -> DataFrame:
     return out.withColumn("problem", problem).drop("_known")
 
 
-def _check_top_k(top_k: int) -> None:
+def check_top_k(top_k: int) -> None:
     if not 1 <= top_k <= MAX_TOP_K:
         raise ValueError(f"top_k must be between 1 and {MAX_TOP_K}")
 
@@ -108,19 +135,21 @@ def _check_top_k(top_k: int) -> None:
 def search_chunks(index: SearchIndex, queries: DataFrame, query_key: str, query_col: str, top_k: int = 5, order: Sequence[str] = ()) -> DataFrame:
     """(query_key, scope, keys, rank, score) of the best chunks of each query in the scope that its row names.
 
-    Blank queries find nothing. Postings meet query terms in an equi-join on scope and term; the products are summed
-    per query and chunk. Scores are compared at 9 digits, so that the order of a sum decides nothing, and rounded to 6;
+    Blank queries find nothing. Weights meet query terms in an equi-join on scope and term; the products are summed per
+    query and chunk, and so are the lengths of chunks, so no weight is moved by chunk. Scores are compared at 9 digits, so that the order of a sum decides nothing, and rounded to 6;
     ties go by `order` (the chunk keys).
     """
-    _check_top_k(top_k)
+    check_top_k(top_k)
     scope = list(index.scope)
-    asked = queries.where(T.strip(T.text_or_empty(F.col(query_col))) != "")
-    terms = _counts(asked, query_col, query_key, *scope).join(index.idf, [*scope, "term"])
-    terms = terms.withColumn("wq", F.col("tf") * F.col("idf"))
+    own = list(dict.fromkeys((*scope, *index.keys)))
+    asked = flat_terms(counted_terms(queries, query_col, [query_key, *scope]), query_key, *scope)
+    terms = asked.join(index.idf, [*scope, "term"]).withColumn("wq", F.col("tf") * F.col("idf"))
     length = F.sqrt(F.sum(F.col("wq") * F.col("wq")).over(Window.partitionBy(query_key, *scope)))
-    terms = terms.withColumn("wq", F.col("wq") / length).select(query_key, *scope, "term", "wq")
-    own = tuple(dict.fromkeys((*scope, *index.keys)))
-    scores = index.postings.join(terms, [*scope, "term"]).groupBy(query_key, *own).agg(F.round(F.sum(F.col("weight") * F.col("wq")), 9).alias("_score"))
+    terms = terms.select(query_key, *scope, "term", (F.col("wq") / length).alias("wq"))
+    weighted = flat_terms(index.rows, *own).join(index.idf, [*scope, "term"]).select(*own, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    lengths = weighted.groupBy(*own).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    dots = weighted.join(terms, [*scope, "term"]).groupBy(query_key, *own).agg(F.sum(F.col("w") * F.col("wq")).alias("dot"))
+    scores = dots.join(lengths, own).select(query_key, *own, F.round(F.col("dot") / F.col("length"), 9).alias("_score"))
     best = Window.partitionBy(query_key).orderBy(F.desc("_score"), *(order or own))
     ranked = scores.where("_score > 0").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)
     return ranked.withColumn("score", F.round("_score", 6)).drop("_score")

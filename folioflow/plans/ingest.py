@@ -56,9 +56,11 @@ def section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paper_chunks(spark, sf_dir)
 
 
-def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of whole documents as single unknown sections."""
+def document_chunks(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """Chunks of whole documents as single unknown sections; only of the documents in `of` (document_id) if given."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    if of is not None:
+        docs = docs.join(of.select(F.col("document_id").alias("doc_id")), "doc_id", "left_semi")
     one = F.array(F.struct(F.lit(" ").alias("section_name"), F.col("text").alias("text")))
     rows = docs.select(F.col("doc_id").alias("document_id"), F.greatest(F.lit(1), F.ceil(F.col("n_chars") / 3000)).cast("int").alias("page_count"), one.alias("sections"))
     return chunking.split_sections_into_chunks(rows)

@@ -2,28 +2,49 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.operators import qa, retrieval
+from folioflow.operators.search_index import StoredIndex
 from folioflow.plans.analysis import ascii_sql, sentences_sql, summaries_sql
 from folioflow.plans.ingest import WORD_CHAR, chunks_sql, document_chunks, squeeze_sql, strip_sql
+from folioflow.sources.shared import scratch, shared_dir
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+#: Stored indexes of this process, by application and state of the input files.
+_INDEXES: dict[tuple, StoredIndex] = {}
+
+
+def corpus_index(spark: SparkSession, sf_dir: str) -> StoredIndex:
+    """The stored index over all document chunks; built at the first search and used by later ones, until a file of the
+    input changes its name, size or time."""
+    files = spark.read.parquet(f"{sf_dir}/documents.parquet").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    state = files.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("*")), F.bit_xor(F.hash("*"))).first()
+    key = (spark.sparkContext.applicationId, shared_dir(spark), *state)
+    if key not in _INDEXES:
+        index = StoredIndex(spark, f"{shared_dir(spark)}/search-index-{uuid.uuid4().hex}")
+        index.append(document_chunks(spark, sf_dir))
+        _INDEXES[key] = index
+    return _INDEXES[key]
+
+
 def search_corpus(spark: SparkSession, sf_dir: str, top_k: int = 5) -> DataFrame:
-    """The benchmark texts as queries against all document chunks."""
-    index = retrieval.fit_tfidf(document_chunks(spark, sf_dir), ["document_id", "chunk_index"])
-    return retrieval.search_chunks(index, _asked(spark, sf_dir), "query_id", "query", top_k)
+    """The benchmark texts as queries against all document chunks, by the stored index."""
+    return corpus_index(spark, sf_dir).search(_asked(spark, sf_dir), "query_id", "query", top_k)
 
 
 def _with_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = document_chunks(spark, sf_dir)
-    hits = search_corpus(spark, sf_dir).join(chunks, ["document_id", "chunk_index"])
-    return hits.join(_asked(spark, sf_dir).withColumnRenamed("query", "question"), "query_id")
+    """Hits with the texts of their chunks: only the documents of hits are cut into chunks again."""
+    hits = scratch(search_corpus(spark, sf_dir), "hits")
+    chunks = document_chunks(spark, sf_dir, hits.select("document_id").distinct())
+    return hits.join(chunks, ["document_id", "chunk_index"]).join(_asked(spark, sf_dir).withColumnRenamed("query", "question"), "query_id")
 
 
 def search_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
