@@ -134,9 +134,13 @@ def _keyed(key: str, text: Column) -> Column:
 
 
 def _stream(key: str, seed: Column, length: Column) -> Column:
-    """At least 2 * length hex digits that the key and the seed decide."""
-    parts = F.sequence(F.lit(0), F.floor(length / 32).cast("int"))
-    return F.array_join(F.transform(parts, lambda k: _keyed(key, F.concat_ws("|", seed, k.cast("string")))), "")
+    """At least 2 * length hex digits that the key and the seed decide. The seed's digest is bound as a variable of the
+    outer lambda, so a long seed is read once, not for each part."""
+    def parts(digest: Column) -> Column:
+        counted = F.sequence(F.lit(0), F.floor(length / 32).cast("int"))
+        return F.array_join(F.transform(counted, lambda k: _keyed(key, F.concat_ws("|", digest, k.cast("string")))), "")
+
+    return F.element_at(F.transform(F.array(_keyed(key, seed)), parts), 1)
 
 
 def _byte(stream: Column, k: Column) -> Column:
@@ -149,20 +153,22 @@ def _one_of(values: tuple[str, ...], n: Column) -> Column:
 
 def _same_shape(value: Column, stream: Column) -> Column:
     """Each letter becomes a letter of the same case, each digit a digit, other characters stay; a value of hex digits
-    stays one."""
-    hexed = value.rlike(r"\A(?=[0-9a-f]*[0-9])[0-9a-f]+\z")
-
-    def char(c: Column, k: Column) -> Column:
-        n = _byte(stream, k)
-        return (
-            F.when(c.rlike("[0-9]"), F.char(48 + n % 10))
-            .when(hexed, F.char(97 + n % 6))
-            .when(c.rlike("[a-z]"), F.char(97 + n % 26))
-            .when(c.rlike("[A-Z]"), F.char(65 + n % 26))
-            .otherwise(c)
-        )
+    stays one. Linear: characters meet the stream's pairs of digits as arrays, and nothing whole is read in the lambda."""
+    pairs = F.regexp_extract_all(stream, F.lit(".."), F.lit(0))
+
+    def shaped(small: int) -> Column:
+        def char(c: Column, pair: Column) -> Column:
+            n = F.conv(pair, 16, 10).cast("int")
+            return (
+                F.when(c.rlike("[0-9]"), F.char(48 + n % 10))
+                .when(c.rlike("[a-z]"), F.char(97 + n % small))
+                .when(c.rlike("[A-Z]"), F.char(65 + n % 26))
+                .otherwise(c)
+            )
 
-    return F.array_join(F.transform(F.split(value, ""), char), "")
+        return F.array_join(F.zip_with(F.split(value, ""), pairs, char), "")  # what the pairs are longer joins as null
+
+    return F.when(value.rlike(r"\A(?=[0-9a-f]*[0-9])[0-9a-f]+\z"), shaped(6)).otherwise(shaped(26))
 
 
 def kind_of(found: Column, keyed: Column) -> Column:
@@ -213,9 +219,9 @@ def _candidate(kind: Column, value: Column, key: str, attempt: Column) -> Column
     first, second = F.substring_index(value, ".", 1), F.element_at(F.split(value, "[.]"), 2)
     private = F.when(first == "10", "10").when((first == "192") & (second == "168"), F.when(attempt < GROWS, "192.168").otherwise(F.concat_ws(".", F.lit("10"), octet(1)))).otherwise(F.concat_ws(".", (_byte(s, F.lit(9)) % 111 + 11).cast("string"), octet(1)))
     ip = F.concat_ws(".", private, *[octet(k) for k in (2, 3)])
-    ip = F.when(attempt >= LEAVES, F.concat_ws(".", (_byte(s, F.lit(9)) % 111 + 11).cast("string"), octet(1), octet(2), octet(3))).when(
-        first == "10", F.concat_ws(".", F.lit("10"), octet(1), octet(2), octet(3))
-    ).otherwise(ip)
+    ip = F.when((first == "10") | ((attempt >= LEAVES) & (first == "192") & (second == "168")), F.concat_ws(".", F.lit("10"), octet(1), octet(2), octet(3))).otherwise(
+        F.when(attempt >= LEAVES, F.concat_ws(".", (_byte(s, F.lit(9)) % 111 + 11).cast("string"), octet(1), octet(2), octet(3))).otherwise(ip)
+    )
     country, rest = F.substring_index(value, "/", 1), F.substring_index(value, "/", -1)
     phone = F.concat(country, F.lit("/"), F.translate(F.substring(digits, 1, 1), "01", "78"), F.substr(digits, F.lit(2), F.length(rest) - 1), F.translate(more, "0123456789abcdef", DIGITS_OF_HEX))
     body = F.concat(F.substring(value, 1, 1), F.substr(digits, F.lit(1), n - 2))
