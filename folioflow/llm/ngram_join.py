@@ -49,17 +49,18 @@ def groups_of(n: int) -> int:
 
 
 def count_vector(hashes: np.ndarray, groups: int) -> np.ndarray:
-    return np.bincount((hashes & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.uint16)
+    return np.bincount((hashes & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
 
 
 def packed_vector(hashes: np.ndarray) -> bytes:
-    """Counts in about n / 2 groups, in a byte each where all fit."""
+    """Counts in about n / 2 groups, in 1, 2 or 4 bytes each, as the largest needs."""
     v = count_vector(hashes, 4 * groups_of(len(hashes)))
-    return (v.astype(np.uint8) if v.max() < 256 else v).tobytes()
+    return v.astype(np.min_scalar_type(int(v.max()))).tobytes()
 
 
 def unpacked_vector(packed: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(packed, np.uint8 if len(packed) == 4 * groups_of(n) else np.uint16).astype(np.int32)
+    width = len(packed) // (4 * groups_of(n))
+    return np.frombuffer(packed, {1: np.uint8, 2: np.uint16, 4: np.uint32}[width]).astype(np.int64)
 
 
 def _need(a, b, percent: int):

@@ -403,3 +403,21 @@ def test_pair_tables_learn_an_interaction():
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
     model = quality.fit(x, y)
     assert ((model.score(x) >= 0.5) == y).mean() > 0.95 and (0, 1) in [(f, g) for f, g, _ in model.pairs]
+
+
+def test_counts_of_any_size():
+    for n, count in ((200, 3), (200, 300), (70_000, 70_000)):
+        hashes = np.full(count, 5, np.uint64) if count > 3 else np.arange(3, dtype=np.uint64)
+        hashes = np.r_[hashes, np.arange(max(0, n - count), dtype=np.uint64) + np.uint64(1)]
+        back = ngram_join.unpacked_vector(ngram_join.packed_vector(hashes), len(hashes))
+        assert back.sum() == len(hashes) and (back == ngram_join.count_vector(hashes, len(back))).all()
+    assert ngram_join.count_vector(np.zeros(1_300_000, np.uint64), 16)[0] == 1_300_000
+
+
+def test_links_of_texts_with_more_shingles_than_16_bits_count(spark):
+    """Three texts of 1.3 million words, the second near the first and the third near the second."""
+    base = [f"w{k}" for k in range(1_300_000)]
+    texts = [base, [*base[: 1_300_000 - 100_000], *(f"x{k}" for k in range(100_000))], [*(f"y{k}" for k in range(95_000)), *base[95_000 : 1_200_000], *(f"x{k}" for k in range(100_000))]]
+    df = spark.createDataFrame([(i + 1, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_groups(df).collect()}
+    assert got == {1: (1_299_997, 1), 2: (1_299_997, 1), 3: (1_299_997, 1)}
