@@ -178,15 +178,14 @@ def near_duplicate_vectors(
     Returns id, n_links (other ids linked directly), component_id (smallest id reachable), kept. Rows whose label is
     null or whose vector is null, zero or holds null or non-finite components link with nothing; nor do vectors of
     different lengths. Cosines are those of vectors scaled by their largest component, so that finite ones neither
-    over- nor underflow. Null ids link with nothing; rows that repeat an id must repeat its vector and count once as
-    a partner. An empty table gives no rows; other columns are not read.
+    over- nor underflow. Null ids link with nothing; of rows that repeat an id, the one with the least label and
+    vector among those that can link stands for all, once. An empty table gives no rows; other columns are not read.
     """
     if not 0 < least <= 1:
         raise ValueError("least must be in (0, 1]")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.col(label_col).cast("string").alias("label"))
-    label_of = rows.where("id is not null and label is not null").select("id", "label").dropDuplicates(["id"])
-    good = rows.mapInArrow(valid_vectors, "id long, v binary, norm double").where("norm > 0").drop("norm").dropDuplicates(["id"])
-    good = saved(good.join(label_of, "id"), "vectors")
+    good = rows.where("label is not null").mapInArrow(valid_vectors, "id long, v binary, norm double, label string").where("norm > 0")
+    good = saved(good.groupBy("id").agg(F.min(F.struct("label", "v")).alias("r")).select("id", "r.*"), "vectors")
     classes = saved(
         good.groupBy("label", "v").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"))
         .withColumn("width", (F.octet_length("v") / 8).cast("int")), "vector-classes"

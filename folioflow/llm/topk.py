@@ -43,7 +43,7 @@ def _packed(flat: np.ndarray, edge: np.ndarray) -> pa.Array:
 
 
 def valid_vectors(batches: Iterator[pa.RecordBatch], scale: float | None = None) -> Iterator[pa.RecordBatch]:
-    """(id, v as packed doubles, norm) of the rows whose vector is neither null nor holds null, NaN or infinity. With
+    """(id, v as packed doubles, norm, then the other columns) of the rows whose vector is neither null nor holds null, NaN or infinity. With
     `scale` the components become floor(scale * x), but for vectors whose norm is then HUGE or more: these stay."""
     for batch in batches:
         lists, ids = batch.column("v"), batch.column("id")
@@ -59,7 +59,9 @@ def valid_vectors(batches: Iterator[pa.RecordBatch], scale: float | None = None)
                 y = np.clip(np.floor(scale * flat), -1e300, 1e300)
             norms = _norms(y, edge)
             flat = np.where(np.repeat(norms >= HUGE, n[ok]), flat, y)
-        yield pa.RecordBatch.from_arrays([ids.filter(pa.array(ok)), _packed(flat, edge), pa.array(norms)], ["id", "v", "norm"])
+        others = [c for c in batch.schema.names if c not in ("id", "v")]
+        kept = [batch.column(c).filter(pa.array(ok)) for c in others]
+        yield pa.RecordBatch.from_arrays([ids.filter(pa.array(ok)), _packed(flat, edge), pa.array(norms), *kept], ["id", "v", "norm", *others])
 
 
 def _integers(packed: bytes, norm: float, scale: float) -> list[int]:
@@ -176,15 +178,16 @@ def top_inner_products(
     bound.
 
     Returns query_id, rank, vec_id, score. Null ids and vectors that are null or hold null or non-finite components
-    take no part; vectors shorter than others count as filled with zeros; rows that repeat an id must repeat its
-    vector and count once; an empty table gives no rows. Products are exact, also those of vectors whose norm is HUGE
+    take no part; vectors shorter than others count as filled with zeros; of rows that
+    repeat an id the one with the least vector counts, once; an empty table gives no rows. Products are exact, also those of vectors whose norm is HUGE
     or more; scores beyond the range of long are given as its ends, and rank by id where they are equal then.
     """
     if k < 1:
         raise ValueError("k must be positive")
     schema = "id long, v binary, norm double"
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    rows = saved(rows.mapInArrow(lambda it: valid_vectors(it, scale), schema).dropDuplicates(["id"]), "vectors")
+    rows = rows.mapInArrow(lambda it: valid_vectors(it, scale), schema).groupBy("id").agg(F.min(F.struct("v", "norm")).alias("r"))
+    rows = saved(rows.select("id", "r.*"), "vectors")
     ranked = saved(
         positions(rows.withColumn("down", -F.col("norm")), ["down", "id"]).select(
             "id", "v", "norm", F.floor(F.col("pos") / bucket_rows).cast("int").alias("bucket"),

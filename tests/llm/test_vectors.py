@@ -143,3 +143,17 @@ def test_components(spark):
         up[high] = low
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: top(k) for k in up if any(k in e and e[0] != e[1] for e in edges)}
+
+
+def test_labels_and_vectors_of_one_row_stay_together(spark):
+    """An id whose vector has no label and whose label has no vector links with nothing; reruns agree where rows of an
+    id differ."""
+    v, w = [1.0, 0.0, 0.5], [0.0, 1.0, 0.0]
+    rows = [(1, v, "a"), (2, v, None), (2, None, "a"), (3, v, "a"), (4, w, "b"), (4, v, "a"), (5, [0.0, 0.0, 0.0], "a")]
+    schema = "vec_id long, embedding array<double>, label string"
+    for parts in (1, 3):
+        df = spark.createDataFrame(rows[::1 if parts == 1 else -1], schema).repartition(parts)
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicate_vectors(df).collect()}
+        assert got == {1: (2, 1), 2: (0, 2), 3: (2, 1), 4: (2, 1), 5: (0, 5)}
+        best = topk.top_inner_products(df, "id = 1", k=2).select("vec_id", "score").collect()
+        assert sorted(map(tuple, best)) == [(2, 64 * 64 + 32 * 32), (3, 64 * 64 + 32 * 32)]
