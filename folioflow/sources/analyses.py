@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions import text_expr as T
+from folioflow.sources.shared import scratch
 
 SECTION = "section_type string, section_name string, detected_heading string, text string, confidence string"
 PROVIDER = "local"
@@ -53,8 +54,16 @@ def append_analyses(rows: DataFrame, path: str) -> None:
 
 
 def write_texts(df: DataFrame, path: str) -> None:
-    """Raw and cleaned text of each document, laid out by project."""
-    df.select("project_id", "document_id", "raw_text", "cleaned_text").write.mode("overwrite").partitionBy("project_id").parquet(path)
+    """Raw and cleaned text of each document, laid out by project. Documents that are there get their new texts; all
+    others stay, in other projects and in the same ones: only folders of projects that `df` names are written."""
+    spark = df.sparkSession
+    new = scratch(df.select("project_id", "document_id", "raw_text", "cleaned_text"), "texts")
+    old = _table_or_none(spark, path)
+    if old is not None:
+        ids, projects = new.select("document_id").distinct(), new.select("project_id").distinct()
+        stay = old.join(projects, "project_id", "left_semi").join(ids, "document_id", "left_anti")
+        new = scratch(new.unionByName(stay.select(new.columns)), "texts")  # what is read can't be overwritten at once
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id").parquet(path)
 
 
 def append_chat(chat: DataFrame, path: str) -> None:
@@ -78,20 +87,38 @@ def _table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
 
 def overwrite_chunks(new: DataFrame, touched: DataFrame, path: str) -> None:
     """The same on disk, by appending: chunks with a version first, then the touched documents with that version, which
-    makes them count. Nothing that is stored is written again; a write that fails before its end changes nothing."""
+    makes them count. Nothing that is stored is written again; a write that fails before its end changes nothing.
+
+    Where `touched` says when a document came (`arrived_at`), the latest counts, whatever the order of the writes; else
+    the time of the write does.
+    """
     spark = new.sparkSession
     before = _table_or_none(spark, f"{path}/touched")
     last = (before.agg(F.max("version")).first()[0] or 0) if before is not None else 0
     version = F.lit(max(time.time_ns(), last + 1))
-    ids = touched.select("document_id").where("document_id > 0").distinct()
-    new.join(ids, "document_id", "left_semi").withColumn("version", version).write.mode("append").parquet(f"{path}/chunks")
+    came = F.unix_micros("arrived_at") * 1000 if "arrived_at" in touched.columns else F.lit(None)
+    ids = touched.select("document_id", came.cast("long").alias("event")).where("document_id > 0").groupBy("document_id").agg(F.max("event").alias("event"))
+    new.join(ids.select("document_id"), "document_id", "left_semi").withColumn("version", version).write.mode("append").parquet(f"{path}/chunks")
     ids.withColumn("version", version).write.mode("append").parquet(f"{path}/touched")
 
 
+def newest_versions(spark: SparkSession, path: str) -> DataFrame | None:
+    """(document_id, version, event) that count, or None before the first write: of each document the latest event, of
+    equal ones the last write. Writes that name no event count as events at their own time."""
+    touched = _table_or_none(spark, f"{path}/touched")
+    if touched is None:
+        return None
+    event = F.coalesce("event", "version") if "event" in touched.columns else F.col("version")
+    best = touched.groupBy("document_id").agg(F.max(F.struct(event.alias("event"), "version")).alias("v"))
+    return best.select("document_id", "v.version", "v.event")
+
+
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     """The chunks that `overwrite_chunks` keeps: of each document those of its newest version."""
-    newest = spark.read.parquet(f"{path}/touched").groupBy("document_id").agg(F.max("version").alias("version"))
-    return spark.read.parquet(f"{path}/chunks").join(newest, ["document_id", "version"]).drop("version")
+    newest = newest_versions(spark, path)
+    if newest is None:
+        raise ValueError(f"no chunks were written to {path}")
+    return spark.read.parquet(f"{path}/chunks").join(newest.drop("event"), ["document_id", "version"]).drop("version")
 
 
 def compact_chunks(spark: SparkSession, path: str, target: str) -> None:

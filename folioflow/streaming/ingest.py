@@ -10,7 +10,8 @@ from folioflow.operators.chunking import split_sections_into_chunks
 from folioflow.operators.cleaning import clean_text
 from folioflow.operators.metadata import derive_status
 from folioflow.operators.sections import detect_sections
-from folioflow.sources.analyses import overwrite_chunks
+from folioflow.sources.analyses import newest_versions, overwrite_chunks
+from folioflow.sources.shared import scratch
 
 SCHEMA = "document_id long, raw_text string, page_count int, extraction_error string, arrived_at timestamp"
 
@@ -26,15 +27,27 @@ def newest(documents: DataFrame) -> DataFrame:
     return documents.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
 
 
+def timely(documents: DataFrame, path: str) -> DataFrame:
+    """Arrivals that are later than what is stored of their document: the table of touched documents is the state, keyed
+    by document, and the others needn't be cleaned and cut at all. Arrivals without a time are taken as they come."""
+    state = newest_versions(documents.sparkSession, path)
+    if state is None:
+        return documents
+    stored = state.select("document_id", F.col("event").alias("_event"))
+    return documents.join(stored, "document_id", "left").where("_event is null or arrived_at is null or unix_micros(arrived_at) * 1000 > _event").drop("_event")
+
+
 def ingest_stream(spark: SparkSession, inbox: str, chunks_path: str, checkpoint: str, files_per_trigger: int = 100) -> StreamingQuery:
     """Start the stream over Parquet files that arrive in `inbox`; it takes what is there and ends.
 
-    Writing a batch again gives the same table, so a batch that is repeated after a failure does no harm.
+    A document that comes again replaces itself if its `arrived_at` is later than that of what is stored, in whatever
+    batch it comes; equal times are one arrival. So a batch that is repeated after a failure, and files that are
+    delivered twice or late, give the same table.
     """
     arriving = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(inbox)
 
     def store(batch: DataFrame, _: int) -> None:
-        rows = newest(batch)
+        rows = scratch(timely(newest(batch), chunks_path), "arrivals")
         overwrite_chunks(split_sections_into_chunks(process(rows)), rows, chunks_path)
 
     return arriving.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
