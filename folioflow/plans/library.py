@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.plans import analysis, ingest, search, tables
+from folioflow.plans import analysis, ingest, search, stores, tables
 
-MODULES = (ingest, analysis, search, tables)
+MODULES = (ingest, analysis, search, tables, stores)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
