@@ -65,10 +65,10 @@ def common_endings(levels: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np
 
 
 def _before(values: np.ndarray, or_equal: bool) -> np.ndarray:
-    """For each place the nearest earlier one with a smaller value (or an equal one), by jumps over places that were
-    passed already; -1 where there is none."""
+    """For each place with a value over 0 the nearest earlier one with a smaller value (or an equal one), by jumps over
+    places that were passed already. No jump goes over a 0, so others aren't asked for."""
     at = np.arange(len(values)) - 1
-    todo = np.arange(len(values))
+    todo = np.flatnonzero(values > 0)
     while len(todo):
         to = at[todo]
         ahead = to >= 0
