@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text_expr as T
-from folioflow.sources.shared import scratch
+from folioflow.sources.shared import scratch, spread
 
 MAX_TOP_K = 10
 # English words that are no search terms.
@@ -52,13 +52,6 @@ def search_terms(c: Column) -> Column:
     return with_pairs(search_words(c))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Work on texts costs far more than moving them: where the input's files give fewer tasks than there are cores, the
-    rows are dealt to all."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def counted_terms(rows: DataFrame, text_col: str, keep: Sequence[str]) -> DataFrame:
     """(keep, terms, counts) of rows with text: the distinct terms, sorted, and how often each occurs. Narrow; in steps,
     as an array that an expression names several times would be made as often inside it."""
@@ -79,19 +72,21 @@ def flat_terms(rows: DataFrame, *keep: str) -> DataFrame:
 
 @dataclass
 class SearchIndex:
-    """Chunks with counted terms, and idf (scope, term, idf)."""
+    """Chunks with counted terms, idf (scope, term, idf), and the lengths of chunks."""
 
     rows: DataFrame
     idf: DataFrame
+    lengths: DataFrame
     scope: tuple[str, ...]
     keys: tuple[str, ...]
 
 
-def fit_tfidf(chunks: DataFrame, keys: Sequence[str], scope: Sequence[str] = (), text_col: str = "text") -> SearchIndex:
+def fit_tfidf(chunks: DataFrame, keys: Sequence[str], scope: Sequence[str] = (), text_col: str = "text", keep: bool = False) -> SearchIndex:
     """Counted terms of all chunks with text; idf and the number of chunks are those of the scope.
 
     Without scope columns the corpus is one scope; with them each value (a document, say) has an index of its own. The
-    texts are cut into terms once: their counts are kept as a table in the shared folder.
+    texts are cut into terms once: their counts are kept as a table in the shared folder. With `keep` idf and lengths
+    are, too, for more than one batch of searches: these then move no weights but those of their own terms.
     """
     scope, keys = tuple(scope), tuple(keys)
     own = tuple(dict.fromkeys((*scope, *keys)))
@@ -100,7 +95,10 @@ def fit_tfidf(chunks: DataFrame, keys: Sequence[str], scope: Sequence[str] = (),
     n = rows.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"))
     sized = df.join(n, list(scope)) if scope else df.crossJoin(F.broadcast(n))  # one row
     idf = sized.select(*scope, "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    return SearchIndex(rows, idf, scope, keys)
+    idf = scratch(idf, "idf") if keep else idf
+    weighted = flat_terms(rows, *own).join(idf, [*scope, "term"]).select(*own, (F.col("tf") * F.col("idf")).alias("w"))
+    lengths = weighted.groupBy(*own).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    return SearchIndex(rows, idf, scratch(lengths, "lengths") if keep else lengths, scope, keys)
 
 
 def check_search(query: str | None, top_k: int, document_id: int | None = None) -> str:
@@ -135,8 +133,8 @@ def check_top_k(top_k: int) -> None:
 def search_chunks(index: SearchIndex, queries: DataFrame, query_key: str, query_col: str, top_k: int = 5, order: Sequence[str] = ()) -> DataFrame:
     """(query_key, scope, keys, rank, score) of the best chunks of each query in the scope that its row names.
 
-    Blank queries find nothing. Weights meet query terms in an equi-join on scope and term; the products are summed per
-    query and chunk, and so are the lengths of chunks, so no weight is moved by chunk. Scores are compared at 9 digits, so that the order of a sum decides nothing, and rounded to 6;
+    Blank queries find nothing. Terms of chunks meet those of queries in an equi-join on scope and term; the products
+    are summed per query and chunk. Scores are compared at 9 digits, so that the order of a sum decides nothing, and rounded to 6;
     ties go by `order` (the chunk keys).
     """
     check_top_k(top_k)
@@ -145,11 +143,10 @@ def search_chunks(index: SearchIndex, queries: DataFrame, query_key: str, query_
     asked = flat_terms(counted_terms(queries, query_col, [query_key, *scope]), query_key, *scope)
     terms = asked.join(index.idf, [*scope, "term"]).withColumn("wq", F.col("tf") * F.col("idf"))
     length = F.sqrt(F.sum(F.col("wq") * F.col("wq")).over(Window.partitionBy(query_key, *scope)))
-    terms = terms.select(query_key, *scope, "term", (F.col("wq") / length).alias("wq"))
-    weighted = flat_terms(index.rows, *own).join(index.idf, [*scope, "term"]).select(*own, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    lengths = weighted.groupBy(*own).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    dots = weighted.join(terms, [*scope, "term"]).groupBy(query_key, *own).agg(F.sum(F.col("w") * F.col("wq")).alias("dot"))
-    scores = dots.join(lengths, own).select(query_key, *own, F.round(F.col("dot") / F.col("length"), 9).alias("_score"))
+    terms = terms.select(query_key, *scope, "term", "idf", (F.col("wq") / length).alias("wq"))
+    met = flat_terms(index.rows, *own).join(terms, [*scope, "term"])
+    dots = met.groupBy(query_key, *own).agg(F.sum(F.col("tf") * F.col("idf") * F.col("wq")).alias("dot"))
+    scores = dots.join(index.lengths, own).select(query_key, *own, F.round(F.col("dot") / F.col("length"), 9).alias("_score"))
     best = Window.partitionBy(query_key).orderBy(F.desc("_score"), *(order or own))
     ranked = scores.where("_score > 0").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)
     return ranked.withColumn("score", F.round("_score", 6)).drop("_score")

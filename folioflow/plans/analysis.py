@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from folioflow.operators import keywords, research, sections, statistics, stored, summaries
 from folioflow.plans.ingest import SPACE, chunks_sql, line_list_sql, paper_chunks, sectioned_papers, sections_sql, strip_sql, words_sql
 from folioflow.plans.papers import papers
+from folioflow.sources.shared import documents
 
 
 def keywords_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     return keywords.extract_keywords(docs.select(F.col("doc_id").alias("document_id"), "text"), "document_id")
 
 
@@ -34,7 +35,7 @@ def reference_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def readability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("document_id"), "text")
+    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("document_id"), "text")
     return statistics.readability(docs, "text").drop("text")
 
 
@@ -119,7 +120,7 @@ def stored_research(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def research_free_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Research information of texts without sections."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("document_id"), "text")
+    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("document_id"), "text")
     out = research.extract_research_information(stored.whole_text_sections(docs, "document_id"), "document_id")
     return out.withColumn("matched_keywords", F.array_join("matched_keywords", ","))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.sources.shared import documents
+
 HEADINGS = (
     "Abstract", "1. Introduction", "2 Related Work", "3) METHODS", "4.1 Results of Trial", "Discussion", "6.1 Outlook",
     "References", "Threats to Validity",
@@ -25,7 +27,7 @@ HEADER = "Working Draft"
 
 def papers(spark: SparkSession, sf_dir: str, period: int = 3) -> DataFrame:
     """document_id, project_id, raw_text, page_count. `period` is the distance of headings in lines."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     heading, cue = (F.array(*map(F.lit, x)) for x in (HEADINGS, CUES))
 

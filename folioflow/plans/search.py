@@ -11,33 +11,41 @@ from folioflow.operators import qa, retrieval
 from folioflow.operators.search_index import StoredIndex
 from folioflow.plans.analysis import ascii_sql, sentences_sql, summaries_sql
 from folioflow.plans.ingest import WORD_CHAR, chunks_sql, document_chunks, squeeze_sql, strip_sql
-from folioflow.sources.shared import scratch, shared_dir
+from folioflow.sources.shared import documents, scratch, shared_dir
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-#: Stored indexes of this process, by application and state of the input files.
-_INDEXES: dict[tuple, StoredIndex] = {}
+#: Fitted indexes of this process, by application and state of the input files.
+_FITTED: dict[tuple, retrieval.SearchIndex] = {}
 
 
-def corpus_index(spark: SparkSession, sf_dir: str) -> StoredIndex:
-    """The stored index over all document chunks; built at the first search and used by later ones, until a file of the
-    input changes its name, size or time."""
+def corpus_index(spark: SparkSession, sf_dir: str) -> retrieval.SearchIndex:
+    """The index over all document chunks; fitted at the first search, with its tables in the shared folder, and used by
+    later ones until a file of the input changes its name, size or time."""
     files = spark.read.parquet(f"{sf_dir}/documents.parquet").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
     state = files.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("*")), F.bit_xor(F.hash("*"))).first()
     key = (spark.sparkContext.applicationId, shared_dir(spark), *state)
-    if key not in _INDEXES:
-        index = StoredIndex(spark, f"{shared_dir(spark)}/search-index-{uuid.uuid4().hex}")
-        index.append(document_chunks(spark, sf_dir))
-        _INDEXES[key] = index
-    return _INDEXES[key]
+    if key not in _FITTED:
+        _FITTED[key] = retrieval.fit_tfidf(document_chunks(spark, sf_dir), ["document_id", "chunk_index"], keep=True)
+    return _FITTED[key]
 
 
 def search_corpus(spark: SparkSession, sf_dir: str, top_k: int = 5) -> DataFrame:
-    """The benchmark texts as queries against all document chunks, by the stored index."""
-    return corpus_index(spark, sf_dir).search(_asked(spark, sf_dir), "query_id", "query", top_k)
+    """The benchmark texts as queries against all document chunks."""
+    return retrieval.search_chunks(corpus_index(spark, sf_dir), _asked(spark, sf_dir), "query_id", "query", top_k)
+
+
+def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stored index with blocks of postings, filled in two batches: first the short documents, then the
+    long ones."""
+    index = StoredIndex(spark, f"{shared_dir(spark)}/search-index-{uuid.uuid4().hex}")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("document_id"), (F.col("n_chars") > 3000).alias("long"))
+    for long in (False, True):
+        index.append(document_chunks(spark, sf_dir, docs.where(F.col("long") == long)))
+    return index.search(_asked(spark, sf_dir), "query_id", "query")
 
 
 def _with_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +100,7 @@ def chat_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def provider_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("document_id"), "text")
+    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("document_id"), "text")
     return qa.summarize_texts(docs, "document_id")
 
 
@@ -119,7 +127,7 @@ def rejected_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    rejected_searches, search_full_text, search_corpus, search_preview, search_document, qa_snippets, qa_answers, chat_log, provider_summary, provider_answer,
+    rejected_searches, search_full_text, search_corpus, search_indexed, search_preview, search_document, qa_snippets, qa_answers, chat_log, provider_summary, provider_answer,
 )
 
 
@@ -182,6 +190,7 @@ _TEXTS = "retrieved AS (SELECT h.*, c.text, a.query FROM hits h JOIN chunks c ON
 _NONE = qa.NOT_FOUND.replace("'", "''")
 SQL: dict[str, str] = {
     "search_corpus": f"{_CORPUS} SELECT qid AS query_id, document_id, chunk_index, rank, score FROM hits",
+    "search_indexed": f"{_CORPUS} SELECT qid AS query_id, document_id, chunk_index, rank, score FROM hits",
     "search_preview": f"""{_CORPUS}, p AS (SELECT h.*, section_name, page_start, page_end, {squeeze_sql("text")} AS t FROM hits h JOIN chunks USING (document_id, chunk_index))
 SELECT qid AS query_id, rank, document_id, chunk_index, section_name, page_start, page_end, score, CASE WHEN length(t) > 300 THEN regexp_replace(t[:297], '\\s+$', '') || '...' ELSE t END AS text_preview FROM p""",
     "search_document": f"{_OWN} SELECT qid AS question_id, document_id, chunk_index, rank, score FROM hits",

@@ -35,3 +35,15 @@ def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder in any store that Spark writes to, if it is there."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+def spread(df: DataFrame, tasks: int = 3) -> DataFrame:
+    """Work on texts costs far more than moving them once: where the input's files give fewer tasks than there are
+    cores, rows are dealt to `tasks` times as many. Larger inputs stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks * cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given documents, with tasks for all cores: a small file is one row group, which is one task."""
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
