@@ -10,7 +10,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from folioflow.llm.common import positions, saved, table
 
@@ -300,16 +299,19 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [[none], [conv], [seg], [last], [part], [piece], [whole]]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
 
-    def done():
-        return out(sha.hexdigest(), None) if key[3] in (0, None) else out(None, "\n".join(lines))
+    def done() -> Iterator[pa.RecordBatch]:
+        """What is left of the current key; nothing after a piece that ended with its last line."""
+        if key is not None and key[3] in (0, None):
+            yield out(sha.hexdigest(), None)
+        elif lines:
+            yield out(None, "\n".join(lines))
 
     for batch in batches:
         kinds = pa.schema([*[batch.schema.field(c) for c in KEYS], ("part", pa.int32()), ("piece", pa.string()), ("repaired_sha256", pa.string())])
         for *now, line in zip(*[batch.column(c).to_pylist() for c in (*KEYS, "line")], strict=True):
             now[2] = now[2] if now[3] is not None else None
             if now != key:
-                if key is not None:
-                    yield done()
+                yield from done()
                 key, sha, lines, size, part = now, hashlib.sha256(), [], 0, 0
                 if now[3] in (0, None):
                     sha.update(line.encode())
@@ -320,10 +322,9 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lines.append(line)
             size += len(line)
             if size > PIECE:
-                yield done()
+                yield from done()
                 lines, size, part = [], 0, part + 1
-    if key is not None and (lines or key[3] in (0, None)):
-        yield done()
+    yield from done()
 
 
 def repair(
