@@ -60,7 +60,8 @@ def packed_vector(hashes: np.ndarray) -> bytes:
 
 def unpacked_vector(packed: bytes, n: int) -> np.ndarray:
     width = len(packed) // (4 * groups_of(n))
-    return np.frombuffer(packed, {1: np.uint8, 2: np.uint16, 4: np.uint32}[width]).astype(np.int64)
+    v = np.frombuffer(packed, {1: np.uint8, 2: np.uint16, 4: np.uint32}[width])
+    return v.astype(np.int32 if width < 4 else np.int64)  # the sum of two bytes' counts in all groups fits
 
 
 def _need(a, b, percent: int):

@@ -6,6 +6,8 @@ character. Each word gets a 64-bit polynomial hash of its bytes, so equal words
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -105,8 +107,22 @@ class Words:
         return at, mix(total, seed + size)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker that waits for its next task shouldn't hold that of the last."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def blocks(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut batches into slices of about BLOCK_BYTES of text, so that memory doesn't follow the batch size."""
+    try:
+        yield from _blocks(batches, column)
+    finally:
+        give_back()
+
+
+def _blocks(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
