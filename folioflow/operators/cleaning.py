@@ -24,6 +24,9 @@ PAGE_NUMBER = r"(?i)^(?:page\s*)?\p{Nd}+(?:\s*(?:of|/)\s*\p{Nd}+)?$"
 LIST_ITEM = r"^(\p{Nd}+[.)]|[A-Za-z][.)]|[-*\x{2022}])\s+"
 
 
+# The patterns of the three functions below are fixed values, too.
+
+
 def remove_control_characters(c: Column) -> Column:
     """Tabs and line breaks stay."""
     return F.regexp_replace(T.text_or_empty(c), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
@@ -71,6 +74,7 @@ def remove_repeated_artifacts(df: DataFrame, col: str, min_repetitions: int = 3)
     return df.withColumn(col, T.strip(F.array_join(kept, "\n"))).drop("_parts", "_repeated")
 
 
+# Fixed values, too: how a line is brought to the form of HEADINGS.
 def is_heading_line(line: Column) -> Column:
     unnumbered = F.regexp_replace(F.lower(T.strip(line)), r"^\p{Nd}+(?:\.\p{Nd}+)*[.)]?\s+", "")
     return T.squeeze(F.regexp_replace(unnumbered, "[^a-z0-9 &/-]+", "")).isin(*HEADINGS)
