@@ -67,7 +67,7 @@ def answer_questions(
     if max_answer_sentences < 1 or max_source_snippets < 1:
         raise ValueError("answer limits must be positive")
     rows = retrieved.where(F.col("rank") <= max_source_snippets)
-    found = _sentences(rows, query_key, text_col, question_col).where("substantive and overlap > 0")
+    found = _sentences(rows, query_key, text_col, question_col).where("substantive and overlap > 0").repartition(query_key)  # once, for all below
     place = [F.desc("overlap"), "rank", "pos"]
     once = Window.partitionBy(query_key, F.lower("sentence")).orderBy(*place)
     found = found.withColumn("_n", F.row_number().over(once)).where("_n = 1")
@@ -87,9 +87,9 @@ def answer_document_questions(
     """
     known = questions.where(T.strip(T.text_or_empty(F.col("question"))) != "").join(documents.select("document_id", "project_id"), "document_id")
     own = chunks.join(known.select("document_id").distinct(), "document_id", "left_semi")
-    index = retrieval.fit_tfidf(own, ["document_id", "chunk_index"], ["document_id"])
-    hits = retrieval.search_chunks(index, known, "question_id", "question", top_k)
-    retrieved = hits.join(own, ["document_id", "chunk_index"]).join(known.select("question_id", "question"), "question_id")
+    retrieval.check_top_k(top_k)
+    index = retrieval.fit_tfidf(own, ["document_id", "chunk_index"], ["document_id"], carry=["text"])
+    retrieved = retrieval.search_scopes(index, known, "question_id", "question", top_k)
     answers = answer_questions(known, retrieved, "question_id", max_source_snippets=top_k)
     snippets = source_snippets(retrieved, "question_id", max_source_snippets=top_k)
     chat = answers.join(known.select("question_id", "document_id", "project_id"), "question_id").select(
