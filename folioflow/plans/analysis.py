@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.operators import keywords, research, sections, statistics, stored, summaries
+from folioflow.operators import chunking, keywords, research, sections, statistics, stored, summaries
 from folioflow.plans.ingest import SPACE, chunks_sql, line_list_sql, paper_chunks, sectioned_papers, sections_sql, strip_sql, words_sql
 from folioflow.plans.papers import papers
-from folioflow.sources.shared import documents
+from folioflow.sources.shared import documents, scratch
 
 
 def keywords_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,16 @@ def paper_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.explode_sections(sectioned_papers(spark, sf_dir), "document_id")
 
 
+def _sections_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections as a table, for what reads them more than once: cleaning and cutting cost far more than a read."""
+    return scratch(paper_sections(spark, sf_dir).select("document_id", "section_pos", "section_type", "section_name", "confidence", "text"), "sections")
+
+
+def _sectioned_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of papers with their arrays of sections."""
+    return scratch(sectioned_papers(spark, sf_dir, 40).select("document_id", "project_id", "page_count", "cleaned_text", "sections"), "sectioned")
+
+
 def words_by_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.words_by_section(paper_sections(spark, sf_dir))
 
@@ -71,7 +81,7 @@ def research_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def research_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = paper_sections(spark, sf_dir)
+    found = _sections_once(spark, sf_dir)
     items = research.extract_research_information(found, "document_id")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("document_id"))
     return research.research_warnings(docs, found, items, "document_id").withColumn("warnings", F.array_join("warnings", "|"))
