@@ -89,7 +89,7 @@ def research_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _log(rows: DataFrame) -> DataFrame:
     """Rows as they come back from the log, with an older row of each document that doesn't count."""
-    id_ = F.col("document_id").cast("long")
+    rows, id_ = scratch(rows, "log"), F.col("document_id").cast("long")  # read twice below
     new = rows.withColumns({"id": 2 * id_ + 1, "created_at": F.lit(1)})
     return new.unionByName(new.withColumns({"id": 2 * id_, "content": F.lit("not json"), "created_at": F.lit(0)}))
 
@@ -120,8 +120,9 @@ def stored_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_research(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Research information of papers, stored as JSON and read back strictly."""
     docs = papers(spark, sf_dir).select("document_id", "project_id", F.concat(F.lit("paper "), F.col("document_id").cast("string")).alias("original_filename"))
-    found = paper_sections(spark, sf_dir)
-    log = _log(stored.research_rows(docs, found, research.extract_research_information(found, "document_id")))
+    found = _sections_once(spark, sf_dir)
+    items = scratch(research.extract_research_information(found, "document_id"), "items")
+    log = _log(stored.research_rows(docs, found, items))
     c = stored.read_latest(log, stored.RESEARCH[0], stored.RESEARCH_SCHEMA).select("content.*")
     return c.select("document_id", "filename", F.array_join("warnings", "|").alias("warnings"), F.explode("fields").alias("field", "f")).select(
         "document_id", "filename", "warnings", "field", "f.extracted_text", "f.source_section", "f.confidence"
