@@ -111,7 +111,7 @@ def stored_overviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Section summaries of papers, stored as JSON and read back strictly."""
     docs = papers(spark, sf_dir).select("document_id", "project_id")
-    log = _log(stored.summary_rows(docs, paper_sections(spark, sf_dir)))
+    log = _log(stored.summary_rows(docs, _sections_once(spark, sf_dir)))
     c = stored.read_latest(log, stored.SUMMARIES[0], stored.SUMMARIES_SCHEMA).select("content.*")
     texts = F.array_join(F.transform("summaries", lambda s: F.concat_ws("=", s["section_type"], s["summary"])), "|")
     return c.select("document_id", F.array_join("limitations", "|").alias("limitations"), F.array_join("source_section_names", "|").alias("names"), texts.alias("summaries"))
