@@ -96,9 +96,9 @@ def _log(rows: DataFrame) -> DataFrame:
 
 def stored_overviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overviews of papers, stored as JSON and read back strictly."""
-    rows = sectioned_papers(spark, sf_dir, 40)
+    rows = _sectioned_once(spark, sf_dir)
     words = keywords.extract_keywords(rows, "document_id", "cleaned_text")
-    numbers = statistics.document_statistics(rows, paper_chunks(spark, sf_dir))
+    numbers = statistics.document_statistics(rows, chunking.split_sections_into_chunks(rows))
     named = rows.select("document_id", "project_id", F.concat(F.lit("paper "), F.col("document_id").cast("string")).alias("original_filename"))
     log = _log(stored.overview_rows(named, words, numbers))
     c = stored.read_latest(log, stored.OVERVIEW[0], stored.OVERVIEW_SCHEMA).select("title", "content.*").select("*", "statistics.*", "statistics.readability.*")
