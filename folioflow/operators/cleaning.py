@@ -47,7 +47,7 @@ def normalize_whitespace(c: Column) -> Column:
 def _lines_and_repeats(df: DataFrame, col: str, min_repetitions: int) -> DataFrame:
     """Add `_parts`, the lines, and `_repeated`, the lower-case lines that occur `min_repetitions` times or more."""
     df = df.withColumn("_parts", F.split(T.text_or_empty(F.col(col)), "\n"))
-    df = df.withColumn("_keys", F.array_sort(F.transform("_parts", lambda l: F.lower(T.strip(l)))))
+    df = df.withColumn("_keys", F.sort_array(F.transform("_parts", lambda l: F.lower(T.strip(l)))))
     later = F.slice("_keys", min_repetitions, F.greatest(F.size("_keys"), F.lit(1)))
     same = F.zip_with("_keys", later, lambda a, b: F.when((a == b) & (a != ""), a))
     return df.withColumn("_repeated", F.array_distinct(F.filter(same, lambda k: k.isNotNull()))).drop("_keys")

@@ -50,7 +50,8 @@ def readability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = statistics.document_statistics(sectioned_papers(spark, sf_dir, 40), paper_chunks(spark, sf_dir))
+    rows = _sectioned_once(spark, sf_dir)
+    out = statistics.document_statistics(rows, chunking.split_sections_into_chunks(rows))
     flat = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
     return out.withColumns({c: flat(c) for c in ("word_count_by_section", "chunk_count_by_section")})
 

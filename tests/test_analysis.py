@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioflow.operators import keywords, research, statistics, summaries
+from folioflow.plans import analysis
 
 SECTION = "d int, section_pos int, section_type string, section_name string, text string, confidence double"
 
@@ -77,3 +78,9 @@ def test_research(spark):
     assert research.primary_fields(docs, items, "d").count() == 27
     warnings = {r.d: r.warnings for r in research.research_warnings(docs, df, items, "d").collect()}
     assert warnings == {1: [], 2: [research.NO_TEXT], 3: [research.NO_PATTERN]}
+
+
+def test_sections_that_are_read_twice_are_made_once(spark):
+    for query in (analysis.research_warnings, analysis.document_statistics):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "documents.parquet" not in plan and "Study " not in plan  # the title that papers get
