@@ -49,10 +49,12 @@ def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _with_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits with the texts of their chunks: only the documents of hits are cut into chunks again."""
+    """Hits with the texts of their chunks, as a table, since what follows reads them more than once: only the documents of
+    hits are cut into chunks again."""
     hits = scratch(search_corpus(spark, sf_dir), "hits")
     chunks = document_chunks(spark, sf_dir, hits.select("document_id").distinct())
-    return hits.join(chunks, ["document_id", "chunk_index"]).join(_asked(spark, sf_dir).withColumnRenamed("query", "question"), "query_id")
+    texts = hits.join(chunks, ["document_id", "chunk_index"]).join(_asked(spark, sf_dir).withColumnRenamed("query", "question"), "query_id")
+    return scratch(texts, "hit-texts")
 
 
 def search_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
