@@ -147,9 +147,10 @@ def summary_limitations() -> Column:
 def best_summaries(summaries: DataFrame, *keys: str) -> DataFrame:
     """The best non-empty summary per section type: most sentences, then confidence, then words, then first. `position`
     numbers the types by where their first non-empty summary stands."""
-    own = summaries.where("summary != ''").withColumn("confidence", summary_confidence())
+    # empty ones go after the windows: a filter before them would be pushed below all steps of the summary, with all of them in it
+    own = summaries.withColumns({"confidence": summary_confidence(), "_some": F.col("summary") != ""})
     by_type = Window.partitionBy(*keys, "section_type")
-    rank = by_type.orderBy(F.desc("selected_sentence_count"), F.desc("confidence"), F.desc(T.word_count(F.col("summary"))), "section_pos")
-    best = own.withColumns({"_rank": F.row_number().over(rank), "_first": F.min("section_pos").over(by_type)}).where("_rank = 1")
+    rank = by_type.orderBy(F.desc("_some"), F.desc("selected_sentence_count"), F.desc("confidence"), F.desc(T.word_count(F.col("summary"))), "section_pos")
+    best = own.withColumns({"_rank": F.row_number().over(rank), "_first": F.min(F.when(F.col("_some"), F.col("section_pos"))).over(by_type)}).where("_rank = 1 and _some")
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("_first"))
-    return best.withColumn("position", place).drop("_rank", "_first")
+    return best.withColumn("position", place).drop("_rank", "_first", "_some")
