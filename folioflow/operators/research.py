@@ -77,9 +77,12 @@ def extract_research_information(sections: DataFrame, *keys: str, max_items_per_
         raise ValueError("item limit must be positive")
     kind = F.coalesce(F.nullif(F.lower(T.strip(F.col("section_type"))), F.lit("")), F.lit("unknown"))
     name = F.coalesce(F.nullif(T.strip(F.col("section_name")), F.lit("")), F.lit("Unknown"))
-    units = T.exploded(sections, candidate_units(F.col("text")), "unit_pos", "unit", *keys, "section_pos", kind.alias("kind"), name.alias("source_section"))
-    units = units.withColumn("_found", found_keywords(F.col("unit")))
-    units = units.where((F.size("_found") > 0) | F.col("unit").contains("?") | F.col("kind").isin(*RULES["methodology"][0]))
+    # searched and chosen within the row: a filter on an exploded unit's keywords would search for them a second time
+    searched = F.transform(candidate_units(F.col("text")), lambda u, i: F.struct(i.alias("pos"), u.alias("unit"), found_keywords(u).alias("found")))
+    rows = sections.select(*keys, "section_pos", kind.alias("kind"), name.alias("source_section"), searched.alias("_units"))
+    chosen = F.filter("_units", lambda x: (F.size(x["found"]) > 0) | x["unit"].contains("?") | F.col("kind").isin(*RULES["methodology"][0]))
+    units = T.exploded(rows, chosen, "_pos", "_x", *keys, "section_pos", "kind", "source_section")
+    units = units.select(*keys, "section_pos", "kind", "source_section", F.col("_x.pos").alias("unit_pos"), F.col("_x.unit").alias("unit"), F.col("_x.found").alias("_found"))
     fields = F.array(*[
         F.struct(F.lit(f).alias("field"), F.col("kind").isin(*RULES[f][0]).alias("preferred"), _matched(F.col("unit"), F.col("_found"), f).alias("matched_keywords")) for f in RULES
     ])
