@@ -34,13 +34,14 @@ def remove_control_characters(c: Column) -> Column:
 
 def repair_hyphenated_line_breaks(c: Column) -> Column:
     """Words that a hyphen splits over lines become one again."""
-    return F.regexp_replace(T.text_or_empty(c), rf"(?<={T.WORD_CHAR})-{T.SPACE}*\n{T.SPACE}*(?={T.WORD_CHAR})", "")
+    return F.regexp_replace(T.text_or_empty(c), rf"-(?<={T.WORD_CHAR}-){T.SPACE}*\n{T.SPACE}*(?={T.WORD_CHAR})", "")  # the hyphen first: few places have one
 
 
 def normalize_whitespace(c: Column) -> Column:
     """One kind of line break, single spaces inside lines, at most one blank line in a row."""
-    unified = F.regexp_replace(T.text_or_empty(c), r"\r\n|\r", "\n")
-    trimmed = F.transform(F.split(unified, "\n"), lambda l: T.strip(F.regexp_replace(l, r"[ \t]+", " ")))
+    unified = F.regexp_replace(T.text_or_empty(c), r"\r\n?", "\n")
+    single = F.regexp_replace(unified, r" *\t[ \t]*| {2,}", " ")  # a single space needs no change
+    trimmed = F.transform(F.split(single, "\n"), T.strip)
     return T.strip(F.regexp_replace(F.array_join(trimmed, "\n"), r"\n{3,}", "\n\n"))
 
 
@@ -82,6 +83,8 @@ def is_heading_line(line: Column) -> Column:
 
 #: No heading has more letters.
 HEADING_LETTERS = max(sum(c.isalpha() for c in h) for h in HEADINGS)
+#: A line of no more words ends where the next begins with a capital letter.
+FEW_WORDS = 6
 
 
 def fix_broken_lines(df: DataFrame, col: str) -> DataFrame:
@@ -89,27 +92,31 @@ def fix_broken_lines(df: DataFrame, col: str) -> DataFrame:
 
     A line stands alone after a line with a final mark, and if it is a heading or a list item. Only what lies between
     such breaks is folded: there the words and letters so far decide, and the joined line itself only while it is
-    short enough for a heading. The fold gathers where lines begin, so no text grows in it.
+    short enough for a heading. The fold gathers where lines begin, so no text grows in it. Letters and words are counted
+    only as far as they decide.
     """
     own = F.transform(
         F.split(T.text_or_empty(F.col(col)), "\n\n"),
         lambda p: F.filter(F.transform(F.split(p, "\n"), lambda l: T.strip(l)), lambda l: l != ""),
     )
     df = df.withColumn("_own", F.filter(own, lambda p: F.size(p) > 0))
-    counts = lambda l: F.struct(l.alias("l"), F.length(F.regexp_replace(F.lower(l), "[^a-z]+", "")).alias("letters"))
+    letters = lambda l: F.length(F.regexp_replace(F.lower(l), "[^a-z]+", ""))
+    first = lambda l: F.struct(l.alias("l"), letters(F.substring(l, 1, 2 * HEADING_LETTERS)).alias("n"))
+    enough = lambda x: (x["n"] > HEADING_LETTERS) | (F.length(x["l"]) <= 2 * HEADING_LETTERS)
+    counts = lambda x: F.struct(x["l"].alias("l"), F.when(enough(x), x["n"]).otherwise(letters(x["l"])).alias("letters"))
     flags = lambda x: F.struct(
         x["l"].alias("l"), ((x["letters"] <= HEADING_LETTERS) & is_heading_line(x["l"])).alias("h"), x["l"].rlike(LIST_ITEM).alias("i"),
-        x["l"].rlike(r"^\p{Lu}").alias("u"), F.right(x["l"], F.lit(1)).isin(".", "!", "?", ":", ";").alias("e"),
-        x["letters"].alias("letters"), F.size(F.split(x["l"], rf"{T.SPACE}+")).alias("words"),
+        F.substring(x["l"], 1, 1).rlike(r"^\p{Lu}").alias("u"), F.right(x["l"], F.lit(1)).isin(".", "!", "?", ":", ";").alias("e"),
+        x["letters"].alias("letters"), F.size(F.split(x["l"], rf"{T.SPACE}+", FEW_WORDS + 2)).alias("words"),
     )
-    df = df.withColumn("_known", F.transform("_own", lambda p: F.transform(F.transform(p, counts), flags)))
+    df = df.withColumn("_known", F.transform("_own", lambda p: F.transform(F.transform(F.transform(p, first), counts), flags)))
 
     def line(begins: Column, now: Column, item: Column, letters: Column, words: Column, k: Column) -> Column:
         return F.struct(begins.alias("begins"), now.alias("now"), item.alias("item"), letters.alias("letters"), words.alias("words"), k.alias("k"))
 
     def step(acc: Column, x: Column) -> Column:
         k = acc["k"] + 1
-        alone = x["b"] | acc["item"] | (x["u"] & (acc["words"] <= 6)) | ((acc["letters"] <= HEADING_LETTERS) & is_heading_line(acc["now"]))
+        alone = x["b"] | acc["item"] | (x["u"] & (acc["words"] <= FEW_WORDS)) | ((acc["letters"] <= HEADING_LETTERS) & is_heading_line(acc["now"]))
         letters = acc["letters"] + x["letters"]
         now = F.when(letters <= HEADING_LETTERS, F.concat_ws(" ", acc["now"], x["l"])).otherwise("")
         joined = line(acc["begins"], now, acc["item"], letters, acc["words"] + x["words"], k)

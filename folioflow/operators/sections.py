@@ -22,6 +22,8 @@ ALIASES = {
 CHAPTERS = {"4": "results", "5": "discussion", "6": "conclusion"}
 # What a heading line looks like, what opens the references and results, and the longest title.
 NUMBERED_HEADING = r"^\s*(?:\p{Nd}+(?:\.\p{Nd}+)*[.)]?\s+)?([A-Za-z][A-Za-z &/-]{2,80})\s*:?\s*$"
+#: The same without steps back, which can't help: what they give up is spaces, which follow the title anyway.
+NUMBERED_LINE = NUMBERED_HEADING.replace("{2,80})", "{2,80}+)")
 REFERENCES = ("references", "bibliography", "works cited")
 RESULTS = "^(?:results of |findings from |findings of )"
 MAX_TITLE_LENGTH = 180
@@ -39,7 +41,7 @@ def heading_parts(line: Column) -> Column:
     opens = F.lower(line).rlike(rf"(?s)^[^a-z0-9 &/-]*+{REFERENCES_RAW[1:]}")
     return F.struct(
         line.alias("line"), opens.alias("opens"),
-        F.when(~opens & line.rlike(NUMBERED_HEADING), _plain(F.regexp_extract(line, NUMBERED_HEADING, 1))).alias("heading"),
+        F.when(~opens & line.rlike(NUMBERED_LINE), _plain(F.regexp_extract(line, NUMBERED_LINE, 1))).alias("heading"),
     )
 
 
@@ -79,12 +81,12 @@ def detect_sections(df: DataFrame, text_col: str = "cleaned_text", out_col: str
     """
     text = T.text_or_empty(F.col(text_col))
     df = df.withColumn("_text", text).withColumn("_lines", T.lines(F.col("_text")))
-    parts = F.transform(F.transform("_lines", lambda l: T.strip(l)), heading_parts)
-    df = df.withColumn("_types", F.transform(parts, kind_of))
+    df = df.withColumn("_bare", F.transform("_lines", T.strip))
+    df = df.withColumn("_types", F.transform(F.transform("_bare", heading_parts), kind_of))
     n, lines, types = F.size("_lines"), F.col("_lines"), F.col("_types")
     numbers = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     df = df.withColumn("_heads", F.filter(numbers, lambda i: F.get(types, i).isNotNull()))
-    df = df.withColumn("_first", F.get(F.filter(numbers, lambda i: T.strip(F.get(lines, i)) != ""), F.lit(0)))
+    df = df.withColumn("_first", F.get(F.filter(numbers, lambda i: F.get("_bare", i) != ""), F.lit(0)))
     # character offsets: a running sum that is kept at headings only, and what blank lines take before the first line
     sum_at = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("heads"))
     marked = F.zip_with("_lines", "_types", lambda l, t: F.struct(F.length(l).alias("n"), t.isNotNull().alias("head")))
@@ -126,7 +128,7 @@ def detect_sections(df: DataFrame, text_col: str = "cleaned_text", out_col: str
         .otherwise(F.array(unknown))
     )
     return df.withColumn(out_col, sections).drop(
-        "_text", "_lines", "_types", "_heads", "_first", "_at", "_blank", "_spans", "_title", "_titled", "_body"
+        "_text", "_lines", "_bare", "_types", "_heads", "_first", "_at", "_blank", "_spans", "_title", "_titled", "_body"
     )
 
 

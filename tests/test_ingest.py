@@ -123,3 +123,15 @@ def test_tokens_equal_python(spark):
     for java, python in ((T.ANALYSIS_WORD, r"\b[a-zA-Z][a-zA-Z'-]*\b"), (T.KEYWORD_TOKEN, r"\b[a-zA-Z][a-zA-Z-]{2,}\b"), (rf"{T.WORD_CHAR}+", r"\b\w+\b")):
         assert [r.x for r in df.select(T.found(F.col("t"), java).alias("x")).collect()] == [re.findall(python, t) for t in texts]
     assert df.select(T.raw_sentences(F.col("t")).alias("x")).first().x[-2:] == ["½ x² d'été can't abc-9 -a- naïve_1 e-mail's', 3.14 x.", " Y?"]
+
+
+def test_lines_are_counted_as_far_as_they_decide(spark):
+    plan = cleaning.clean_text(spark.createDataFrame([("a\nb",)], "text string"))._jdf.queryExecution().toString()
+    assert "+, 8)" in plan and ", -1) AS words" not in plan  # words of a line are split off only until there are more than few
+    six, seven = "One two three four five six", "One two three four five six seven"
+    letters = "x" * (cleaning.HEADING_LETTERS + 40)
+    text = f"{six}\nNext line\n\n{seven}\nNext line\n\n{'1 ' * 60}{letters}\nnext"
+    got = cleaning.clean_text(spark.createDataFrame([(text,)], "text string")).first().cleaned_text
+    assert got == f"{six}\nNext line\n\n{seven} Next line\n\n{'1 ' * 60}{letters} next"
+    tabs = "a \t b  c\r\rd \r\n e -\n f x-\n y"
+    assert spark.range(1).select(cleaning.normalize_whitespace(cleaning.repair_hyphenated_line_breaks(F.lit(tabs))).alias("t")).first().t == "a b c\n\nd\ne -\nf xy"
