@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioflow.functions import text_expr as T
 from folioflow.operators import chunking, cleaning, sections
 from folioflow.plans.papers import papers, papers_sql
-from folioflow.sources.shared import documents
+from folioflow.sources.shared import spread
 
 
 def cleaned_papers(spark: SparkSession, sf_dir: str, period: int = 3) -> DataFrame:
@@ -57,9 +57,10 @@ def section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paper_chunks(spark, sf_dir)
 
 
-def document_chunks(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
-    """Chunks of whole documents as single unknown sections; only of the documents in `of` (document_id) if given."""
-    docs = documents(spark, sf_dir)
+def document_chunks(spark: SparkSession, sf_dir: str, of: DataFrame | None = None, where: str = "true") -> DataFrame:
+    """Chunks of whole documents as single unknown sections; only of the documents in `of` (document_id) if given, and of
+    rows that meet a condition, which moves nothing."""
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").where(where))
     if of is not None:
         docs = docs.join(of.select(F.col("document_id").alias("doc_id")), "doc_id", "left_semi")
     one = F.array(F.struct(F.lit(" ").alias("section_name"), F.col("text").alias("text")))

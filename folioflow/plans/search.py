@@ -42,9 +42,8 @@ def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from a stored index with blocks of postings, filled in two batches: first the short documents, then the
     long ones."""
     index = StoredIndex(spark, f"{shared_dir(spark)}/search-index-{uuid.uuid4().hex}")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("document_id"), (F.col("n_chars") > 3000).alias("long"))
-    for long in (False, True):
-        index.append(document_chunks(spark, sf_dir, docs.where(F.col("long") == long)))
+    for some in ("n_chars <= 3000", "n_chars > 3000"):
+        index.append(document_chunks(spark, sf_dir, where=some))
     return index.search(_asked(spark, sf_dir), "query_id", "query")
 
 
