@@ -83,9 +83,10 @@ class SnapshotTable:
         return F.pmod(F.xxhash64(self.owner), F.lit(self.buckets)).cast("int")
 
     def _write(self, rows: DataFrame, owners: DataFrame) -> str:
+        """A bucket is a folder; where its rows are many, several tasks write it, each a file of its own."""
         layer = uuid.uuid4().hex
         for kind, df in (("owners", owners), ("rows", rows)):
-            df.withColumn("bucket", self._bucket()).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{kind}/layer={layer}")
+            df.withColumn("bucket", self._bucket()).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.path}/{kind}/layer={layer}")
         return layer
 
     def _filled(self, kind: str, layer: str) -> set[int]:

@@ -90,3 +90,17 @@ def test_late_and_repeated_arrivals(spark, tmp_path):
     ingest.ingest_stream(spark, inbox, store, str(tmp_path / "anew")).awaitTermination()
     rows = analyses.read_chunks(spark, store).where("section_name = 'Abstract'").collect()
     assert sorted((r.document_id, r.text) for r in rows) == [(1, "third words"), (2, "other words")]
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    table = SnapshotTable(spark, f"file://{tmp_path}/table", buckets=1)
+    rows = spark.range(0, 4000, 1, 8).select(F.col("id").alias("document_id"), F.lit(0).alias("n"), F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(key, "64k")
+    try:
+        table.replace(rows, rows.select("document_id"))
+    finally:
+        spark.conf.unset(key)
+    files = list((tmp_path / "table" / "rows").glob("layer=*/bucket=0/*.parquet"))
+    assert len(files) > 2  # one, when a bucket was one task
+    assert sorted(map(tuple, table.read().collect())) == sorted(map(tuple, rows.collect()))
