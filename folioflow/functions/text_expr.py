@@ -15,12 +15,14 @@ SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *r
 OTHER_SPACE = r"[\t\n\x0b\f\r\x{85}\x1c-\x1f\p{Z}&&[^ ]]"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 STARTS = rf"(?<!{WORD_CHAR})"
+#: The same behind a word's first letter, so that most places fail at the letter, before anything is looked at behind.
+STARTED = rf"(?<!{WORD_CHAR}[a-zA-Z])"
 ENDS = rf"(?:(?<={WORD_CHAR})(?!{WORD_CHAR})|(?<!{WORD_CHAR})(?={WORD_CHAR}))"
 
 # What counts as a word, a keyword, a term of a question and a sentence.
-ANALYSIS_WORD = rf"{STARTS}[a-zA-Z][a-zA-Z'-]*{ENDS}"
-KEYWORD_TOKEN = rf"{STARTS}[a-zA-Z][a-zA-Z-]{{2,}}{ENDS}"
-QUESTION_TOKEN = rf"{STARTS}[a-zA-Z][a-zA-Z'-]{{2,}}{ENDS}"
+ANALYSIS_WORD = rf"[a-zA-Z]{STARTED}[a-zA-Z'-]*{ENDS}"
+KEYWORD_TOKEN = rf"[a-zA-Z]{STARTED}[a-zA-Z-]{{2,}}{ENDS}"
+QUESTION_TOKEN = rf"[a-zA-Z]{STARTED}[a-zA-Z'-]{{2,}}{ENDS}"
 SENTENCE = r"[^.!?]+[.!?]?"
 DECIMAL_DOT = "<DOT>"
 

@@ -23,7 +23,7 @@ def keyword_tokens(c: Column, min_word_length: int = 3) -> Column:
     """Lower-case tokens without outer hyphens, short ones and stop words, in order."""
     if min_word_length < 1:
         raise ValueError("minimum word length must be positive")
-    tokens = F.transform(T.found(F.lower(c), T.KEYWORD_TOKEN), lambda t: F.regexp_replace(t, "^-+|-+$", ""))
+    tokens = F.transform(T.found(F.lower(c), T.KEYWORD_TOKEN), lambda t: F.btrim(t, F.lit("-")))
     return F.filter(tokens, lambda t: (F.length(t) >= min_word_length) & ~t.isin(*STOP_WORDS))
 
 

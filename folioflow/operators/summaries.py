@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from folioflow.functions import text_expr as T
 from folioflow.operators.keywords import keyword_tokens
@@ -33,66 +37,68 @@ def trim_heading(sentence: Column, openers: tuple[str, ...], enough) -> Column:
     return F.when(numbered & (rest != "") & enough(rest), rest).otherwise(sentence)
 
 
-def clean_sentence(sentence: Column) -> Column:
+def _plain(sentence: Column) -> Column:
     bare = F.when(sentence.contains("http"), F.regexp_replace(sentence, r"https?://[^\s\x{85}\p{Z}\x1c-\x1f]+", "")).otherwise(sentence)
-    plain = T.squeeze(bare)
+    return T.squeeze(bare)
+
+
+def _trimmed(plain: Column) -> Column:
     return trim_heading(plain, OPENERS, lambda rest: T.analysis_word_count(rest) >= 6)
 
 
+def clean_sentence(sentence: Column) -> Column:
+    return _trimmed(_plain(sentence))
+
+
 def split_sentences(c: Column) -> Column:
-    """Cleaned sentences that have a word."""
-    return F.transform(F.filter(T.raw_sentences(c), lambda s: s.rlike(T.ANALYSIS_WORD)), clean_sentence)
+    """Cleaned sentences that have a word. In steps, as a lambda makes what it names twice twice."""
+    plain = F.transform(F.filter(T.raw_sentences(c), lambda s: s.rlike(T.ANALYSIS_WORD)), _plain)
+    return F.transform(plain, _trimmed)
 
 
-def is_candidate(sentence: Column, words: Column) -> Column:
-    """Whether a cleaned sentence, which has no space at its ends, can stand in a summary."""
-    s, low = sentence, F.lower(sentence)
-    bad = s.rlike(r"\A[,;:)\]]") | low.rlike(rf"{T.STARTS}figure\s+x(?!{T.WORD_CHAR})")
+def is_candidate(sentence: Column, low: Column, words: Column) -> Column:
+    """Whether a cleaned sentence, which has no space at its ends, can stand in a summary; `low` is it in lower case. What
+    is searched with a pattern has a text that the pattern needs."""
+    s = sentence
+    bad = s.rlike(r"\A[,;:)\]]") | (low.contains("figure") & low.rlike(rf"{T.STARTS}figure\s+x(?!{T.WORD_CHAR})"))
     for text in PLACEHOLDERS:
         bad = bad | low.contains(text)
     for text in CAPTIONS:
         bad = bad | low.startswith(text)
-    bad = bad | s.rlike(rf"(?i){T.STARTS}(?:doi(?!{T.WORD_CHAR})|org(?!{T.WORD_CHAR})|https?://(?={T.WORD_CHAR})|www\.(?={T.WORD_CHAR}))")
-    bad = bad | (F.regexp_count(s, F.lit(rf"{T.STARTS}{NUMBERED}\s+[A-Z]")) >= 2)
+    named = low.contains("doi") | low.contains("org") | low.contains("http") | low.contains("www.")
+    bad = bad | (named & s.rlike(rf"(?i){T.STARTS}(?:doi(?!{T.WORD_CHAR})|org(?!{T.WORD_CHAR})|https?://(?={T.WORD_CHAR})|www\.(?={T.WORD_CHAR}))"))
+    dotted = F.instr(s, ".").between(1, F.length(s) - 1)  # a number with a dot has something behind it
+    bad = bad | (dotted & (F.regexp_count(s, F.lit(rf"{T.STARTS}{NUMBERED}\s+[A-Z]")) >= 2))
     for mark in BULLETS:
-        bad = bad | (F.length(s) - F.length(F.replace(s, F.lit(mark), F.lit(""))) >= 2)
-    bad = bad | sentence.rlike(rf"^\s*{NUMBERED}\s+\S+(?:\s+\S+){{0,5}}\s*$")
+        bad = bad | (s.contains(mark) & (F.length(s) - F.length(F.replace(s, F.lit(mark), F.lit(""))) >= 2))
+    bad = bad | (dotted & s.rlike(rf"^\s*{NUMBERED}\s+\S+(?:\s+\S+){{0,5}}\s*$"))
     return (words >= 3) & ~bad
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with the value made once: a lambda's variable isn't evaluated again where it is used."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _runs(rows: Column, field: str) -> Column:
-    """The slices of a sorted array of structs in which `field` is equal."""
-    starts = F.filter(
-        F.sequence(F.lit(0), F.greatest(F.size(rows) - 1, F.lit(0))),
-        lambda i: (i < F.size(rows)) & ((i == 0) | (F.get(rows, i)[field] != F.get(rows, i - 1)[field])),
-    )
-    return _let(starts, lambda at: F.transform(at, lambda i, k: F.slice(rows, i + 1, F.coalesce(F.get(at, k + 1), F.size(rows)) - i)))
-
-
-def _sentence_scores(sentences: Column, text: Column) -> Column:
-    """A score per sentence.
-
-    Tokens of the section, with index -1, and of the sentences are sorted together: in each run of one token those of
-    the section give the frequency of the others. A second sort brings these back to the sentences, each of which has
-    a row of its own without a frequency, so that sentences without a keyword score 0.
-    """
-    token = lambda i, ts: F.transform(ts, lambda t: F.struct(t.alias("token"), i.cast("int").alias("index")))
-    parts = F.flatten(F.transform(sentences, lambda s, i: token(i, keyword_tokens(s))))
-    tokens = F.sort_array(F.concat(token(F.lit(-1), keyword_tokens(text)), parts))
-    counted = F.transform(_let(tokens, lambda t: _runs(t, "token")), lambda r: F.struct(r.alias("r"), F.size(F.filter(r, lambda x: x["index"] < 0)).alias("f")))
-    found = F.flatten(F.transform(counted, lambda c: F.transform(F.filter(c["r"], lambda x: x["index"] >= 0), lambda x: F.struct(x["index"].alias("index"), c["f"].alias("f")))))
-    every = F.concat(found, F.transform(sentences, lambda _, i: F.struct(i.cast("int").alias("index"), F.lit(None).cast("int").alias("f"))))
-
-    def score(r: Column) -> Column:
-        total = F.aggregate(r, F.lit(0).cast("long"), lambda t, x: t + F.coalesce(x["f"], F.lit(0)))
-        return F.when(F.size(r) > 1, F.round(total / (F.size(r) - 1) + 0.1 / (F.get(r, F.lit(0))["index"] + 1), 6)).otherwise(0.0)
-
-    return F.transform(_let(F.sort_array(every), lambda e: _runs(e, "index")), score)
+@F.arrow_udf(ArrayType(LongType()))
+def token_sums(own: pa.Array, all_tokens: pa.Array) -> pa.Array:
+    """For each sentence's tokens (own: arrays of arrays) how often they occur among all tokens of their row, summed. A batch
+    of rows is counted at once: tokens get codes, a row and a code are one number."""
+    lengths = lambda x: pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    sentences = own.flatten()
+    per_row, per_sentence, per_all = lengths(own), lengths(sentences), lengths(all_tokens)
+    parts = [x.cast(pa.large_string()) for x in (all_tokens.flatten(), sentences.flatten())]
+    codes = pa.chunked_array(parts, pa.large_string()).combine_chunks().dictionary_encode()
+    width = max(len(codes.dictionary), 1)
+    code = codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.concatenate([np.repeat(np.arange(len(own)), per_all), np.repeat(np.repeat(np.arange(len(own)), per_row), per_sentence)])
+    keyed = row * width + code
+    known, counts = np.unique(keyed[: per_all.sum()], return_counts=True)
+    asked = keyed[per_all.sum() :]
+    if len(known):
+        place = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+        found = np.where(known[place] == asked, counts[place], 0)
+    else:
+        found = np.zeros(len(asked), np.int64)
+    upto = np.concatenate([[0], np.cumsum(found)])
+    ends = np.cumsum(per_sentence)
+    sums = upto[ends] - upto[ends - per_sentence]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_row)]), pa.int32()), pa.array(sums, pa.int64()))
 
 
 def summarize_sections(
@@ -102,15 +108,19 @@ def summarize_sections(
 
     A sentence scores the mean frequency of its keywords in the section, and a bonus for being early. In order of
     score, sentences are taken while they fit in `max_words`; of those the first `max_sentences` stay, in text order.
-    Everything happens within the section's row: nothing is shuffled.
+    Everything happens within the section's row: nothing is shuffled. Tokens are counted with numpy, for all rows of an
+    Arrow batch together.
     """
     if max_sentences < 1 or max_words < 1:
         raise ValueError("summary limits must be positive")
     rows = sections.where(F.col("section_type").isin(*SECTION_TYPES)).withColumn("_sentences", split_sentences(F.col(text_col)))
-    rows = rows.withColumn("_scores", _sentence_scores(F.col("_sentences"), F.col(text_col)))
-    scored = F.zip_with("_sentences", "_scores", lambda s, v: F.struct(s.alias("sentence"), v.alias("score")))
-    each = F.transform(scored, lambda x, i: F.struct((-x["score"]).alias("low"), i.cast("int").alias("index"), T.analysis_word_count(x["sentence"]).alias("words"), x["sentence"].alias("sentence")))
-    ranked = F.filter(each, lambda x: is_candidate(x["sentence"], x["words"]))
+    rows = rows.withColumn("_own", F.transform("_sentences", lambda s: keyword_tokens(s))).withColumn("_sums", token_sums("_own", keyword_tokens(F.col(text_col))))
+    rows = rows.withColumn("_sizes", F.transform("_own", lambda ts: F.size(ts))).drop("_own")
+    scored = F.transform(F.arrays_zip("_sentences", "_sums", "_sizes"), lambda x, i: F.struct(
+        x["_sentences"].alias("sentence"), F.when(x["_sizes"] > 0, F.round(x["_sums"] / x["_sizes"] + 0.1 / (i + 1), 6)).otherwise(0.0).alias("score")
+    ))
+    each = F.transform(scored, lambda x, i: F.struct((-x["score"]).alias("low"), i.cast("int").alias("index"), T.analysis_word_count(x["sentence"]).alias("words"), x["sentence"].alias("sentence"), F.lower(x["sentence"]).alias("lower")))
+    ranked = F.filter(each, lambda x: is_candidate(x["sentence"], x["lower"], x["words"]))
     start = F.struct(F.lit(0).alias("used"), F.array().cast("array<struct<index:int,sentence:string>>").alias("picks"))
 
     def take(acc: Column, x: Column) -> Column:
@@ -119,7 +129,7 @@ def summarize_sections(
         return F.when(fits, F.struct((acc["used"] + x["words"]).alias("used"), F.array_append(acc["picks"], pick).alias("picks"))).otherwise(acc)
 
     picks = F.aggregate(F.array_sort(ranked), start, take, lambda a: F.array_sort(F.slice(a["picks"], 1, max_sentences)))
-    out = rows.withColumn("_picks", picks).drop(text_col, "_sentences", "_scores")
+    out = rows.withColumn("_picks", picks).drop(text_col, "_sentences", "_sums", "_sizes")
     return (
         out.withColumn("summary", T.strip(F.array_join(F.transform("_picks", lambda p: p["sentence"]), " ")))
         .withColumn("selected_sentence_count", F.size("_picks"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,3 +85,17 @@ def test_sections_that_are_read_twice_are_made_once(spark):
     for query in (analysis.research_warnings, analysis.document_statistics):
         plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "documents.parquet" not in plan and "Study " not in plan  # the title that papers get
+
+
+def test_tokens_are_counted_in_batches(spark):
+    rng = random.Random(4)
+    word = lambda: f"t{rng.randrange(6)}"
+    rows = [(i, [[word() for _ in range(rng.randrange(5))] for _ in range(rng.randrange(4))], [word() for _ in range(rng.randrange(9))]) for i in range(40)]
+    df = spark.createDataFrame(rows, "i long, own array<array<string>>, tokens array<string>").repartition(3)
+    got = {r.i: r.s for r in df.select("i", summaries.token_sums("own", "tokens").alias("s")).collect()}
+    assert got == {i: [sum(tokens.count(t) for t in s) for s in own] for i, own, tokens in rows}
+    text = "Figure x is Figure 3.1 here. Figures xy show 2.1 Alpha and 2.2 Beta of these. Doing organs of men shows more. See doi of men here."
+    rows = spark.createDataFrame([(text, "abstract")], "text string, section_type string")
+    assert summaries.summarize_sections(rows, max_sentences=9).first().source_sentence_indexes == [2]
+    plan = summaries.summarize_sections(rows)._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" in plan and "Exchange" not in plan
