@@ -47,7 +47,11 @@ def ingest_stream(spark: SparkSession, inbox: str, chunks_path: str, checkpoint:
     arriving = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(inbox)
 
     def store(batch: DataFrame, _: int) -> None:
-        rows = scratch(timely(newest(batch), chunks_path), "arrivals")
-        overwrite_chunks(split_sections_into_chunks(process(rows)), rows, chunks_path)
+        # which arrivals count is known from their times alone; texts move once, to more tasks than cores, and are cut there
+        times = batch.groupBy("document_id").agg(F.max("arrived_at").alias("arrived_at"))
+        taken = scratch(timely(times, chunks_path), "arrivals")
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+        rows = newest(batch.repartition(parts, "document_id").join(taken.select("document_id"), "document_id", "left_semi"))
+        overwrite_chunks(split_sections_into_chunks(process(rows)), taken, chunks_path)
 
     return arriving.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -104,3 +104,16 @@ def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
     files = list((tmp_path / "table" / "rows").glob("layer=*/bucket=0/*.parquet"))
     assert len(files) > 2  # one, when a bucket was one task
     assert sorted(map(tuple, table.read().collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_texts_of_arrivals_move_once(spark, tmp_path, monkeypatch):
+    kept = []
+    monkeypatch.setattr(ingest, "scratch", lambda df, label, f=ingest.scratch: kept.append(df.columns) or f(df, label))
+    inbox, store = str(tmp_path / "inbox"), str(tmp_path / "chunks")
+    rows = [(d, f"Abstract\n{t} words", 1, None, at) for d, t, at in ((1, "b", 5), (1, "a", 5), (1, "z", None), (2, "only", None), (None, "none", 1), (-1, "none", 1))]
+    df = spark.createDataFrame(rows, "document_id long, raw_text string, page_count int, extraction_error string, arrived_at long")
+    df.withColumn("arrived_at", F.timestamp_seconds("arrived_at")).write.parquet(inbox)
+    ingest.ingest_stream(spark, inbox, store, str(tmp_path / "state")).awaitTermination()
+    rows = analyses.read_chunks(spark, store).where("section_name = 'Abstract'").collect()
+    assert sorted((r.document_id, r.text) for r in rows) == [(1, "b words"), (2, "only words")]
+    assert kept and all("raw_text" not in c for c in kept)  # texts went to a table and were read again
