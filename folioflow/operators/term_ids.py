@@ -111,14 +111,17 @@ def _binary(parts: Sequence[np.ndarray]) -> pa.Array:
     return pa.array([x.tobytes() for x in parts], pa.binary())
 
 
+def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
+    return ((ids.view(np.uint64) >> np.uint64(16)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+
+
 def dealt(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """For each batch of rows of words, named by its task and number, and each bucket of terms: (bucket, task, batch, number
     of rows, how many terms each has there, these, how often each occurs). With bucket 0 go the rows' keys."""
     task = TaskContext.get().partitionId()
     for number, batch in enumerate(batches):
         ids, counts, sizes = counted_ids(batch.column("words"))
-        bucket = (ids.view(np.uint64) >> np.uint64(16)) % np.uint64(buckets)
-        bucket = bucket.astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+        bucket = bucket_of(ids, buckets)
         order = np.argsort(bucket, kind="stable")  # 16-bit numbers are sorted by radix
         row = np.repeat(np.arange(len(sizes)), sizes)
         each = np.bincount(bucket.astype(np.int64) * len(sizes) + row, minlength=buckets * len(sizes)).reshape(buckets, -1)
@@ -131,42 +134,86 @@ def dealt(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
         ], ["bucket", "task", "batch", "rows", "own", "sizes", "ids", "counts"])
 
 
+def dealt_sizes(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """The same of (term, number) rows, which have no keys: what is stored of terms."""
+    for batch in batches:
+        ids, counts = (batch.column(i).to_numpy() for i in (0, 1))
+        bucket = bucket_of(ids, buckets)
+        order, cuts = np.argsort(bucket, kind="stable"), np.cumsum(np.bincount(bucket, minlength=buckets))[:-1]
+        zeros = pa.array([0] * buckets, pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(buckets, dtype=np.int32)), zeros, _binary(np.split(ids[order], cuts)), _binary([_packed(np.abs(x)) for x in np.split(counts[order], cuts)]),
+             _binary([(x < 0).astype(np.uint8) for x in np.split(counts[order], cuts)])], ["bucket", "rows", "ids", "counts", "less"])
+
+
 #: Terms of a bucket that are sorted together.
 SORTED = 1 << 21
 
 
-def frequencies(ids: np.ndarray, less: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places, their document frequency) of the numbers of a bucket, in ranges of numbers; `less` may be added for 1."""
-    ranges = max(1, len(ids) // SORTED)
-    lot = ids.view(np.uint64) % np.uint64(ranges) if ranges > 1 else None
-    for r in range(ranges):
-        some = np.flatnonzero(lot == r) if ranges > 1 else np.arange(len(ids))
+def ranges(ids: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of numbers, a range of numbers at a time."""
+    n = max(1, len(ids) // SORTED)
+    lot = (ids.view(np.uint64) % np.uint64(n)).astype(np.uint16) if n > 1 else None
+    for r in range(n):
+        yield np.flatnonzero(lot == r) if n > 1 else np.arange(len(ids))
+
+
+def starts(found: np.ndarray) -> np.ndarray:
+    """Where runs of equal numbers begin."""
+    return np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, np.int64)
+
+
+#: Signs of rows: of what is stored, of rows that are added or taken away, and of rows that are weighed only.
+STORED, ADDED, GONE, WEIGHED = 0, 1, -1, 2
+
+
+def met(table: pa.Table, n: int, before: int, part: int) -> pa.Table:
+    """What the rows of a bucket, dealt words and stored numbers, give: (task, batch, own, sums) with the sum of squared
+    weights of each row's terms, idf being that of all rows among `n`; and with task -1 the least ratio of idf to that
+    among `before` stored rows, and terms that were added more often than `part` times, with their numbers."""
+    signs, rows = (table.column(c).to_numpy() for c in ("sign", "rows"))
+    ids = [np.frombuffer(x.as_buffer(), np.int64) for x in table.column("ids")]
+    terms = np.array([len(x) for x in ids])
+    counts = np.concatenate([_unpacked(x, k) for x, k in zip(table.column("counts"), terms, strict=True)])
+    ids = np.concatenate(ids)
+    less = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) if x.is_valid else np.zeros(k, np.uint8) for x, k in zip(table.column("less"), terms, strict=True)])
+    sign = np.repeat(signs.astype(np.int8), terms)
+    weights, least, heavy, times = np.zeros(len(ids)), [np.inf], [], []
+    for some in ranges(ids):
         order = some[np.argsort(ids[some])]
-        found = ids[order]
-        first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, np.int64)
-        times = np.diff(np.append(first, len(found)))
-        yield order, np.repeat(times if less is None or not len(first) else np.add.reduceat(less[order], first), times)
-
-
-def squares(table: pa.Table, n: int) -> pa.Table:
-    """(task, batch, own, sums) of a bucket's rows: the sum of squared weights of each row's terms."""
-    ids = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("ids")])
-    sizes = [_unpacked(x, rows) for x, rows in zip(table.column("sizes"), table.column("rows").to_pylist(), strict=True)]
-    counts = np.concatenate([_unpacked(x, int(s.sum())) for x, s in zip(table.column("counts"), sizes, strict=True)])
-    weights = np.empty(len(ids))
-    for places, df in frequencies(ids):
-        weights[places] = (tf(counts[places]) * idf(n, df)) ** 2
-    upto = np.concatenate([[0], np.cumsum(np.concatenate([s.astype(np.int64) for s in sizes]))])
-    sums = _run_sums(weights, upto)
-    cuts = np.cumsum([len(s) for s in sizes])[:-1]
-    return table.select(["task", "batch", "own"]).append_column("sums", pa.array(np.split(sums, cuts), pa.list_(pa.float64())))
+        first = starts(ids[order])
+        if not len(first):
+            continue
+        run, kind, count = np.diff(np.append(first, len(order))), sign[order], counts[order].astype(np.int64)
+        stored = np.where(kind == STORED, np.where(less[order] == 1, -count, count), 0)
+        added = np.add.reduceat((kind == ADDED).astype(np.int64), first)
+        earlier = np.add.reduceat(stored, first)
+        df = earlier + added - np.add.reduceat((kind == GONE).astype(np.int64), first)
+        now = (earlier > 0) & (df > 0)
+        if now.any():
+            least.append((idf(n, df[now]) / idf(before, earlier[now])).min())
+        heavy.append(ids[order][first[added > part]]), times.append(added[added > part])
+        mine = np.flatnonzero(kind > 0)
+        weights[order[mine]] = (tf(count[mine]) * idf(n, np.repeat(df, run)[mine])) ** 2
+    kept = np.flatnonzero(signs > 0)
+    sizes = [_unpacked(table.column("sizes")[i], rows[i]) for i in kept.tolist()]
+    upto = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *[s.astype(np.int64) for s in sizes]]))])
+    sums = np.split(_run_sums(weights[sign > 0], upto), np.cumsum([len(s) for s in sizes])[:-1]) if len(kept) else []
+    own = table.column("own").take(pa.array(kept, pa.int64()))
+    named = [table.column(c).take(pa.array(kept, pa.int64())).to_pylist() for c in ("task", "batch")]
+    none, packed = [None] * len(kept), lambda x: np.concatenate([np.zeros(0, np.int64), *x]).tobytes()
+    return pa.table({
+        "task": pa.array([*named[0], -1], pa.int32()), "batch": pa.array([*named[1], -1], pa.int32()),
+        "own": pa.concat_arrays([*own.chunks, pa.nulls(1, own.type)]), "sums": pa.array([*sums, None], pa.list_(pa.float64())),
+        "least": pa.array([*none, min(least)], pa.float64()), "heavy": pa.array([*none, packed(heavy)], pa.binary()), "times": pa.array([*none, packed(times)], pa.binary()),
+    })
 
 
 def lengths(table: pa.Table) -> pa.Table:
     """(keys, length) of the rows of a batch that have terms, from what its buckets gave."""
     sums = table.column("sums").combine_chunks()
     total = sums.values.to_numpy().reshape(len(sums), -1).sum(axis=0) if len(sums) else np.zeros(0)
-    own = pa.concat_arrays(table.column("own").chunks).flatten()
+    own = pa.concat_arrays(table.column("own").chunks).flatten()  # of bucket 0 only
     mask = pa.array(total > 0)
     names = [f.name for f in own.type]
     return pa.table([*[x.filter(mask) for x in own.flatten()], pa.array(np.sqrt(total[total > 0]))], [*names, "length"])
@@ -214,9 +261,9 @@ def found(batches: Iterator[pa.RecordBatch], known: Known) -> Iterator[pa.Record
 class Asked:
     """Weights of the terms of some queries: for each place of a term the queries that have it."""
 
-    def __init__(self, keys: pa.Array, query: np.ndarray, place: np.ndarray, weight: np.ndarray, terms: int) -> None:
+    def __init__(self, name: str, keys: pa.Array, query: np.ndarray, place: np.ndarray, weight: np.ndarray, terms: int) -> None:
         order = np.argsort(place, kind="stable")
-        self.keys, self.query, self.weight = keys, query[order], weight[order]
+        self.name, self.keys, self.query, self.weight = name, keys, query[order], weight[order]
         self.upto = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=terms))])
 
     def dots(self, rows: int, row: np.ndarray, place: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -229,23 +276,29 @@ class Asked:
 
 
 def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, terms, counts) of rows (key, words)."""
+    """(keys, terms, counts) of rows of words."""
     for batch in batches:
-        ids, counts, sizes = counted_ids(batch.column(1))
+        ids, counts, sizes = counted_ids(batch.column("words"))
         upto = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
         lists = [pa.ListArray.from_arrays(upto, pa.array(x, pa.int64())) for x in (ids, counts)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *lists], [batch.schema.names[0], "terms", "counts"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *lists], [*batch.schema.names[:-1], "terms", "counts"])
 
 
-def weighed(query: pa.ChunkedArray, place: np.ndarray, counts: np.ndarray, df: np.ndarray, n: int) -> Asked:
-    """Weights of queries of unit length. Terms that no row has count in no query."""
-    codes = query.combine_chunks().dictionary_encode("encode")
+def numbered(query: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """The distinct keys of queries, null included, and which of them each row has."""
+    codes = pa.chunked_array(query.chunks, query.type).combine_chunks().dictionary_encode("encode")
     codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
-    number, good = codes.indices.to_numpy(), df[place] > 0
+    return codes.dictionary, codes.indices.to_numpy().astype(np.int64)
+
+
+def weighed(name: str, query: pa.ChunkedArray, place: np.ndarray, counts: np.ndarray, df: np.ndarray, n: int) -> Asked:
+    """Weights of queries of unit length. Terms that no row has count in no query."""
+    keys, number = numbered(query)
+    good = df[place] > 0
     w = tf(counts) * idf(n, df[place]) * good
-    size = np.sqrt(np.bincount(number, w * w, len(codes.dictionary)))
+    size = np.sqrt(np.bincount(number, w * w, len(keys)))
     weight = w[good] / size[number[good]] * idf(n, df[place[good]])
-    return Asked(codes.dictionary, number[good].astype(np.int64), place[good], weight, len(df))
+    return Asked(name, keys, number[good], place[good], weight, len(df))
 
 
 #: Products that are made together; scores are compared at 9 digits, so thresholds leave that much room.
@@ -272,4 +325,58 @@ def best(batches: Iterator[pa.RecordBatch], asked: Asked, top_k: int) -> Iterato
             i, q = np.nonzero((score > 0) & (score >= top[0] - ROOM))
             rows.append(i + a), queries.append(q), scores.append(score[i, q])
         keys = [batch.column(i).take(pa.array(np.concatenate(rows))) for i in range(batch.num_columns - 3)]
-        yield pa.RecordBatch.from_arrays([asked.keys.take(pa.array(np.concatenate(queries))), *keys, pa.array(np.concatenate(scores))], ["query", *batch.schema.names[:-3], "score"])
+        yield pa.RecordBatch.from_arrays([asked.keys.take(pa.array(np.concatenate(queries))), *keys, pa.array(np.concatenate(scores))], [asked.name, *batch.schema.names[:-3], "score"])
+
+
+def dealt_postings(batches: Iterator[pa.RecordBatch], buckets: int, heavy: Known, parts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Postings of rows (keys, length, hash, words) by bucket: (bucket, own, lengths, how many terms each row has there, these,
+    how often each occurs). A heavy term goes to as many buckets, from its own on, as it has parts."""
+    for batch in batches:
+        ids, counts, sizes = counted_ids(batch.column("words"))
+        bucket, row = bucket_of(ids, buckets), np.repeat(np.arange(len(sizes)), sizes)
+        some, place = heavy.places(ids)
+        part = batch.column("hash").to_numpy()[row[some]] % parts[place] if len(some) else 0
+        bucket[some] = (bucket[some] + part) % buckets
+        order = np.argsort(bucket, kind="stable")
+        each = np.bincount(bucket.astype(np.int64) * len(sizes) + row, minlength=buckets * len(sizes)).reshape(buckets, -1)
+        cuts, full = np.cumsum(each.sum(axis=1))[:-1], each > 0
+        at = pa.array(np.nonzero(full)[1])
+        upto = np.concatenate([[0], np.cumsum(full.sum(axis=1))])
+        keys = pa.StructArray.from_arrays([c.take(at) for c in batch.columns[:-3]], batch.schema.names[:-3])
+        lists = [pa.ListArray.from_arrays(pa.array(upto, pa.int32()), x) for x in (keys, batch.column("length").take(at))]
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.arange(buckets, dtype=np.int32)), *lists, _binary([_packed(x[y]) for x, y in zip(each, full, strict=True)]),
+            _binary(np.split(ids[order], cuts)), _binary([_packed(x) for x in np.split(counts[order], cuts)]),
+        ], ["bucket", "own", "lengths", "sizes", "ids", "counts"])
+
+
+def blocks(batches: Iterator[pa.RecordBatch], buckets: int, stored: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Postings of a bucket in blocks of `size`, the largest weights of a term first: (bucket among those stored, term, part,
+    block, top, size, entries)."""
+    table = pa.Table.from_batches(batches)
+    number = table.column("bucket")[0].as_py()
+    own, length = (pa.concat_arrays([x.flatten() for x in table.column(c).chunks]) for c in ("own", "lengths"))
+    sizes = np.concatenate([_unpacked(x, len(y)) for x, y in zip(table.column("sizes"), table.column("own"), strict=True)])
+    ids = [np.frombuffer(x.as_buffer(), np.int64) for x in table.column("ids")]
+    counts = np.concatenate([_unpacked(x, len(y)) for x, y in zip(table.column("counts"), ids, strict=True)])
+    ids, row = np.concatenate(ids), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    length = length.to_numpy()
+    del table
+    for some in ranges(ids):
+        some = some[np.argsort(ids[some])]
+        weight = tf(counts[some]) / length[row[some]]
+        run = np.cumsum(np.concatenate([[0], ids[some][1:] != ids[some][:-1]])) if len(some) else np.zeros(0, np.int64)
+        # by run, then by weight from the largest on, which the bits of positive numbers follow
+        order = np.argsort((run.astype(np.uint64) << np.uint64(32)) | (np.uint64(0xFFFFFFFF) - weight.astype(np.float32).view(np.uint32)))
+        some, weight, run = some[order], weight[order], run[order]
+        place = np.arange(len(run)) - np.repeat(starts(run), np.diff(np.append(starts(run), len(run))))
+        first = np.flatnonzero(place % size == 0)
+        term = ids[some[first]]
+        base = bucket_of(term, buckets).astype(np.int64)
+        entries = pa.StructArray.from_arrays([*[c.take(pa.array(row[some])) for c in own.flatten()], pa.array(weight)], [*[f.name for f in own.type], "weight"])
+        upto = pa.array(np.append(first, len(some)), pa.int32())
+        if len(first):
+            yield pa.RecordBatch.from_arrays([
+                pa.array((base % stored).astype(np.int32)), pa.array(term), pa.array(((number - base) % buckets).astype(np.int32)), pa.array((place[first] // size).astype(np.int32)),
+                pa.array(np.maximum.reduceat(weight, first)), pa.array(np.diff(np.append(first, len(some)))), pa.ListArray.from_arrays(upto, entries),
+            ], ["bucket", "term", "part", "block", "top", "size", "entries"])

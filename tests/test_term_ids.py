@@ -33,15 +33,13 @@ def test_numbers_stand_for_terms(monkeypatch):
             assert len(names) == len(set().union(*some)) and all(names.values())
 
 
-def test_frequencies_by_ranges(monkeypatch):
+def test_ranges_keep_numbers_together(monkeypatch):
     ids = np.random.default_rng(3).integers(-50, 50, 1000)
-    want = [Counter(ids.tolist())[i] for i in ids.tolist()]
     for size in (1 << 21, 100):
         monkeypatch.setattr(term_ids, "SORTED", size)
-        got = np.zeros(len(ids), int)
-        for places, df in term_ids.frequencies(ids):
-            got[places] = df
-        assert got.tolist() == want
+        parts = [x.tolist() for x in term_ids.ranges(ids)]
+        assert sorted(sum(parts, [])) == list(range(1000)) and len(parts) == max(1, 1000 // size)
+        assert sum(len(set(ids[x].tolist())) for x in parts) == len(set(ids.tolist()))
 
 
 def shuffled_rows(spark, job):
