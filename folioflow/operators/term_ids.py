@@ -6,17 +6,18 @@ chance of n * n / 2**65 for n distinct ones (1 % for 600 million), and then coun
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 _LOW = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)  # the first i bytes of a little-endian word
-#: Words with more bytes are digested one by one; bytes of texts that are worked on together.
-LONG, STEP = 512, 1 << 21
+#: Words with more bytes are digested one by one; bytes of texts, and rows, that are worked on together.
+LONG, STEP, ROWS = 512, 1 << 21, 1 << 12
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -98,28 +99,34 @@ def idf(n: int, df: np.ndarray) -> np.ndarray:
 
 
 def _packed(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.uint8 if not len(x) or x.max() < 256 else np.uint32)
+    return x.astype(np.uint8 if not len(x) or 0 <= x.min() and x.max() < 256 else np.int32)
 
 
 def _unpacked(data: pa.Scalar, n: int) -> np.ndarray:
-    """`n` counts of 1 or 4 bytes each."""
+    """`n` numbers of 1 or 4 bytes each."""
     data = data.as_buffer()
-    return np.frombuffer(data, np.uint8 if data.size == n else np.uint32)
+    return np.frombuffer(data, np.uint8 if data.size == n else np.int32)
 
 
 def _binary(parts: Sequence[np.ndarray]) -> pa.Array:
     return pa.array([x.tobytes() for x in parts], pa.binary())
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a in range(0, batch.num_rows, ROWS):
+            yield batch.slice(a, ROWS)
+
+
 def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
     return ((ids.view(np.uint64) >> np.uint64(16)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
 
 
 def dealt(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """For each batch of rows of words, named by its task and number, and each bucket of terms: (bucket, task, batch, number
+    """For each few rows of words, named by their task and number, and each bucket of terms: (bucket, task, number, count
     of rows, how many terms each has there, these, how often each occurs). With bucket 0 go the rows' keys."""
     task = TaskContext.get().partitionId()
-    for number, batch in enumerate(batches):
+    for number, batch in enumerate(_slices(batches)):
         ids, counts, sizes = counted_ids(batch.column("words"))
         bucket = bucket_of(ids, buckets)
         order = np.argsort(bucket, kind="stable")  # 16-bit numbers are sorted by radix
@@ -131,29 +138,71 @@ def dealt(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([
             pa.array(np.arange(buckets, dtype=np.int32)), pa.array([task] * buckets, pa.int32()), pa.array([number] * buckets, pa.int32()),
             pa.array([len(sizes)] * buckets, pa.int32()), own, _binary([_packed(x) for x in each]), _binary(np.split(ids[order], cuts)), _binary([_packed(x) for x in np.split(counts[order], cuts)]),
-        ], ["bucket", "task", "batch", "rows", "own", "sizes", "ids", "counts"])
+        ], ["bucket", "task", "number", "rows", "own", "sizes", "ids", "counts"])
 
 
-def dealt_sizes(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """The same of (term, number) rows, which have no keys: what is stored of terms."""
+def stored(batches: Iterator[pa.RecordBatch], good: Callable[[np.ndarray], np.ndarray] | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of terms and their frequencies, of rows of both, where the number is `good`."""
     for batch in batches:
-        ids, counts = (batch.column(i).to_numpy() for i in (0, 1))
+        for x, y in zip(batch.column("ids"), batch.column("counts"), strict=True):
+            ids = np.frombuffer(x.as_buffer(), np.int64)
+            counts = _unpacked(y, len(ids)).astype(np.int64)
+            some = slice(None) if good is None else np.flatnonzero(good(ids))
+            yield ids[some], counts[some]
+
+
+def dealt_sizes(batches: Iterator[pa.RecordBatch], buckets: int, good: Callable[[np.ndarray], np.ndarray] | None) -> Iterator[pa.RecordBatch]:
+    """The same as `dealt` of what is stored of terms, which has no keys."""
+    for ids, counts in stored(batches, good):
         bucket = bucket_of(ids, buckets)
         order, cuts = np.argsort(bucket, kind="stable"), np.cumsum(np.bincount(bucket, minlength=buckets))[:-1]
-        zeros = pa.array([0] * buckets, pa.int32())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(buckets, dtype=np.int32)), zeros, _binary(np.split(ids[order], cuts)), _binary([_packed(np.abs(x)) for x in np.split(counts[order], cuts)]),
-             _binary([(x < 0).astype(np.uint8) for x in np.split(counts[order], cuts)])], ["bucket", "rows", "ids", "counts", "less"])
+        lists = [_binary(np.split(ids[order], cuts)), _binary([_packed(x) for x in np.split(counts[order], cuts)])]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets, dtype=np.int32)), pa.array([0] * buckets, pa.int32()), *lists], ["bucket", "rows", "ids", "counts"])
+
+
+def frequencies(batches: Iterator[pa.RecordBatch], good: Callable[[np.ndarray], np.ndarray] | None) -> Iterator[pa.RecordBatch]:
+    """(term, df) of the same."""
+    for ids, counts in stored(batches, good):
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts)], ["term", "df"])
+
+
+class Seen:
+    """A filter of 4 MB that lets through all numbers that it was made of, and some others."""
+
+    BITS, PIECES = 1 << 25, 64
+
+    def __init__(self, pieces: dict[int, bytes]) -> None:
+        none = bytes(self.BITS // 8 // self.PIECES)
+        self.bits = np.frombuffer(b"".join(pieces.get(i, none) for i in range(self.PIECES)), np.uint8)
+
+    def __call__(self, ids: np.ndarray) -> np.ndarray:
+        at = ids & (self.BITS - 1)
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+
+    @classmethod
+    def pieces(cls, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(piece, bits) of a task's rows of words."""
+        seen = np.zeros(cls.BITS, bool)
+        for batch in batches:
+            seen[counted_ids(batch.column("words"))[0] & (cls.BITS - 1)] = True
+        parts = np.packbits(seen, bitorder="little").reshape(cls.PIECES, -1)
+        some = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), _binary(list(parts[some]))], ["piece", "bits"])
+
+    @staticmethod
+    def either(table: pa.Table) -> pa.Table:
+        bits = np.bitwise_or.reduce([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("bits")])
+        return pa.table({"piece": table.column("piece").slice(0, 1), "bits": _binary([bits])})
 
 
 #: Terms of a bucket that are sorted together.
-SORTED = 1 << 21
+SORTED = 1 << 19
 
 
 def ranges(ids: np.ndarray) -> Iterator[np.ndarray]:
-    """Places of numbers, a range of numbers at a time."""
-    n = max(1, len(ids) // SORTED)
-    lot = (ids.view(np.uint64) % np.uint64(n)).astype(np.uint16) if n > 1 else None
+    """Places of numbers, a range of numbers (by their lowest bits) at a time."""
+    n = min(max(1, len(ids) // SORTED), 1 << 16)
+    lot = ids.view("<u2")[::4] % np.uint16(min(n, (1 << 16) - 1)) if n > 1 else None
     for r in range(n):
         yield np.flatnonzero(lot == r) if n > 1 else np.arange(len(ids))
 
@@ -167,46 +216,47 @@ def starts(found: np.ndarray) -> np.ndarray:
 STORED, ADDED, GONE, WEIGHED = 0, 1, -1, 2
 
 
-def met(table: pa.Table, n: int, before: int, part: int) -> pa.Table:
-    """What the rows of a bucket, dealt words and stored numbers, give: (task, batch, own, sums) with the sum of squared
-    weights of each row's terms, idf being that of all rows among `n`; and with task -1 the least ratio of idf to that
-    among `before` stored rows, and terms that were added more often than `part` times, with their numbers."""
-    signs, rows = (table.column(c).to_numpy() for c in ("sign", "rows"))
-    ids = [np.frombuffer(x.as_buffer(), np.int64) for x in table.column("ids")]
-    terms = np.array([len(x) for x in ids])
-    counts = np.concatenate([_unpacked(x, k) for x, k in zip(table.column("counts"), terms, strict=True)])
-    ids = np.concatenate(ids)
-    less = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) if x.is_valid else np.zeros(k, np.uint8) for x, k in zip(table.column("less"), terms, strict=True)])
-    sign = np.repeat(signs.astype(np.int8), terms)
-    weights, least, heavy, times = np.zeros(len(ids)), [np.inf], [], []
+def met(batches: Iterator[pa.RecordBatch], n: int, before: int, part: int) -> Iterator[pa.RecordBatch]:
+    """What the rows of a bucket, dealt words and stored numbers, give: (task, number, own, sums) with the sum of squared
+    weights of each row's terms, idf being that of all rows among `n`. And with task -1, by ranges of terms: the least ratio
+    of idf to that among `before` stored rows, terms that were added more often than `part` times, with their numbers, and
+    all terms that were added or taken away, with their change."""
+    kept, signs, terms, ids, counts, sizes = [], [], [], [], [], []
+    for part_of in batches:  # Arrow's copies of numbers go when they are joined
+        for i, (sign, rows) in enumerate(zip(part_of.column("sign").to_pylist(), part_of.column("rows").to_pylist(), strict=True)):
+            ids.append(np.frombuffer(part_of.column("ids")[i].as_buffer(), np.int64))
+            counts.append(_unpacked(part_of.column("counts")[i], len(ids[-1])))
+            signs.append(sign), terms.append(len(ids[-1]))
+            if sign > 0:
+                sizes.append(_unpacked(part_of.column("sizes")[i], rows).copy())
+        kept.append(part_of.select(["task", "number", "own"]).filter(pc.greater(part_of.column("sign"), 0)))
+    own = kept[0].schema.field("own").type
+    ids, counts, sign = np.concatenate(ids), np.concatenate(counts), np.repeat(np.array(signs, np.int8), terms)
+    weights, told = np.zeros(len(ids)), []
     for some in ranges(ids):
         order = some[np.argsort(ids[some])]
         first = starts(ids[order])
         if not len(first):
             continue
         run, kind, count = np.diff(np.append(first, len(order))), sign[order], counts[order].astype(np.int64)
-        stored = np.where(kind == STORED, np.where(less[order] == 1, -count, count), 0)
         added = np.add.reduceat((kind == ADDED).astype(np.int64), first)
-        earlier = np.add.reduceat(stored, first)
-        df = earlier + added - np.add.reduceat((kind == GONE).astype(np.int64), first)
-        now = (earlier > 0) & (df > 0)
-        if now.any():
-            least.append((idf(n, df[now]) / idf(before, earlier[now])).min())
-        heavy.append(ids[order][first[added > part]]), times.append(added[added > part])
+        more = added - np.add.reduceat((kind == GONE).astype(np.int64), first)
+        earlier = np.add.reduceat(np.where(kind == STORED, count, 0), first)
+        df, names = earlier + more, ids[order][first]
+        now, heavy, changed = (earlier > 0) & (df > 0), added > part, more != 0
+        least = (idf(n, df[now]) / idf(before, earlier[now])).min() if now.any() else None
+        told.append((least, names[heavy].tobytes(), added[heavy].tobytes(), names[changed].tobytes(), _packed(more[changed]).tobytes()))
         mine = np.flatnonzero(kind > 0)
         weights[order[mine]] = (tf(count[mine]) * idf(n, np.repeat(df, run)[mine])) ** 2
-    kept = np.flatnonzero(signs > 0)
-    sizes = [_unpacked(table.column("sizes")[i], rows[i]) for i in kept.tolist()]
     upto = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *[s.astype(np.int64) for s in sizes]]))])
-    sums = np.split(_run_sums(weights[sign > 0], upto), np.cumsum([len(s) for s in sizes])[:-1]) if len(kept) else []
-    own = table.column("own").take(pa.array(kept, pa.int64()))
-    named = [table.column(c).take(pa.array(kept, pa.int64())).to_pylist() for c in ("task", "batch")]
-    none, packed = [None] * len(kept), lambda x: np.concatenate([np.zeros(0, np.int64), *x]).tobytes()
-    return pa.table({
-        "task": pa.array([*named[0], -1], pa.int32()), "batch": pa.array([*named[1], -1], pa.int32()),
-        "own": pa.concat_arrays([*own.chunks, pa.nulls(1, own.type)]), "sums": pa.array([*sums, None], pa.list_(pa.float64())),
-        "least": pa.array([*none, min(least)], pa.float64()), "heavy": pa.array([*none, packed(heavy)], pa.binary()), "times": pa.array([*none, packed(times)], pa.binary()),
-    })
+    sums = np.split(_run_sums(weights[sign > 0], upto), np.cumsum([len(s) for s in sizes])[:-1]) if sizes else []
+    task, number = ([x for k in kept for x in k.column(c).to_pylist()] for c in ("task", "number"))
+    more = dict(zip(("least", "heavy", "times", "ids", "counts"), zip(*told, strict=True), strict=False)) if told else {}
+    kinds = {"least": pa.float64()} | dict.fromkeys(("heavy", "times", "ids", "counts"), pa.binary())
+    yield pa.RecordBatch.from_pydict({
+        "task": pa.array([*task, *[-1] * len(told)], pa.int32()), "number": pa.array([*number, *range(len(told))], pa.int32()),
+        "own": pa.concat_arrays([*[k.column("own") for k in kept], pa.nulls(len(told), own)]), "sums": pa.array([*sums, *[None] * len(told)], pa.list_(pa.float64())),
+    } | {c: pa.array([*[None] * len(sizes), *more.get(c, ())], kind) for c, kind in kinds.items()})
 
 
 def lengths(table: pa.Table) -> pa.Table:
@@ -242,6 +292,11 @@ class Known:
         good = self.ids[place] == ids[some] if len(self.ids) else np.zeros(len(some), bool)
         return some[good], place[good]
 
+    def has(self, ids: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(ids), bool)
+        out[self.places(ids)[0]] = True
+        return out
+
 
 def _listed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values, pa.int32()))
@@ -331,7 +386,7 @@ def best(batches: Iterator[pa.RecordBatch], asked: Asked, top_k: int) -> Iterato
 def dealt_postings(batches: Iterator[pa.RecordBatch], buckets: int, heavy: Known, parts: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Postings of rows (keys, length, hash, words) by bucket: (bucket, own, lengths, how many terms each row has there, these,
     how often each occurs). A heavy term goes to as many buckets, from its own on, as it has parts."""
-    for batch in batches:
+    for batch in _slices(batches):
         ids, counts, sizes = counted_ids(batch.column("words"))
         bucket, row = bucket_of(ids, buckets), np.repeat(np.arange(len(sizes)), sizes)
         some, place = heavy.places(ids)
@@ -352,22 +407,23 @@ def dealt_postings(batches: Iterator[pa.RecordBatch], buckets: int, heavy: Known
 
 def blocks(batches: Iterator[pa.RecordBatch], buckets: int, stored: int, size: int) -> Iterator[pa.RecordBatch]:
     """Postings of a bucket in blocks of `size`, the largest weights of a term first: (bucket among those stored, term, part,
-    block, top, size, entries)."""
-    table = pa.Table.from_batches(batches)
-    number = table.column("bucket")[0].as_py()
-    own, length = (pa.concat_arrays([x.flatten() for x in table.column(c).chunks]) for c in ("own", "lengths"))
-    sizes = np.concatenate([_unpacked(x, len(y)) for x, y in zip(table.column("sizes"), table.column("own"), strict=True)])
-    ids = [np.frombuffer(x.as_buffer(), np.int64) for x in table.column("ids")]
-    counts = np.concatenate([_unpacked(x, len(y)) for x, y in zip(table.column("counts"), ids, strict=True)])
-    ids, row = np.concatenate(ids), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    length = length.to_numpy()
-    del table
+    block, top, size, entries). Weights have 24 bits."""
+    own, length, sizes, ids, counts, number = [], [], [], [], [], 0
+    for part_of in batches:
+        number = part_of.column("bucket")[0].as_py()
+        own.append(part_of.column("own").flatten()), length.append(part_of.column("lengths").flatten().to_numpy().copy())
+        for i, rows in enumerate(part_of.column("own").value_lengths().to_pylist()):
+            ids.append(np.frombuffer(part_of.column("ids")[i].as_buffer(), np.int64))
+            counts.append(_unpacked(part_of.column("counts")[i], len(ids[-1])))
+            sizes.append(_unpacked(part_of.column("sizes")[i], rows))
+    own, length, ids, counts, sizes = pa.concat_arrays(own), *map(np.concatenate, (length, ids, counts, sizes))
+    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     for some in ranges(ids):
         some = some[np.argsort(ids[some])]
-        weight = tf(counts[some]) / length[row[some]]
+        weight = (tf(counts[some]) / length[row[some]]).astype(np.float32)
         run = np.cumsum(np.concatenate([[0], ids[some][1:] != ids[some][:-1]])) if len(some) else np.zeros(0, np.int64)
         # by run, then by weight from the largest on, which the bits of positive numbers follow
-        order = np.argsort((run.astype(np.uint64) << np.uint64(32)) | (np.uint64(0xFFFFFFFF) - weight.astype(np.float32).view(np.uint32)))
+        order = np.argsort((run.astype(np.uint64) << np.uint64(32)) | (np.uint64(0xFFFFFFFF) - weight.view(np.uint32)))
         some, weight, run = some[order], weight[order], run[order]
         place = np.arange(len(run)) - np.repeat(starts(run), np.diff(np.append(starts(run), len(run))))
         first = np.flatnonzero(place % size == 0)

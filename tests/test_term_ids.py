@@ -7,8 +7,11 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 from folioflow.operators import retrieval, term_ids
+from folioflow.operators.retrieval import fit_tfidf
+from folioflow.operators.search_index import StoredIndex
 
 SCHEMA = "document_id long, chunk_index int, text string"
 
@@ -72,3 +75,30 @@ def test_blocks_of_queries_and_odd_rows(spark, monkeypatch):
     assert answer(index) == want
     assert answer(retrieval.fit_tfidf(spark.createDataFrame([], SCHEMA), ["document_id", "chunk_index"])) == []
     assert retrieval.search_chunks(index, queries.where("q = 'c'"), "q", "text").count() == 0
+
+
+def test_searches_move_few_stored_frequencies(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(d, 0, " ".join(f"w{rng.randrange(20_000)}" for _ in range(80))) for d in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    queries = spark.createDataFrame([(q, " ".join(rows[q * 9][2].split()[3:8])) for q in range(4)], "q long, text string")
+    index = StoredIndex(spark, f"file://{tmp_path}/index")
+    for k in (0, 1):
+        index.append(df.where(f"document_id % 2 = {k}"))
+    terms = {t for _, _, x in rows for w in [x.split()] for t in (*w, *zip(w, w[1:], strict=False))}
+    assert index.frequencies(index.snapshot()).count() == len(terms)
+    found, moved = shuffled_rows(spark, lambda: sorted(map(str, index.search(queries, "q", "text").collect())))
+    assert len(found) >= 4 and moved < len(terms) / 10
+    whole = fit_tfidf(df, ["document_id", "chunk_index"])
+    assert found == sorted(map(str, retrieval.search_chunks(whole, queries, "q", "text").collect()))
+
+
+def test_seen_lets_all_its_numbers_through(spark):
+    words = pa.array([f"a{i} b{i % 7}" for i in range(500)])
+    parts = [p for k in (0, 250) for p in term_ids.Seen.pieces([pa.record_batch([words.slice(k, 250)], ["words"])])]
+    table = pa.Table.from_batches(parts)
+    pieces = {p: term_ids.Seen.either(table.filter(pa.compute.equal(table.column("piece"), p))) for p in set(table.column("piece").to_pylist())}
+    seen = term_ids.Seen({p: t.column("bits")[0].as_py() for p, t in pieces.items()})
+    assert seen(term_ids.counted_ids(words)[0]).all()
+    others = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 10_000)
+    assert seen(others).sum() < 100
