@@ -6,6 +6,8 @@ chance of n * n / 2**65 for n distinct ones (1 % for 600 million), and then coun
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 from hashlib import blake2b
 
@@ -112,6 +114,13 @@ def _binary(parts: Sequence[np.ndarray]) -> pa.Array:
     return pa.array([x.tobytes() for x in parts], pa.binary())
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: a Python worker that waits for its next task shouldn't hold that of the last."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a in range(0, batch.num_rows, ROWS):
@@ -139,6 +148,7 @@ def dealt(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
             pa.array(np.arange(buckets, dtype=np.int32)), pa.array([task] * buckets, pa.int32()), pa.array([number] * buckets, pa.int32()),
             pa.array([len(sizes)] * buckets, pa.int32()), own, _binary([_packed(x) for x in each]), _binary(np.split(ids[order], cuts)), _binary([_packed(x) for x in np.split(counts[order], cuts)]),
         ], ["bucket", "task", "number", "rows", "own", "sizes", "ids", "counts"])
+    _give_back()
 
 
 def stored(batches: Iterator[pa.RecordBatch], good: Callable[[np.ndarray], np.ndarray] | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -183,7 +193,7 @@ class Seen:
     def pieces(cls, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(piece, bits) of a task's rows of words."""
         seen = np.zeros(cls.BITS, bool)
-        for batch in batches:
+        for batch in _slices(batches):
             seen[counted_ids(batch.column("words"))[0] & (cls.BITS - 1)] = True
         parts = np.packbits(seen, bitorder="little").reshape(cls.PIECES, -1)
         some = np.flatnonzero(parts.any(axis=1))
@@ -216,11 +226,11 @@ def starts(found: np.ndarray) -> np.ndarray:
 STORED, ADDED, GONE, WEIGHED = 0, 1, -1, 2
 
 
-def met(batches: Iterator[pa.RecordBatch], n: int, before: int, part: int) -> Iterator[pa.RecordBatch]:
+def met(batches: Iterator[pa.RecordBatch], n: int, before: int, part: int, tell: bool = True) -> Iterator[pa.RecordBatch]:
     """What the rows of a bucket, dealt words and stored numbers, give: (task, number, own, sums) with the sum of squared
-    weights of each row's terms, idf being that of all rows among `n`. And with task -1, by ranges of terms: the least ratio
-    of idf to that among `before` stored rows, terms that were added more often than `part` times, with their numbers, and
-    all terms that were added or taken away, with their change."""
+    weights of each row's terms, idf being that of all rows among `n`. And, if that is wanted, with task -1, by ranges of
+    terms: the least ratio of idf to that among `before` stored rows, terms that were added more often than `part` times,
+    with their numbers, and all terms that were added or taken away, with their change."""
     kept, signs, terms, ids, counts, sizes = [], [], [], [], [], []
     for part_of in batches:  # Arrow's copies of numbers go when they are joined
         for i, (sign, rows) in enumerate(zip(part_of.column("sign").to_pylist(), part_of.column("rows").to_pylist(), strict=True)):
@@ -230,10 +240,12 @@ def met(batches: Iterator[pa.RecordBatch], n: int, before: int, part: int) -> It
             if sign > 0:
                 sizes.append(_unpacked(part_of.column("sizes")[i], rows).copy())
         kept.append(part_of.select(["task", "number", "own"]).filter(pc.greater(part_of.column("sign"), 0)))
-    own = kept[0].schema.field("own").type
+    own, sums = kept[0].schema.field("own").type, pa.list_(pa.float64())
+    kinds = {"least": pa.float64()} | dict.fromkeys(("heavy", "times", "ids", "counts"), pa.binary())
+    part_of = None
     ids, counts, sign = np.concatenate(ids), np.concatenate(counts), np.repeat(np.array(signs, np.int8), terms)
-    weights, told = np.zeros(len(ids)), []
-    for some in ranges(ids):
+    weights = np.zeros(len(ids))
+    for r, some in enumerate(ranges(ids)):
         order = some[np.argsort(ids[some])]
         first = starts(ids[order])
         if not len(first):
@@ -242,21 +254,23 @@ def met(batches: Iterator[pa.RecordBatch], n: int, before: int, part: int) -> It
         added = np.add.reduceat((kind == ADDED).astype(np.int64), first)
         more = added - np.add.reduceat((kind == GONE).astype(np.int64), first)
         earlier = np.add.reduceat(np.where(kind == STORED, count, 0), first)
-        df, names = earlier + more, ids[order][first]
-        now, heavy, changed = (earlier > 0) & (df > 0), added > part, more != 0
-        least = (idf(n, df[now]) / idf(before, earlier[now])).min() if now.any() else None
-        told.append((least, names[heavy].tobytes(), added[heavy].tobytes(), names[changed].tobytes(), _packed(more[changed]).tobytes()))
+        df = earlier + more
+        if tell:
+            names, now, heavy, changed = ids[order][first], (earlier > 0) & (df > 0), added > part, more != 0
+            least = (idf(n, df[now]) / idf(before, earlier[now])).min() if now.any() else None
+            told = (least, names[heavy].tobytes(), added[heavy].tobytes(), names[changed].tobytes(), _packed(more[changed]).tobytes())
+            yield pa.RecordBatch.from_pydict({"task": pa.array([-1], pa.int32()), "number": pa.array([r], pa.int32()), "own": pa.nulls(1, own), "sums": pa.nulls(1, sums)}
+                                             | {c: pa.array([x], kind) for x, (c, kind) in zip(told, kinds.items(), strict=True)})
         mine = np.flatnonzero(kind > 0)
         weights[order[mine]] = (tf(count[mine]) * idf(n, np.repeat(df, run)[mine])) ** 2
     upto = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *[s.astype(np.int64) for s in sizes]]))])
-    sums = np.split(_run_sums(weights[sign > 0], upto), np.cumsum([len(s) for s in sizes])[:-1]) if sizes else []
-    task, number = ([x for k in kept for x in k.column(c).to_pylist()] for c in ("task", "number"))
-    more = dict(zip(("least", "heavy", "times", "ids", "counts"), zip(*told, strict=True), strict=False)) if told else {}
-    kinds = {"least": pa.float64()} | dict.fromkeys(("heavy", "times", "ids", "counts"), pa.binary())
-    yield pa.RecordBatch.from_pydict({
-        "task": pa.array([*task, *[-1] * len(told)], pa.int32()), "number": pa.array([*number, *range(len(told))], pa.int32()),
-        "own": pa.concat_arrays([*[k.column("own") for k in kept], pa.nulls(len(told), own)]), "sums": pa.array([*sums, *[None] * len(told)], pa.list_(pa.float64())),
-    } | {c: pa.array([*[None] * len(sizes), *more.get(c, ())], kind) for c, kind in kinds.items()})
+    mine = weights if (sign > 0).all() else weights[sign > 0]
+    per_row = np.split(_run_sums(mine, upto), np.cumsum([len(s) for s in sizes])[:-1]) if sizes else []
+    del ids, counts, sign, weights, mine
+    task, number = (pa.concat_arrays([k.column(c) for k in kept]) for c in ("task", "number"))
+    yield pa.RecordBatch.from_pydict({"task": task, "number": number, "own": pa.concat_arrays([k.column("own") for k in kept]), "sums": pa.array(per_row, sums)}
+                                     | {c: pa.nulls(len(task), kind) for c, kind in kinds.items()})
+    _give_back()
 
 
 def lengths(table: pa.Table) -> pa.Table:
@@ -304,7 +318,7 @@ def _listed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
 
 def found(batches: Iterator[pa.RecordBatch], known: Known) -> Iterator[pa.RecordBatch]:
     """(keys, places of the asked terms that a row has, how often each occurs) of rows of words that have any."""
-    for batch in batches:
+    for batch in _slices(batches):
         ids, counts, sizes = counted_ids(batch.column("words"))
         some, place = known.places(ids)
         each = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[some], minlength=len(sizes))
@@ -332,7 +346,7 @@ class Asked:
 
 def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(keys, terms, counts) of rows of words."""
-    for batch in batches:
+    for batch in _slices(batches):
         ids, counts, sizes = counted_ids(batch.column("words"))
         upto = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
         lists = [pa.ListArray.from_arrays(upto, pa.array(x, pa.int64())) for x in (ids, counts)]
@@ -357,7 +371,7 @@ def weighed(name: str, query: pa.ChunkedArray, place: np.ndarray, counts: np.nda
 
 
 #: Products that are made together; scores are compared at 9 digits, so thresholds leave that much room.
-CELLS, ROOM = 1 << 20, 2e-9
+CELLS, ROOM = 1 << 18, 2e-9
 
 
 def best(batches: Iterator[pa.RecordBatch], asked: Asked, top_k: int) -> Iterator[pa.RecordBatch]:
@@ -416,6 +430,7 @@ def blocks(batches: Iterator[pa.RecordBatch], buckets: int, stored: int, size: i
             ids.append(np.frombuffer(part_of.column("ids")[i].as_buffer(), np.int64))
             counts.append(_unpacked(part_of.column("counts")[i], len(ids[-1])))
             sizes.append(_unpacked(part_of.column("sizes")[i], rows))
+    part_of = None
     own, length, ids, counts, sizes = pa.concat_arrays(own), *map(np.concatenate, (length, ids, counts, sizes))
     row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     for some in ranges(ids):
@@ -436,3 +451,4 @@ def blocks(batches: Iterator[pa.RecordBatch], buckets: int, stored: int, size: i
                 pa.array((base % stored).astype(np.int32)), pa.array(term), pa.array(((number - base) % buckets).astype(np.int32)), pa.array((place[first] // size).astype(np.int32)),
                 pa.array(np.maximum.reduceat(weight, first)), pa.array(np.diff(np.append(first, len(some)))), pa.ListArray.from_arrays(upto, entries),
             ], ["bucket", "term", "part", "block", "top", "size", "entries"])
+    _give_back()
