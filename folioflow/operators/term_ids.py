@@ -131,10 +131,11 @@ def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
     return ((ids.view(np.uint64) >> np.uint64(16)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
 
 
-def dealt(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """For each few rows of words, named by their task and number, and each bucket of terms: (bucket, task, number, count
-    of rows, how many terms each has there, these, how often each occurs). With bucket 0 go the rows' keys."""
-    task = TaskContext.get().partitionId()
+def dealt(batches: Iterator[pa.RecordBatch], labels: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """For each few rows of words, named by their task and number, and each bucket of terms: (label of the bucket, task,
+    number, count of rows, how many terms each has there, these, how often each occurs). With the first bucket go the rows'
+    keys."""
+    buckets, task = len(labels), TaskContext.get().partitionId()
     for number, batch in enumerate(_slices(batches)):
         ids, counts, sizes = counted_ids(batch.column("words"))
         bucket = bucket_of(ids, buckets)
@@ -145,7 +146,7 @@ def dealt(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
         keys = pa.StructArray.from_arrays([batch.column(i) for i in range(batch.num_columns - 1)], batch.schema.names[:-1])
         own = pa.ListArray.from_arrays(pa.array([0] + [len(keys)] * buckets, pa.int32()), keys)
         yield pa.RecordBatch.from_arrays([
-            pa.array(np.arange(buckets, dtype=np.int32)), pa.array([task] * buckets, pa.int32()), pa.array([number] * buckets, pa.int32()),
+            pa.array(labels), pa.array([task] * buckets, pa.int32()), pa.array([number] * buckets, pa.int32()),
             pa.array([len(sizes)] * buckets, pa.int32()), own, _binary([_packed(x) for x in each]), _binary(np.split(ids[order], cuts)), _binary([_packed(x) for x in np.split(counts[order], cuts)]),
         ], ["bucket", "task", "number", "rows", "own", "sizes", "ids", "counts"])
     _give_back()
@@ -161,13 +162,15 @@ def stored(batches: Iterator[pa.RecordBatch], good: Callable[[np.ndarray], np.nd
             yield ids[some], counts[some]
 
 
-def dealt_sizes(batches: Iterator[pa.RecordBatch], buckets: int, good: Callable[[np.ndarray], np.ndarray] | None) -> Iterator[pa.RecordBatch]:
+def dealt_sizes(batches: Iterator[pa.RecordBatch], labels: np.ndarray, good: Callable[[np.ndarray], np.ndarray] | None) -> Iterator[pa.RecordBatch]:
     """The same as `dealt` of what is stored of terms, which has no keys."""
     for ids, counts in stored(batches, good):
-        bucket = bucket_of(ids, buckets)
-        order, cuts = np.argsort(bucket, kind="stable"), np.cumsum(np.bincount(bucket, minlength=buckets))[:-1]
-        lists = [_binary(np.split(ids[order], cuts)), _binary([_packed(x) for x in np.split(counts[order], cuts)])]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets, dtype=np.int32)), pa.array([0] * buckets, pa.int32()), *lists], ["bucket", "rows", "ids", "counts"])
+        bucket = bucket_of(ids, len(labels))
+        order, each = np.argsort(bucket, kind="stable"), np.bincount(bucket, minlength=len(labels))
+        some = np.flatnonzero(each)  # one, where buckets were as many when these were stored
+        cuts = np.cumsum(each[some])[:-1]
+        lists = [_binary(np.split(ids[order], cuts)), _binary([_packed(x) for x in np.split(counts[order], cuts)])] if len(some) else [pa.array([], pa.binary())] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(labels[some]), pa.array([0] * len(some), pa.int32()), *lists], ["bucket", "rows", "ids", "counts"])
 
 
 def frequencies(batches: Iterator[pa.RecordBatch], good: Callable[[np.ndarray], np.ndarray] | None) -> Iterator[pa.RecordBatch]:
@@ -397,9 +400,10 @@ def best(batches: Iterator[pa.RecordBatch], asked: Asked, top_k: int) -> Iterato
         yield pa.RecordBatch.from_arrays([asked.keys.take(pa.array(np.concatenate(queries))), *keys, pa.array(np.concatenate(scores))], [asked.name, *batch.schema.names[:-3], "score"])
 
 
-def dealt_postings(batches: Iterator[pa.RecordBatch], buckets: int, heavy: Known, parts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Postings of rows (keys, length, hash, words) by bucket: (bucket, own, lengths, how many terms each row has there, these,
-    how often each occurs). A heavy term goes to as many buckets, from its own on, as it has parts."""
+def dealt_postings(batches: Iterator[pa.RecordBatch], labels: np.ndarray, heavy: Known, parts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Postings of rows (keys, length, hash, words) by bucket: (its label, own, lengths, how many terms each row has there,
+    these, how often each occurs). A heavy term goes to as many buckets, from its own on, as it has parts."""
+    buckets = len(labels)
     for batch in _slices(batches):
         ids, counts, sizes = counted_ids(batch.column("words"))
         bucket, row = bucket_of(ids, buckets), np.repeat(np.arange(len(sizes)), sizes)
@@ -414,17 +418,17 @@ def dealt_postings(batches: Iterator[pa.RecordBatch], buckets: int, heavy: Known
         keys = pa.StructArray.from_arrays([c.take(at) for c in batch.columns[:-3]], batch.schema.names[:-3])
         lists = [pa.ListArray.from_arrays(pa.array(upto, pa.int32()), x) for x in (keys, batch.column("length").take(at))]
         yield pa.RecordBatch.from_arrays([
-            pa.array(np.arange(buckets, dtype=np.int32)), *lists, _binary([_packed(x[y]) for x, y in zip(each, full, strict=True)]),
+            pa.array(labels), *lists, _binary([_packed(x[y]) for x, y in zip(each, full, strict=True)]),
             _binary(np.split(ids[order], cuts)), _binary([_packed(x) for x in np.split(counts[order], cuts)]),
         ], ["bucket", "own", "lengths", "sizes", "ids", "counts"])
 
 
-def blocks(batches: Iterator[pa.RecordBatch], buckets: int, stored: int, size: int) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterator[pa.RecordBatch], labels: np.ndarray, stored: int, size: int) -> Iterator[pa.RecordBatch]:
     """Postings of a bucket in blocks of `size`, the largest weights of a term first: (bucket among those stored, term, part,
     block, top, size, entries). Weights have 24 bits."""
-    own, length, sizes, ids, counts, number = [], [], [], [], [], 0
+    own, length, sizes, ids, counts, number, buckets = [], [], [], [], [], 0, len(labels)
     for part_of in batches:
-        number = part_of.column("bucket")[0].as_py()
+        number = int(np.flatnonzero(labels == part_of.column("bucket")[0].as_py())[0])
         own.append(part_of.column("own").flatten()), length.append(part_of.column("lengths").flatten().to_numpy().copy())
         for i, rows in enumerate(part_of.column("own").value_lengths().to_pylist()):
             ids.append(np.frombuffer(part_of.column("ids")[i].as_buffer(), np.int64))

@@ -102,3 +102,11 @@ def test_seen_lets_all_its_numbers_through(spark):
     assert seen(term_ids.counted_ids(words)[0]).all()
     others = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 10_000)
     assert seen(others).sum() < 100
+
+
+def test_buckets_have_tasks_of_their_own(spark):
+    for buckets in (1, 4, 37):
+        labels, tasks = retrieval.bucket_labels(spark, buckets)
+        assert len(set(labels.tolist())) == buckets and tasks == max(4, buckets)
+        rows = spark.createDataFrame([(int(x),) for x in labels], "bucket int").repartition(tasks, "bucket")
+        assert max(rows.rdd.glom().map(len).collect()) == 1
